@@ -41,7 +41,7 @@ def history_mean(paired: DataFrame, n: int = 10, slab: int = 1_000_000) -> DataF
     """
     ranked = util.ordinal(paired.where("paired").select("sysname", "seq", "latency"), ["sysname"], ["seq"], "__i")
     own = (F.col("__i") / slab).cast("bigint")
-    halo = ranked.withColumn("__slab", F.explode(F.array_distinct(F.array(own, ((F.col("__i") + n) / slab).cast("bigint")))))
+    halo = ranked.withColumn("__slab", F.explode(F.sequence(own, ((F.col("__i") + n) / slab).cast("bigint"))))
     w = Window.partitionBy("sysname", "__slab").orderBy("seq").rowsBetween(-n, -1)
     means = halo.withColumn("__m", F.coalesce(F.avg("latency").over(w), F.lit(0.0))).where(F.col("__slab") == own).select(F.col("seq").alias("__seq"), "__m")
     out = paired.join(means, F.col("seq") == F.col("__seq"), "left")
