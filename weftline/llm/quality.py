@@ -3,7 +3,8 @@
 Method. Word n-grams (n = 1, 2) are hashed into ``2**bits`` bins. Two multinomials are estimated over the bins with
 add-``alpha`` smoothing: the raw corpus from all n-grams of all documents, the trusted target from labelled documents
 (quality 1, not toxic). A document's score is the mean over its n-grams of ``ln p_target - ln p_raw``, and it is kept
-when the score reaches a threshold that is fitted once, on the labelled documents, and then holds for every document.
+when the score reaches a threshold that is fitted once, on the labelled documents, and then holds for every document. For
+that fit each labelled document is scored by the target of the other half of the labels, as its own words would praise it.
 
 Bounds: the labelled documents are the ``sample`` label rows with the smallest hash of their id (a documented bound, so
 that side can be broadcast); the model has ``2**bits`` bins whatever the input, so it can be sent to every task. The raw
@@ -89,19 +90,26 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     """Fit the two multinomials and the threshold."""
     clean = labels.groupBy(F.col(key).alias("__key")).agg(F.min("quality").alias("__quality"), F.max("toxic").alias("__toxic")).where("__key is not null and __quality is not null")
     chosen = clean.orderBy(F.xxhash64("__key"), "__key").limit(sample)
-    labelled = docs.select(F.col(key).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(chosen), F.col("__id") == F.col("__key")).select("__text", (F.col("__quality") == 1).alias("__good"), (F.coalesce(F.col("__toxic"), F.lit(0)) != 0).alias("__toxic"))
+    labelled = docs.select(F.col(key).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(chosen), F.col("__id") == F.col("__key"))
+    labelled = labelled.select("__text", (F.col("__quality") == 1).alias("__good"), (F.coalesce(F.col("__toxic"), F.lit(0)) != 0).alias("__toxic"), F.pmod(F.xxhash64("__key", F.lit(1)), F.lit(2)).cast("int").alias("__fold"))
+    labelled = shared.cut(labelled)
     raw = _counts(docs, text, bits)
-    target = _counts(labelled.where("__good and not __toxic"), "__text", bits)
-    ratio = np.log((target + ALPHA) / (target.sum() + ALPHA * len(target))) - np.log((raw + ALPHA) / (raw.sum() + ALPHA * len(raw)))
-    unfitted = Model(bits, ratio, None)
-    if not target.any():
-        return unfitted
+    folds = [_counts(labelled.where(f"__good and not __toxic and __fold = {k}"), "__text", bits) for k in (0, 1)]
+    target = folds[0] + folds[1]
+    part = lambda counts: np.log((counts + ALPHA) / (counts.sum() + ALPHA * len(counts)))
+    ratio = part(target) - part(raw)
+    if not folds[0].any() or not folds[1].any():
+        return Model(bits, ratio, None)
+    other = [(part(folds[1 - k]) - part(raw)).astype(np.float32) for k in (0, 1)]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in textnp.chunks(batches, "__text"):
-            yield pa.RecordBatch.from_arrays([pa.array(scores_of(chunk.words(), unfitted)), chunk.batch.column(1), pa.array(np.diff(chunk.first))], names=["score", "good", "n"])
+            chunk.words()
+            both = np.stack([scores_of(chunk, Model(bits, r, None)) for r in other])
+            fold = chunk.batch.column(3).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array(both[fold, np.arange(chunk.rows)]), chunk.batch.column(1), pa.array(np.diff(chunk.first))], names=["score", "good", "n"])
 
-    rows = labelled.select("__text", "__good").mapInArrow(score, "score double, good boolean, n bigint").where("n > 0").select("score", "good").collect()  # at most `sample` ids
+    rows = labelled.mapInArrow(score, "score double, good boolean, n bigint").where("n > 0").select("score", "good").collect()  # at most `sample` ids
     return Model(bits, ratio, _threshold(np.array([r.score for r in rows]), np.array([r.good for r in rows], dtype=bool)))
 
 
