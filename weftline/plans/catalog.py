@@ -307,12 +307,12 @@ def C14_multi_tags(spark: SparkSession, sf: str) -> DataFrame:
 
 # D. Statistics
 
-_STATS = ", ".join(f"round({f}({x}), 6) AS {n}_{k}" for k, x in (("length", "len(call)"), ("ms", "duration_ms")) for n, f in (("min", "min"), ("mean", "avg"), ("std", "stddev_pop"), ("max", "max")))
+_STATS = ", ".join(f"round({f}({x}), 2) AS {n}_{k}" for k, x in (("length", "len(call)"), ("ms", "duration_ms")) for n, f in (("min", "min"), ("mean", "avg"), ("std", "stddev_pop"), ("max", "max")))
 
 
 @query(f"WITH {o.SEQUENCES} SELECT dataset, count(*) AS requests, {_STATS} FROM sq GROUP BY dataset")
 def D1_dataset_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(stats.dataset_summary(fx.sequences(spark, sf)[0]))
+    return rounded(stats.dataset_summary(fx.sequences(spark, sf)[0]), 2)
 
 
 @query(f"""WITH {o.SEQUENCES}, names AS (SELECT idx, word FROM vc UNION ALL VALUES (0, '[MASK]'), (1, '[UNKNOWN]'), (2, '[START]'), (3, '[END]'), (4, '[TRUNCATE]')), c AS (SELECT idx, count(*) AS c FROM (SELECT unnest(call) AS idx FROM sq) GROUP BY idx),
@@ -544,9 +544,9 @@ def G3_trace_delay(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_W + _DELAY + """, ce AS (SELECT ratio, w.scenario, count(*) FILTER (y_true = 1 AND do_trace = 1) AS tp, count(*) FILTER (y_true = 1 AND do_trace = 0) AS fn, count(*) FILTER (y_true = 0 AND do_trace = 1) AS fp, count(*) AS n FROM w JOIN d ON d.scenario = w.scenario AND pos // 16 = win GROUP BY ratio, w.scenario),
 ea AS (SELECT ratio, coalesce(fn / nullif(tp + fn, 0), 0) AS missed, 1 - (tp + fp) / n AS reduction, coalesce((SELECT avg(delay) FROM dl WHERE dl.scenario = ce.scenario), 0) AS delay FROM ce), gr AS (SELECT ratio, avg(missed) AS missed, avg(reduction) AS reduction, avg(delay) AS delay FROM ea GROUP BY ratio)
-SELECT ratio, round(missed, 6) AS missed, round(reduction, 6) AS reduction, round(delay, 6) AS delay FROM (SELECT * FROM gr UNION ALL SELECT NULL, avg(missed), avg(reduction), avg(delay) FROM gr)""")
+SELECT ratio, round(missed, 3) AS missed, round(reduction, 3) AS reduction, round(delay, 3) AS delay FROM (SELECT * FROM gr UNION ALL SELECT NULL, avg(missed), avg(reduction), avg(delay) FROM gr)""")
 def G4_trace_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(adaptive.trace_metrics(fx.verdicts(spark, sf), 16))
+    return rounded(adaptive.trace_metrics(fx.verdicts(spark, sf), 16), 3)
 
 
 # H. Root cause
