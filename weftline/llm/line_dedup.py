@@ -12,8 +12,8 @@ is verified on the words themselves.
 
 In Spark. Prefix entries are packed by bucket of the word. Equal sets of one batch are sent once (the rest are known to
 be later matches), and equal sets of one word collapse to the earliest, so a line in every document costs one entry per
-batch. For each later line, a word's list gives its ``TRIES`` nearest earlier lines; only if all of them fail and the
-list has more, all lines that pass the filters are taken for that line, so the tries are no cap. No group emits all its
+batch. For each later line, a word's list gives its ``TRIES`` nearest earlier lines; if the list has more and the nearest
+fails, all lines that pass the filters are taken for that line, so the tries are no cap. No group emits all its
 pairs. Texts are dealt out by key once and read at both places.
 
 Defined cases: a null text counts as empty; lines without words are neither removed nor matched; all rows with one key count
@@ -36,9 +36,11 @@ from weftline.llm import packing, shared, textnp
 NUM, DEN = 4, 5
 BITS = 20
 ROWS_EACH = 4_000
-TRIES = 4
-#: Lines of one block of the query set that all lines are taken for.
-OPEN_EACH = 500_000
+TRIES = 16
+#: Lines of one block of the query set; their prefix words go to every task.
+OPEN_EACH = 50_000
+#: Keys or line numbers, of 16 bytes, that are counted before they are broadcast.
+BROADCAST_ROWS = 1_000_000
 _VALUES = {"word": np.uint32, "whole": np.uint32, "parity": np.uint64, "size": np.uint32, "at": np.uint16}
 
 
@@ -75,6 +77,11 @@ def _lines(chunk: textnp.Chunk, rarity: np.ndarray, num: int, den: int) -> tuple
     return (chunk.doc[start], number[start], size, parity, whole), (line_s[used], word_s[used], place[used], rare_s[used])
 
 
+def _identity(parity: np.ndarray, whole: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of a set, from its parity, its hash and its size."""
+    return textnp.mix(textnp.mix(parity) + whole.astype(np.uint64) + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
 def _passes(x: int | np.ndarray, y, i, j, dx, dy, num: int, den: int) -> np.ndarray:
     """Length, positional and parity filter of lines of x and y words that share the word at place i and j."""
     need = -(-num * (x + y) // (num + den))
@@ -89,19 +96,42 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = N
     shift = np.uint64(64 - (buckets.bit_length() - 1))
     rarity = _rarity(shared.bin_counts(rows, "text", BITS, lambda c: (c.word_hash() >> np.uint64(64 - BITS)).astype(np.int64)))
 
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in textnp.chunks(batches, "text"):
-            (row, number, size, parity, whole), (line, word, place, _) = _lines(chunk, rarity, num, den)
-            own = chunk.batch.column(0).to_numpy(zero_copy_only=False)[row] if len(row) else row
-            order = np.lexsort((number, own))
-            _, first = np.unique(np.stack([parity, whole, size.astype(np.uint64)], axis=1)[order], axis=0, return_index=True) if len(row) else (None, order)
-            head = np.zeros(len(row), dtype=bool)
-            head[order[first]] = True
-            yield packing.pack(buckets + packing.home_of(own[~head], buckets), own[~head], number[~head], **{n: np.zeros((~head).sum(), t) for n, t in _VALUES.items()})
-            ok = head[line]
-            line, word, place = line[ok], textnp.mix(word[ok]), place[ok]
-            values = {"word": word, "whole": whole[line], "parity": parity[line], "size": size[line], "at": place}
-            yield packing.pack((word >> shift).astype(np.int64), own[line], number[line], **{n: v.astype(_VALUES[n]) for n, v in values.items()})
+    def index(words: np.ndarray | None = None):
+        """Prefix entries; with words (sorted hashes) only those of these words, and of all lines."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for chunk in textnp.chunks(batches, "text"):
+                (row, number, size, parity, whole), (line, word, place, _) = _lines(chunk, rarity, num, den)
+                own = chunk.batch.column(0).to_numpy(zero_copy_only=False)[row] if len(row) else row
+                if words is None:
+                    order = np.lexsort((number, own))
+                    _, first = np.unique(_identity(parity, whole, size)[order], return_index=True)
+                    head = np.zeros(len(row), dtype=bool)
+                    head[order[first]] = True
+                    yield packing.pack(buckets + packing.home_of(own[~head], buckets), own[~head], number[~head], **{n: np.zeros((~head).sum(), t) for n, t in _VALUES.items()})
+                    ok = head[line]
+                else:
+                    at = np.minimum(np.searchsorted(words, word), len(words) - 1)
+                    ok = words[at] == word if len(words) else np.zeros(len(word), dtype=bool)
+                line, word, place = line[ok], textnp.mix(word[ok]), place[ok]
+                values = {"word": word, "whole": whole[line], "parity": parity[line], "size": size[line], "at": place}
+                ascending = bool((np.diff(chunk.batch.column(0).to_numpy(zero_copy_only=False)) > 0).all())
+                yield packing.pack((word >> shift).astype(np.int64), own[line], number[line], in_order=ascending, **{n: v.astype(_VALUES[n]) for n, v in values.items()})
+
+        return run
+
+    def words_of(asked: tuple[np.ndarray, np.ndarray]):
+        """The prefix words of the asked lines."""
+        wanted = np.rec.fromarrays(asked)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for chunk in textnp.chunks(batches, "text"):
+                (row, number, *_), (line, word, _, _) = _lines(chunk, rarity, num, den)
+                own = chunk.batch.column(0).to_numpy(zero_copy_only=False)[row] if len(row) else row
+                ok = np.isin(np.rec.fromarrays([own, number.astype(np.int64)], dtype=wanted.dtype), wanted)[line] if len(row) else line
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(word[ok]).view(np.int64) if len(row) else [], pa.int64())], names=["word"])
+
+        return run
 
     def meet(only: tuple[np.ndarray, np.ndarray] | None, keep: int):
         def run(table: pa.Table) -> pa.Table:
@@ -110,8 +140,9 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = N
             key, pos, word, whole, parity, size, at = packing.unpack(table, **_VALUES)
             order = np.lexsort((pos, key, word))
             key, pos, word, whole, parity, size, at = (x[order] for x in (key, pos, word, whole, parity, size.astype(np.int64), at.astype(np.int64)))
-            same = np.lexsort((np.arange(len(word)), whole, parity, word))
-            new = np.concatenate([[True], (word[same][1:] != word[same][:-1]) | (parity[same][1:] != parity[same][:-1]) | (whole[same][1:] != whole[same][:-1]) | (size[same][1:] != size[same][:-1])])
+            identity = _identity(parity, whole.astype(np.uint64) << np.uint64(32) | word, size)
+            same = np.argsort(identity, kind="stable")
+            new = np.concatenate([[True], identity[same][1:] != identity[same][:-1]])
             again = same[~new]
             firsts = same[new][np.cumsum(new) - 1][~new]
             again = again[(key[again] != key[firsts]) | (pos[again] != pos[firsts])]
@@ -138,7 +169,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = N
                     passed[x] += 1
                     distance = np.minimum(np.bitwise_count(parity[x] ^ parity[y]), 254).astype(np.uint8)
                     worst = best[x].argmax(axis=1)
-                    better = best[x, worst] > distance
+                    better = best[x, worst] >= distance
                     best[x[better], worst[better]] = distance[better]
                     who[x[better], worst[better]] = y[better]
                 lag += 1
@@ -148,7 +179,8 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = N
             else:
                 x, slot = np.nonzero(who >= 0)
                 y = who[x, slot]
-            more = (passed[x] > keep).astype(np.uint8)
+            nearest = best.argmin(axis=1)
+            more = (passed[x] > keep).astype(np.uint8) if only is not None else ((passed[x] > keep) & (slot == nearest[x])).astype(np.uint8)
             pairs = packing.pack(packing.home_of(key[y], buckets), key[y], pos[y], later=key[x], line=pos[x].astype(np.uint32), more=more)
             return pa.concat_tables([_out(pa.Table.from_batches([marks]), 0), _out(pa.Table.from_batches([pairs]), 1)])
 
@@ -161,55 +193,44 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = N
         return pa.table([bucket, *cells, pa.array([kind or 0] * n, pa.int32())], names=["bucket", "ids", "counts", "gaps", "later", "line", "more", "kind"])
 
     found_schema = packing.schema("later", "line", "more") + ", kind int"
-    sent_schema = packing.schema() + ", later bigint, line int, more boolean, words string"
+    sent_schema = packing.schema() + ", later array<bigint>, line array<int>, words string"
+    sent_empty = {"bucket": pa.int32(), "ids": pa.binary(), "counts": pa.binary(), "gaps": pa.binary(), "later": pa.list_(pa.int64()), "line": pa.list_(pa.int32()), "words": pa.string()}
 
     def fetch(texts: pa.Table, pairs: pa.Table) -> pa.Table:
-        """The earlier line of each pair, on its way to the later one."""
+        """The earlier lines on their way to the later ones: each once to a bucket, however many lines there it is for."""
         if not len(pairs) or not len(texts):
-            return pa.table({"bucket": pa.array([], pa.int32()), **{n: pa.array([], pa.binary()) for n in ("ids", "counts", "gaps")}, "later": pa.array([], pa.int64()), "line": pa.array([], pa.int32()), "more": pa.array([], pa.bool_()), "words": pa.array([], pa.string())})
-        key, pos, later, line, more = packing.unpack(pairs, later=np.int64, line=np.uint32, more=np.uint8)
-        _, once = np.unique(np.stack([key, pos, later, line.astype(np.int64)], axis=1), axis=0, return_index=True)
-        key, pos, later, line, more = (x[once] for x in (key, pos, later, line, more))
-        ids = texts["key"].to_numpy(zero_copy_only=False)
-        wanted, where, words = set(key.tolist()), {}, []
-        for k, s in zip(ids.tolist(), texts["text"].to_pylist()):
-            if k in wanted:
-                where[k] = s.split("\n")
-        for k, p in zip(key.tolist(), pos.tolist()):
-            lines = where.get(k, [])
-            words.append(lines[p] if p < len(lines) else "")
-        n = len(key)
-        return pa.table({"bucket": pa.array(packing.home_of(later, buckets), pa.int32()), **{c: pa.nulls(n, pa.binary()) for c in ("ids", "counts", "gaps")}, "later": pa.array(later), "line": pa.array(line.astype(np.int32)), "more": pa.array(more > 0), "words": pa.array(words, pa.string())})
-
-    def alike(a: str, b: str) -> bool:
-        x, y = set(a.encode().split()), set(b.encode().split())
-        both = len(x & y)
-        return den * both >= num * (len(x) + len(y) - both)
-
-    def matched(texts: pa.Table, sent: pa.Table) -> tuple[dict[int, set[int]], set[tuple[int, int]]]:
-        """Lines to remove by key, and the lines whose tries all failed though there are more."""
+            return pa.table({n: pa.array([], t) for n, t in sent_empty.items()})
+        key, pos, later, line, _ = packing.unpack(pairs, later=np.int64, line=np.uint32, more=np.uint8)
+        rows_ = np.unique(np.stack([packing.home_of(later, buckets), key, pos, later, line.astype(np.int64)], axis=1), axis=0)
+        start = np.flatnonzero(np.concatenate([[True], (rows_[1:, :3] != rows_[:-1, :3]).any(axis=1)]))
+        wanted = set(rows_[:, 1].tolist())
+        where = {k: s.split("\n") for k, s in zip(texts["key"].to_pylist(), texts["text"].to_pylist()) if k in wanted}
+        words = [lines[p] if p < len(lines := where.get(k, [])) else "" for k, p in rows_[start, 1:3].tolist()]
+        offsets = pa.array(np.append(start, len(rows_)).astype(np.int32))
+        n = len(start)
+        return pa.table({"bucket": pa.array(rows_[start, 0].astype(np.int32)), **{c: pa.nulls(n, pa.binary()) for c in ("ids", "counts", "gaps")}, "later": pa.ListArray.from_arrays(offsets, pa.array(rows_[:, 3])), "line": pa.ListArray.from_arrays(offsets, pa.array(rows_[:, 4].astype(np.int32))), "words": pa.array(words, pa.string())})
+
+    def matched(texts: pa.Table, sent: pa.Table) -> dict[int, set[int]]:
+        """Lines to remove, by key: those marked, and those that are alike a line that was sent."""
         gone: dict[int, set[int]] = {}
         packed = sent.filter(pc.is_valid(sent["ids"])).select(["bucket", "ids", "counts", "gaps"])
         for k, p in zip(*(x.tolist() for x in packing.unpack(packed))):
             gone.setdefault(k, set()).add(p)
         pairs = sent.filter(pc.is_null(sent["ids"]))
-        wanted = set(pairs["later"].to_pylist())
+        wanted = {k for keys in pairs["later"].to_pylist() for k in keys}
         lines = {k: s.split("\n") for k, s in zip(texts["key"].to_pylist(), texts["text"].to_pylist()) if k in wanted}
-        unsure = set()
-        for k, p, more, words in zip(*(pairs[c].to_pylist() for c in ("later", "line", "more", "words"))):
-            if k in lines and p < len(lines[k]) and p not in gone.get(k, ()):
-                if alike(lines[k][p], words):
-                    gone.setdefault(k, set()).add(p)
-                elif more:
-                    unsure.add((k, p))
-        return gone, {(k, p) for k, p in unsure if p not in gone.get(k, ())}
-
-    def doubts(texts: pa.Table, sent: pa.Table) -> pa.Table:
-        unsure = sorted(matched(texts, sent)[1])
-        return pa.table({"key": pa.array([k for k, _ in unsure], pa.int64()), "line": pa.array([p for _, p in unsure], pa.int32())})
+        for keys, numbers, words in zip(*(pairs[c].to_pylist() for c in ("later", "line", "words"))):
+            x = set(words.encode().split())
+            for k, p in zip(keys, numbers):
+                if k in lines and p < len(lines[k]) and p not in gone.get(k, ()):
+                    y = set(lines[k][p].encode().split())
+                    both = len(x & y)
+                    if den * both >= num * (len(x) + len(y) - both):
+                        gone.setdefault(k, set()).add(p)
+        return gone
 
     def remove(texts: pa.Table, sent: pa.Table) -> pa.Table:
-        gone = matched(texts, sent)[0]
+        gone = matched(texts, sent)
         n_lines, removed, kept = [], [], []
         for k, s in zip(texts["key"].to_pylist(), texts["text"].to_pylist()):
             lines = s.split("\n")
@@ -220,21 +241,43 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = N
         return pa.table({"key": texts["key"], "n_lines": pa.array(n_lines, pa.int64()), "n_removed": pa.array([len(x) for x in removed], pa.int64()), "removed": pa.array(removed, pa.list_(pa.int32())), "text": pa.array(kept, pa.string()), **({"carried": texts["carried"]} if carry else {})})
 
     placed = rows.withColumn("bucket", packing.home(F.coalesce("key", F.xxhash64("text")), buckets)).groupBy("bucket")
-    entries = rows.select("key", "text").where("key is not null").mapInArrow(index, packing.schema(*_VALUES)).groupBy("bucket")
+    entries = rows.select("key", "text").where("key is not null").mapInArrow(index(), packing.schema(*_VALUES)).groupBy("bucket")
     found = shared.cut(entries.applyInArrow(meet(None, tries), found_schema))
 
     def sent(found: DataFrame) -> DataFrame:
         pairs = placed.cogroup(found.where("kind = 1").groupBy("bucket")).applyInArrow(fetch, sent_schema)
-        marks = found.where("kind = 0").select("bucket", "ids", "counts", "gaps", F.lit(None).cast("bigint").alias("later"), F.lit(None).cast("int").alias("line"), F.lit(None).cast("boolean").alias("more"), F.lit(None).cast("string").alias("words"))
+        marks = found.where("kind = 0").select("bucket", "ids", "counts", "gaps", F.lit(None).cast("array<bigint>").alias("later"), F.lit(None).cast("array<int>").alias("line"), F.lit(None).cast("string").alias("words"))
         return pairs.unionByName(marks)
 
-    # byte 1 anywhere in `more`: some list has more lines than tries
-    if not found.where("kind = 1 and locate('01', hex(more)) > 0").isEmpty():
-        open_lines = shared.cut(placed.cogroup(sent(found).groupBy("bucket")).applyInArrow(doubts, "key bigint, line int"))
+    def flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The pairs of lists that have more lines than tries."""
+        for batch in batches:
+            key, pos, later, line, more = packing.unpack(pa.Table.from_batches([batch]), later=np.int64, line=np.uint32, more=np.uint8)
+            rows_ = np.unique(np.stack([key, pos, later, line.astype(np.int64)], axis=1)[more > 0], axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows_.T], names=["k", "p", "later", "line"])
+
+    def bounded(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+    pairs = found.where("kind = 1").select("bucket", "ids", "counts", "gaps", "later", "line", "more")
+    pairs = shared.cut(pairs.mapInArrow(flagged, "k bigint, p bigint, later bigint, line bigint").distinct())
+    if not pairs.isEmpty():
+        # the lines of these pairs, by key and number; texts stay where they are if these are few
+        ends = pairs.select(F.explode(F.array(F.struct("k", "p"), F.struct(F.col("later").alias("k"), F.col("line").alias("p")))).alias("e")).select("e.k", "e.p").distinct()
+        lines = rows.join(bounded(ends), F.col("key") == F.col("k")).select("k", "p", F.get(F.split("text", "\n"), F.col("p").cast("int")).alias("s"))
+        lines = shared.cut(lines.select("k", "p", F.array_distinct(F.filter(F.split("s", r"[\x20\x09-\x0D]+"), lambda w: w != "")).alias("w")).dropDuplicates(["k", "p"]))
+        both = pairs.join(lines, ["k", "p"]).join(lines.select(F.col("k").alias("later"), F.col("p").alias("line"), F.col("w").alias("v")), ["later", "line"])
+        n = F.size(F.array_intersect("w", "v"))
+        ok = den * n >= num * (F.size("w") + F.size("v") - n)
+        open_lines = shared.cut(both.groupBy("later", "line").agg(F.max(ok.cast("int")).alias("ok")).where("ok = 0").select("later", "line"))
         slices = -(-open_lines.count() // OPEN_EACH)
-        for k in range(slices):  # the query set in blocks, each against all entries
-            asked = open_lines.where(F.pmod(F.xxhash64("key", "line"), F.lit(slices)) == k).toPandas()
-            only = (asked["key"].to_numpy(np.int64), asked["line"].to_numpy(np.int64))
-            found = found.unionByName(shared.cut(entries.applyInArrow(meet(only, tries), found_schema).where("kind = 1")))
+        for i in range(slices):  # the query set in blocks, each against all lines; only entries of its words travel
+            part = open_lines.where(F.pmod(F.xxhash64("later", "line"), F.lit(slices)) == i)
+            asked = part.toPandas()
+            only = (asked["later"].to_numpy(np.int64), asked["line"].to_numpy(np.int64))
+            texts = rows.join(F.broadcast(part.select(F.col("later").alias("key")).distinct()), "key", "left_semi")
+            words = np.unique(texts.select("key", "text").mapInArrow(words_of(only), "word bigint").distinct().toPandas()["word"].to_numpy(np.int64).view(np.uint64))
+            again = rows.select("key", "text").where("key is not null").mapInArrow(index(words), packing.schema(*_VALUES)).groupBy("bucket")
+            found = found.unionByName(shared.cut(again.applyInArrow(meet(only, tries), found_schema).where("kind = 1")))
     out = placed.cogroup(sent(found).groupBy("bucket")).applyInArrow(remove, "key bigint, n_lines bigint, n_removed bigint, removed array<int>, text string" + (f", carried {rows.schema['carried'].dataType.simpleString()}" if carry else ""))
     return out.withColumnRenamed("key", key)
