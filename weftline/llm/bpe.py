@@ -36,7 +36,7 @@ LEAF = 512
 #: No decision about a piece looks further ahead than a special token or a contraction.
 REACH = 64
 #: Pieces kept in each of the two generations of a worker's cache.
-CACHE = 200_000
+CACHE = 80_000
 
 # The pattern of byte-level vocabularies for texts of Latin letters alone, where its classes are short; other texts are left to the library.
 _L, _N, _S = r"a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", r"0-9\xb2\xb3\xb9\xbc-\xbe", r"\t-\r \x85\xa0"
