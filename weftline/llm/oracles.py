@@ -8,13 +8,14 @@ _WORDS = r"list_filter(string_split_regex({}, '[\x20\x09-\x0D]+'), lambda w: w <
 
 SUBSTRINGS = rf"""
 WITH w AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
-s AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w WHERE len(ws) >= 20),
-r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(list_slice(ws, i, i + 19), ' ') ORDER BY doc_id, i) AS n FROM s),
+u AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w),
+s AS (SELECT doc_id, p AS i, string_agg(word, ' ') OVER q AS k, count(*) OVER q AS m FROM u WINDOW q AS (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS n FROM s WHERE m = 20),
 gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM r WHERE n > 1),
-g AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id)
-SELECT w.doc_id, len(ws)::bigint AS n_words, coalesce(len(ps), 0)::bigint AS n_removed,
-  sha256(array_to_string(CASE WHEN ps IS NULL THEN ws ELSE list_filter(ws, lambda x, i: NOT list_contains(ps, i)) END, ' ')) AS kept_sha256
-FROM w LEFT JOIN g ON w.doc_id = g.doc_id
+g AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id),
+k AS (SELECT u.doc_id, string_agg(word, ' ' ORDER BY u.p) AS kept FROM u LEFT JOIN gone ON gone.doc_id = u.doc_id AND gone.p = u.p WHERE gone.p IS NULL GROUP BY u.doc_id)
+SELECT w.doc_id, len(ws)::bigint AS n_words, coalesce(g.n, 0)::bigint AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN g ON w.doc_id = g.doc_id LEFT JOIN k ON w.doc_id = k.doc_id
 """
 
 _CLEAN = "translate(coalesce(text, ''), chr(1) || chr(2) || chr(3), '')"
