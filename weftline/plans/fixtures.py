@@ -9,8 +9,6 @@ from weftline.functions import events as ev
 from weftline.functions.sequences import tag_select
 from weftline.operators import durations, requests, util
 
-NAMES = {"signup": "'httpd:enter_event_handler'", "purchase": "'httpd:exit_event_handler'", "view": "read", "click": "poll", "error": "futex"}
-
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
