@@ -68,3 +68,32 @@ def test_dense_ball_of_fingerprints(spark):
 
 def test_empty(spark):
     assert simhash.link(simhash.fingerprints(spark.createDataFrame([], "doc_id bigint, text string"))).count() == 0
+
+
+def family(rng, n, true_pairs):
+    """n texts that are alike at 0.77 to 0.79 by five-word shingles, and for so many of them one more that is alike at 0.82."""
+    q = 13  # each text changes a word in q columns of q places, along a parabola of its own: two have two changes in common at most
+    base = [f"w{rng.randrange(10**6)}" for _ in range(6 * q * q + 10)]
+
+    def change(words, places):
+        out = list(words)
+        for p in places:
+            out[5 + 6 * p] = f"x{rng.randrange(10**9)}"
+        return out
+
+    chosen = [{q * c + (k + k // q * c + k // q**2 * c * c) % q for c in range(q)} for k in rng.sample(range(q**3), n)]
+    texts = [change(base, sorted(c)) for c in chosen]
+    texts += [change(t, rng.sample(sorted(set(range(q * q)) - c), 20)) for t, c in zip(texts[:true_pairs], chosen)]
+    return [" ".join(t) for t in texts]
+
+
+def test_candidates_in_a_family_just_below_the_similarity(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "PRINTS", 2)
+    texts = family(random.Random(4), 300, 100)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    fps = {r.doc_id: [x & (2**64 - 1) for x in r.fps] for r in simhash.fingerprints(df, shingle=5, tables=2).collect()}
+    halves = lambda i: [h for x in fps[i] for h in (x >> 32, x & 0xFFFFFFFF)]
+    bits = lambda i, j: [(x ^ y).bit_count() for x, y in zip(halves(i), halves(j))]
+    want = {300 + k: k for k in range(100) if min(bits(k, 300 + k)) <= simhash.TABLE_BUDGET and sum(bits(k, 300 + k)) <= simhash.NEAR}
+    got = {r.node: r.component for r in simhash.near_duplicates(df).collect()}
+    assert len(want) > 40 and got == want, (len(got), len(want))

@@ -129,10 +129,17 @@ def walk(left: np.ndarray, right: np.ndarray, nodes: tuple, bits: int, budget: i
 
 
 class Forest:
-    """Union-find over n leaves that remembers the links that joined two trees."""
+    """Union-find over n leaves that remembers the links that joined two trees; ``labels`` unite leaves from the start.
 
-    def __init__(self, n: int):
-        self.up, self.links = list(range(n)), []
+    Up to ``spare`` links of a leaf are remembered besides. ``left`` marks a leaf of each link that is not.
+    """
+
+    def __init__(self, n: int, labels: np.ndarray | None = None, spare: int = 0):
+        self.up, self.links, self.spare = list(range(n)), [], spare
+        self.degree, self.left = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=bool)
+        if labels is not None:
+            _, first, which = np.unique(labels, return_index=True, return_inverse=True)
+            self.up = first[which].tolist()
 
     def root(self, i: int) -> int:
         while self.up[i] != i:
@@ -144,7 +151,12 @@ class Forest:
         x, y = self.root(i), self.root(j)
         if x != y:
             self.up[max(x, y)] = min(x, y)
-            self.links.append((i, j))
+        elif not self.spare or min(self.degree[i], self.degree[j]) >= self.spare:
+            self.left[i] = True
+            return
+        self.degree[i] += 1
+        self.degree[j] += 1
+        self.links.append((i, j))
 
     def labels(self) -> np.ndarray:
         return np.array([self.root(i) for i in range(len(self.up))], dtype=np.int64)
@@ -165,20 +177,22 @@ def _masks(bits: int, budget: int) -> list[tuple[int, int]]:
     return [(m, m.bit_count()) for m in range(1 << bits) if m.bit_count() <= budget]
 
 
-def trie_join(values: DataFrame, budget: int = 2, width: int = 64, group: int = GROUP, table: str | None = None, extra: str | None = None, near: int | None = None) -> DataFrame:
+def trie_join(values: DataFrame, budget: int = 2, width: int = 64, group: int = GROUP, table: str | None = None, extra: str | None = None, near: int | None = None, label: str | None = None, spare: int = 0) -> DataFrame:
     """Links (a, b) that connect all of ``fp`` in values at most budget bits apart, a spanning forest from each group.
 
     ``fp`` are bigints with width bits, distinct (within each value of ``table``, if that column is named). With ``extra``
     (an array<bigint> column that goes with each row) a pair links only if its extra bits differ in at most ``near``
-    places; a and b are then the row's ``node`` instead of fp.
+    places; a and b are then the row's ``node`` instead of fp. With ``label`` rows with equal labels count as connected, up to
+    ``spare`` links of a row are given beside the forest, and two columns are added: ``tree``, the node of a row of the
+    tree, and ``more``, whether links within that tree were left out.
     """
     blocks = budget + 1
     edges = [round(i * width / blocks) for i in range(blocks + 1)]
     node = "node" if extra else "fp"
-    carried = [F.col(node).cast("bigint").alias("node"), *([F.col(extra).alias("extra")] if extra else [])]
+    carried = [F.col(node).cast("bigint").alias("node"), *([F.col(extra).alias("extra")] if extra else []), *([F.col(label).cast("bigint").alias("label")] if label else [])]
     tab = F.col(table).cast("int") if table else F.lit(0)
     turned = values.select(*carried, tab.alias("tab"), F.explode(F.array(*[F.struct(F.lit(i).alias("turn"), _turn(F.col("fp"), edges[i], width).alias("v"), F.lit(edges[i + 1] - edges[i]).alias("depth")) for i in range(blocks)])).alias("t"))
-    rest = ["node", *(["extra"] if extra else [])]
+    rest = ["node", *(["extra"] if extra else []), *(["label"] if label else [])]
     up = F.expr(f"shiftrightunsigned(t.v, {width} - t.depth)")
     rows = turned.select(*rest, "tab", F.col("t.turn").alias("turn"), F.col("t.v").alias("v"), F.col("t.depth").alias("depth"), up.alias("pl"), up.alias("pr"), F.lit(0).alias("err"), F.lit(0).alias("side"))
     key = ["tab", "turn", "depth", "pl", "pr", "err"]
@@ -213,13 +227,13 @@ def trie_join(values: DataFrame, budget: int = 2, width: int = 64, group: int =
         import pandas as pd
 
         for frame in _groups(frames, key):
-            links = [np.zeros((0, 2), dtype=np.int64)]
+            links = [np.zeros((0, 4), dtype=np.int64)]
             for (depth, single), rows in frame.groupby([frame["depth"], frame["side"] == 0], sort=False):
-                links.append(_links(rows, key, width - int(depth), budget, bool(single), near if extra else None))
-            found = np.concatenate(links)
-            yield pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
+                links.append(_links(rows, key, width - int(depth), budget, bool(single), near if extra else None, spare))
+            found = pd.DataFrame(np.concatenate(links), columns=["a", "b", "tree", "more"])
+            yield found if label else found[["a", "b"]]
 
-    return ready.repartition(*key).sortWithinPartitions(*key, "v").mapInPandas(join, "a bigint, b bigint")
+    return ready.repartition(*key).sortWithinPartitions(*key, "v").mapInPandas(join, "a bigint, b bigint" + (", tree bigint, more bigint" if label else ""))
 
 
 def _groups(frames, key: list[str]):
@@ -240,8 +254,8 @@ def _groups(frames, key: list[str]):
         yield rest
 
 
-def _links(rows, key: list[str], bits: int, budget: int, single: bool, near: int | None) -> np.ndarray:
-    """A spanning forest of the links in the groups of rows, all of one depth."""
+def _links(rows, key: list[str], bits: int, budget: int, single: bool, near: int | None, spare: int) -> np.ndarray:
+    """A spanning forest of the links in the groups of rows, all of one depth, and up to spare links of a row besides: a, b, tree, more."""
     nodes = rows["node"].to_numpy()
     number = rows.groupby(key, sort=False).ngroup().to_numpy().astype(np.uint64)
     errs = np.zeros(int(number.max()) + 1, dtype=np.int64)
@@ -264,15 +278,23 @@ def _links(rows, key: list[str], bits: int, budget: int, single: bool, near: int
     a, b = np.searchsorted(lv, groups, "left"), np.searchsorted(lv, last, "right")
     c, d = np.searchsorted(rv, groups, "left"), np.searchsorted(rv, last, "right")
     ok = (b > a) & (d > c)
-    forest = Forest(len(value))
+    label = rows["label"].to_numpy() if "label" in rows else None
+    forest = Forest(len(value), label, spare)
 
     def take(i: np.ndarray, j: np.ndarray) -> None:
+        if label is not None and len(i):
+            ok = label[i] != label[j]
+            i, j = i[ok], j[ok]
         if wide is not None and len(i):
             ok = np.bitwise_count(wide[i] ^ wide[j]).sum(axis=1) <= near
             i, j = i[ok], j[ok]
         if len(i) > 1000:
             roots = forest.labels()
-            i, j = i[(ok := roots[i] != roots[j])], j[ok]
+            ok = roots[i] != roots[j]
+            if spare:
+                ok |= np.minimum(forest.degree[i], forest.degree[j]) < spare
+            forest.left[i[~ok]] = True
+            i, j = i[ok], j[ok]
         for x, y in zip(i.tolist(), j.tolist()):
             forest.add(x, y)
 
@@ -289,7 +311,10 @@ def _links(rows, key: list[str], bits: int, budget: int, single: bool, near: int
             i, j = lat[ls[p] : ls[p] + ll[p]], rat[rs[q] : rs[q] + rl[q]]
             for u in i.tolist():
                 take(np.full(len(j), u), j)
-    return nodes[np.array(forest.links, dtype=np.int64).reshape(-1, 2)]
+    links, roots = np.array(forest.links, dtype=np.int64).reshape(-1, 2), forest.labels()
+    left = np.bincount(roots, weights=forest.left, minlength=len(roots)) > 0
+    root = roots[links[:, 0]]
+    return np.column_stack([nodes[links], nodes[root], left[root].astype(np.int64)])
 
 
 def link(prints: DataFrame, key: str = "doc_id", budget: int = 2, group: int = GROUP) -> DataFrame:
@@ -307,7 +332,9 @@ def link(prints: DataFrame, key: str = "doc_id", budget: int = 2, group: int = G
 #: For similarities of whole texts: so many fingerprints of 64 bits, each read as two of WIDTH bits.
 PRINTS, WIDTH, TABLE_BUDGET = 6, 32, 3
 #: Most differing bits, of all PRINTS * 64, of a pair that is verified.
-NEAR = 70
+NEAR = 85
+#: Links of a row that are verified beside a forest in the second walk, and the factor for each walk after that.
+SPARE = 8
 NEAR_GROUP = 20_000
 BROADCAST_ROWS = 200_000
 
@@ -317,16 +344,41 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 
     Links: equal fingerprints, or shingle sets with a Jaccard similarity of percent or more. A pair is a candidate when one
     of ``2 * PRINTS`` tables of ``WIDTH`` bits has it within ``TABLE_BUDGET`` bits and all fingerprints together within
-    ``NEAR``; candidates that connect something are verified on the shingles. At a similarity of 0.8 a table finds a pair
-    with probability 0.27, all twelve with 0.97.
+    ``NEAR``. Only pairs that are verified on the shingles connect: each walk sends a spanning forest of the candidates to be verified,
+    and where an edge of a tree fails that stood for others, the rows of that tree are walked again with ``SPARE`` times
+    as many edges a row besides, without pairs that verified links connect by then, until no candidate is left out.
+    At a similarity of 0.8 a table finds a pair with probability 0.27, all twelve with 0.97.
     """
     prints = fingerprints(docs.where(F.col(key).isNotNull()), key, text, shingle, PRINTS)
     prints = shared.cut(prints.select(F.col(key).alias("key"), "fps"))
     least = shared.cut(prints.groupBy("fps").agg(F.min("key").alias("node")))
     halves = [F.struct(F.lit(2 * i + j).alias("tab"), (F.col("fps")[i].bitwiseAND(F.lit(0xFFFFFFFF)) if j else F.shiftrightunsigned(F.col("fps")[i], 32)).alias("fp")) for i in range(PRINTS) for j in (0, 1)]
-    values = least.select("node", "fps", F.explode(F.array(*halves)).alias("x")).select("node", F.col("fps").alias("extra"), "x.tab", "x.fp")
-    edges = trie_join(values, TABLE_BUDGET, WIDTH, NEAR_GROUP, table="tab", extra="extra", near=NEAR)
-    edges = shared.cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    labelled, true, tried, spare = least.withColumn("label", F.col("node")), None, None, 0
+    while True:
+        values = labelled.select("node", "label", "fps", F.explode(F.array(*halves)).alias("x")).select("node", "label", F.col("fps").alias("extra"), "x.tab", "x.fp")
+        found = trie_join(values, TABLE_BUDGET, WIDTH, NEAR_GROUP, table="tab", extra="extra", near=NEAR, label="label", spare=spare)
+        found = shared.cut(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "tree", "more").distinct())
+        edges = found.select("a", "b").distinct()
+        edges = shared.cut(edges if tried is None else edges.join(tried, ["a", "b"], "left_anti"))
+        new = _verified(docs, edges, key, text, shingle, percent)
+        true, tried = (new, edges) if true is None else (shared.cut(true.unionByName(new)), shared.cut(tried.unionByName(edges)))
+        closed = shared.components(true).withColumnRenamed("node", "c")
+        all_labels = least.join(closed, F.col("node") == F.col("c"), "left").select("fps", "node", F.coalesce("component", "node").alias("label"))
+        now = all_labels.select(F.col("node").alias("n"), F.col("label").alias("l"))
+        waiting = found.where("more = 1").join(now.withColumnsRenamed({"n": "a", "l": "la"}), "a").join(now.withColumnsRenamed({"n": "b", "l": "lb"}), "b")
+        waiting = shared.cut(waiting.select("tree", "la", "lb"))
+        failed = waiting.where("la <> lb").select("tree").distinct()
+        again = shared.cut(waiting.join(failed, "tree", "left_semi").select(F.explode(F.array("la", "lb")).alias("label")).distinct())
+        if again.isEmpty():
+            break
+        labelled = shared.cut(all_labels.join(again, "label", "left_semi").select("fps", "node", "label"))
+        spare = max(1, spare) * SPARE
+    out = prints.join(all_labels, "fps").select(F.col("key").alias("node"), F.col("label").alias("component"))
+    return out.where("node <> component")
+
+
+def _verified(docs: DataFrame, edges: DataFrame, key: str, text: str, shingle: int, percent: int) -> DataFrame:
+    """The edges (a, b) whose rows have shingle sets with a Jaccard similarity of percent or more."""
     nodes = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     nodes = F.broadcast(nodes) if edges.count() <= BROADCAST_ROWS else nodes
 
@@ -341,10 +393,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     both = edges.join(shingles.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(shingles.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     true = both.select("a", "b", common.alias("n"), (F.size("x") + F.size("y")).alias("m")).where(100 * F.col("n") >= percent * (F.col("m") - F.col("n"))).select("a", "b")
-    closed = shared.components(true)
-    joined = least.join(closed.withColumnRenamed("node", "c"), F.col("node") == F.col("c"), "left").select("fps", F.coalesce("component", "node").alias("component"))
-    out = prints.join(joined, "fps").select(F.col("key").alias("node"), "component")
-    return out.where("node <> component")
+    return shared.cut(true)
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
