@@ -45,3 +45,11 @@ def test_equals_brute_force(spark, tries, each):
 
 def test_empty(spark):
     assert line_dedup.dedup(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+@pytest.mark.parametrize("parts", [1, 2])
+def test_repeated_rows_are_one_document(spark, parts):
+    docs = [(1, "one two three\nfour five six"), (1, "one two three\nfour five six"), (2, "four five six\nseven eight nine"), (2, "four five six\nseven eight nine")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(parts)
+    got = sorted((r.doc_id, r.text) for r in line_dedup.dedup(df).collect())
+    assert got == [(1, docs[0][1])] * 2 + [(2, "seven eight nine")] * 2

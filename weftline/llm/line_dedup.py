@@ -105,10 +105,13 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = N
                 own = chunk.batch.column(0).to_numpy(zero_copy_only=False)[row] if len(row) else row
                 if words is None:
                     order = np.lexsort((number, own))
-                    _, first = np.unique(_identity(parity, whole, size)[order], return_index=True)
+                    _, first, which = np.unique(_identity(parity, whole, size)[order], return_index=True, return_inverse=True)
                     head = np.zeros(len(row), dtype=bool)
                     head[order[first]] = True
-                    yield packing.pack(buckets + packing.home_of(own[~head], buckets), own[~head], number[~head], **{n: np.zeros((~head).sum(), t) for n, t in _VALUES.items()})
+                    of = np.zeros(len(row), dtype=np.int64)
+                    of[order] = order[first][which]
+                    twin = (own != own[of]) | (number != number[of])  # a repeated row is no later match of itself
+                    yield packing.pack(buckets + packing.home_of(own[twin], buckets), own[twin], number[twin], **{n: np.zeros(twin.sum(), t) for n, t in _VALUES.items()})
                     ok = head[line]
                 else:
                     at = np.minimum(np.searchsorted(words, word), len(words) - 1)
