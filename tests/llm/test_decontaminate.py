@@ -23,3 +23,10 @@ def test_every_offset_is_found_and_empty_tables(spark):
     assert all(r.contaminated for r in decontaminate.judge(docs, bench).collect())
     assert not any(r.contaminated for r in decontaminate.judge(docs, bench.limit(0)).collect())
     assert decontaminate.judge(docs.limit(0), bench).count() == 0
+
+
+def test_copies_in_other_case_are_found(spark):
+    docs = [(1, f"{PAD} {ITEM.upper()} {PAD}"), (2, f"{PAD} {ITEM.lower()}"), (3, f"{PAD} {TWICE.upper()}"), (4, f"{PAD} {MIXED.upper()}"), (5, PAD.upper())]
+    bench = spark.createDataFrame([(10, ITEM), (11, TWICE)], "item_id bigint, text string")
+    got = decontaminate.judge(spark.createDataFrame(docs, "doc_id bigint, text string"), bench).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 10), (2, 10), (3, 11), (4, None), (5, None)]

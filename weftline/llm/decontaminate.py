@@ -6,7 +6,9 @@ document windows at every ``stride``-th, where the stride is such that the short
 a whole document window wherever it begins. A hit gives an alignment (document, item, shift). Each alignment is checked
 over the whole item: the share of template words that agree, and the slots. Slots are consistent when the values of
 the item and those of the document map one to one, so a question with other numbers and names still counts, while
-slots that are filled at random don't.
+slots that are filled at random don't. Copies in capitals or in lower case have other names, so the windows are joined a second
+time over lower-cased words with numbers and units only as placeholders; alignments from there compare words and values
+without their case.
 
 Scale. Documents are not shuffled: windows and alignments are joined to them by broadcast when their counted size is at most
 ``BROADCAST_ROWS``, else by key. Windows with fewer than ``LITERALS`` words outside slots say nothing and are not
@@ -19,6 +21,8 @@ not read; an empty benchmark leaves every document clean.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,6 +58,11 @@ def template(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, NUMBER_RE, "\x01"), UNIT_RE, "\x01$1\x02"), NAME_RE, "\x03")
 
 
+def folded(text: Column) -> Column:
+    """A clean text in lower case with \\x01 for numbers and \\x02 for units; as many words as before."""
+    return F.regexp_replace(F.regexp_replace(F.lower(text), NUMBER_RE, "\x01"), UNIT_RE, "\x01$1\x02")
+
+
 def _is_slot(word: Column) -> Column:
     return word.rlike("[\x01-\x03]")
 
@@ -63,10 +72,14 @@ def _bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def _window(of: str, fold: bool, i: Column) -> Column:
+    return F.struct(F.lit(fold).alias("fold"), i.alias("i"), F.slice(of, i + 1, WINDOW).alias("w"))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """(key, item, matched, item_words, slots, broken) for each document and item whose alignment passes; the best shift of each."""
     items = benchmark.select(F.col(item).alias("item"), clean(F.col(item_text)).alias("t")).where("item is not null").distinct()
-    items = items.select("item", words(F.col("t")).alias("iw"), words(template(F.col("t"))).alias("it")).where((F.size("iw") == F.size("it")) & (F.size("it") >= WINDOW))
+    items = items.select("item", words(F.col("t")).alias("iw"), words(template(F.col("t"))).alias("it"), words(folded(F.col("t"))).alias("if")).where((F.size("iw") == F.size("it")) & (F.size("it") >= WINDOW))
     items = shared.cut(items)
     shortest = items.agg(F.min(F.size("it"))).first()[0]
     rows = docs.select(F.col(key).alias("doc"), clean(F.col(text)).alias("t")).where("doc is not null")
@@ -74,20 +87,30 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     if shortest is None:
         return docs.sparkSession.createDataFrame([], empty).withColumnsRenamed({"doc": key, "item": item})
     stride = max(1, min(WINDOW, shortest - WINDOW + 1))
-    starts = lambda step: F.when(F.size("it") >= WINDOW, F.sequence(F.lit(0), F.size("it") - WINDOW, F.lit(step)))
-    index = items.select("item", F.explode(F.transform(starts(1), lambda i: F.struct(i.alias("i"), F.slice("it", i + 1, WINDOW).alias("w")))).alias("x")).where(F.size(F.filter("x.w", lambda w: ~_is_slot(w))) >= LITERALS)
-    index = shared.cut(index.select(F.xxhash64("x.w").alias("h"), "item", F.col("x.i").alias("offset")).distinct())
+
+    def windows(step: int) -> Column:
+        """Structs (folded or not, place, words) of the windows of both kinds."""
+        kinds = []
+        for fold, of in ((False, "it"), (True, "if")):
+            starts = F.when(F.size(of) >= WINDOW, F.sequence(F.lit(0), F.size(of) - WINDOW, F.lit(step))).otherwise(F.array().cast("array<int>"))
+            kinds.append(F.transform(starts, functools.partial(_window, of, fold)))
+        return F.explode(F.concat(*kinds)).alias("x")
+
+    index = items.select("item", windows(1)).where(F.size(F.filter("x.w", lambda w: ~_is_slot(w))) >= LITERALS)
+    index = shared.cut(index.select(F.xxhash64("x.w").alias("h"), F.col("x.fold").alias("fold"), "item", F.col("x.i").alias("offset")).distinct())
     # no filter on the words: it would be pushed below and make them twice
-    probe = rows.select("doc", words(template(F.col("t"))).alias("it"))
-    probe = probe.select("doc", F.explode(F.transform(starts(stride), lambda i: F.struct(i.alias("i"), F.xxhash64(F.slice("it", i + 1, WINDOW)).alias("h")))).alias("x")).select("doc", "x.i", "x.h")
-    hits = probe.join(_bounded(index), "h").select("doc", "item", (F.col("i") - F.col("offset")).alias("shift")).distinct()
+    probe = rows.select("doc", words(template(F.col("t"))).alias("it"), words(folded(F.col("t"))).alias("if"))
+    probe = probe.select("doc", windows(stride)).select("doc", "x.fold", "x.i", F.xxhash64("x.w").alias("h"))
+    hits = probe.join(_bounded(index), ["h", "fold"]).select("doc", "item", "fold", (F.col("i") - F.col("offset")).alias("shift")).distinct()
     hits = shared.cut(hits)
     near = rows.join(_bounded(hits), "doc").join(F.broadcast(items) if items.count() <= BROADCAST_ROWS else items, "item")
-    near = near.select("doc", "item", "shift", "iw", "it", words(F.col("t")).alias("dw"), words(template(F.col("t"))).alias("dt"))
+    near = near.select("doc", "item", "fold", "shift", "iw", "it", "if", words(F.col("t")).alias("dw"), words(template(F.col("t"))).alias("dt"), words(folded(F.col("t"))).alias("df"))
     near = shared.cut(near)  # else the optimiser makes the words anew for each pair of them
     first, last = F.greatest(F.lit(0), -F.col("shift")), F.least(F.size("it"), F.size("dt") - F.col("shift")) - 1
-    pairs = F.transform(F.sequence(first, last), lambda j: F.struct(F.get("it", j).alias("a"), F.get("dt", j + F.col("shift")).alias("b"), F.get("iw", j).alias("x"), F.get("dw", j + F.col("shift")).alias("y")))
-    near = near.select("doc", "item", "shift", F.size("it").alias("item_words"), F.filter(pairs, lambda p: p["a"] == p["b"]).alias("same"))
+    at = lambda j: j + F.col("shift")
+    value = lambda w: F.when(F.col("fold"), F.lower(w)).otherwise(w)
+    pairs = F.transform(F.sequence(first, last), lambda j: F.struct(F.get("it", j).alias("a"), ((F.get("it", j) == F.get("dt", at(j))) | (F.col("fold") & (F.get("if", j) == F.get("df", at(j))))).alias("same"), value(F.get("iw", j)).alias("x"), value(F.get("dw", at(j))).alias("y")))
+    near = near.select("doc", "item", "shift", F.size("it").alias("item_words"), F.filter(pairs, lambda p: p["same"]).alias("same"))
     slots = F.array_distinct(F.transform(F.filter("same", lambda p: _is_slot(p["a"])), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))))
     near = near.select("doc", "item", "shift", "item_words", F.size("same").alias("matched"), slots.alias("s"))
     broken = 2 * F.size("s") - F.size(F.array_distinct(F.col("s")["x"])) - F.size(F.array_distinct(F.col("s")["y"]))
