@@ -69,3 +69,13 @@ def test_no_labels_and_empty(spark):
     model = quality.fit(df, none)
     assert model.threshold is None and [r.kept for r in sorted(quality.judge(df, model).collect())] == [True, True, False]
     assert quality.judge(df.limit(0), quality.fit(df.limit(0), none)).count() == 0
+
+
+def test_toxic_documents_are_bad_ones_in_the_threshold(spark):
+    rng = random.Random(5)
+    words = lambda stem: " ".join(f"{stem}{rng.randrange(30)}" for _ in range(30))
+    docs = [(i, words("nasty" if i % 5 == 0 else "word")) for i in range(200)]
+    labels = [(i, 1, int(i % 5 == 0)) for i in range(200)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    model = quality.fit(df, spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"))
+    assert {r.doc_id for r in quality.judge(df, model).collect() if not r.kept} == {i for i in range(200) if i % 5 == 0}

@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +32,7 @@ from weftline.llm import shared, textnp
 BITS = 17
 SAMPLE = 20_000
 ALPHA = 0.5
-#: Share of the labelled good documents that the fitted threshold must keep.
+#: Share of the labelled good documents (quality 1 and not toxic) that the fitted threshold must keep.
 KEEP_GOOD = 0.995
 MIN_WORDS = 10
 #: In percent of the words.
@@ -107,7 +108,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             chunk.words()
             both = np.stack([scores_of(chunk, Model(bits, r, None)) for r in other])
             fold = chunk.batch.column(3).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(both[fold, np.arange(chunk.rows)]), chunk.batch.column(1), pa.array(np.diff(chunk.first))], names=["score", "good", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(both[fold, np.arange(chunk.rows)]), pc.and_not(chunk.batch.column(1), chunk.batch.column(2)), pa.array(np.diff(chunk.first))], names=["score", "good", "n"])
 
     rows = labelled.mapInArrow(score, "score double, good boolean, n bigint").where("n > 0").select("score", "good").collect()  # at most `sample` ids
     return Model(bits, ratio, _threshold(np.array([r.score for r in rows]), np.array([r.good for r in rows], dtype=bool)))
