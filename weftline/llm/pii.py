@@ -1,18 +1,32 @@
 """PII: format-preserving Feistel pseudonyms of validated numbers and dates; DataFrame functions only.
 
-Method. One regular expression finds candidates; each is validated (Luhn sum of card numbers, calendar of dates, octets of
-addresses, ranges of social security numbers) and what is valid is permuted within its format by a keyed
-Feistel network: digits are added to digits, modulo the size of the alphabet, from the SHA-512 of key, kind, round and
-the other half. Equal values get equal pseudonyms in all documents, different values of a format different ones, and
-length, separators and validity stay. Dates are permuted over the 146,097 days of a Gregorian cycle
-(1800-01-01 to 2199-12-31), taken as 209 x 699; social security numbers over their valid area-group and serial numbers;
-card numbers without their check digit, which is computed again; phone numbers after the country code; addresses over
-their 32 bits; long hexadecimal secrets and the letters and digits of mailbox names over theirs.
-
-Every step is a projection: no shuffle, no UDF. Texts without a candidate pass unchanged.
-
-Defined cases: a null text stays null and counts nothing; an empty text stays empty; what fails validation stays; repeated rows
-give repeated results; extra columns are not read; the columns of the result are fixed.
+Method. One regular expression finds candidates; each is validated (check digits of cards and bank accounts, calendar of dates,
+octets of addresses, ranges of phone and social security numbers) and what is valid is permuted within its format by a keyed
+Feistel network: digits are added to digits, modulo the size of the alphabet or of half of the range, from the SHA-512 of
+key, kind, round and the other half. Around the network ``P`` stands a step that leaves nothing in its place: the pseudonym of x is
+``P^-1(P(x) + 1)``, so no value is ever its own pseudonym. Equal values get equal pseudonyms in all documents, different
+values of a format different ones, and separators and validity stay.
+
+Formats (``KINDS``):
+
+* email: letters (of either case, which count as different) and digits of the mailbox, by domain; the domain stays;
+* iban: digits after the country, with new check digits; letters stay;
+* ipv6: the hexadecimal digits of full and shortened addresses;
+* phone: international with ``+``, 8 to 15 digits, the country's first digits stay; of ten digits in three groups, where the
+  first two groups begin with 2 to 9 before and after;
+* ip: four octets, over all 32 bits;
+* date, over the 146,097 days of a Gregorian cycle (1800-01-01 to 2199-12-31), taken as 209 x 699: year-month-day, day.month.year,
+  month/day/year (with two digits each in the result), day month-name year, month-name day, year;
+* ssn: over the valid area-group and serial numbers;
+* card: 13 to 19 digits in one run or in groups of 4-4-4-4, 4-4-4-4-3 or 4-6-5, with a new check digit;
+* hex: runs of 32 to 128 hexadecimal digits of one case with digits and letters.
+
+Every step is a projection: no shuffle, no UDF. Texts without a candidate pass unchanged. The key must be given and hold at least
+``LEAST_KEY`` characters; who has it can take a pseudonym back (``inverse``).
+
+Defined cases: a null text stays null and counts nothing; an empty text stays empty; what fails validation stays, and so does a
+mailbox without letters and digits; repeated rows give repeated results; extra columns are not read; the columns of the
+result are fixed.
 """
 
 from __future__ import annotations
@@ -22,21 +36,35 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KINDS = ("email", "phone", "ip", "date", "ssn", "card", "hex")
+KINDS = ("email", "iban", "ipv6", "phone", "ip", "date", "ssn", "card", "hex")
+_MONTHS = "(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)"
+#: Pattern and the formats for reading and for writing.
+DATES = {
+    "ymd": (r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])", "yyyy-MM-dd", "yyyy-MM-dd"),
+    "dmy": (r"(?<![0-9.])[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}(?![0-9])", "d.M.yyyy", "dd.MM.yyyy"),
+    "mdy": (r"(?<![0-9/])[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}(?![0-9/])", "M/d/yyyy", "MM/dd/yyyy"),
+    "long_dmy": (rf"(?<![0-9])[0-9]{{1,2}} {_MONTHS} [0-9]{{4}}(?![0-9])", "d MMM yyyy", "d MMMM yyyy"),
+    "long_mdy": (rf"(?<![A-Za-z]){_MONTHS} [0-9]{{1,2}}, [0-9]{{4}}(?![0-9])", "MMM d, yyyy", "MMMM d, yyyy"),
+}
+NATIONAL = r"(?<![0-9+])(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9])"
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]{1,190}\.[A-Za-z]{2,24}",
-    "phone": r"\+[0-9]{1,3} \([0-9]{3}\) [0-9]{3}-[0-9]{4}",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "ipv6": r"(?<![0-9A-Za-z:])(?:[0-9a-fA-F]{1,4}:){1,7}(?::|(?::?[0-9a-fA-F]{1,4})(?::[0-9a-fA-F]{1,4}){0,6})(?![0-9A-Za-z:])",
+    "phone": rf"\+[0-9]{{1,3}}(?:[ .-]?\([0-9]{{1,5}}\))?(?:[ .-]?[0-9]{{1,14}}){{1,6}}(?![0-9])|{NATIONAL}",
     "ip": r"(?<![0-9.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?!\.?[0-9])",
-    "date": r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])",
+    "date": "|".join(p for p, _, _ in DATES.values()),
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
-    "hex": r"(?<![0-9a-fA-F])[0-9a-f]{32,128}(?![0-9a-fA-F])",
+    "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:(?: [0-9]{4}){3}(?: [0-9]{3})?|(?:-[0-9]{4}){3}(?:-[0-9]{3})?| [0-9]{6} [0-9]{5}|-[0-9]{6}-[0-9]{5}))(?![0-9])",
+    "hex": r"(?<![0-9a-fA-F])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9a-fA-F])",
 }
 ANY = "|".join(PATTERNS[k] for k in KINDS)
 ROUNDS = 8
-DEFAULT_KEY = "change-me"
+LEAST_KEY = 16
 _EPOCH = "1800-01-01"
-_DIGITS = "0123456789abcdefghijklmnopqrstuvwxyz"
+_DIGITS = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Longest mailbox that is permuted as one number: 62**10 fits in 63 bits.
+_AS_NUMBER = 10
 
 
 def _let(value: Column, body) -> Column:
@@ -44,50 +72,73 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _stream(key: str, kind: str, k: int, other: Column) -> Column:
-    return F.sha2(F.concat(F.lit(f"{key}|{kind}|{k}|"), other), 512)
+def _stream(tweak: Column, k: int, other: Column) -> Column:
+    return F.sha2(F.concat(tweak, F.lit(f"|{k}|"), other), 512)
 
 
-def _add(half: Column, stream: Column, base: int, sign: int) -> Column:
+def _add(half: Column, stream: Column, base: Column, sign: int) -> Column:
     """Digit by digit, half plus (or minus) the numbers of the stream, modulo base."""
 
     def digit(i: Column) -> Column:
         own = F.instr(F.lit(_DIGITS), F.substring(half, i, F.lit(1))) - 1
         other = F.conv(F.substring(stream, F.pmod(i * 3, F.lit(124)) + 1, F.lit(4)), 16, 10).cast("int")
-        return F.substring(F.lit(_DIGITS), F.pmod(own + sign * other, F.lit(base)).cast("int") + 1, F.lit(1))
+        return F.substring(F.lit(_DIGITS), F.pmod(own + sign * other, base).cast("int") + 1, F.lit(1))
 
-    return F.when(F.length(half) == 0, half).otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(half), F.lit(1))), digit), ""))
+    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(half)), digit), "")
 
 
-def feistel(digits: Column, base: int, key: str, kind: str, inverse: bool = False) -> Column:
-    """A keyed permutation of the strings of a length over the first base characters of 0-9a-z."""
-    cut = (F.length(digits) / 2).cast("int")
-    state = F.struct(F.substring(digits, F.lit(1), cut).alias("l"), F.substring(digits, cut + 1, F.length(digits)).alias("r"))
+def _rounds(state: Column, left, right, inverse: bool) -> Column:
+    """The halves l and r after all rounds: left and right give the new half from (state, round)."""
 
     def step(k: int, s: Column) -> Column:
-        sign = -1 if inverse else 1
         if k % 2 == 0:
-            return F.struct(_add(s["l"], _stream(key, kind, k, s["r"]), base, sign).alias("l"), s["r"].alias("r"))
-        return F.struct(s["l"].alias("l"), _add(s["r"], _stream(key, kind, k, s["l"]), base, sign).alias("r"))
+            return F.struct(left(s, k).alias("l"), s["r"].alias("r"))
+        return F.struct(s["l"].alias("l"), right(s, k).alias("r"))
 
     for k in reversed(range(ROUNDS)) if inverse else range(ROUNDS):
         state = _let(state, functools.partial(step, k))
+    return state
+
+
+def feistel(digits: Column, base: Column, tweak: Column, inverse: bool = False) -> Column:
+    """A keyed permutation of the strings of a length of 2 or more over the first base characters of 0-9a-zA-Z."""
+    sign = -1 if inverse else 1
+
+    def halves(x: Column) -> Column:
+        cut = (F.length(x) / 2).cast("int")
+        return F.struct(F.substring(x, F.lit(1), cut).alias("l"), F.substring(x, cut + 1, F.length(x)).alias("r"))
+
+    state = _rounds(_let(digits, halves), lambda s, k: _add(s["l"], _stream(tweak, k, s["r"]), base, sign), lambda s, k: _add(s["r"], _stream(tweak, k, s["l"]), base, sign), inverse)
     return _let(state, lambda s: F.concat(s["l"], s["r"]))
 
 
-def feistel_number(number: Column, a: int, b: int, key: str, kind: str, inverse: bool = False) -> Column:
+def feistel_number(number: Column, a: Column, b: Column, tweak: Column, inverse: bool = False) -> Column:
     """A keyed permutation of 0 .. a * b - 1."""
-    state = F.struct((number / b).cast("bigint").alias("l"), F.pmod(number, F.lit(b)).cast("bigint").alias("r"))
+    shift = lambda k, other: F.conv(F.substring(_stream(tweak, k, other.cast("string")), 1, 12), 16, 10).cast("bigint") * (-1 if inverse else 1)
+    halves = lambda x: F.struct(F.call_function("div", x, b).alias("l"), F.pmod(x, b).alias("r"))
+    state = _rounds(_let(number, halves), lambda s, k: F.pmod(s["l"] + shift(k, s["r"]), a), lambda s, k: F.pmod(s["r"] + shift(k, s["l"]), b), inverse)
+    return _let(state, lambda s: s["l"] * b + s["r"])
 
-    def step(k: int, s: Column) -> Column:
-        shift = lambda other: F.conv(F.substring(_stream(key, kind, k, other.cast("string")), 1, 12), 16, 10).cast("bigint") * (-1 if inverse else 1)
-        if k % 2 == 0:
-            return F.struct(F.pmod(s["l"] + shift(s["r"]), F.lit(a).cast("bigint")).alias("l"), s["r"].alias("r"))
-        return F.struct(s["l"].alias("l"), F.pmod(s["r"] + shift(s["l"]), F.lit(b).cast("bigint")).alias("r"))
 
-    for k in reversed(range(ROUNDS)) if inverse else range(ROUNDS):
-        state = _let(state, functools.partial(step, k))
-    return _let(state, lambda s: s["l"] * b + s["r"])
+def moved(digits: Column, base: Column, tweak: Column, inverse: bool = False) -> Column:
+    """``feistel`` there and back around a step of the last digit: a permutation without a fixed string."""
+    step = lambda x: F.concat(F.substring(x, F.lit(1), F.length(x) - 1), F.substring(F.lit(_DIGITS), F.pmod(F.instr(F.lit(_DIGITS), F.right(x, F.lit(1))) - 1 + (-1 if inverse else 1), base) + 1, F.lit(1)))
+    return feistel(_let(feistel(digits, base, tweak), step), base, tweak, True)
+
+
+def moved_number(number: Column, a: Column, b: Column, tweak: Column, inverse: bool = False) -> Column:
+    """``feistel_number`` there and back around a step of one: a permutation without a fixed number."""
+    return feistel_number(F.pmod(feistel_number(number, a, b, tweak) + (-1 if inverse else 1), a * b), a, b, tweak, True)
+
+
+def _to_number(letters: Column) -> Column:
+    chars = F.filter(F.split(letters, ""), lambda c: c != "")
+    return F.aggregate(chars, F.lit(0).cast("bigint"), lambda acc, c: acc * 62 + F.instr(F.lit(_DIGITS), c) - 1)
+
+
+def _to_letters(number: Column, size: Column) -> Column:
+    step = lambda acc, _: F.struct(F.call_function("div", acc["n"], F.lit(62).cast("bigint")).alias("n"), F.concat(F.substring(F.lit(_DIGITS), F.pmod(acc["n"], F.lit(62)).cast("int") + 1, F.lit(1)), acc["s"]).alias("s"))
+    return F.aggregate(F.sequence(F.lit(1), size), F.struct(number.alias("n"), F.lit("").alias("s")), step, lambda acc: acc["s"])
 
 
 def _refill(shape: Column, digits: Column, accepts: str) -> Column:
@@ -105,52 +156,124 @@ def _luhn(digits: Column, from_right: int) -> Column:
     return F.aggregate(F.transform(F.sequence(F.lit(1), n), term), F.lit(0), lambda x, y: x + y)
 
 
-def _pseudonym(value: Column, key: str) -> Column:
-    """struct(kind, out): the pseudonym of one candidate; kind is null and out the value itself if it isn't valid."""
+def _mod97(text: Column) -> Column:
+    """Remainder by 97 of digits and letters, where A is 10 and Z is 35."""
+    value = lambda c: F.instr(F.lit(_DIGITS), F.lower(c)) - 1
+    step = lambda acc, c: F.pmod(acc * F.when(c.rlike("[0-9]"), 10).otherwise(100) + value(c), F.lit(97))
+    return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(0), step)
+
+
+def _read(value: Column) -> Column:
+    """What a candidate is: kind, what goes into the network beside the key (tweak), and either digits and their base or n below a * b.
+
+    All is null if the candidate isn't valid.
+    """
+
+    def text(kind: str, digits: Column, base: int, tweak: Column | None = None) -> Column:
+        return _parts(F.lit(kind), tweak, digits, F.lit(base), *[F.lit(None)] * 3)
+
+    def number(kind: str, n: Column, a: Column | int, b: Column | int, tweak: Column | None = None) -> Column:
+        return _parts(F.lit(kind), tweak, F.lit(None), F.lit(None), n, *(x if isinstance(x, Column) else F.lit(x) for x in (a, b)))
+
+    def _parts(kind: Column, tweak: Column | None, digits: Column, base: Column, n: Column, a: Column, b: Column) -> Column:
+        tweak = kind if tweak is None else F.concat(kind, F.lit("|"), tweak)
+        return F.struct(kind.alias("kind"), tweak.alias("tweak"), digits.cast("string").alias("digits"), base.cast("int").alias("base"), *(x.cast("bigint").alias(c) for x, c in ((n, "n"), (a, "a"), (b, "b"))))
+
+    whole = lambda pattern: value.rlike(f"^(?:{pattern})$")
     digits = F.regexp_replace(value, "[^0-9]", "")
-    whole = lambda k: value.rlike("^(?:" + PATTERNS[k] + ")$")
+    letters, domain = F.regexp_replace(F.regexp_extract(value, "^([^@]*)@", 1), "[^0-9A-Za-z]", ""), F.lower(F.regexp_extract(value, "@(.*)$", 1))
+    power, odd = F.pow(F.lit(62), F.floor(F.length(letters) / 2)).cast("bigint"), F.pmod(F.length(letters), F.lit(2)) == 1
+    email = F.when(F.length(letters) <= _AS_NUMBER, number("email", _to_number(letters), F.when(odd, power * 2).otherwise(power), F.when(odd, power * 31).otherwise(power), domain))
+    account = F.regexp_replace(value, " ", "")
+    basic = F.regexp_replace(F.substring(account, F.lit(5), F.length(account)), "[^0-9]", "")
+    account_ok = (_mod97(F.concat(F.substring(account, F.lit(5), F.length(account)), F.substring(account, 1, 4))) == 1) & (F.length(basic) >= 2) & F.length(account).between(15, 34)
+    six = F.regexp_replace(F.lower(value), "[^0-9a-f]", "")
+    colons, short = F.length(value) - F.length(F.translate(value, ":", "")), F.instr(value, "::") > 0
+    six_ok = ((~short & (colons == 7)) | (short & (colons <= 7) & (F.length(F.regexp_replace(value, "::", "")) == F.length(value) - 2))) & (F.length(six) >= 4) & value.rlike("[0-9]")
+    known = _country(value)
+    rest = F.regexp_replace(F.substring(value, F.length(known) + 1, F.length(value)), "[^0-9]", "")
+    area, office, line = (F.substring(digits, a, n).try_cast("bigint") for a, n in ((1, 3), (4, 3), (7, 4)))
     octets = F.transform(F.split(value, r"\."), lambda x: x.try_cast("bigint"))
-    ip = F.aggregate(octets, F.lit(0).cast("bigint"), lambda acc, x: acc * 256 + x)
-    ip_new = _let(feistel_number(ip, 65536, 65536, key, "ip"), lambda n: F.concat_ws(".", *[F.pmod(F.shiftright(n, s), F.lit(256)).cast("string") for s in (24, 16, 8, 0)]))
-    day = F.datediff(value.try_cast("date"), F.lit(_EPOCH).cast("date"))
-    date_new = F.date_format(F.date_add(F.lit(_EPOCH).cast("date"), feistel_number(day.cast("bigint"), 209, 699, key, "date").cast("int")), "yyyy-MM-dd")
-    area, pair, serial = (F.substring(digits, a, n).try_cast("bigint") for a, n in ((1, 3), (4, 2), (6, 4)))
-    ssn_ok = (area >= 1) & (area <= 899) & (area != 666) & (pair >= 1) & (serial >= 1)
-    ssn_index = ((area - 1 - F.when(area > 666, 1).otherwise(0)) * 99 + pair - 1) * 9999 + serial - 1
-
-    def ssn_text(n: Column) -> Column:
-        a = (n / (99 * 9999)).cast("bigint") + 1
-        return F.format_string("%03d-%02d-%04d", a + F.when(a >= 666, 1).otherwise(0), F.pmod((n / 9999).cast("bigint"), F.lit(99)) + 1, F.pmod(n, F.lit(9999)) + 1)
-
-    body = feistel(F.substring(digits, F.lit(1), F.length(digits) - 1), 10, key, "card")
-    card_new = _refill(value, _let(body, lambda b: F.concat(b, F.pmod(10 - F.pmod(_luhn(b, 0), F.lit(10)), F.lit(10)).cast("string"))), "[0-9]")
-    phone_digits = feistel(F.regexp_replace(F.regexp_extract(value, r" (\(.*)$", 1), "[^0-9]", ""), 10, key, "phone")
-    phone_new = F.concat(F.regexp_extract(value, r"^(\+[0-9]+ )", 1), _refill(F.regexp_extract(value, r" (\(.*)$", 1), phone_digits, "[0-9]"))
+    day, plain = F.lit(None).cast("bigint"), F.regexp_replace(value, r"([A-Z][a-z]{2})[a-z]*", "$1")
+    for pattern, form, _ in reversed(DATES.values()):
+        day = F.when(whole(pattern), F.datediff(F.try_to_timestamp(plain, F.lit(form)).cast("date"), F.lit(_EPOCH).cast("date")).cast("bigint")).otherwise(day)
+    group, pair, serial = (F.substring(digits, a, n).try_cast("bigint") for a, n in ((1, 3), (4, 2), (6, 4)))
+    ssn_ok = (group >= 1) & (group <= 899) & (group != 666) & (pair >= 1) & (serial >= 1)
+    return (
+        F.when(whole(PATTERNS["email"]) & (F.length(letters) > 0), email.otherwise(text("email", letters, 62, domain)))
+        .when(whole(PATTERNS["iban"]) & account_ok, text("iban", basic, 10, F.substring(account, 1, 2)))
+        .when(whole(PATTERNS["ipv6"]) & six_ok, text("ipv6", six, 16))
+        .when(whole(PATTERNS["phone"]) & value.startswith("+") & F.length(digits).between(8, 15), text("phone", rest, 10, known))
+        .when(whole(NATIONAL) & (area >= 200) & (office >= 200), number("phone", ((area - 200) * 800 + office - 200) * 10_000 + line, 640_000, 10_000))
+        .when(whole(PATTERNS["ip"]) & (F.array_max(octets) <= 255), number("ip", F.aggregate(octets, F.lit(0).cast("bigint"), lambda acc, x: acc * 256 + x), 65536, 65536))
+        .when(whole(PATTERNS["date"]) & day.between(0, 146096), number("date", day, 209, 699))
+        .when(whole(PATTERNS["ssn"]) & ssn_ok, number("ssn", ((group - 1 - F.when(group > 666, 1).otherwise(0)) * 99 + pair - 1) * 9999 + serial - 1, 898 * 99, 9999))
+        .when(whole(PATTERNS["card"]) & (F.pmod(_luhn(digits, 1), F.lit(10)) == 0), text("card", F.substring(digits, F.lit(1), F.length(digits) - 1), 10))
+        .when(whole(PATTERNS["hex"]) & value.rlike("[0-9]") & value.rlike("[a-fA-F]"), text("hex", F.lower(value), 16))
+    )
+
+
+def _country(phone: Column) -> Column:
+    """The plus sign and the digits of an international number that stay."""
+    return F.when(phone.rlike(r"^\+[0-9]{1,3}[ .(-]"), F.regexp_extract(phone, r"^(\+[0-9]{1,3})", 1)).when(phone.rlike(r"^\+[17]"), F.substring(phone, 1, 2)).otherwise(F.substring(phone, 1, 3))
+
+
+def _write(value: Column, kind: Column, digits: Column, n: Column) -> Column:
+    """The pseudonym in the format of value, from new digits or a new number."""
+    cased = F.when(value.rlike("[A-F]"), F.upper(digits)).otherwise(digits)
     box = F.regexp_extract(value, "^([^@]*)@", 1)
-    email_new = F.concat(_refill(box, feistel(F.regexp_replace(F.lower(box), "[^0-9a-z]", ""), 36, key, "email"), "[0-9A-Za-z]"), F.regexp_extract(value, "(@.*)$", 1))
-    made = lambda kind, out: F.struct(F.lit(kind).alias("kind"), out.alias("out"))
+    letters = F.coalesce(digits, _to_letters(n, F.length(F.regexp_replace(box, "[^0-9A-Za-z]", ""))))
+    account = F.regexp_replace(value, " ", "")
+    country = F.substring(account, 1, 2)
+    with_check = lambda b: F.concat(country, F.lpad((98 - _mod97(F.concat(b, country, F.lit("00")))).cast("string"), 2, "0"), b)
+    iban = _refill(value, _let(_refill(F.substring(account, F.lit(5), F.length(account)), digits, "[0-9]"), with_check), "[0-9A-Z]")
+    div = lambda x, y: F.call_function("div", x, F.lit(y).cast("bigint"))
+    ten = F.format_string("%03d%03d%04d", div(n, 8_000_000) + 200, F.pmod(div(n, 10_000), F.lit(800)) + 200, F.pmod(n, F.lit(10_000)))
+    known = _country(value)
+    phone = F.when(digits.isNull(), _refill(value, ten, "[0-9]")).otherwise(F.concat(known, _refill(F.substring(value, F.length(known) + 1, F.length(value)), digits, "[0-9]")))
+    date = F.lit(None).cast("string")
+    for pattern, _, form in reversed(DATES.values()):
+        date = F.when(value.rlike(f"^(?:{pattern})$"), F.date_format(F.date_add(F.lit(_EPOCH).cast("date"), n.cast("int")), form)).otherwise(date)
+    area = div(n, 99 * 9999) + 1
+    ssn = F.format_string("%03d-%02d-%04d", area + F.when(area >= 666, 1).otherwise(0), F.pmod(div(n, 9999), F.lit(99)) + 1, F.pmod(n, F.lit(9999)) + 1)
+    card = F.concat(digits, F.pmod(10 - F.pmod(_luhn(digits, 0), F.lit(10)), F.lit(10)).cast("string"))
     return (
-        F.when(whole("email"), made("email", email_new))
-        .when(whole("phone"), made("phone", phone_new))
-        .when(whole("ip") & (F.array_max(octets) <= 255), made("ip", ip_new))
-        .when(whole("date") & day.between(0, 146096), made("date", date_new))
-        .when(whole("ssn") & ssn_ok, made("ssn", _let(feistel_number(ssn_index, 898 * 99, 9999, key, "ssn"), ssn_text)))
-        .when(whole("card") & (F.pmod(_luhn(digits, 1), F.lit(10)) == 0), made("card", card_new))
-        .when(whole("hex") & value.rlike("[0-9]") & value.rlike("[a-f]"), made("hex", feistel(value, 16, key, "hex")))
-        .otherwise(F.struct(F.lit(None).cast("string").alias("kind"), value.alias("out")))
+        F.when(kind == "email", F.concat(_refill(box, letters, "[0-9A-Za-z]"), F.lit("@"), F.regexp_extract(value, "@(.*)$", 1)))
+        .when(kind == "iban", iban)
+        .when(kind == "ipv6", _refill(value, cased, "[0-9a-fA-F]"))
+        .when(kind == "phone", phone)
+        .when(kind == "ip", F.concat_ws(".", *[F.pmod(F.shiftright(n, s), F.lit(256)).cast("string") for s in (24, 16, 8, 0)]))
+        .when(kind == "date", date)
+        .when(kind == "ssn", ssn)
+        .when(kind == "card", _refill(value, card, "[0-9]"))
+        .when(kind == "hex", cased)
+        .otherwise(value)
     )
 
 
+def _pseudonym(value: Column, key: str, inverse: bool = False) -> Column:
+    """struct(kind, out): the pseudonym of one candidate; kind is null and out the value itself if it isn't valid."""
+
+    def through(p: Column) -> Column:
+        tweak = F.concat(F.lit(f"{key}|"), p["tweak"])
+        digits = F.when(p["digits"].isNotNull(), moved(p["digits"], p["base"], tweak, inverse))
+        return F.struct(p["kind"].alias("kind"), digits.alias("digits"), F.when(p["n"].isNotNull(), moved_number(p["n"], p["a"], p["b"], tweak, inverse)).alias("n"))
+
+    return _let(_let(_read(value), through), lambda p: F.struct(p["kind"].alias("kind"), _write(value, p["kind"], p["digits"], p["n"]).alias("out")))
+
+
 def _has_kind(kind: str, x: Column) -> Column:
     return x["kind"] == kind
 
 
-def pseudonymise(docs: DataFrame, secret: str = DEFAULT_KEY, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, text with pseudonyms, n_<kind> for each kind) for every row."""
+def pseudonymise(docs: DataFrame, secret: str, key: str = "doc_id", text: str = "text", inverse: bool = False) -> DataFrame:
+    """(key, text with pseudonyms, n_<kind> for each kind) for every row; inverse takes pseudonyms back."""
+    if len(secret) < LEAST_KEY:
+        raise ValueError(f"the key needs at least {LEAST_KEY} characters")
     rows = docs.select(F.col(key), F.col(text).alias("text"))
-    # all that can be valid has a digit or an @; most texts have neither
-    rows = rows.withColumn("found", F.when(F.col("text").rlike("[0-9@]"), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))))
-    rows = rows.withColumn("new", F.when(F.size("found") > 0, F.transform("found", lambda v: _pseudonym(v, secret))))
+    # all that can be valid has a digit, an @ or a colon pair; most texts have none
+    rows = rows.withColumn("found", F.when(F.col("text").rlike("[0-9@]|::"), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))))
+    rows = rows.withColumn("new", F.when(F.size("found") > 0, F.transform("found", lambda v: _pseudonym(v, secret, inverse))))
     between = F.split("text", ANY, -1)
     joined = F.array_join(F.zip_with(between, F.concat(F.col("new")["out"], F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
     counts = [F.when(F.col("new").isNull(), F.lit(0)).otherwise(F.size(F.filter("new", functools.partial(_has_kind, k)))).alias(f"n_{k}") for k in KINDS]
