@@ -3,18 +3,21 @@
 Method. Each line of a message has a quote level: the number of ``>`` that begin it (spaces between allowed). Consecutive
 lines of one level make a passage. Passages are normalised (lower case, one space for white space, quote marks gone) and hashed; the
 passages that a message wrote itself (all its own text, each paragraph and each line of it) form the index. Each
-quoted passage, or else each of its lines, is joined within its conversation to the first message that wrote it,
-if that is earlier. A message replies to the latest message that a level-1 quote of it links to; deeper levels are
-linked as well and counted, as they name the message that the quoted one had quoted. A reply belongs to the thread of what it
-replies to, and conversations are ordered by the turn of the thread's first message, then by turn.
-
-Scale. Parsing is a map. The index keeps one row per (conversation, hash), the least turn, by partial aggregation, so a text
-said a million times is one row; links are found by a join on both; threads are closed by pointer doubling, in as
+quoted passage is joined within its conversation to the first message that wrote it, if that is earlier; else each of its
+lines votes for the first earlier message that wrote it, and the passage links to the message with the most votes (of equal ones
+the latest) if that is at least half of its lines. A message replies to the latest message that a level-1 quote of
+it links to; deeper levels are linked as well and counted, as they name the message that the quoted one had quoted. A reply
+belongs to the thread of what it replies to, and conversations are ordered by the turn of the thread's first message, then
+by turn. Passages that link are taken out of the text; lines that begin with ``>`` but quote nothing stay as they are.
+
+Scale. Parsing is a map, written once. The index keeps one row per (conversation, hash), the least turn, by partial aggregation, so
+a text said a million times is one row; links are found by a join on both; threads are closed by pointer doubling, in as
 many rounds as the logarithm of the longest chain. The result is ordered by range, so one giant conversation is spread.
 
-Defined cases: a null text is an empty message; messages without quotes keep their text as it is; a quote without an original
-links to nothing; of repeated (conversation, turn) rows each is kept and all have the same links; rows with a null
-conversation or turn are kept, unlinked; extra columns are not read; an empty table gives an empty table.
+Defined cases: a null text is an empty message; messages without linked quotes keep their text as it is; a quote without an
+original links to nothing and stays; of repeated (conversation, turn) rows each is kept and all have the same links, those that
+any of them has; rows with a null conversation or turn are kept, unlinked; conversations and turns may be of any type that has an order;
+extra columns are not read; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 from weftline.llm import shared
 
 _MARK = re.compile(r"[ \t]{0,3}((?:>[ \t]?)+)")
-_SCHEMA = "conv_id bigint, turn bigint, role string, text string, own array<string>, quotes array<struct<level:int,whole:string,lines:array<string>>>"
+_PARSED = "role string, text string, own array<string>, passage array<int>, quotes array<struct<n:int,level:int,whole:string,lines:array<string>>>"
 
 
 def _norm(lines: list[str]) -> str:
@@ -41,51 +44,67 @@ def _hash(text: str) -> str:
     return blake2b(text.encode(), digest_size=16).hexdigest()
 
 
-def parse(text: str) -> tuple[str, list[tuple[int, list[str]]]]:
-    """The text without quotes, and the quoted passages with their levels, in order."""
+def parse(text: str) -> tuple[list[tuple[int, list[str]]], list[int]]:
+    """The passages (level, lines without marks) in order, and of each line of the text the number of its passage."""
     passages: list[tuple[int, list[str]]] = []
+    of = []
     for line in text.split("\n"):
         mark = _MARK.match(line)
         level = mark[1].count(">") if mark else 0
-        body = line[mark.end() :] if mark else line
-        if passages and passages[-1][0] == level:
-            passages[-1][1].append(body)
-        else:
-            passages.append((level, [body]))
-    quotes = [p for p in passages if p[0]]
-    if not quotes:
-        return text, []
-    return "\n".join(line for level, lines in passages if not level for line in lines).strip("\n"), quotes
+        if not passages or passages[-1][0] != level:
+            passages.append((level, []))
+        passages[-1][1].append(line[mark.end() :] if mark else line)
+        of.append(len(passages) - 1)
+    return passages, of
 
 
 def messages(chats: DataFrame) -> DataFrame:
-    """Each message without its quotes, with the hashes of what it wrote and of what it quotes."""
+    """Each message with the hashes of what it wrote and of what it quotes, and the passage of each line (null: no quotes)."""
+    rows = chats.select("conv_id", "turn", F.col("role").cast("string"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    quote = pa.struct([("n", pa.int32()), ("level", pa.int32()), ("whole", pa.string()), ("lines", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.string(), pa.list_(pa.string()), pa.list_(pa.struct([("level", pa.int32()), ("whole", pa.string()), ("lines", pa.list_(pa.string()))]))]
         for batch in batches:
-            texts, own, quoted = [], [], []
+            own, of_line, quoted = [], [], []
             for s in batch.column(3).to_pylist():
-                text, quotes = parse(s or "")
+                passages, of = parse(s)
+                text = "\n".join(line for level, lines in passages if not level for line in lines)
                 parts = [text, *re.split(r"\n[ \t]*\n", text), *text.split("\n")]
-                texts.append(text)
                 own.append(sorted({_hash(n) for p in parts if (n := _norm([p]))}))
-                quoted.append([{"level": level, "whole": _hash(_norm(lines)), "lines": [_hash(n) for x in lines if (n := _norm([x]))]} for level, lines in quotes if _norm(lines)])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(x, type=t) for x, t in zip((texts, own, quoted), types))], names=["conv_id", "turn", "role", "text", "own", "quotes"])
-
-    return chats.select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), F.col("role").cast("string"), F.col("text").cast("string")).mapInArrow(run, _SCHEMA)
+                found = [
+                    {"n": n, "level": level, "whole": _hash(_norm(lines)), "lines": [_hash(x) for line in lines if (x := _norm([line]))]}
+                    for n, (level, lines) in enumerate(passages) if level and _norm(lines)
+                ]
+                quoted.append(found)
+                of_line.append(of if found else None)
+            made = [pa.array(own, pa.list_(pa.string())), pa.array(of_line, pa.list_(pa.int32())), pa.array(quoted, pa.list_(quote))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=["conv_id", "turn", "role", "text", "own", "passage", "quotes"])
+
+    key = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:2])
+    return rows.mapInArrow(run, f"{key}, {_PARSED}")
+
+
+def _originals(parsed: DataFrame) -> DataFrame:
+    """(lc, lt, n, level, original) of the passages that link, by conversation, turn and number of the passage."""
+    quotes = parsed.where("size(quotes) > 0 and conv_id is not null and turn is not null").select("conv_id", "turn", F.explode("quotes").alias("q")).distinct()
+    index = parsed.where("conv_id is not null and turn is not null").select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), F.explode("own").alias("k"))
+    index = index.groupBy("c", "k").agg(F.min("t").alias("first"))
+    hashes = F.concat(F.array(F.struct(F.lit(True).alias("whole"), F.col("q.whole").alias("h"))), F.transform("q.lines", lambda x: F.struct(F.lit(False).alias("whole"), x.alias("h"))))
+    wanted = quotes.select("conv_id", "turn", "q.n", "q.level", F.col("q.whole").alias("id"), F.size("q.lines").alias("size"), F.explode(hashes).alias("x"))
+    wanted = wanted.select("conv_id", "turn", "n", "level", "id", "size", "x.whole", "x.h")
+    found = wanted.join(index, (F.col("conv_id") == F.col("c")) & (F.col("h") == F.col("k")) & (F.col("first") < F.col("turn")))
+    votes = found.groupBy("conv_id", "turn", "n", "level", "id", "size", "first").agg(F.max("whole").alias("whole"), F.sum(F.when(F.col("whole"), 0).otherwise(1)).alias("votes"))
+    votes = votes.where("whole or 2 * votes >= size")
+    best = votes.groupBy("conv_id", "turn", "n", "level", "id").agg(F.max(F.struct("whole", "votes", "first")).alias("b"))
+    return best.select(F.col("conv_id").alias("lc"), F.col("turn").alias("lt"), "n", "level", "id", F.col("b.first").alias("original"))
 
 
 def link(chats: DataFrame, most_rounds: int = 40) -> DataFrame:
     """(conv_id, turn, role, text, n_quotes, n_linked, reply_to, thread), in the order of the conversations."""
-    parsed = messages(chats)
-    quotes = parsed.where(F.size("quotes") > 0).select("conv_id", "turn", F.posexplode("quotes").alias("n", "q")).where("conv_id is not null and turn is not null").distinct()
-    wanted = quotes.select("conv_id", "turn", "n", "q.level", F.explode(F.concat(F.array(F.struct(F.lit(0).alias("part"), F.col("q.whole").alias("h"))), F.transform("q.lines", lambda x: F.struct(F.lit(1).alias("part"), x.alias("h"))))).alias("x")).select("conv_id", "turn", "n", "level", "x.part", "x.h")
-    index = parsed.where("conv_id is not null and turn is not null").select(F.col("conv_id").alias("c"), "turn", F.explode("own").alias("k")).groupBy("c", "k").agg(F.min("turn").alias("first"))
-    found = wanted.join(index, (F.col("conv_id") == F.col("c")) & (F.col("h") == F.col("k")) & (F.col("first") < F.col("turn")))
-    each = found.groupBy("conv_id", "turn", "n", "level").agg(F.coalesce(F.max(F.when(F.col("part") == 0, F.col("first"))), F.max("first")).alias("original"))
-    links = each.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n_linked"), F.max(F.when(F.col("level") == 1, F.col("original"))).alias("reply_to"))
-    links = shared.cut(links.select(F.col("conv_id").alias("lc"), F.col("turn").alias("lt"), "n_linked", "reply_to"))
+    parsed = shared.cut(messages(chats))
+    each = shared.cut(_originals(parsed))
+    links = each.groupBy("lc", "lt").agg(F.count(F.lit(1)).alias("n_linked"), F.max(F.when(F.col("level") == 1, F.col("original"))).alias("reply_to"), F.collect_list(F.struct("n", "id")).alias("gone"))
+    links = shared.cut(links)
     roots = shared.cut(links.where("reply_to is not null").select("lc", "lt", F.col("reply_to").alias("root")))
     for _ in range(most_rounds):
         up = roots.select(F.col("lc").alias("uc"), F.col("lt").alias("ut"), F.col("root").alias("over"))
@@ -95,7 +114,13 @@ def link(chats: DataFrame, most_rounds: int = 40) -> DataFrame:
         roots = shared.cut(after.select("lc", "lt", F.coalesce("over", "root").alias("root")))
     else:
         raise RuntimeError(f"threads did not settle in {most_rounds} rounds")
-    known = links.join(roots.select(F.col("lc").alias("rc"), F.col("lt").alias("rt"), "root"), (F.col("lc") == F.col("rc")) & (F.col("lt") == F.col("rt")), "left").select("lc", "lt", "n_linked", "reply_to", "root")
-    out = parsed.select("conv_id", "turn", "role", "text", F.size("quotes").alias("n_quotes")).join(known, (F.col("conv_id") == F.col("lc")) & (F.col("turn") == F.col("lt")), "left")
-    out = out.select("conv_id", "turn", "role", "text", "n_quotes", F.coalesce("n_linked", F.lit(0).cast("bigint")).alias("n_linked"), "reply_to", F.coalesce("root", "turn").alias("thread"))
+    known = links.join(roots.select(F.col("lc").alias("rc"), F.col("lt").alias("rt"), "root"), (F.col("lc") == F.col("rc")) & (F.col("lt") == F.col("rt")), "left")
+    known = known.select("lc", "lt", "n_linked", "reply_to", "root", "gone")
+    out = parsed.drop("own").join(known, (F.col("conv_id") == F.col("lc")) & (F.col("turn") == F.col("lt")), "left")
+    # passages of this row that link; another row of the same turn may have others
+    gone = F.transform(F.filter("quotes", lambda q: F.array_contains(F.col("gone"), F.struct(q["n"].alias("n"), q["whole"].alias("id")))), lambda q: q["n"])
+    out = out.withColumn("gone", F.when(F.col("gone").isNotNull(), gone))
+    left = F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("gone", F.get("passage", i)))
+    text = F.when(F.size("gone") > 0, F.btrim(F.array_join(left, "\n"), F.lit("\n"))).otherwise(F.col("text"))
+    out = out.select("conv_id", "turn", "role", text.alias("text"), F.size("quotes").alias("n_quotes"), F.coalesce("n_linked", F.lit(0).cast("bigint")).alias("n_linked"), "reply_to", F.coalesce("root", "turn").alias("thread"))
     return out.orderBy("conv_id", "thread", "turn", "role", F.xxhash64("text"))
