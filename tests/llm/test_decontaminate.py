@@ -30,3 +30,39 @@ def test_copies_in_other_case_are_found(spark):
     bench = spark.createDataFrame([(10, ITEM), (11, TWICE)], "item_id bigint, text string")
     got = decontaminate.judge(spark.createDataFrame(docs, "doc_id bigint, text string"), bench).collect()
     assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 10), (2, 10), (3, 11), (4, None), (5, None)]
+
+
+def test_what_is_found_for_an_item_depends_on_no_other(spark):
+    docs = []
+    for i in range(8):  # four words changed, each time elsewhere
+        words = ITEM.split()
+        for k in range(4):
+            words[(i + 7 * k) % len(words)] = f"other{k}"
+        docs.append((i, f"{'w ' * i}{' '.join(words)} z"))
+    docs = spark.createDataFrame(docs, "doc_id bigint, text string")
+    alone = spark.createDataFrame([(1, ITEM)], "item_id bigint, text string")
+    found = {r.doc_id for r in decontaminate.leaks(docs, alone).collect()}
+    for more in ("one two three four five six seven eight", "3", "Anna 5 km", TWICE):
+        both = alone.union(spark.createDataFrame([(2, more)], alone.schema))
+        assert {r.doc_id for r in decontaminate.leaks(docs, both).where("item_id = 1").collect()} == found
+
+
+def test_short_items_and_items_of_slots_are_found_by_their_words(spark):
+    seven, slots = "which of these seas is the saltiest", "Anna 12 Bob 7 Carl 19 Dora 23 Emil 5 Fred 31"
+    docs = [(1, f"{PAD} {seven} {PAD}"), (2, f"{PAD} {seven.upper()}"), (3, f"{PAD} which of these seas is the coldest"), (4, f"{slots} {PAD}"), (5, "Hans 3 Ida 44 Jan 5 Kim 61 Leo 7 Max 8"), (6, None)]
+    bench = spark.createDataFrame([(1, seven), (2, slots), (3, " ")], "item_id bigint, text string")
+    got = decontaminate.judge(spark.createDataFrame(docs, "doc_id bigint, text string"), bench).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 1), (2, 1), (3, None), (4, 2), (5, None), (6, None)]
+
+
+def test_items_of_one_template_count_each(spark):
+    bench = spark.createDataFrame([(i, f"a train leaves at {100 + i} and a boat leaves at {500 + i} so when do they meet at sea") for i in range(30)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, f"{PAD} a train leaves at 7 and a boat leaves at 9 so when do they meet at sea {PAD}"), (2, PAD)], "doc_id bigint, text string")
+    got = sorted((r.doc_id, r.n_items, r.item_id) for r in decontaminate.judge(docs, bench).collect())
+    assert got == [(1, 30, 0), (2, 0, None)]
+
+
+def test_a_very_long_text(spark):
+    docs = spark.createDataFrame([(1, "word and " * 200_000 + ITEM), (2, "word and " * 200_000)], "doc_id bigint, text string")
+    got = decontaminate.judge(docs, spark.createDataFrame([(1, ITEM)], "item_id bigint, text string")).collect()
+    assert sorted((r.doc_id, r.contaminated) for r in got) == [(1, True), (2, False)]

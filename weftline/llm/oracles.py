@@ -19,21 +19,27 @@ FROM w LEFT JOIN g ON w.doc_id = g.doc_id LEFT JOIN k ON w.doc_id = k.doc_id
 """
 
 _CLEAN = "translate(coalesce(text, ''), chr(1) || chr(2) || chr(3), '')"
-_TEMPLATE = rf"regexp_replace(regexp_replace(regexp_replace(t, '{d.NUMBER_RE}', chr(1), 'g'), '\x01( ?)(?:{d.UNITS})\b', chr(1) || '\1' || chr(2), 'g'), '{d.NAME_RE}', chr(3), 'g')"
+_NUMBERS = rf"regexp_replace(regexp_replace({{}}, '{d.NUMBER_RE}', chr(1), 'g'), '\x01( ?)(?:{d.UNITS})\b', chr(1) || '\1' || chr(2), 'g')"
+_TEMPLATE = rf"regexp_replace({_NUMBERS.format('t')}, '{d.NAME_RE}', chr(3), 'g')"
+_FOLDED = _NUMBERS.format("lower(t)")
+_THREE = f"{_WORDS.format('t')} AS w, {_WORDS.format(_TEMPLATE)} AS t0, {_WORDS.format(_FOLDED)} AS t1"
+_KINDS = "[{'fold': false, 't': t0}, {'fold': true, 't': t1}]"
 
+#: Items with words that are searched by templates; those without enough literals are covered by a test.
 DECONTAMINATION = rf"""
 WITH i0 AS (SELECT DISTINCT item_id, {_CLEAN} AS t FROM benchmark WHERE item_id IS NOT NULL),
-items AS (SELECT item_id, iw, it FROM (SELECT item_id, {_WORDS.format("t")} AS iw, {_WORDS.format(_TEMPLATE)} AS it FROM i0) WHERE len(iw) = len(it) AND len(it) >= {d.WINDOW}),
-step AS (SELECT greatest(1, least({d.WINDOW}, min(len(it)) - {d.WINDOW} + 1)) AS stride FROM items),
-ix0 AS (SELECT item_id, it, unnest(range(0, len(it) - {d.WINDOW} + 1)) AS o FROM items),
-ix AS (SELECT DISTINCT item_id, o, array_to_string(list_slice(it, o + 1, o + {d.WINDOW}), ' ') AS k FROM ix0 WHERE len(list_filter(list_slice(it, o + 1, o + {d.WINDOW}), lambda w: NOT regexp_matches(w, '[\x01-\x03]'))) >= {d.LITERALS}),
+items AS (SELECT row_number() OVER () AS item, * FROM (SELECT item_id, {_THREE} FROM i0) WHERE len(w) > 0),
+ix0 AS (SELECT item, k.fold AS fold, k.t AS t FROM (SELECT item, unnest({_KINDS}) AS k FROM items)),
+ix1 AS (SELECT item, fold, t, unnest(range(0, len(t) - {d.WINDOW} + 1)) AS o FROM ix0 WHERE len(t) >= {d.WINDOW}),
+ix AS (SELECT DISTINCT item, fold, o, array_to_string(list_slice(t, o + 1, o + {d.WINDOW}), ' ') AS k FROM ix1 WHERE len(list_filter(list_slice(t, o + 1, o + {d.WINDOW}), lambda w: NOT regexp_matches(w, '[\x01-\x03]'))) >= {d.LITERALS}),
 d0 AS (SELECT doc_id, {_CLEAN} AS t FROM documents WHERE doc_id IS NOT NULL),
-docs AS (SELECT doc_id, {_WORDS.format("t")} AS dw, {_WORDS.format(_TEMPLATE)} AS dt FROM d0),
-pr AS (SELECT doc_id, dt, unnest(range(0, len(dt) - {d.WINDOW} + 1, stride)) AS p FROM docs, step WHERE len(dt) >= {d.WINDOW}),
-hits AS (SELECT DISTINCT doc_id, item_id, p - o AS shift FROM pr JOIN ix ON array_to_string(list_slice(dt, p + 1, p + {d.WINDOW}), ' ') = k),
-al AS (SELECT doc_id, item_id, shift, len(it) AS n, list_filter(list_transform(range(greatest(0, -shift), least(len(it), len(dt) - shift)), lambda j: {{'a': it[j + 1], 'b': dt[j + shift + 1], 'x': iw[j + 1], 'y': dw[j + shift + 1]}}), lambda q: q.a = q.b) AS same FROM hits JOIN docs USING (doc_id) JOIN items USING (item_id)),
-sl AS (SELECT doc_id, item_id, n, len(same) AS matched, list_distinct(list_transform(list_filter(same, lambda q: regexp_matches(q.a, '[\x01-\x03]')), lambda q: {{'x': q.x, 'y': q.y}})) AS s FROM al),
-ok AS (SELECT DISTINCT doc_id, item_id FROM sl WHERE 100 * matched >= {d.AGREE} * n AND 100 * (2 * len(s) - len(list_distinct(list_transform(s, lambda q: q.x))) - len(list_distinct(list_transform(s, lambda q: q.y)))) <= {d.BROKEN} * len(s)),
+docs AS (SELECT doc_id, {_THREE} FROM d0),
+pr0 AS (SELECT doc_id, k.fold AS fold, k.t AS t FROM (SELECT doc_id, unnest({_KINDS}) AS k FROM docs)),
+pr AS (SELECT doc_id, fold, t, unnest(range(0, len(t) - {d.WINDOW} + 1)) AS p FROM pr0 WHERE len(t) >= {d.WINDOW}),
+hits AS (SELECT DISTINCT doc_id, item, pr.fold AS fold, p - o AS shift FROM pr JOIN ix ON pr.fold = ix.fold AND array_to_string(list_slice(pr.t, p + 1, p + {d.WINDOW}), ' ') = k),
+al AS (SELECT hits.doc_id, items.item, item_id, shift, fold, len(items.w) AS n, list_filter(list_transform(range(greatest(0, -shift), least(len(items.w), len(docs.w) - shift)), lambda j: {{'a': items.t0[j + 1], 'same': items.t0[j + 1] = docs.t0[j + shift + 1] OR (fold AND items.t1[j + 1] = docs.t1[j + shift + 1]), 'x': CASE WHEN fold THEN lower(items.w[j + 1]) ELSE items.w[j + 1] END, 'y': CASE WHEN fold THEN lower(docs.w[j + shift + 1]) ELSE docs.w[j + shift + 1] END}}), lambda q: q.same) AS same FROM hits JOIN docs USING (doc_id) JOIN items USING (item)),
+sl AS (SELECT doc_id, item, item_id, n, len(same) AS matched, list_distinct(list_transform(list_filter(same, lambda q: regexp_matches(q.a, '[\x01-\x03]')), lambda q: {{'x': q.x, 'y': q.y}})) AS s FROM al),
+ok AS (SELECT DISTINCT doc_id, item, item_id FROM sl WHERE 100 * matched >= {d.AGREE} * n AND 100 * (2 * len(s) - len(list_distinct(list_transform(s, lambda q: q.x))) - len(list_distinct(list_transform(s, lambda q: q.y)))) <= {d.BROKEN} * len(s)),
 f AS (SELECT doc_id, count(*) AS n_items, min(item_id) AS item_id FROM ok GROUP BY doc_id)
 SELECT documents.doc_id, coalesce(n_items, 0)::bigint AS n_items, item_id, n_items IS NOT NULL AS contaminated FROM documents LEFT JOIN f ON documents.doc_id = f.doc_id
 """
