@@ -11,9 +11,12 @@ is a few thousand counts, bounded by ``MOST_FEATURES`` (the most frequent). ``la
 layouts for a user without any; pages are parsed one row at a time and nothing else is gathered.
 
 Defined cases: null or empty html gives an empty text; text outside of any element counts as a child of the root; unclosed
-elements end where their parent ends; script, style, head, template and the like never hold text; character references are
-decoded once, after the tags are found; white space of any kind within a block becomes one space; repeated rows give repeated
-results; extra columns are not read; an empty table gives an empty table.
+elements end where their parent ends; head, script, style and what is shown only in place of something else (template, video,
+svg and the like) hold no text up to their closing tag; without one script and style take the rest, as in browsers, and of
+the others only the tag is left out; formulas are part of their block; a ``<`` that begins no tag is text; once a quoted value is never
+closed, quotes in tags count no more; character references are decoded once, after the tags are found; white space of any
+kind within a block becomes one space; repeated rows give repeated results; extra columns are not read; an empty
+table gives an empty table.
 """
 
 from __future__ import annotations
@@ -33,89 +36,166 @@ from pyspark.sql import functions as F
 MOST_FEATURES = 5_000
 SMOOTHING = 1.0
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>""", re.S)
+_NAME = re.compile(r"/?([a-zA-Z][a-zA-Z0-9:-]*)")
+#: What can end a tag, and what begins a quoted value, in which nothing does.
+_MARK = re.compile(r""">|=\s*["']""")
 _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _TOKEN = re.compile(r"[a-z]+")
-_SILENT = frozenset("script style noscript template head svg iframe object canvas textarea select math audio video".split())
-_ENDS = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in _SILENT}
-_INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br img input".split())
+#: Elements that hold no text of the page, up to their closing tag; without one only the tag itself is left out.
+_SILENT = frozenset("title textarea iframe noframes noscript template svg object canvas select annotation annotation-xml audio video".split())
+#: Without a closing tag these take the rest of the page, as in browsers.
+_CODE = frozenset(("script", "style"))
+_INLINE = frozenset(
+    "a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br img input "
+    "math semantics mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose msub msup msubsup munder mover munderover mmultiscripts".split()
+)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SCOPE = frozenset("ul ol dl table".split())
 
 
+class Source:
+    """Finds the tags of a page from left to right; nothing is looked at more than a few times, whatever the page."""
+
+    def __init__(self, text: str):
+        self.text, self.next, self.broken = text, {}, False
+
+    def find(self, what: str, at: int) -> int:
+        """Where what comes next, -1 if it doesn't; a find is remembered until it is passed."""
+        known = self.next.get(what)
+        if known is None or 0 <= known < at:
+            known = self.next[what] = self.text.find(what, at)
+        return known
+
+    def tag(self, begin: str, at: int) -> int:
+        """Where a tag that begins so comes next, in any case; the length of the page if it doesn't."""
+        known = self.next.get(begin, -1)
+        if known < at:
+            m = re.compile(re.escape(begin) + r"(?=[\s/>])", re.I).search(self.text, at)
+            known = self.next[begin] = m.start() if m else len(self.text)
+        return known
+
+    def end(self, at: int) -> int:
+        """Where the tag ends in which at lies. Once a quote is never closed, quotes count no more."""
+        here = at
+        while not self.broken:
+            m = _MARK.search(self.text, here)
+            if m and m[0] == ">":
+                return m.start()
+            close = self.find(m[0][-1], m.end()) if m else -1
+            if close < 0:
+                self.broken = True
+            here = close + 1
+        return self.find(">", at)
+
+    def after(self, tag: str, at: int) -> int:
+        """Where the page goes on after the content of a silent element that began before at."""
+        if tag == "head":
+            close, body = self.tag("</head", at), self.tag("<body", at)
+            return at if min(close, body) == len(self.text) else body if body < close else self.end(close) + 1 or len(self.text)
+        close = self.tag("</" + tag, at)
+        if close == len(self.text):
+            return close if tag in _CODE else at
+        if tag not in _CODE and self.tag("<" + tag, at) < close:
+            return at  # that is the other one's end
+        return self.end(close) + 1 or len(self.text)
+
+
 class Page:
     """``up``: parent of each node; ``features``: its features; ``text``: its block of text, None for elements."""
 
     def __init__(self, source: str):
         self.up, self.features, self.text = [-1], [("tag:root",)], [None]
-        open_: list[tuple[str, int]] = [("", 0)]
-        words: list[str] = []
-        linked, in_link, at, end = 0, 0, 0, len(source)
-
-        def flush() -> None:
-            nonlocal linked
-            if words:
-                raw = "".join(words)
-                words.clear()
-                block = " ".join((entities.unescape(raw) if "&" in raw else raw).split())
-                if block:
-                    self.up.append(open_[-1][1])
-                    self.text.append(block)
-                    self.features.append(_leaf(block, linked / max(1, len(raw)), open_[-1][0]))
-            linked = 0
-
+        self.open: list[tuple[str, int]] = [("", 0)]
+        self.count: Counter = Counter()
+        #: Places in ``open`` of elements that end others of their kind, and of those within which they do.
+        self.kinds: list[int] = []
+        self.words: list[str] = []
+        self.linked = self.in_link = 0
+        scan, at, end = Source(source), 0, len(source)
         while at < end:
-            m = _TAG.search(source, at)
-            part = source[at : m.start()] if m else source[at:]
-            if part:
-                words.append(part)
-                if in_link:
-                    linked += len(part)
-            if not m:
+            begin = scan.find("<", at)
+            self.say(source[at : begin if begin >= 0 else end])
+            if begin < 0:
                 break
-            at = m.end()
-            if not m[2]:
-                continue
-            tag = m[2].lower()
-            if tag in _INLINE:
-                if tag == "a":
-                    in_link = not m[1]
-                elif tag == "br":
-                    words.append(" ")
-                continue
-            flush()
-            if m[1]:
-                if any(t == tag for t, _ in open_):
-                    while open_.pop()[0] != tag:
-                        pass
-                    in_link = 0
-                continue
-            if tag in _SILENT:
-                if not m[3].endswith("/"):
-                    close = _ENDS[tag].search(source, at)
-                    # a head that is never closed ends where the body begins
-                    stop = re.compile(r"<body\b", re.I).search(source, at) if tag == "head" and not close else None
-                    at = close.end() if close else stop.start() if stop else end
+            if source.startswith("<!--", begin):
+                close = scan.find("-->", begin + 4)
+                at = close + 3 if close >= 0 else end
                 continue
-            if tag in _VOID:
+            name = _NAME.match(source, begin + 1)
+            close = scan.end(name.end()) if name else scan.find(">", begin) if source[begin + 1 : begin + 2] in ("!", "?") else -1
+            if close < 0:
+                self.say("<")
+                at = begin + 1
                 continue
-            if open_[-1][0] == "p":
-                open_.pop()
-            if tag in _CLOSES:
-                for k in range(len(open_) - 1, 0, -1):
-                    if open_[k][0] in _SCOPE:
-                        break
-                    if open_[k][0] in _CLOSES[tag]:
-                        del open_[k:]
-                        break
-            self.up.append(open_[-1][1])
-            self.text.append(None)
-            names = {t for g in _NAMES.findall(m[3]) for t in _TOKEN.findall("".join(g).lower())} if m[3] else ()
-            self.features.append((f"tag:{tag}", *(f"name:{t}" for t in sorted(names))))
-            if not m[3].endswith("/"):
-                open_.append((tag, len(self.up) - 1))
-        flush()
+            at = close + 1
+            if name:
+                at = self.tag(scan, name[1].lower(), name[0][0] == "/", source[name.end() : close], at)
+        self.flush()
+
+    def say(self, part: str) -> None:
+        if part:
+            self.words.append(part)
+            self.linked += len(part) if self.in_link else 0
+
+    def flush(self) -> None:
+        """The words so far are a block."""
+        if self.words:
+            raw = "".join(self.words)
+            self.words.clear()
+            block = " ".join((entities.unescape(raw) if "&" in raw else raw).split())
+            if block:
+                self.up.append(self.open[-1][1])
+                self.text.append(block)
+                self.features.append(_leaf(block, self.linked / max(1, len(raw)), self.open[-1][0]))
+        self.linked = 0
+
+    def pop(self) -> str:
+        tag, _ = self.open.pop()
+        self.count[tag] -= 1
+        if self.kinds and self.kinds[-1] == len(self.open):
+            self.kinds.pop()
+        return tag
+
+    def tag(self, scan: Source, tag: str, closing: bool, rest: str, at: int) -> int:
+        """Take in a tag; where the page goes on."""
+        if tag in _INLINE:
+            if tag == "a":
+                self.in_link = not closing
+            elif tag == "br":
+                self.words.append(" ")
+            return at
+        if tag in _SILENT or tag in _CODE or tag == "head":
+            return at if closing or rest.endswith("/") else scan.after(tag, at)
+        self.flush()
+        if closing:
+            if self.count[tag] > 0:
+                while self.pop() != tag:
+                    pass
+                self.in_link = 0
+            return at
+        if tag in _VOID:
+            return at
+        if self.open[-1][0] == "p":
+            self.pop()
+        if tag in _CLOSES:
+            for k in reversed(self.kinds):
+                if self.open[k][0] in _SCOPE:
+                    break
+                if self.open[k][0] in _CLOSES[tag]:
+                    while len(self.open) > k:
+                        self.pop()
+                    break
+        self.up.append(self.open[-1][1])
+        self.text.append(None)
+        names = {t for g in _NAMES.findall(rest) for t in _TOKEN.findall("".join(g).lower())} if rest else ()
+        self.features.append((f"tag:{tag}", *(f"name:{t}" for t in sorted(names))))
+        if not rest.endswith("/"):
+            if tag in _CLOSES or tag in _SCOPE:
+                self.kinds.append(len(self.open))
+            self.open.append((tag, len(self.up) - 1))
+            self.count[tag] += 1
+        return at
 
 
 def _leaf(block: str, linked: float, parent: str) -> tuple[str, ...]:
