@@ -3,8 +3,9 @@
 Method. The longest rule that fits a url decides it. Other urls are decided by their host: a personalised PageRank
 spreads trust from trusted hosts along links, and a second one spreads distrust from blocked hosts against the links
 (who links to a blocked host is suspect). A host is blocked when its distrust exceeds its trust and ``THRESHOLD``.
-Seeds are the hosts of which at least ``SEED_SHARE`` of the pages are allowed (or blocked) by a rule, all with the same
-weight. Edges are the distinct-host links of all pages, counted by pair of hosts before anything else moves.
+Seeds are the hosts of which at least ``SEED_SHARE`` of the pages are allowed (or blocked) by a rule, each with a weight of
+one, so scores and the threshold are in shares of one seed, whatever the number of seeds. Of the weight,
+``DAMPING ** ROUNDS`` is still under way when the rounds end. Edges are the distinct-host links of all pages, counted by pair of hosts before anything else moves.
 
 Scale. One pass over the pages gives the host table and the edge table; the ``ROUNDS`` rounds work on those alone: join
 the scores with the edges, sum by target (partial sums first). Pages get their host's verdict by broadcast if the
@@ -26,7 +27,7 @@ RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org
 DAMPING = 0.85
 ROUNDS = 10
 SEED_SHARE = 0.5
-THRESHOLD = 1e-9
+THRESHOLD = 1e-6
 BROADCAST_ROWS = 200_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK_RE = r"""[hH][rR][eE][fF]\s*=\s*["']?(?:[hH][tT][tT][pP][sS]?:)?//([^/?#"'\s<>]+)"""
@@ -46,7 +47,7 @@ def fits(host: Column, path: Column, rule: str) -> Column:
 
 
 def propagate(seeds: DataFrame, edges: DataFrame) -> DataFrame:
-    """Personalised PageRank: seeds (host, weight, sums to 1), edges (a, b, share of a's links) to (host, score)."""
+    """Personalised PageRank: seeds (host, weight), edges (a, b, share of a's links) to (host, score)."""
     start = seeds.select("host", (F.col("weight") * (1 - DAMPING)).alias("score"))
     score = seeds.select("host", F.col("weight").alias("score"))
     for n in range(ROUNDS):
@@ -74,9 +75,7 @@ def judge(pages: DataFrame, rules=RULES, key: str = "page_id", url: str = "url",
     links = shared.cut(links)
 
     def seeds(flag: str) -> DataFrame:
-        chosen = by_host.where(flag)
-        total = chosen.agg(F.count(F.lit(1)).alias("total"))
-        return chosen.join(F.broadcast(total)).select("host", (1 / F.col("total")).alias("weight"))
+        return by_host.where(flag).select("host", F.lit(1.0).alias("weight"))
 
     def shares(a: str, b: str) -> DataFrame:
         out = links.groupBy(a).agg(F.sum("n").alias("total")).withColumnRenamed(a, "k")
@@ -109,7 +108,7 @@ def oracle() -> str:
         "e2 AS (SELECT b AS a, a AS b, n / sum(n) OVER (PARTITION BY b) AS share FROM l)",
     ]
     for s, flag in ((1, "trusted"), (2, "blocked")):
-        ctes.append(f"s{s}_0 AS (SELECT host, 1.0::double / count(*) OVER () AS score FROM h WHERE {flag})")
+        ctes.append(f"s{s}_0 AS (SELECT host, 1.0::double AS score FROM h WHERE {flag})")
         for n in range(ROUNDS):
             ctes.append(f"s{s}_{n + 1} AS (SELECT host, sum(score) AS score FROM (SELECT b AS host, {DAMPING} * score * share AS score FROM s{s}_{n} JOIN e{s} ON host = a UNION ALL SELECT host, {1 - DAMPING} * score FROM s{s}_0) GROUP BY host)")
     ctes.append(f"bad AS (SELECT d.host AS bad FROM s2_{ROUNDS} d LEFT JOIN s1_{ROUNDS} t ON d.host = t.host WHERE d.score > coalesce(t.score, 0) AND d.score > {THRESHOLD})")
