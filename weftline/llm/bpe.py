@@ -21,6 +21,7 @@ import itertools
 import json
 import re
 from collections.abc import Iterator
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ LEAF = 512
 #: No decision about a piece looks further ahead than a special token or a contraction.
 REACH = 64
 #: Pieces kept in each of the two generations of a worker's cache.
-CACHE = 80_000
+CACHE = 50_000
 
 # The pattern of byte-level vocabularies for texts of Latin letters alone, where its classes are short; other texts are left to the library.
 _L, _N, _S = r"a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", r"0-9\xb2\xb3\xb9\xbc-\xbe", r"\t-\r \x85\xa0"
@@ -78,7 +79,7 @@ class Codec(dict):
 
     def pieces(self, text: str) -> list[str]:
         """The pieces within which merges happen, in order; together they are the text."""
-        if self.split is not None and "<" in text and any(s in text for s in self.special):
+        if self.split is not None and any(s in text for s in self.special):
             return [p for part in self.split.split(text) if part for p in ([part] if part in self.special else self._scan(part))]
         return self._scan(text)
 
@@ -189,6 +190,16 @@ def encode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
             ids = [np.array(c.encode(s), dtype=np.int32) for s in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists(ids)], names=[key, "ids"])
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The leaves of each text: as many as halving gives, the next power of two."""
+        for batch in _slices(batches, 1):
+            s = batch.column(2).to_pylist()[0]
+            n = 1 << max(0, -(-len(s) // segment) - 1).bit_length()
+            size = -(-len(s) // n)
+            for k in range(n):
+                leaf = pa.array([s[k * size : (k + 1) * size]], pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([k], pa.int32()), leaf], names=[key, "__row", "__at", "__text"])
+
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(tokenizer)
         for batch in _slices(batches, 1):
@@ -201,7 +212,8 @@ def encode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
 
     def joined(group):
         c = codec(tokenizer)
-        group = group.sort_values("__at")
+        copies = int((group["__at"] == 0).sum())  # of a repeated row
+        group = group.drop_duplicates("__at").sort_values("__at")
         known: dict[str, tuple[int, ...]] = {}
         level: list[list[str]] = []
         for s, chars, ids, each in zip(group["__text"], group["__chars"], group["__ids"], group["__each"]):
@@ -211,19 +223,16 @@ def encode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
             level.append(pieces)
         while len(level) > 1:
             level = [c.concatenate(level[k], level[k + 1]) if k + 1 < len(level) else level[k] for k in range(0, len(level), 2)]
-        out = group.iloc[:1][[key]].copy()
-        out["ids"] = [np.array([i for p in (level[0] if level else []) for i in (known.get(p) or c[p])], dtype=np.int32)]
+        out = group.iloc[[0] * copies][[key]].copy()
+        out["ids"] = [np.array([i for p in (level[0] if level else []) for i in (known.get(p) or c[p])], dtype=np.int32)] * copies
         return out
 
     short = rows.where(F.length("__text") <= segment).mapInArrow(whole, schema)
-    long = rows.where(F.length("__text") > segment).withColumn("__row", F.monotonically_increasing_id())
-    # as many leaves as halving gives: the next power of two
-    count = F.pow(F.lit(2), F.ceil(F.log2(F.length("__text") / F.lit(segment)))).cast("int")
-    size = F.ceil(F.length("__text") / count).cast("int")
-    cut = long.select(key, "__row", "__text", size.alias("__size"), F.explode(F.sequence(F.lit(0), count - 1)).alias("__at"))
-    cut = cut.select(key, "__row", "__at", F.substring(F.col("__text"), F.col("__at") * F.col("__size") + 1, F.col("__size")).alias("__text"))
-    parts = cut.repartition("__row", "__at").mapInArrow(leaves, f"`{key}` {of_key}, __row bigint, __at int, __text string, __chars array<int>, __ids array<int>, __each array<int>")
-    return short.unionByName(parts.groupBy("__row").applyInPandas(joined, schema))
+    # leaves find together by their text's key and hash, which a task that runs again gives them again
+    long = rows.where(F.length("__text") > segment).select(key, F.sha2("__text", 256).alias("__row"), "__text")
+    parts = f"`{key}` {of_key}, __row string, __at int, __text string"
+    parts = long.mapInArrow(cut, parts).repartition(key, "__row", "__at").mapInArrow(leaves, parts + ", __chars array<int>, __ids array<int>, __each array<int>")
+    return short.unionByName(parts.groupBy(key, "__row").applyInPandas(joined, schema))
 
 
 def decode(encoded: DataFrame, tokenizer: str, key: str = "doc_id") -> DataFrame:
@@ -247,7 +256,24 @@ def public_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
-def digests(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_tokens, ids_sha256, decoded_sha256) of encode and decode."""
-    rows = decode(encode(docs, tokenizer, key, text), tokenizer, key)
-    return rows.select(key, F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+def digests(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", segment: int = SEGMENT) -> DataFrame:
+    """(key, n_tokens, ids_sha256, decoded_sha256) of encode and decode; a text is encoded and decoded in one task."""
+    rows = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    schema = f"`{key}` {rows.schema[0].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+
+    def digest(keys: pa.Array, ids: list[list[int]], c: Codec) -> pa.RecordBatch:
+        hashes = [[sha256(x).hexdigest() for x in made] for made in ((",".join(map(str, i)).encode() for i in ids), (c.decode(i).encode() for i in ids))]
+        return pa.RecordBatch.from_arrays([keys, pa.array([len(i) for i in ids], pa.int64()), *(pa.array(h, pa.string()) for h in hashes)], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    def of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(tokenizer)
+        for batch in _slices(batches):
+            yield digest(batch.column(0), [c.encode(s) for s in batch.column(1).to_pylist()], c)
+
+    def of_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(tokenizer)
+        for batch in _slices(batches, 1):
+            yield digest(batch.column(0), batch.column(1).to_pylist(), c)
+
+    long = encode(rows.where(F.length("__text") > segment), tokenizer, key, "__text", segment)
+    return rows.where(F.length("__text") <= segment).mapInArrow(of_texts, schema).unionByName(long.mapInArrow(of_ids, schema))
