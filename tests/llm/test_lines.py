@@ -17,8 +17,8 @@ def brute(docs):
     return gone
 
 
-@pytest.mark.parametrize("tries, each", [(4, 4000), (1, 10)])
-def test_equals_brute_force(spark, tries, each):
+@pytest.mark.parametrize("each, hot", [(100_000, 8_192), (300, 20), (100_000, 3)])
+def test_equals_brute_force(spark, each, hot):
     rng = random.Random(7)
     common = ["the", "of", "and", "to"]
     word = lambda: rng.choice(common) if rng.random() < 0.3 else f"w{rng.randrange(400)}"
@@ -36,7 +36,7 @@ def test_equals_brute_force(spark, tries, each):
     rng.shuffle(docs)
     want = brute(docs)
     df = spark.createDataFrame([(d, t, "x") for d, t in docs] + [(None, "the\nthe", "x")], "doc_id bigint, text string, line string")
-    got = line_dedup.dedup(df, tries=tries, rows_each=each).collect()
+    got = line_dedup.dedup(df, words_each=each, hot=hot).collect()
     assert {r.doc_id: list(r.removed) for r in got if r.removed} == want
     texts = dict(docs) | {None: "the\nthe"}
     for r in got:
@@ -53,3 +53,11 @@ def test_repeated_rows_are_one_document(spark, parts):
     df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(parts)
     got = sorted((r.doc_id, r.text) for r in line_dedup.dedup(df).collect())
     assert got == [(1, docs[0][1])] * 2 + [(2, "seven eight nine")] * 2
+
+
+def test_very_long_lines_and_large_keys(spark):
+    long = " ".join(f"w{i}" for i in range(60_000))
+    docs = [(5, long), (-(2**60), f"{long} end"), (2**61, f"x y\n{' '.join(reversed(long.split()))}"), (7, "x  y"), (2**62, "y x")]
+    want = brute(docs)
+    got = line_dedup.dedup(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    assert {r.doc_id: list(r.removed) for r in got if r.removed} == want

@@ -62,8 +62,12 @@ def pack(bucket: np.ndarray, key: np.ndarray, pos: np.ndarray, in_order: bool =
     return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(out, types)], names=names)
 
 
-def unpack(table: pa.Table, **dtypes) -> tuple[np.ndarray, ...]:
-    """(key, pos, *values) of all rows of the table; positions of a row key ascend within each packed row."""
+def unpack(table: pa.Table, widths: dict[str, int] | None = None, **dtypes) -> tuple[np.ndarray, ...]:
+    """(key, pos, *values) of all rows of the table; positions of a row key ascend within each packed row.
+
+    widths: of some columns, of whose rows each has up to so many values in its entries, the width; zeros fill it up.
+    """
+    wide = widths or {}
     parts: list[list[np.ndarray]] = [[] for _ in range(2 + len(dtypes))]
     for row in table.to_pylist():
         ids, counts, gaps = np.cumsum(textnp.unplanes(row["ids"], np.int64)), textnp.unplanes(row["counts"], np.uint32).astype(np.int64), textnp.unplanes(row["gaps"], np.uint32).astype(np.int64)
@@ -72,6 +76,14 @@ def unpack(table: pa.Table, **dtypes) -> tuple[np.ndarray, ...]:
         parts[0].append(np.repeat(ids, counts))
         parts[1].append(total - np.repeat(total[heads] - gaps[heads], counts))
         for k, (name, dtype) in enumerate(dtypes.items()):
-            parts[2 + k].append(textnp.unplanes(row[name], dtype))
-    empty = [np.int64, np.int64, *dtypes.values()]
-    return tuple(np.concatenate(p) if p else np.zeros(0, dtype=t) for p, t in zip(parts, empty))
+            if name in wide:
+                full = np.zeros((len(gaps), wide[name]), dtype=dtype)
+                if row[name]:
+                    some = np.frombuffer(row[name], dtype=np.uint8).reshape(-1, len(gaps)).T
+                    some = np.ascontiguousarray(some).view(dtype)
+                    full[:, : some.shape[1]] = some
+                parts[2 + k].append(full)
+            else:
+                parts[2 + k].append(textnp.unplanes(row[name], dtype))
+    empty = [(0, np.int64), (0, np.int64), *(((0, wide[n]) if n in wide else 0, t) for n, t in dtypes.items())]
+    return tuple(np.concatenate(p) if p else np.zeros(n, dtype=t) for p, (n, t) in zip(parts, empty))

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import SparkContext
+from pyspark import SparkContext, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import textnp
 
+#: Beyond this many squared tasks, counts are added up in two steps.
+MANY = 16
+
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` as a reliable checkpoint in the shared folder."""
@@ -26,12 +30,14 @@ def checkpoint_folder(context: SparkContext) -> None:
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
 
 
+def power_of_two(n: int, least: int = 1) -> int:
+    """The least power of two that is at least n and least."""
+    return 1 << max(0, max(n, least) - 1).bit_length()
+
+
 def bucket_count(df: DataFrame, rows_each: int, least: int = 12) -> int:
     """So many buckets that each gets about rows_each of the rows of df: a power of two, so it grows with the input."""
-    n, buckets = df.count(), 1
-    while buckets < least or buckets * rows_each < n:
-        buckets *= 2
-    return buckets
+    return power_of_two(-(-df.count() // rows_each), least)
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -67,10 +73,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def bin_counts(docs: DataFrame, text: str, bits: int, bins: Callable[[textnp.Chunk], np.ndarray]) -> np.ndarray:
     """How often each of 2**bits bins occurs over all texts; bins gives the bins of the entries of a chunk.
 
-    Each task adds up its own texts and sends one blob for each range of bins, which Spark adds up by range. The driver
-    gets 2**bits numbers whatever the input.
+    Each task adds up its own texts and sends one blob for each range of bins. Spark adds them up by range in two steps,
+    so that a group has no more blobs than the root of the number of tasks. The driver gets 2**bits numbers whatever the input.
     """
     width = min(4096, 1 << bits)
+    salts = math.isqrt(docs.rdd.getNumPartitions())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << bits, dtype=np.int64)
@@ -78,13 +85,19 @@ def bin_counts(docs: DataFrame, text: str, bits: int, bins: Callable[[textnp.Chu
             total += np.bincount(bins(chunk.words()), minlength=1 << bits)
         if total.any():
             parts = total.reshape(-1, width)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts), dtype=np.int32)), pa.array([textnp.planes(p) for p in parts], type=pa.binary())], names=["part", "counts"])
+            salt = np.full(len(parts), TaskContext.get().partitionId() % salts if salts > MANY else 0, dtype=np.int32)
+            blobs = pa.array([textnp.planes(p) for p in parts], type=pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts), dtype=np.int32)), pa.array(salt), blobs], names=["part", "salt", "counts"])
 
     def add(table: pa.Table) -> pa.Table:
         total = sum(textnp.unplanes(raw, np.int64) for raw in table["counts"].to_pylist())
-        return pa.table({"part": table["part"][:1], "counts": pa.array([total.tobytes()], pa.binary())})
+        return pa.table({"part": table["part"][:1], "salt": table["salt"][:1], "counts": pa.array([textnp.planes(total)], pa.binary())})
 
+    schema = "part int, salt int, counts binary"
+    blobs = docs.select(text).mapInArrow(count, schema)
+    if salts > MANY:
+        blobs = blobs.groupBy("part", "salt").applyInArrow(add, schema)
     out = np.zeros(1 << bits, dtype=np.int64)
-    for row in docs.select(text).mapInArrow(count, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary").collect():
-        out[row.part * width : (row.part + 1) * width] = np.frombuffer(row.counts, dtype=np.int64)
+    for row in blobs.groupBy("part").applyInArrow(add, schema).collect():
+        out[row.part * width : (row.part + 1) * width] = textnp.unplanes(row.counts, np.int64)
     return out
