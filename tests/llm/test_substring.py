@@ -34,8 +34,8 @@ def test_equals_brute_force(spark):
     rng.shuffle(docs)
     want = brute(docs)
     df = spark.createDataFrame([(d, t, 1) for d, t in docs], "doc_id bigint, text string, bucket int")
-    for each in (4000, 10):
-        got = {r.doc_id: r for r in substring_dedup.repeats(df, rows_each=each).collect()}
+    for each in (14_000_000, 500):
+        got = {r.doc_id: r for r in substring_dedup.repeats(df, bytes_each=each).collect()}
         assert {d: (r.n_words, r.n_removed, r.text) for d, r in got.items()} == want
         assert all(sum(s.end - s.start for s in r.spans) == r.n_removed for r in got.values())
 

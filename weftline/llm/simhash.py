@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
     kind = rows.schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in textnp.chunks(batches, "__text", 1_000_000):
+        for chunk in textnp.chunks(batches, "__text", 500_000):
             raw = chunk.data.tobytes()
             each = [shingle_hashes(raw[a:b], shingle) for a, b in zip(chunk.offsets[:-1].tolist(), chunk.offsets[1:].tolist())]
             first = np.concatenate([[0], np.cumsum([len(h) for h in each])]).astype(np.int64)
@@ -383,9 +383,10 @@ def _verified(docs: DataFrame, edges: DataFrame, key: str, text: str, shingle: i
     nodes = F.broadcast(nodes) if edges.count() <= BROADCAST_ROWS else nodes
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [np.unique(shingle_hashes((s or "").encode(), shingle)).view(np.int64) for s in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, type=pa.list_(pa.int64()))], names=["id", "set"])
+        for chunk in textnp.chunks(batches, "t"):
+            raw = chunk.data.tobytes()
+            out = [np.unique(shingle_hashes(raw[a:b], shingle)).view(np.int64) for a, b in zip(chunk.offsets[:-1].tolist(), chunk.offsets[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([chunk.batch.column(0), pa.array(out, type=pa.list_(pa.int64()))], names=["id", "set"])
 
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("t")).join(nodes, "id", "left_semi")
     shingles = rows.select(F.col("id").cast("bigint"), "t").mapInArrow(sets, "id bigint, set array<bigint>")
