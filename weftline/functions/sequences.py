@@ -51,9 +51,18 @@ def ordinal_decode(bits: Column) -> Column:
     return F.aggregate(bits, F.lit(1), lambda a, b: a + b)
 
 
-def log_minmax_by_event(df: DataFrame, event: str, value: str, eps: float = 1e-6) -> DataFrame:
-    """``scaled``: logarithm scaled to 0 .. 1 by event; 0 where an event has one value only."""
-    logs = df.withColumn("__v", F.log(F.col(value) + eps))
-    ends = logs.groupBy(event).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
-    scaled = F.when(F.col("__hi") == F.col("__lo"), 0.0).otherwise((F.col("__v") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")))
-    return logs.join(ends, event).withColumn("scaled", scaled).drop("__v", "__lo", "__hi")
+def log_extremes(df: DataFrame, event: str, value: str, eps: float = 1e-6) -> DataFrame:
+    """(event, low, high): the extremes of the logarithms, to scale other rows by those of the train requests."""
+    logs = F.log(F.col(value) + eps)
+    return df.groupBy(event).agg(F.min(logs).alias("low"), F.max(logs).alias("high"))
+
+
+def log_minmax_by_event(df: DataFrame, event: str, value: str, eps: float = 1e-6, extremes: DataFrame | None = None) -> DataFrame:
+    """``scaled``: logarithm scaled to 0 .. 1 by event; 0 where an event has one value only.
+
+    extremes: those of ``log_extremes`` over other rows, by which values may lie outside 0 .. 1 and events without any are
+    null; else those of df.
+    """
+    ends = (log_extremes(df, event, value, eps) if extremes is None else extremes).select(F.col(event).alias("__event"), "low", "high")
+    scaled = F.when(F.col("high") == F.col("low"), 0.0).otherwise((F.log(F.col(value) + eps) - F.col("low")) / (F.col("high") - F.col("low")))
+    return df.join(ends, F.col(event).eqNullSafe(F.col("__event")), "left").withColumn("scaled", scaled).drop("__event", "low", "high")

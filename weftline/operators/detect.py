@@ -58,15 +58,14 @@ def shared_threshold(scored: DataFrame, steps: int = 200) -> DataFrame:
 def auroc(scored: DataFrame, by: str = "set") -> DataFrame:
     """(by, auroc): share of (positive, negative) pairs in order, ties count half. Equal scores are counted first."""
     counts = scored.groupBy(by, "score").agg(F.sum(F.col("label").cast("bigint")).alias("p"), F.sum(1 - F.col("label").cast("bigint")).alias("q"))
-    below = Window.partitionBy(by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    rows = counts.withColumn("b", F.coalesce(F.sum("q").over(below), F.lit(0)))
+    rows = util.running(counts, [by], ["score"], "q", "b")
     out = rows.groupBy(by).agg(F.sum(F.col("p") * (F.col("b") + F.col("q") / 2)).alias("u"), F.sum("p").alias("np"), F.sum("q").alias("nq"))
     return out.select(by, F.try_divide(F.col("u"), F.col("np") * F.col("nq").cast("double")).alias("auroc"))
 
 
 def classification_scores(scored: DataFrame, thresholds: DataFrame, by: str = "set") -> DataFrame:
     """auroc and the rates of label against score > threshold."""
-    rows = scored.join(F.broadcast(thresholds.select(F.col(by).alias("__by"), "threshold")), F.col(by) == F.col("__by"))
+    rows = scored.join(util.bounded(thresholds.select(F.col(by).alias("__by"), "threshold")), F.col(by) == F.col("__by"))
     said, label = F.col("score") > F.col("threshold"), F.col("label") == 1
     count = lambda c: F.sum(F.when(c, 1).otherwise(0))
     cells = rows.groupBy(by).agg(count(said & label).alias("tp"), count(said & ~label).alias("fp"), count(~said & label).alias("fn"), count(~said & ~label).alias("tn"))
@@ -81,28 +80,35 @@ def apply_to_test(test: DataFrame, thresholds: DataFrame, links: DataFrame) -> D
 
 def mad_constants(balanced: DataFrame, columns: tuple[str, ...] = ("event_score", "duration_score")) -> DataFrame:
     """Per set: median and median absolute deviation of each column."""
-    medians = balanced.groupBy("set").agg(*[F.percentile(c, 0.5).alias(f"{c}_median") for c in columns])
-    rows = balanced.join(F.broadcast(medians), "set")
-    mads = rows.groupBy("set").agg(*[F.percentile(F.abs(F.col(c) - F.col(f"{c}_median")), 0.5).alias(f"{c}_mad") for c in columns])
-    return medians.join(mads, "set")
+    out = None
+    for c in columns:
+        median = util.cut(util.medians(balanced, "set", c, f"{c}_median"))
+        rows = balanced.join(util.bounded(median), "set").withColumn("__away", F.abs(F.col(c) - F.col(f"{c}_median")))
+        both = median.join(util.cut(util.medians(rows, "set", "__away", f"{c}_mad")), "set")
+        out = both if out is None else out.join(both, "set")
+    return out
 
 
 def mad_combine(rows: DataFrame, constants: DataFrame, columns: tuple[str, ...] = ("event_score", "duration_score")) -> DataFrame:
     """``score``: the sum of (x - median) / MAD with the constants of the set."""
-    out = rows.join(F.broadcast(constants), "set")
+    out = rows.join(util.bounded(constants), "set")
     score = sum((F.try_divide(F.col(c) - F.col(f"{c}_median"), F.col(f"{c}_mad")) for c in columns), F.lit(0.0))
     return out.withColumn("score", score).drop(*[f"{c}_{k}" for c in columns for k in ("median", "mad")])
 
 
-def detection_ngram(train: DataFrame, valid_known: DataFrame, valid_novel: DataFrame, test_known: DataFrame, test_novel: DataFrame, links: DataFrame, n: int, epsilon: float, steps: int = 100) -> DataFrame:
-    """perplexity of all roles, thresholds on validation, report on validation and test: (stage, set, rates, auroc)."""
-    counts = util.cut(ngram.ngram_count(train, n))
+def detection_ngram(train: DataFrame, rows: DataFrame, links: DataFrame, n: int, epsilon: float, steps: int = 100) -> DataFrame:
+    """perplexity of the requests, thresholds on validation, report on validation and test: (stage, set, rates, auroc).
 
-    def scored(seqs: DataFrame, keys: list[str]) -> DataFrame:
-        return ngram.ngram_perplexity(seqs, counts, n, epsilon, keys).withColumnsRenamed({"perplexity": "score", "rn": "id"})
+    rows: (role valid or test, set, novel, rn, call); the set of known requests is not read. All are scored in one pass.
+    """
+    counts = ngram.ngram_count(train, n)
+    scored = util.cut(ngram.ngram_perplexity(rows, counts, n, epsilon, ["role", "set", "novel", "rn"]).withColumnsRenamed({"perplexity": "score", "rn": "id"}))
+
+    def balanced(role: str) -> DataFrame:
+        own = scored.where(F.col("role") == role)
+        return util.cut(balanced_sets(own.where("not novel").select("id", "score"), own.where("novel").select("set", "id", "score")))
 
-    valid = util.cut(balanced_sets(scored(valid_known, ["rn"]), scored(valid_novel, ["set", "rn"])))
-    test = util.cut(balanced_sets(scored(test_known, ["rn"]), scored(test_novel, ["set", "rn"])))
+    valid, test = balanced("valid"), balanced("test")
     best = util.cut(best_threshold(threshold_sweep(valid, steps)))
     report = classification_scores(valid, best).withColumn("stage", F.lit("valid"))
     return report.unionByName(apply_to_test(test, best, links).withColumn("stage", F.lit("test")))

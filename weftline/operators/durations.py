@@ -22,19 +22,23 @@ def duration_spans(paired: DataFrame, n_categories: int, by: tuple[str, ...] = (
     return counted.groupBy(*by).agg(F.percentile("latency", F.array(*map(F.lit, shares(n_categories))), F.col("c")).alias("boundaries"), F.sum("c").alias("n")).withColumn("n_categories", F.lit(n_categories))
 
 
-def chunk_pools(paired: DataFrame, numbered: DataFrame, chunk: int, carry: int = 20, bucket: int = 4096) -> DataFrame:
+def chunk_pools(paired: DataFrame, numbered: DataFrame, chunk: int, carry: int = 20, bucket: int = 4096, first: int | None = None) -> DataFrame:
     """Paired rows by chunk of completed requests, each chunk with the last ``carry`` rows of its call from before.
 
-    The last chunk also takes the rows after the last request.
+    The chunk 0 has ``first`` requests (default: ``chunk``), the others ``chunk``. The last one also takes the rows after the last
+    request. Of the driver's values only the number of requests is used.
     """
+    first = chunk if first is None else first
     last = numbered.agg(F.max("rn")).first()[0] or 0
-    chunks = -(-last // chunk)
-    ends = numbered.where((F.col("rn") % chunk == 0) | (F.col("rn") == last)).select(((F.col("rn") - 1) / chunk).cast("bigint").alias("chunk"), F.col("request_id").alias("chunk_end"))
+    number = F.when(F.col("rn") <= first, 0).otherwise(F.floor((F.col("rn") - first - 1) / chunk) + 1).cast("bigint")
+    chunks = (1 if last else 0) + -(-max(0, last - first) // chunk)
+    ends = numbered.groupBy(number.alias("chunk")).agg(F.max("request_id").alias("chunk_end"))
     rows = util.next_point(paired.where("paired").select("sysname", "seq", "latency"), ends.select("chunk_end"), "seq", "chunk_end", bucket)
-    rows = rows.join(F.broadcast(ends.withColumnRenamed("chunk_end", "__e")), F.col("chunk_end") == F.col("__e"), "left").withColumn("chunk", F.coalesce("chunk", F.lit(chunks - 1))).drop("__e", "chunk_end")
+    ends = util.cut(ends)
+    rows = rows.join(util.bounded(ends.withColumnRenamed("chunk_end", "__e")), F.col("chunk_end") == F.col("__e"), "left").withColumn("chunk", F.coalesce("chunk", F.lit(chunks - 1))).drop("__e", "chunk_end")
     rows = util.cut(util.ordinal(rows, ["sysname"], ["seq"], "i"))
     per = rows.groupBy("sysname", "chunk").agg(F.count(F.lit(1)).alias("m"))
-    grid = per.groupBy("sysname").agg(F.min("chunk").alias("c0")).select("sysname", F.explode(F.sequence(F.col("c0"), F.lit(chunks - 1).cast("bigint"))).alias("chunk"))
+    grid = per.groupBy("sysname").agg(F.min("chunk").alias("c0")).select("sysname", F.explode(F.sequence(F.col("c0"), F.lit(max(chunks - 1, 0)).cast("bigint"))).alias("chunk"))
     before = F.coalesce(F.sum("m").over(Window.partitionBy("sysname").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     grid = grid.join(per, ["sysname", "chunk"], "left").select("sysname", "chunk", before.alias("b"))
     wanted = grid.where("b > 0").select("sysname", "chunk", F.explode(F.sequence(F.greatest(F.lit(1), F.col("b") - carry + 1), F.col("b"))).alias("i"))
@@ -57,7 +61,7 @@ def tag(name: Column, value: Column, boundaries: Column) -> Column:
 def categorize_latency(df: DataFrame, spans: DataFrame, value: str = "latency", into: str = "tag") -> DataFrame:
     """The class of value among the boundaries of the call (one row per call, so broadcast); 0 if it isn't an exit or has no spans."""
     known = spans.select(F.col("sysname").alias("__s"), F.col("boundaries").alias("__b"))
-    return df.join(F.broadcast(known), F.col("sysname") == F.col("__s"), "left").withColumn(into, tag(F.col("name"), F.coalesce(F.col(value), F.lit(0)), F.col("__b"))).drop("__s", "__b")
+    return df.join(util.bounded(known), F.col("sysname") == F.col("__s"), "left").withColumn(into, tag(F.col("name"), F.coalesce(F.col(value), F.lit(0)), F.col("__b"))).drop("__s", "__b")
 
 
 def all_spans(paired: DataFrame, levels: tuple[int, ...] = LEVELS) -> DataFrame:
@@ -77,4 +81,4 @@ def multi_tags(df: DataFrame, spans: DataFrame, value: str = "latency", levels:
     known = spans.select(F.col("sysname").alias("__s"), *[f"b{level}" for level in levels])
     v = F.coalesce(F.col(value), F.lit(0))
     packed = F.concat_ws("-", *[tag(F.col("name"), v, F.col(f"b{level}")).cast("string") for level in levels])
-    return df.join(F.broadcast(known), F.col("sysname") == F.col("__s"), "left").withColumn("tag", packed).drop("__s", *[f"b{level}" for level in levels])
+    return df.join(util.bounded(known), F.col("sysname") == F.col("__s"), "left").withColumn("tag", packed).drop("__s", *[f"b{level}" for level in levels])

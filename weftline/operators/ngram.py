@@ -2,27 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.operators import util
+
 
 def _grams(seqs: DataFrame, n: int, *keep: str) -> DataFrame:
+    """(keep, pos, context, word) of each n-gram; the places are exploded first, so the rest stays in generated code."""
     padded = F.concat(F.array_repeat(F.lit(2), n - 2), F.slice(F.col("call"), F.lit(1), F.greatest(F.size("call") - 1, F.lit(0))))
     rows = seqs.select(*keep, padded.alias("__s")).where(F.size("__s") >= n)
-    grams = F.transform(F.sequence(F.lit(1), F.size("__s") - (n - 1)), lambda i: F.struct(i.alias("pos"), F.slice("__s", i, n - 1).alias("context"), F.get("__s", i + n - 2).alias("word")))
-    return rows.select(*keep, F.explode(grams).alias("g")).select(*keep, "g.pos", "g.context", "g.word")
+    rows = rows.select(*keep, "__s", F.explode(F.sequence(F.lit(1), F.size("__s") - (n - 1))).alias("pos"))
+    return rows.select(*keep, "pos", F.slice("__s", F.col("pos"), n - 1).alias("context"), F.get("__s", F.col("pos") + n - 2).alias("word"))
+
 
+def ngram_count(seqs: DataFrame, n: int, max_sample: int | None = None, with_first: bool = False) -> DataFrame:
+    """(context, word, c, n): counts over the requests (rn, with max_sample only the first), and those of the context.
 
-def ngram_count(seqs: DataFrame, n: int, max_sample: int | None = None) -> DataFrame:
-    """(context, word, c, n, first): counts over the requests (rn, with max_sample only the first), and where a word was first seen."""
+    with_first: also ``first``, where the word was first seen, as one number that orders by (rn, pos).
+    """
     kept = seqs if max_sample is None else seqs.where(F.col("rn") <= max_sample)
-    counts = _grams(kept, n, "rn").groupBy("context", "word").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("rn", "pos")).alias("first"))
-    totals = counts.groupBy("context").agg(F.sum("c").alias("n"))
-    return counts.join(totals, "context").select("context", "word", "c", "n", "first")
+    # one number, not a struct: only a buffer of fixed size lets the partial counts be hashed instead of sorted
+    place = (F.col("rn").cast("decimal(20,0)") * F.lit(10**12).cast("decimal(13,0)") + F.col("pos")).cast("decimal(38,0)")
+    first = [F.min(place).alias("first")] if with_first else []
+    counts = _grams(kept, n, *(["rn"] if with_first else [])).groupBy("context", "word").agg(F.count(F.lit(1)).alias("c"), *first)
+    total = F.sum("c").over(Window.partitionBy("context"))  # a context has a row for each word of the vocabulary at most
+    return counts.withColumn("n", total).select("context", "word", "c", "n", *(["first"] if with_first else []))
 
 
 def ngram_predict(counts: DataFrame) -> DataFrame:
-    """(context, prediction): the most frequent word; ties: the one seen first."""
+    """(context, prediction): the most frequent word; ties: the one seen first. counts: with_first."""
     return counts.groupBy("context").agg(F.min(F.struct((-F.col("c")).alias("c"), "first", "word")).alias("b")).select("context", F.col("b.word").alias("prediction"))
 
 
@@ -34,11 +43,19 @@ def ngram_accuracy(seqs: DataFrame, counts: DataFrame, n: int, by: str = "datase
     return out.withColumn("accuracy", F.col("correct") / F.col("total"))
 
 
-def ngram_nll(seqs: DataFrame, counts: DataFrame, n: int, epsilon: float, keys: list[str]) -> DataFrame:
-    """(keys, word, m, nll): negative log-likelihood of each distinct n-gram of a request."""
-    asked = _grams(seqs, n, *keys).groupBy(*keys, "context", "word").agg(F.count(F.lit(1)).alias("m"))
-    known = asked.join(counts.select("context", "word", "c", "n"), ["context", "word"], "left")
-    return known.select(*keys, "word", "m", (-F.log(F.coalesce(F.col("c") / F.col("n"), F.lit(epsilon)))).alias("nll"))
+def ngram_nll(seqs: DataFrame, counts: DataFrame, n: int, epsilon: float, keys: list[str], most: int = util.BROADCAST_ROWS) -> DataFrame:
+    """(keys, word, m, nll): negative log-likelihood of the n-grams of a request, m of which are alike.
+
+    If there are at most ``most`` counts, each n-gram looks its own up and no n-gram is shuffled; else the distinct ones of
+    each request are joined to them.
+    """
+    counts = util.cut(counts.select("context", "word", (F.col("c") / F.col("n")).alias("share")))
+    asked, known = _grams(seqs, n, *keys), util.bounded(counts, most)
+    nll = (-F.log(F.coalesce(F.col("share"), F.lit(epsilon)))).alias("nll")
+    if known is not counts:
+        return asked.join(known, ["context", "word"], "left").select(*keys, "word", F.lit(1).cast("bigint").alias("m"), nll)
+    asked = asked.groupBy(*keys, "context", "word").agg(F.count(F.lit(1)).alias("m"))
+    return asked.join(known, ["context", "word"], "left").select(*keys, "word", "m", nll)
 
 
 def event_score(token_nll: DataFrame, keys: list[str]) -> DataFrame:

@@ -96,7 +96,7 @@ def vocab_build(assigned: DataFrame, col: str) -> DataFrame:
 
 def vocab_encode(df: DataFrame, vocab: DataFrame, col: str, into: str) -> DataFrame:
     """Word to index, 1 if unknown; the vocabulary is one row per distinct call or process name."""
-    return df.join(F.broadcast(vocab.select(F.col("idx").alias("__idx"), F.col("word").alias("__word"))), F.col(col) == F.col("__word"), "left").withColumn(into, F.coalesce("__idx", F.lit(UNKNOWN))).drop("__idx", "__word")
+    return df.join(util.bounded(vocab.select(F.col("idx").alias("__idx"), F.col("word").alias("__word"))), F.col(col) == F.col("__word"), "left").withColumn(into, F.coalesce("__idx", F.lit(UNKNOWN))).drop("__idx", "__word")
 
 
 def build_sequences(encoded: DataFrame) -> DataFrame:

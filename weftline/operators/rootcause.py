@@ -1,11 +1,19 @@
-"""Root cause by error vectors (H1-H10). Representatives are few per class and are broadcast; vectors are many."""
+"""Root cause by error vectors (H1-H10). Vectors are many; so may be the representatives, which are broadcast only if they are few."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.operators import util
+
 KINDS = ("event", "duration", "average")
+#: Most representatives that are sent to every task; vectors of one side of a block beyond that.
+FEW, BLOCK = 1_000, 2_000
 
 
 def error_vectors(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -25,19 +33,27 @@ def class_mean(vectors: DataFrame, cls: str = "cls", components: str = "componen
     return long.groupBy(cls).agg(F.sort_array(F.collect_list(F.struct("pos", "m"))).alias("x")).select(cls, F.col("x.m").alias("components"))  # one row per component
 
 
-def class_centroids(vectors: DataFrame, k: int = 3, seed: int = 1, cls: str = "cls", components: str = "components") -> DataFrame:
-    """H4: (cls, k, components): k-means centres of each class. Classes are few; each is fitted by Spark over its own rows."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+def class_centroids(vectors: DataFrame, k: int = 3, seed: int = 1, cls: str = "cls", components: str = "components", most_rounds: int = 20, settled: float = 1e-12) -> DataFrame:
+    """H4: (cls, k, components): k-means centres of each class, all classes at once.
 
-    rows = vectors.select(cls, F.col(components).alias("components"), array_to_vector(components).alias("features")).cache()
-    out = None
-    for (name,) in sorted(tuple(r) for r in rows.select(cls).distinct().collect()):
-        model = KMeans(k=k, seed=seed, maxIter=20).fit(rows.where(F.col(cls) == name))
-        centres = vectors.sparkSession.createDataFrame([(name, i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], f"{cls} {vectors.schema[cls].dataType.simpleString()}, k int, components array<double>")
-        out = centres if out is None else out.unionByName(centres)
-    rows.unpersist()
-    return out if out is not None else vectors.sparkSession.createDataFrame([], f"{cls} {vectors.schema[cls].dataType.simpleString()}, k int, components array<double>")
+    Lloyd's rounds from the k distinct vectors of a class with the least hash: a vector goes to the nearest centre of its class (ties: the
+    least k), a centre to the mean of its vectors, until no centre moves or ``most_rounds`` are over. The state is one row per
+    class and centre.
+    """
+    rows = vectors.select(F.col(cls).alias("c"), F.col(components).alias("x"))
+    first = rows.distinct().withColumn("k", F.row_number().over(Window.partitionBy("c").orderBy(F.xxhash64("x", F.lit(seed)), "x")) - 1)
+    centres = util.cut(first.where(F.col("k") < k).select("c", "k", F.col("x").alias("m")))
+    for _ in range(most_rounds):
+        old = centres.groupBy("c").agg(F.collect_list(F.struct("k", "m")).alias("all"))  # k centres a class
+        near = F.array_min(F.transform("all", lambda s: F.struct(squared_distance(F.col("x"), s["m"]).alias("d"), s["k"].alias("k"))))["k"]
+        placed = rows.join(util.bounded(old), "c").select("c", near.alias("k"), F.posexplode("x").alias("pos", "v"))
+        means = placed.groupBy("c", "k", "pos").agg(F.avg("v").alias("v")).groupBy("c", "k").agg(F.sort_array(F.collect_list(F.struct("pos", "v"))).alias("n"))
+        both = centres.join(means.select("c", "k", F.col("n.v").alias("n")), ["c", "k"], "left").withColumn("n", F.coalesce("n", "m"))
+        both = util.cut(both.withColumn("moved", squared_distance(F.col("m"), F.col("n"))))
+        centres = both.select("c", "k", F.col("n").alias("m"))
+        if (both.agg(F.max("moved")).first()[0] or 0) <= settled:
+            break
+    return centres.select(F.col("c").alias(cls), "k", F.col("m").alias("components"))
 
 
 def squared_distance(a: Column, b: Column) -> Column:
@@ -48,32 +64,96 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
 
 
-def class_exemplars(vectors: DataFrame, key: str = "vec_id", cls: str = "cls", components: str = "components") -> DataFrame:
+def _blocks(rows: DataFrame, by: str | None, name: str, size: int) -> DataFrame:
+    """``name``: one of as many blocks of about size rows as the rows (of each by) fill, and ``n_<name>``, how many there are."""
+    n = F.ceil(F.count(F.lit(1)) / size).cast("int").alias(f"n_{name}")
+    sizes = rows.groupBy(F.col(by).alias("__of")).agg(n) if by else rows.agg(n).withColumn("__of", F.lit(0))
+    out = rows.join(util.bounded(sizes), (F.col(by) if by else F.lit(0)) == F.col("__of")).drop("__of")
+    return out.withColumn(name, F.pmod(F.xxhash64("id"), F.col(f"n_{name}")).cast("int"))
+
+
+def _least_distances(left: pa.Table, right: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For slices of left: the squared distance to the nearest of right and its place; an id is not near itself."""
+    y = np.array(right["x"].to_pylist(), dtype=float)
+    ids = right["id"].to_numpy()
+    for at in range(0, len(left), 256):
+        part = left.slice(at, 256)
+        x = np.array(part["x"].to_pylist(), dtype=float)
+        d = np.zeros((len(x), len(y)))
+        for c in range(y.shape[1]):
+            d += np.square(x[:, c, None] - y[None, :, c])
+        d[part["id"].to_numpy()[:, None] == ids[None, :]] = np.inf
+        best = d.argmin(axis=1)
+        yield d[np.arange(len(d)), best], best
+
+
+def class_exemplars(vectors: DataFrame, key: str = "vec_id", cls: str = "cls", components: str = "components", size: int = BLOCK) -> DataFrame:
     """H5: the vectors of a class whose distance to their nearest neighbour in it is at most the median of these distances.
 
-    Vectors are those of batches, so a class is small beside the data it stands for; the join is within a class.
+    A class is split into blocks; each pair of blocks is a group that gives one row for each vector of the first block,
+    the distance to its nearest in the second. Keys are integers.
     """
-    a = vectors.select(F.col(cls).alias("c"), F.col(key).alias("a"), F.col(components).alias("x"))
-    b = vectors.select(F.col(cls).alias("c"), F.col(key).alias("b"), F.col(components).alias("y"))
-    near = a.join(b, "c").where("a <> b").groupBy("c", "a").agg(F.min(squared_distance(F.col("x"), F.col("y"))).alias("d"))
-    middle = near.groupBy("c").agg(F.percentile(F.sqrt("d"), 0.5).alias("median"))
-    kept = near.join(middle, "c").where(F.sqrt("d") <= F.col("median")).select(F.col("a").alias(key), F.sqrt("d").alias("nearest"))
+    rows = _blocks(vectors.select(F.col(cls).alias("c"), F.col(key).cast("bigint").alias("id"), F.col(components).alias("x")), "c", "b", size)
+    every = F.explode(F.sequence(F.lit(0), F.col("n_b") - 1))
+    columns = [F.col(c).alias(c) for c in ("c", "id", "x")]  # aliases, as both sides are the same rows
+    left = rows.select(*columns, F.col("b").alias("i"), every.alias("j"))
+    right = rows.select(*columns, F.col("b").alias("j"), every.alias("i"))
+
+    def near(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not len(a) or not len(b):
+            return pa.table({"c": a["c"].slice(0, 0), "id": pa.array([], pa.int64()), "d": pa.array([], pa.float64())})
+        d = np.concatenate([d for d, _ in _least_distances(a, b)])
+        some = np.flatnonzero(np.isfinite(d))
+        return pa.table({"c": a["c"].take(pa.array(some)), "id": a["id"].take(pa.array(some)), "d": pa.array(d[some])})
+
+    found = left.groupBy("c", "i", "j").cogroup(right.groupBy("c", "i", "j")).applyInArrow(near, f"c {rows.schema['c'].dataType.simpleString()}, id bigint, d double")
+    least = util.cut(found.groupBy("c", "id").agg(F.sqrt(F.min("d")).alias("nearest")))
+    middle = util.medians(least, "c", "nearest", "median").withColumnRenamed("c", "m")
+    kept = least.join(util.bounded(middle), F.col("c") == F.col("m")).where("nearest <= median").select(F.col("id").alias(key), "nearest")
     return vectors.join(kept, key)
 
 
-def nearest(vectors: DataFrame, representatives: DataFrame, key: str = "vec_id", cls: str = "cls", components: str = "components") -> DataFrame:
-    """H6, H7: (key, predicted, distance): class of the nearest representative; ties: the least class."""
-    reps = F.broadcast(representatives.select(F.col(cls).alias("__c"), F.col(components).alias("__r")))
-    rows = vectors.crossJoin(reps).groupBy(key).agg(F.min(F.struct(squared_distance(F.col(components), F.col("__r")).alias("d"), F.col("__c").alias("c"))).alias("b"))
-    return rows.select(key, F.col("b.c").alias("predicted"), F.sqrt("b.d").alias("distance"))
+def nearest(vectors: DataFrame, representatives: DataFrame, key: str = "vec_id", cls: str = "cls", components: str = "components", few: int = FEW, size: int = BLOCK) -> DataFrame:
+    """H6, H7: (key, predicted, distance): class of the nearest representative; ties: the least class.
+
+    Up to ``few`` representatives go to every vector as one array; more are split into blocks, and so are the vectors, and each
+    pair of blocks gives one row for each of its vectors. Keys are integers.
+    """
+    reps = util.cut(representatives.select(F.col(cls).alias("c"), F.col(components).alias("r")))
+    if reps.limit(few + 1).count() <= few:
+        all_ = reps.agg(F.collect_list(F.struct("c", "r")).alias("__all"))
+        best = F.array_min(F.transform("__all", lambda s: F.struct(squared_distance(F.col(components), s["r"]).alias("d"), s["c"].alias("c"))))
+        rows = vectors.crossJoin(F.broadcast(all_)).select(key, best.alias("b"))
+        return rows.select(key, F.col("b.c").alias("predicted"), F.sqrt("b.d").alias("distance"))
+    left = _blocks(vectors.select(F.col(key).cast("bigint").alias("id"), F.col(components).alias("x")), None, "i", size)
+    right = _blocks(reps.select("c", F.col("r").alias("x"), F.xxhash64("c", "r").alias("id")), None, "j", size)
+    counts = [util.cut(df.select(f"n_{c}").limit(1)) for df, c in ((left, "i"), (right, "j"))]
+    left = left.crossJoin(F.broadcast(counts[1])).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n_j") - 1)))
+    right = right.crossJoin(F.broadcast(counts[0])).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n_i") - 1)))
+    kind = representatives.schema[cls].dataType.simpleString()
+
+    def near(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not len(a) or not len(b):
+            return pa.table({"id": a["id"].slice(0, 0), "d": pa.array([], pa.float64()), "c": b["c"].slice(0, 0)})
+        b = b.sort_by("c").set_column(b.schema.get_field_index("id"), "id", pa.array([None] * len(b), pa.int64()))  # of equally near ones the first
+        parts = list(_least_distances(a, b))
+        return pa.table({"id": a["id"], "d": pa.array(np.concatenate([d for d, _ in parts])), "c": b["c"].take(pa.array(np.concatenate([at for _, at in parts])))})
+
+    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(near, f"id bigint, d double, c {kind}")
+    best = found.groupBy("id").agg(F.min(F.struct("d", "c")).alias("b"))  # one row a block
+    return best.select(F.col("id").alias(key), F.col("b.c").alias("predicted"), F.sqrt("b.d").alias("distance"))
 
 
 def best_cosine(vectors: DataFrame, means: DataFrame, key: str = "vec_id", cls: str = "cls", components: str = "components") -> DataFrame:
     """H8: (key, predicted, similarity): class of the mean vector with the highest cosine; ties: the least class."""
-    reps = F.broadcast(means.select(F.col(cls).alias("__c"), F.col(components).alias("__r")))
-    x, r = F.col(components), F.col("__r")
-    cosine = F.coalesce(F.try_divide(dot(x, r), F.sqrt(dot(x, x)) * F.sqrt(dot(r, r))), F.lit(0.0))
-    rows = vectors.crossJoin(reps).groupBy(key).agg(F.min(F.struct((-cosine).alias("d"), F.col("__c").alias("c"))).alias("b"))
+    all_ = means.agg(F.collect_list(F.struct(F.col(cls).alias("c"), F.col(components).alias("r"))).alias("__all"))  # one mean a class
+    x = F.col(components)
+
+    def cosine(r: Column) -> Column:
+        return F.coalesce(F.try_divide(dot(x, r), F.sqrt(dot(x, x)) * F.sqrt(dot(r, r))), F.lit(0.0))
+
+    best = F.array_min(F.transform("__all", lambda s: F.struct((-cosine(s["r"])).alias("d"), s["c"].alias("c"))))
+    rows = vectors.crossJoin(F.broadcast(all_)).select(key, best.alias("b"))
     return rows.where("b.d < 1").select(key, F.col("b.c").alias("predicted"), (-F.col("b.d")).alias("similarity"))
 
 

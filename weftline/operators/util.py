@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the one the cluster names in spark.checkpoint.dir (a temporary one only where that is unset)."""
+    """A new folder below the one the cluster names in spark.checkpoint.dir (a temporary one where that is unset, on one machine alone)."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return f"{context.getCheckpointDir()}/{os.urandom(8).hex()}"
 
 
@@ -41,20 +44,80 @@ def ordinal(df: DataFrame, by: list[str], order: list[str], name: str = "rn") ->
     return out.withColumn(name, F.col("__g")).drop("__at", "__p", "__before", "__g")
 
 
+#: Rows that are counted before they are broadcast.
+BROADCAST_ROWS = 1_000_000
+#: How much wider the buckets of a level are than those of the level below.
+WIDER = 16
+
+
+def bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df, marked for broadcast if it has at most so many rows; it is counted, so it should be small or written."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def running(df: DataFrame, by: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """``name``: the sum of value over the rows before, in order within by, without one task that sees all rows of a by.
+
+    As ``ordinal``: rows are dealt out by ranges; sums of partitions (one row for each of them and by) give the start of each.
+    """
+    keys = [*by, *order]
+    placed = cut(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__at", F.monotonically_increasing_id()))
+    placed = placed.withColumn("__p", F.shiftright("__at", 33))
+    before = Window.partitionBy(*by).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy(*by, "__p").agg(F.sum(value).alias("__s"))
+    sums = sums.select(*[F.col(c).alias(f"__b{i}") for i, c in enumerate(by)], F.col("__p").alias("__q"), F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__before"))
+    on = (F.col("__p") == F.col("__q")) & F.expr(" and ".join(f"{c} <=> __b{i}" for i, c in enumerate(by)) or "true")
+    here = Window.partitionBy("__p", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = placed.withColumn("__here", F.coalesce(F.sum(value).over(here), F.lit(0))).join(bounded(sums), on)
+    return out.withColumn(name, F.col("__before") + F.col("__here")).drop("__at", "__p", "__q", "__before", "__here", *[f"__b{i}" for i in range(len(by))])
+
+
+def medians(df: DataFrame, by: str, column: str, name: str) -> DataFrame:
+    """(by, name): the exact median (the mean of the middle two) of the values of each by; nulls don't count."""
+    counted = df.where(F.col(column).isNotNull()).groupBy(by, F.col(column).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+    ranked = running(counted, [by], ["__v"], "__c", "__r")
+    sizes = ranked.groupBy(F.col(by).alias("__by")).agg(F.sum("__c").alias("__n"))
+    rows = ranked.join(bounded(sizes), F.col(by).eqNullSafe(F.col("__by")))
+    holds = lambda at: (F.col("__r") < at) & (F.col("__r") + F.col("__c") >= at)
+    low, high = F.call_function("div", F.col("__n") + 1, F.lit(2).cast("bigint")), F.call_function("div", F.col("__n"), F.lit(2).cast("bigint")) + 1
+    middle = rows.groupBy(by).agg(F.max(F.when(holds(low), F.col("__v"))).alias("__lo"), F.max(F.when(holds(high), F.col("__v"))).alias("__hi"))
+    return middle.select(by, ((F.col("__lo") + F.col("__hi")) / 2).alias(name))
+
+
 def interval_join(points: DataFrame, intervals: DataFrame, at: str, start: str, end: str, bucket: int) -> DataFrame:
-    """Pairs with start < at < end. Each interval goes to the buckets it touches, so the join is on equality; a point has one bucket."""
-    touched = F.sequence(F.floor(F.col(start) / bucket), F.floor(F.col(end) / bucket))
-    left = points.withColumn("__bucket", F.floor(F.col(at) / bucket))
-    right = intervals.withColumn("__bucket", F.explode(touched))
-    return left.join(right, "__bucket").where((F.col(at) > F.col(start)) & (F.col(at) < F.col(end))).drop("__bucket")
+    """Pairs with start < at < end, by a join on buckets.
+
+    An interval belongs to the level whose buckets (``bucket`` wide, each level ``WIDER`` times the one below) are the first that are no
+    shorter, so it touches two at most; a point goes to its bucket of each level that there is.
+    """
+    length = F.greatest(F.col(end) - F.col(start), F.lit(1))
+    level = F.greatest(F.lit(0), F.ceil(F.log(length / F.lit(float(bucket))) / F.log(F.lit(float(WIDER)))).cast("int"))
+    of = intervals.withColumn("__level", level)
+    levels = sorted(r[0] for r in of.select("__level").distinct().collect() if r[0] is not None)  # some ten at most
+    wide = lambda column: F.floor(column / (F.lit(bucket).cast("bigint") * F.pow(F.lit(WIDER), F.col("__level")).cast("bigint")))
+    left = points.withColumn("__level", F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>"))).withColumn("__bucket", wide(F.col(at)))
+    right = of.withColumn("__bucket", F.explode(F.sequence(wide(F.col(start)), wide(F.col(end)))))
+    return left.join(right, ["__level", "__bucket"]).where((F.col(at) > F.col(start)) & (F.col(at) < F.col(end))).drop("__bucket", "__level")
+
+
+def _later(heads: DataFrame, group: int = 4096, levels: int = 3) -> DataFrame:
+    """(__bucket, __later): the least head of the buckets after each; by groups of buckets, and groups of groups above."""
+    if levels == 0:
+        after = Window.orderBy("__bucket").rowsBetween(1, Window.unboundedFollowing)  # one row for group ** 3 buckets
+        return heads.select("__bucket", F.min("__head").over(after).alias("__later"))
+    rows = heads.withColumn("__up", F.floor(F.col("__bucket") / group))
+    after = Window.partitionBy("__up").orderBy("__bucket").rowsBetween(1, Window.unboundedFollowing)
+    above = _later(rows.groupBy(F.col("__up").alias("__bucket")).agg(F.min("__head").alias("__head")), group, levels - 1)
+    above = above.select(F.col("__bucket").alias("__u"), F.col("__later").alias("__beyond"))
+    rows = rows.withColumn("__own", F.min("__head").over(after)).join(above, F.col("__up") == F.col("__u"))
+    return rows.select("__bucket", F.coalesce("__own", "__beyond").alias("__later"))
 
 
 def next_point(rows: DataFrame, points: DataFrame, at: str, point: str, bucket: int) -> DataFrame:
-    """``point``: the least point above at, null if there is none. Within buckets by a window, across them over one row per bucket."""
+    """``point``: the least point above at, null if there is none. Within buckets by a window, across them over one row per bucket, in groups."""
     tagged = rows.withColumns({"__x": F.col(at), "__point": F.lit(None).cast("bigint")}).unionByName(points.select(F.col(point).alias("__x"), F.col(point).alias("__point")), allowMissingColumns=True)
     tagged = tagged.withColumn("__bucket", F.floor(F.col("__x") / bucket))
     ahead = Window.partitionBy("__bucket").orderBy("__x", F.col("__point").isNull().cast("int")).rowsBetween(1, Window.unboundedFollowing)
     inside = tagged.withColumn("__next", F.min("__point").over(ahead)).where("__point is null")
     heads = tagged.groupBy("__bucket").agg(F.min("__point").alias("__head"))
-    later = heads.select(F.col("__bucket"), F.min("__head").over(Window.orderBy("__bucket").rowsBetween(1, Window.unboundedFollowing)).alias("__later"))
-    return inside.join(later, "__bucket").withColumn(point, F.coalesce("__next", "__later")).drop("__x", "__point", "__bucket", "__next", "__later")
+    return inside.join(_later(heads), "__bucket").withColumn(point, F.coalesce("__next", "__later")).drop("__x", "__point", "__bucket", "__next", "__later")

@@ -345,6 +345,10 @@ def _counts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return seqs, ngram.ngram_count(seqs.where(_TRAIN), N)
 
 
+def _firsts(seqs: DataFrame) -> DataFrame:
+    return ngram.ngram_count(seqs.where(_TRAIN), N, with_first=True)
+
+
 @query(f"WITH {o.SYMBOLS} SELECT context, word::int AS word, c, n::bigint AS n FROM cn")
 def E1_ngram_count(spark: SparkSession, sf: str) -> DataFrame:
     return _counts(spark, sf)[1].select(*joined("context"), "word", "c", "n")
@@ -352,13 +356,13 @@ def E1_ngram_count(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {o.SYMBOLS} SELECT context, arg_min(word, {{'c': -c, 'f': first}})::int AS prediction FROM cn GROUP BY context")
 def E2_ngram_predict(spark: SparkSession, sf: str) -> DataFrame:
-    return ngram.ngram_predict(_counts(spark, sf)[1]).select(*joined("context"), "prediction")
+    return ngram.ngram_predict(_firsts(fx.symbols(spark, sf))).select(*joined("context"), "prediction")
 
 
 @query(f"""WITH {o.SYMBOLS}, pr AS (SELECT context, arg_min(word, {{'c': -c, 'f': first}}) AS prediction FROM cn GROUP BY context) SELECT dataset, count(*) FILTER (prediction = word)::bigint AS correct, count(*) AS total, round(count(*) FILTER (prediction = word) / count(*), 6) AS accuracy FROM g LEFT JOIN pr USING (context) WHERE role <> 'train' GROUP BY dataset""")
 def E3_ngram_accuracy(spark: SparkSession, sf: str) -> DataFrame:
-    seqs, counts = _counts(spark, sf)
-    return rounded(ngram.ngram_accuracy(seqs.where("role <> 'train'"), counts, N))
+    seqs = fx.symbols(spark, sf)
+    return rounded(ngram.ngram_accuracy(seqs.where("role <> 'train'"), _firsts(seqs), N))
 
 
 @query(f"WITH {o.PERPLEXITY} SELECT \"set\", role, rn, round(score, 6) AS perplexity FROM pp")
@@ -492,24 +496,24 @@ bv AS (SELECT * FROM bal WHERE role = 'valid'), bs AS (SELECT * FROM bal WHERE r
 @query(_detection_sql("dd AS (SELECT role, CASE WHEN \"set\" = 'en' THEN 'known' ELSE \"set\" END AS \"set\", \"set\" <> 'en' AS novel, rn, score FROM pp WHERE role <> 'train')"))
 def F15_detection_ngram(spark: SparkSession, sf: str) -> DataFrame:
     seqs = fx.symbols(spark, sf)
-    part = lambda role, known: seqs.where((F.col("role") == role) & ((F.col("set") == "en") == F.lit(known)))
+    rows = seqs.where("role <> 'train'").withColumn("novel", F.col("set") != "en")
     links = spark.createDataFrame([(s, s) for s in ("de", "es", "fr")], "valid_name string, test_name string")
-    return rounded(detect.detection_ngram(part("train", True), part("valid", True), part("valid", False), part("test", True), part("test", False), links, N, EPSILON))
+    return rounded(detect.detection_ngram(seqs.where(_TRAIN), rows, links, N, EPSILON))
 
 
 @query(_detection_sql("dd AS (SELECT role, CASE WHEN rn % 2 = 0 THEN 'known' ELSE 'odd' END AS \"set\", rn % 2 = 1 AS novel, rn, score FROM pp WHERE \"set\" = 'en' AND role <> 'train')"))
 def F15_detection_ngram_overlap(spark: SparkSession, sf: str) -> DataFrame:
     seqs = fx.symbols(spark, sf).where("set = 'en'").withColumn("set", F.lit("odd"))
-    part = lambda role, odd: seqs.where((F.col("role") == role) & (F.col("rn") % 2 == odd))
+    rows = seqs.where("role <> 'train'").withColumn("novel", F.col("rn") % 2 == 1)
     links = spark.createDataFrame([("odd", "odd")], "valid_name string, test_name string")
-    return rounded(detect.detection_ngram(seqs.where("role = 'train'"), part("valid", 0), part("valid", 1), part("test", 0), part("test", 1), links, N, EPSILON))
+    return rounded(detect.detection_ngram(seqs.where("role = 'train'"), rows, links, N, EPSILON))
 
 
 # G. Adaptive tracing
 
 _DRAW = "('0x' || substr(md5('s|' || \"set\" || '|' || ratio_pct || '|' || repeat || '|' || {}), 1, 8))::bigint"
 _MIXED = f"""WITH {o.SCORES}, kn AS (SELECT count(*) AS nk FROM d WHERE role = 'test' AND NOT novel), st AS (SELECT "set", count(*) AS nn, any_value(nk) AS nk FROM d, kn WHERE role = 'test' AND novel GROUP BY "set"),
-gr AS (SELECT *, least(ratio_pct * nk // 100, nn) AS size FROM st, range(0, 101, 10) a(ratio_pct), range(0, 2) b(repeat)), g2 AS (SELECT *, {_DRAW.format("'start'")} % (nn - size + 1) AS start FROM gr),
+gr AS (SELECT *, least(ratio_pct * nk // 100, nn) AS size FROM st, range(0, 101, 10) a(ratio_pct), range(0, 30) b(repeat)), g2 AS (SELECT *, {_DRAW.format("'start'")} % (nn - size + 1) AS start FROM gr),
 bl AS (SELECT *, CASE WHEN block = 400 THEN nk ELSE 1 + {_DRAW.format("block || '|known'")} % greatest(1, nk // 10) END AS kk, CASE WHEN block = 400 THEN size WHEN {_DRAW.format("block || '|coin'")} % 2 = 0 THEN 1 + {_DRAW.format("block || '|novel'")} % greatest(1, size // 5) ELSE 0 END AS bb FROM g2, range(0, 401) c(block)),
 cu AS (SELECT *, least(sum(kk) OVER w, nk)::bigint AS k1, least(sum(bb) OVER w, size)::bigint AS n1 FROM bl WINDOW w AS (PARTITION BY "set", ratio_pct, repeat ORDER BY block)), lg AS (SELECT *, coalesce(lag(k1) OVER w, 0) AS k0, coalesce(lag(n1) OVER w, 0) AS n0 FROM cu WINDOW w AS (PARTITION BY "set", ratio_pct, repeat ORDER BY block)),
 mx AS (SELECT "set", ratio_pct, repeat, 0 AS y_true, o AS ordinal, o + n0 - 1 AS pos FROM (SELECT *, unnest(range(k0 + 1, k1 + 1)) AS o FROM lg) UNION ALL SELECT "set", ratio_pct, repeat, 1, o + start, o + k1 - 1 FROM (SELECT *, unnest(range(n0 + 1, n1 + 1)) AS o FROM lg)) """
@@ -520,7 +524,7 @@ def G1_mixed_scenario(spark: SparkSession, sf: str) -> DataFrame:
     rows = fx.scores(spark, sf).where("role = 'test'")
     known = util.ordinal(rows.where("not novel").select("id"), [], ["id"], "ordinal").select("ordinal")
     novel = util.ordinal(rows.where("novel").select("set", "id"), ["set"], ["id"], "ordinal").select("set", "ordinal")
-    mixed = adaptive.mixed_scenario(known, novel, repeats=2)
+    mixed = adaptive.mixed_scenario(known, novel)
     return mixed.groupBy("set", "ratio_pct", "repeat", "y_true").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("pos") * F.col("ordinal")).alias("digest"), F.min("pos").alias("first"), F.max("pos").alias("last"), F.min("ordinal").alias("low"), F.max("ordinal").alias("high"))
 
 
