@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import events as ev
 from weftline.functions import sequences as sq
-from weftline.operators import adaptive, detect, durations, ngram, requests, rootcause, scoring, stats, util
+from weftline.operators import adaptive, detect, durations, jobs, ngram, requests, rootcause, scoring, stats, util
 from weftline.plans import fixtures as fx
 from weftline.plans import oracles as o
 from weftline.sources import tables
@@ -638,6 +638,81 @@ def H10_root_cause_gated(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(rootcause.root_cause_gated(rows, rows.select("set", "batch").distinct().withColumn("right", F.col("batch") % 3 != 0), best))
 
 
+# Whole jobs
+
+
+def _part(test: str) -> str:
+    """The CTEs of a trace of some of the threads."""
+    return o.ASSIGNED.replace("FROM e)", f"FROM e WHERE {test})")
+
+
+_TRAIN_T, _TEST_T = "user_id % 4 <> 3", "user_id % 4 = 3"
+_EVERY = [s for level in durations.LEVELS for s in durations.shares(level)]
+_JOB_SPANS = _CHUNKS.replace("FROM e)", f"FROM e WHERE {_TRAIN_T})").replace("(rn - 1) // 100 AS chunk", "CASE WHEN rn <= 150 THEN 0 ELSE (rn - 151) // 100 + 1 END AS chunk").replace(str(durations.shares(6)), str(_EVERY)).replace("range(0, 4)", f"range(0, {len(_EVERY)})")
+_AT = [sum(level - 2 for level in durations.LEVELS[:i]) for i in range(len(durations.LEVELS) + 1)]
+_SLICES = ", ".join(f"bs[{_AT[i] + 1}:{_AT[i + 1]}] AS b{level}" for i, level in enumerate(durations.LEVELS))
+_JOB = f"""WITH tr AS MATERIALIZED (WITH {_part(_TRAIN_T)} SELECT * FROM x), te AS MATERIALIZED (WITH {_part(_TEST_T)} SELECT * FROM x),
+ms AS (SELECT sysname, list(round(boundary, 3) ORDER BY pos) AS bs FROM ({_JOB_SPANS} SELECT chunk, sysname, pos, sum(b * n) OVER w / sum(n) OVER w AS boundary, max(chunk) OVER (PARTITION BY sysname) AS lastc FROM cl WINDOW w AS (PARTITION BY sysname, pos ORDER BY chunk ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) WHERE chunk = lastc GROUP BY sysname),
+sp AS (SELECT sysname, {_SLICES} FROM ms),
+x AS (SELECT * REPLACE ('train' AS dataset) FROM tr UNION ALL SELECT * REPLACE ('test' AS dataset) FROM te),
+vc AS (SELECT row_number() OVER (ORDER BY f, word) + 4 AS idx, word FROM (SELECT sysname AS word, min({{'rn': rn, 'seq': seq}}) AS f FROM tr GROUP BY 1)),
+vp AS (SELECT row_number() OVER (ORDER BY f, word) + 4 AS idx, word FROM (SELECT procname AS word, min({{'rn': rn, 'seq': seq}}) AS f FROM tr GROUP BY 1)),
+{o.SEQUENCES[o.SEQUENCES.index("en AS (SELECT x.*"):]} """
+
+
+@query(_JOB + f"SELECT dataset, request_id, rn, {_cols(*ARRAYS)}, start_ts, round(duration_ms, 6) AS duration_ms FROM sq")
+def J1_prepare(spark: SparkSession, sf: str) -> DataFrame:
+    """Two traces by thread; what the first teaches encodes both. Read back from what was written."""
+    whole = fx.trace(spark, sf)
+    folder = util.shared_folder(spark)
+    jobs.prepare({"train": whole.where("tid % 4 <> 3"), "test": whole.where("tid % 4 = 3")}, "train", folder, chunk=100, first=150)
+    rows = spark.read.parquet(f"{folder}/sequences/train").unionByName(spark.read.parquet(f"{folder}/sequences/test"))
+    return rounded(rows.select("dataset", "request_id", "rn", *joined(*ARRAYS), "start_ts", "duration_ms"))
+
+
+_SCENARIOS = _MIXED.rstrip().removesuffix(")") + """), bv AS (SELECT "set", id, label, event_score AS score FROM bal WHERE role = 'valid'), """ + o.sweep("bv", 100, "z") + """,
+nu AS (SELECT d.*, epoch_us(e.ts) // 1000 AS ts_ms, row_number() OVER (PARTITION BY CASE WHEN d.novel THEN d."set" END ORDER BY id) AS o FROM d JOIN e ON e.event_id = id WHERE role = 'test'),
+w AS (SELECT mx."set" || '|' || ratio_pct || '|' || repeat AS scenario, mx."set" || '|' || ratio_pct AS ratio, pos::bigint AS pos, y_true::int AS y_true, (event_score > threshold)::int AS y_pred, ts_ms FROM mx JOIN zbt bt ON bt."set" = mx."set" JOIN nu ON nu.o = mx.ordinal AND nu.novel = (y_true = 1) AND (NOT nu.novel OR nu."set" = mx."set")),
+d2 AS (SELECT scenario, pos // 16 AS win, (sum(y_pred) > 0.8 * 16)::int AS do_trace, (sum(y_true) > 0.8 * 16)::int AS should_trace FROM w GROUP BY ALL HAVING count(*) = 16)"""
+
+
+@query(_SCENARIOS + _DELAY.replace("d.*", "d2.*").replace("d.scenario", "d2.scenario").replace("FROM d)", "FROM d2)") + """, ce AS (SELECT ratio, w.scenario, count(*) FILTER (y_true = 1 AND do_trace = 1) AS tp, count(*) FILTER (y_true = 1 AND do_trace = 0) AS fn, count(*) FILTER (y_true = 0 AND do_trace = 1) AS fp, count(*) AS n FROM w JOIN d2 ON d2.scenario = w.scenario AND pos // 16 = win GROUP BY ratio, w.scenario),
+da AS (SELECT scenario, avg(delay) AS delay FROM dl GROUP BY scenario),
+ea AS (SELECT ratio, coalesce(fn / nullif(tp + fn, 0), 0) AS missed, 1 - (tp + fp) / n AS reduction, coalesce(delay, 0) AS delay FROM ce LEFT JOIN da USING (scenario))
+SELECT string_split(ratio, '|')[1] AS "set", string_split(ratio, '|')[2]::int AS ratio_pct, round(avg(missed), 3) AS missed, round(avg(reduction), 3) AS reduction, round(avg(delay), 0) AS delay FROM ea GROUP BY ratio""")
+def J2_adaptive_tracing(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores, the threshold of each set, scenarios, decisions, delays and costs in one run."""
+    best = util.cut(detect.best_threshold(detect.threshold_sweep(fx.balanced(spark, sf, "valid"), 100)))
+    times = fx.events(spark, sf).select(F.col("event_id").alias("id"), F.expr("unix_micros(cast(ts as timestamp)) div 1000").alias("ts_ms"))
+    rows = util.cut(fx.scores(spark, sf).where("role = 'test'").join(times, "id").withColumn("score", F.col("event_score")))
+    known = util.cut(util.ordinal(rows.where("not novel").select("id", "score", "ts_ms"), [], ["id"], "ordinal"))
+    novel = util.cut(util.ordinal(rows.where("novel").select("set", "id", "score", "ts_ms"), ["set"], ["id"], "ordinal"))
+    out = jobs.adaptive_tracing(known, novel, best, 16)
+    return out.select("set", "ratio_pct", F.round("missed", 3).alias("missed"), F.round("reduction", 3).alias("reduction"), F.round("delay", 0).alias("delay"))
+
+
+_ROOT = _Z + """, q AS (SELECT vec_id // 10 AS batch0, *, CASE WHEN target = 0 THEN 0 ELSE z - x[target + 1] END AS score FROM lz),
+b AS (SELECT (target * 1000 + batch0)::bigint AS batch, cls, pred, target, input, tag_pred, tag, score, vec_id % 2 = 0 AS train FROM q),
+u AS (SELECT batch, cls, train, target AS component, 0.5 AS v FROM b WHERE pred <> target AND target <> 0 UNION ALL SELECT batch, cls, train, input, 0.5 FROM b WHERE tag_pred <> tag AND tag <> 0),
+s AS (SELECT batch, cls, train, component, sum(v) AS v FROM u GROUP BY ALL), k AS (SELECT cls, train, count(DISTINCT batch) AS n FROM u GROUP BY ALL),
+m AS (SELECT s.cls, component, sum(v) / any_value(n) AS v FROM s JOIN k ON k.cls = s.cls AND k.train WHERE s.train GROUP BY s.cls, component), mn AS (SELECT cls, sqrt(sum(v * v)) AS r FROM m GROUP BY cls), tn AS (SELECT batch, cls, sqrt(sum(v * v)) AS r FROM s WHERE NOT train GROUP BY batch, cls),
+ds AS (SELECT s.batch, m.cls AS c, sum(s.v * m.v) AS p FROM s JOIN m USING (component) WHERE NOT s.train GROUP BY s.batch, m.cls),
+pr AS (SELECT tn.batch, arg_min(c, {'s': -round(p / (tn.r * mn.r), 9), 'c': c}) AS predicted, max(p / (tn.r * mn.r)) AS similarity FROM ds JOIN tn USING (batch) JOIN mn ON mn.cls = c GROUP BY tn.batch),
+vd AS (SELECT tn.batch, tn.cls, predicted, similarity FROM tn LEFT JOIN pr USING (batch)), th AS (SELECT cls, avg(score) AS threshold FROM b WHERE train GROUP BY cls)"""
+
+
+@query(_ROOT + """ SELECT a.cls, a.accuracy, a.n, g.gated, g.requests FROM (SELECT cls, round(avg(coalesce((predicted = cls)::int, 0)) * 100, 6) AS accuracy, count(*) AS n FROM vd GROUP BY cls) a
+JOIN (SELECT b.cls, round(avg((score > threshold AND coalesce(predicted = b.cls, false))::int) * 100, 6) AS gated, count(*) AS requests FROM b JOIN vd ON vd.batch = b.batch JOIN th ON th.cls = b.cls WHERE NOT b.train GROUP BY b.cls) g ON g.cls = a.cls""")
+def J3_root_cause(spark: SparkSession, sf: str) -> DataFrame:
+    """Error vectors of train batches, their class means, and the verdicts on test batches, gated by the mean score of the class."""
+    rows = _evaluated(spark, sf).withColumns({"score": F.when(F.col("target") == 0, 0.0).otherwise(F.col("loss")), "batch": F.col("target").cast("bigint") * 1000 + F.expr("vec_id div 10")})
+    train, test = rows.where("vec_id % 2 = 0"), rows.where("vec_id % 2 = 1")
+    thresholds = train.groupBy(F.col("cls").alias("set")).agg(F.avg("score").alias("threshold"))
+    _, accuracy, gated = jobs.root_cause(train, test, thresholds, 64)
+    gated = gated.select("set", F.col("accuracy").alias("gated"), F.col("n").alias("requests"))
+    return rounded(accuracy.join(gated, F.col("cls") == F.col("set")).select("cls", "accuracy", "n", "gated", "requests"))
+
+
 # I. Streaming
 
 
