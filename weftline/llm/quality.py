@@ -7,8 +7,8 @@ when the score reaches a threshold that is fitted once, on the labelled document
 that fit each labelled document is scored by the target of the other half of the labels, as its own words would praise it.
 
 Bounds: the labelled documents are the ``sample`` label rows with the smallest hash of their id (a documented bound, so
-that side can be broadcast); the model has ``2**bits`` bins whatever the input, so it can be sent to every task. The raw
-counts come from the whole corpus.
+that side can be broadcast). The number of bins grows with the bytes of the corpus, so n-grams do not crowd in them, up to
+``2**MOST_BITS``, as the model of 32 MB is then sent to every task. The raw counts come from the whole corpus.
 
 Defined cases: a null text counts as empty (no words, base rule fails); labels that are null, contradictory (any row
 says bad) or without a document are not used; without usable labels of both kinds the ratio decides nothing and every
@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 
 from weftline.llm import shared, textnp
 
-BITS = 17
+#: Bins are a power of two, one for about so many bytes of the corpus, between these.
+BYTES_A_BIN, LEAST_BITS, MOST_BITS = 1_024, 17, 22
 SAMPLE = 20_000
 ALPHA = 0.5
 #: Share of the labelled good documents (quality 1 and not toxic) that the fitted threshold must keep.
@@ -87,8 +88,11 @@ def _threshold(scores: np.ndarray, good: np.ndarray) -> float | None:
     return float((cuts[best] + below.max()) / 2) if len(below) else float(cuts[best])
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", bits: int = BITS, sample: int = SAMPLE) -> Model:
-    """Fit the two multinomials and the threshold."""
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", bits: int | None = None, sample: int = SAMPLE) -> Model:
+    """Fit the two multinomials and the threshold; without bits their number follows the corpus."""
+    if bits is None:
+        size = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
+        bits = min(MOST_BITS, max(LEAST_BITS, (size // BYTES_A_BIN).bit_length()))
     clean = labels.groupBy(F.col(key).alias("__key")).agg(F.min("quality").alias("__quality"), F.max("toxic").alias("__toxic")).where("__key is not null and __quality is not null")
     chosen = clean.orderBy(F.xxhash64("__key"), "__key").limit(sample)
     labelled = docs.select(F.col(key).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(chosen), F.col("__id") == F.col("__key"))
