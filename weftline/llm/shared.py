@@ -25,9 +25,12 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def checkpoint_folder(context: SparkContext) -> None:
-    """Checkpoints go to the folder that the cluster names in spark.checkpoint.dir; a temporary one is taken only where it is unset (tests, a laptop)."""
+    """Checkpoints go to the folder that the cluster names in spark.checkpoint.dir; a temporary one is taken only where it is unset, on one machine."""
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and context.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
 
 
 def power_of_two(n: int, least: int = 1) -> int:
