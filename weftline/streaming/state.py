@@ -53,9 +53,12 @@ def stream_pairing(stream: DataFrame, timeout: str = "1 hour", lateness: str = "
 
 
 def stream_requests(stream: DataFrame, skip_states: tuple[int, ...] = (6, 7), timeout: str = "1 hour", lateness: str = "10 minutes") -> DataFrame:
-    """request_intervals online: (request_id, request_tid, start_seq, end_seq) at each end. State is the start of a thread's request."""
+    """request_intervals online: (request_id, request_tid, start_seq, end_seq) at each end. State is the start of a thread's request.
+
+    Events without a thread belong to no request; events are put in order within a micro-batch, so they must not be late by more.
+    """
     name = F.col("name")
-    rows = stream.where(ev.is_handler(name)).select("seq", "ts", "tid", (name == ev.ENTER).alias("enter"), F.coalesce(F.col("connection_state").isin(*skip_states), F.lit(False)).alias("skip")).withWatermark("ts", lateness)
+    rows = stream.where(ev.is_handler(name) & F.col("tid").isNotNull()).select("seq", "ts", "tid", (name == ev.ENTER).alias("enter"), F.coalesce(F.col("connection_state").isin(*skip_states), F.lit(False)).alias("skip")).withWatermark("ts", lateness)
     wait = int(pd.Timedelta(timeout).total_seconds() * 1000)
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
