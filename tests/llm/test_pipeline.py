@@ -1,8 +1,13 @@
 """Each stage against brute force on its own input, on the smallest tables."""
 
+import re
+from hashlib import sha256
+
+from tokenizers import Tokenizer
+
 import corpus_pipeline as cp
 from tests.llm.test_lines import brute as brute_lines
-from weftline.llm import quality, simhash
+from weftline.llm import bpe, quality, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -39,10 +44,45 @@ def test_stages(spark, tmp_path):
                 assert any(j != i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for j in a)
             for i in b:
                 assert not any(j < i and len(sets[i] & sets[j]) >= 0.9 * len(sets[i] | sets[j]) for j in b)
+        if k == 3:
+            items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+            fold = lambda t: re.sub(r"[0-9]+(?:[.,:/][0-9]+)*%?", "0", t.lower()).split()
+            grams = {tuple(w[i : i + 8]) for w in map(fold, items) for i in range(len(w) - 7)}
+            for i, r in a.items():
+                text = " ".join(r.text.split())
+                if any(" ".join(t.split()) in text for t in items):
+                    assert i not in b
+                w = fold(r.text)
+                names = re.sub(r"[A-ZÀ-Þ]\w*", "X", r.text)
+                if not grams & {tuple(w[j : j + 8]) for j in range(len(w) - 7)} and names == r.text:
+                    assert i in b
+            assert all(b[i].text == a[i].text for i in b)
+        if k == 4:
+            library = Tokenizer.from_file(bpe.public_path("byte_bpe_50k.json"))
+            for i, r in a.items():
+                ids = library.encode(r.text, add_special_tokens=False).ids
+                decoded = library.decode(ids, skip_special_tokens=False)
+                assert (b[i].n_tokens, b[i].ids_sha256, b[i].decoded_sha256) == (len(ids), sha256(",".join(map(str, ids)).encode()).hexdigest(), sha256(decoded.encode()).hexdigest())
     assert docs.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     assert cp.run(spark, SF, f"{tmp_path}/run").count() == docs.count()
 
 
+def test_nulls_repeated_rows_and_empty_tables(spark, tmp_path):
+    text = " ".join(f"word{i} other{i}" for i in range(30))
+    other = " ".join(f"more{i} text{i}" for i in range(40))
+    rows = [(1, text, None, "s", 5), (1, text, None, "s", 5), (None, other, "en", None, None), (3, None, "en", "s", 0), (4, "", "en", "s", 0), (9, text, "en", "s", 5)]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    for given, want in ((rows, [(1, "s"), (1, "s"), (None, None)]), ([], [])):
+        docs = spark.createDataFrame(given, schema)
+        for k, (_, stage) in enumerate(cp.STAGES):
+            out = stage(spark, docs, SF)
+            out.write.parquet(f"{tmp_path}/{len(given)}/{k}")
+            docs = spark.read.parquet(f"{tmp_path}/{len(given)}/{k}")
+            if k == 3:
+                assert sorted(((r.doc_id, r.source) for r in docs.collect()), key=str) == sorted(want, key=str)
+        assert docs.count() == len(want)
+
+
 def test_near_duplicates_against_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     sets = {r.doc_id: shingles(r.text) for r in docs.collect()}
