@@ -112,16 +112,25 @@ def A6_dataset_catalog(spark: SparkSession, sf: str) -> DataFrame:
 
 # B. Scalar and array functions
 
-_KERNEL = f"""WITH {o.TRACE}, q AS (SELECT seq, CASE name WHEN 'syscall_entry_futex' THEN 'block_rq_insert' WHEN 'syscall_exit_futex' THEN 'block_rq_complete' WHEN 'syscall_entry_poll' THEN 'timer_start' WHEN 'syscall_exit_poll' THEN 'sched_switch' ELSE name END AS name,
-  CASE WHEN k % 3 <> 0 THEN tid END AS tid, tid + 100 AS vtid, pid, CASE WHEN k % 2 = 0 THEN pid + 50 END AS vpid, k AS sector, k + 1 AS next_tid FROM t)"""
+_KERNEL = f"""WITH {o.TRACE}, q AS (SELECT seq, CASE name WHEN 'syscall_entry_futex' THEN 'block_rq_insert' WHEN 'syscall_exit_futex' THEN 'block_rq_complete' WHEN 'syscall_entry_poll' THEN 'timer_start' WHEN 'syscall_exit_poll' THEN 'sched_switch' WHEN 'syscall_entry_read' THEN CASE WHEN k % 4 = 0 THEN 'timer_hrtimer_start' ELSE name END
+  WHEN 'syscall_exit_read' THEN CASE WHEN k % 4 = 1 THEN 'timer_hrtimer_cancel' ELSE 'timer_cancel' END ELSE name END AS name,
+  CASE WHEN k % 3 <> 0 THEN tid END AS tid, tid + 100 AS vtid, CASE WHEN k % 5 <> 0 THEN pid END AS pid, CASE WHEN k % 2 = 0 THEN pid + 50 END AS vpid, k AS sector, k + 1 AS next_tid FROM t)"""
 
 
 def _kernel(spark: SparkSession, sf: str) -> DataFrame:
-    renamed = F.coalesce(*[F.when(F.col("name") == a, F.lit(b)) for a, b in (("syscall_entry_futex", "block_rq_insert"), ("syscall_exit_futex", "block_rq_complete"), ("syscall_entry_poll", "timer_start"), ("syscall_exit_poll", "sched_switch"))], F.col("name"))
-    return fx.trace(spark, sf).select("seq", renamed.alias("name"), F.when(F.col("k") % 3 != 0, F.col("tid")).alias("tid"), (F.col("tid") + 100).alias("vtid"), "pid", F.when(F.col("k") % 2 == 0, F.col("pid") + 50).alias("vpid"), F.col("k").alias("sector"), (F.col("k") + 1).alias("next_tid"))
+    every = F.lit(True)
+    new = (
+        ("syscall_entry_futex", "block_rq_insert", every), ("syscall_exit_futex", "block_rq_complete", every), ("syscall_entry_poll", "timer_start", every), ("syscall_exit_poll", "sched_switch", every),
+        ("syscall_entry_read", "timer_hrtimer_start", F.col("k") % 4 == 0), ("syscall_exit_read", "timer_hrtimer_cancel", F.col("k") % 4 == 1), ("syscall_exit_read", "timer_cancel", every),
+    )
+    renamed = F.coalesce(*[F.when((F.col("name") == a) & when, F.lit(b)) for a, b, when in new], F.col("name"))
+    return fx.trace(spark, sf).select("seq", renamed.alias("name"), F.when(F.col("k") % 3 != 0, F.col("tid")).alias("tid"), (F.col("tid") + 100).alias("vtid"), F.when(F.col("k") % 5 != 0, F.col("pid")).alias("pid"), F.when(F.col("k") % 2 == 0, F.col("pid") + 50).alias("vpid"), F.col("k").alias("sector"), (F.col("k") + 1).alias("next_tid"))
 
 
-@query(_KERNEL + """ SELECT seq, CASE name WHEN 'block_rq_insert' THEN 'block_rq_entry' WHEN 'block_rq_complete' THEN 'block_rq_exit' WHEN 'timer_start' THEN 'timer_entry' ELSE name END AS name, CASE WHEN starts_with(name, 'block_') THEN sector END AS sector, CASE WHEN name = 'sched_switch' THEN next_tid END AS next_tid FROM q""")
+_RENAME = "CASE name WHEN 'block_rq_insert' THEN 'block_rq_entry' WHEN 'block_rq_complete' THEN 'block_rq_exit' WHEN 'timer_start' THEN 'timer_entry' WHEN 'timer_cancel' THEN 'timer_exit' WHEN 'timer_hrtimer_start' THEN 'timer_hrtimer_entry' WHEN 'timer_hrtimer_cancel' THEN 'timer_hrtimer_exit' ELSE name END"
+
+
+@query(_KERNEL + f""" SELECT seq, {_RENAME} AS name, CASE WHEN starts_with(name, 'block_') THEN sector END AS sector, CASE WHEN name = 'sched_switch' THEN next_tid END AS next_tid FROM q""")
 def B1_event_rename(spark: SparkSession, sf: str) -> DataFrame:
     return ev.event_rename(_kernel(spark, sf)).select("seq", "name", "sector", "next_tid")
 
@@ -137,9 +146,13 @@ def B3_connection_state(spark: SparkSession, sf: str) -> DataFrame:
     return ev.connection_state(rows).select("seq", "connection_state")
 
 
-@query(f"WITH {o.PAIRED} SELECT seq, sysname, sysname AS stripped FROM p")
+_PLAIN = "replace(replace(replace(name, 'syscall_', ''), 'entry_', ''), 'exit_', '')"
+
+
+@query(_KERNEL + f", r AS (SELECT seq, {_PLAIN.replace('name', _RENAME)} AS s FROM q) SELECT seq, s AS sysname, CASE WHEN ends_with(s, '_entry') THEN s[:-7] WHEN ends_with(s, '_exit') THEN s[:-6] ELSE s END AS stripped FROM r")
 def B4_sysname(spark: SparkSession, sf: str) -> DataFrame:
-    return fx.trace(spark, sf).select("seq", ev.sysname(F.col("name")).alias("sysname"), ev.sysname(F.col("name"), True).alias("stripped"))
+    rows = ev.event_rename(_kernel(spark, sf))
+    return rows.select("seq", ev.sysname(F.col("name")).alias("sysname"), ev.sysname(F.col("name"), True).alias("stripped"))
 
 
 @query(_REST + "SELECT seq, CASE WHEN contains(name, 'entry') THEN 1 WHEN contains(name, 'exit') THEN 2 ELSE 0 END AS direction FROM t")
