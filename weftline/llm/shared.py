@@ -16,6 +16,8 @@ from weftline.llm import textnp
 
 #: Beyond this many squared tasks, counts are added up in two steps.
 MANY = 16
+#: Rows of two numbers that one file of a written table holds.
+ROWS_A_FILE = 200_000
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -52,18 +54,19 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     pairs = edges.select(F.col("a"), F.col("b")).where("a <> b")
     pairs = cut(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
+    # as many files as the counted edges fill; a step makes no more than twice the edges of the one before
+    files, before = -(-pairs.count() // ROWS_A_FILE) + 1, None
     for _ in range(most_rounds):
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
         large = both.join(least, F.col("a") == F.col("k")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "k")
         small = large.join(least, F.col("a") == F.col("k")).select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        pairs = cut(small.select("e.a", "e.b").where("a <> b").distinct())
+        pairs = cut(small.select("e.a", "e.b").where("a <> b").distinct().coalesce(files))
         state = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break
-        before = state
+        files, before = -(-state[0] // ROWS_A_FILE) + 1, state
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(pairs.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

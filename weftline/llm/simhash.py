@@ -199,8 +199,8 @@ def trie_join(values: DataFrame, budget: int = 2, width: int = 64, group: int =
     todo, ready = rows, None
     while True:
         sizes = todo.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
-        large = sizes.where((F.col("n") > group) & (F.col("depth") < width - STEP)).select(*key)
-        large = shared.cut(large)
+        # at most one row for every ``group`` rows of todo
+        large = shared.cut(sizes.where((F.col("n") > group) & (F.col("depth") < width - STEP)).select(*key).coalesce(4))
         if large.isEmpty():
             ready = todo if ready is None else ready.unionByName(todo)
             break
