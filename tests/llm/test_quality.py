@@ -79,3 +79,11 @@ def test_toxic_documents_are_bad_ones_in_the_threshold(spark):
     df = spark.createDataFrame(docs, "doc_id bigint, text string")
     model = quality.fit(df, spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"))
     assert {r.doc_id for r in quality.judge(df, model).collect() if not r.kept} == {i for i in range(200) if i % 5 == 0}
+
+
+def test_a_very_long_text(spark):
+    long = " ".join(f"w{i}" for i in range(300_000))
+    df = spark.createDataFrame([(1, long), (2, f"{long} w0 w1 w2 w3 w4"), (3, None)], "doc_id bigint, text string")
+    model = quality.fit(df, spark.createDataFrame([], "doc_id bigint, quality int, toxic int"))
+    got = {r.doc_id: (r.n_words, r.n_repeat_words, r.kept) for r in quality.judge(df, model).collect()}
+    assert got == {1: (300_000, 0, True), 2: (300_005, 10, True), 3: (0, 0, False)}

@@ -97,3 +97,11 @@ def test_candidates_in_a_family_just_below_the_similarity(spark, monkeypatch):
     want = {300 + k: k for k in range(100) if min(bits(k, 300 + k)) <= simhash.TABLE_BUDGET and sum(bits(k, 300 + k)) <= simhash.NEAR}
     got = {r.node: r.component for r in simhash.near_duplicates(df).collect()}
     assert len(want) > 40 and got == want, (len(got), len(want))
+
+
+def test_a_very_long_text(spark):
+    words = [f"w{i}" for i in range(200_000)]
+    other = words[:100_000] + ["x"] + words[100_001:]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other)), (3, "short"), (4, None)], "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in simhash.link(simhash.fingerprints(df)).collect()}
+    assert got[1] == got[2] == 1 and got[3] == 3 and got[4] == 4

@@ -28,3 +28,12 @@ def test_propagation_equals_sql(spark, tmp_path):
     pages = df.toPandas()  # noqa: F841
     assert got == sorted(duckdb.sql(url_filters.oracle()).fetchall())
     assert url_filters.judge(df.limit(0)).count() == 0
+
+
+def test_a_hub_and_a_very_long_page(spark):
+    """A hub that 3,000 hosts link to, a page of a million characters with links to all of them, and a blocked host that only the hub links to."""
+    hosts = [f"h{i}.net" for i in range(3_000)]
+    rows = [(i, f"http://{h}/", '<a href="http://hub.net/">x</a>') for i, h in enumerate(hosts)]
+    rows += [(3_000, "http://hub.net/", "".join(f'<a href="http://{h}/">x</a>{"y" * 300}' for h in hosts)), (3_001, "http://liker.net/", '<a href="http://bad.com/">x</a>'), (3_002, "http://bad.com/de/1", "")]
+    got = {r.page_id: r.verdict for r in url_filters.judge(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert len(got) == len(rows) and {i for i, v in got.items() if v == "block"} == {3_001, 3_002}
