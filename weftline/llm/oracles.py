@@ -43,3 +43,47 @@ ok AS (SELECT DISTINCT doc_id, item, item_id FROM sl WHERE 100 * matched >= {d.A
 f AS (SELECT doc_id, count(*) AS n_items, min(item_id) AS item_id FROM ok GROUP BY doc_id)
 SELECT documents.doc_id, coalesce(n_items, 0)::bigint AS n_items, item_id, n_items IS NOT NULL AS contaminated FROM documents LEFT JOIN f ON documents.doc_id = f.doc_id
 """
+
+_LOWERED = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERMS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')".format(_LOWERED)
+
+LEXICAL_SEARCH = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS.format("text")} AS ws FROM documents),
+s AS (SELECT count(*) AS n_docs, sum(len(ws))::bigint AS n_all FROM d WHERE len(ws) > 0),
+t AS (SELECT r, doc_id, len(ws) AS n, unnest(ws) AS term FROM d),
+tf AS (SELECT r, doc_id, n, term, count(*) AS tf FROM t GROUP BY ALL),
+q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_TERMS.format("text")}) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE item_id IS NOT NULL)) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::double / (2 * count(*) + 1)::double))::bigint AS w FROM tf, s GROUP BY term, n_docs),
+x AS (SELECT item_id, r, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n::hugeint * n_docs) // n_all)::bigint)))::bigint AS score FROM q JOIN tf USING (term) JOIN w USING (term), s WHERE doc_id IS NOT NULL GROUP BY ALL),
+o AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::int AS rank, doc_id, score FROM x WHERE score > 0)
+SELECT * FROM o WHERE rank <= 10
+"""
+
+VECTOR_DEDUP = """
+WITH RECURSIVE v AS (SELECT vec_id AS id, min(embedding) AS e FROM embeddings WHERE vec_id IS NOT NULL GROUP BY vec_id),
+u AS (SELECT id, list_transform(e, lambda x: x::double) AS e FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM u a JOIN u b ON a.id <> b.id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+g AS (SELECT a AS id, a AS c FROM l UNION SELECT l.b, g.c FROM g JOIN l ON l.a = g.id),
+m AS (SELECT id, min(c) AS c FROM g GROUP BY id),
+n AS (SELECT a AS id, count(*) AS n FROM l GROUP BY a)
+SELECT v.id AS vec_id, coalesce(n, 0)::bigint AS n_links, coalesce(c, v.id) AS component_id, v.id = coalesce(c, v.id) AS kept
+FROM v LEFT JOIN m ON m.id = v.id LEFT JOIN n ON n.id = v.id
+"""
+
+_SHARE = "1 + (1000000000::hugeint * ({} + 1)) // ({} + v)"
+_F = "(({0} - {1}) * ({0} - {1})) // {1}"
+
+SOURCE_AUDIT = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_LOWERED.format("text")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+t AS (SELECT r, lang, source, unnest(ws) AS term FROM d),
+k AS (SELECT lang, term, count(*)::hugeint AS total FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+c AS (SELECT lang, source, term, count(*)::hugeint AS n FROM t JOIN k USING (lang, term) GROUP BY ALL),
+g AS (SELECT lang, source, coalesce(sum(n), 0)::hugeint AS own FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) GROUP BY ALL),
+a AS (SELECT lang, sum(total)::hugeint AS all_n, count(*)::hugeint AS v FROM k GROUP BY lang),
+p AS (SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n, {_SHARE.format("coalesce(n, 0)", "own")} AS p, {_SHARE.format("total", "all_n")} AS q FROM g JOIN k USING (lang) JOIN a USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+x AS (SELECT x.lang, x.source, y.source AS item, sum({_F.format("x.p", "y.p")})::bigint AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+pairs AS (SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(value, 0) AS value FROM g JOIN g h ON g.lang = h.lang AND g.source <> h.source LEFT JOIN x ON x.lang = g.lang AND x.source = g.source AND x.item = h.source),
+o AS (SELECT * FROM pairs UNION ALL SELECT lang, source, 'term', term, ({_F.format("p", "q")})::bigint FROM p WHERE n > 0 AND p > q),
+z AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::int AS rank FROM o)
+SELECT lang, source, part, item, value, rank FROM z WHERE part = 'pair' OR rank <= 200
+"""

@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators: each applies its operator to its whole table and returns the contract's columns."""
+"""The registered queries of the thirteen operators: each applies its operator to its whole table and returns the contract's columns."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from weftline.llm import bpe, chat_quotes, decontaminate, html_extract, line_dedup, oracles, pii, quality, simhash, substring_dedup, url_filters
+from weftline.llm import bpe, chat_quotes, decontaminate, html_extract, lexical_search, line_dedup, oracles, pii, quality, simhash, source_audit, substring_dedup, url_filters, vector_dedup
 from weftline.llm.shared import read
 
 
@@ -58,14 +58,28 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), bpe.public_path("byte_bpe_50k.json"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lexical_search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("doc").alias("doc_id"), "score")
+
+
+def op12_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.link(read(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(read(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict:
-    named = [op1_url_filters, op2_decontamination, op3_quotation_links, op4_substring_dedup, op5_line_dedup, op6_pseudonyms, op7_simhash, op8_quality, op9_main_text, op10_bpe, pipeline]
+    named = [op1_url_filters, op2_decontamination, op3_quotation_links, op4_substring_dedup, op5_line_dedup, op6_pseudonyms, op7_simhash, op8_quality, op9_main_text, op10_bpe, op11_lexical_search, op12_vector_dedup, op13_source_audit, pipeline]
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": url_filters.oracle(), "op2_decontamination": oracles.DECONTAMINATION, "op4_substring_dedup": oracles.SUBSTRINGS}
+    return {"op1_url_filters": url_filters.oracle(), "op2_decontamination": oracles.DECONTAMINATION, "op4_substring_dedup": oracles.SUBSTRINGS,
+            "op11_lexical_search": oracles.LEXICAL_SEARCH, "op12_vector_dedup": oracles.VECTOR_DEDUP, "op13_source_audit": oracles.SOURCE_AUDIT}

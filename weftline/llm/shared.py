@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -16,6 +17,8 @@ from weftline.llm import textnp
 
 #: Beyond this many squared tasks, counts are added up in two steps.
 MANY = 16
+#: Rows that are counted before they are broadcast.
+BROADCAST_ROWS = 200_000
 #: Rows of two numbers that one file of a written table holds.
 ROWS_A_FILE = 200_000
 
@@ -35,6 +38,20 @@ def checkpoint_folder(context: SparkContext) -> None:
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet in the shared folder, and read again: columns apart and compressed, so smaller than a checkpoint."""
+    context = df.sparkSession.sparkContext
+    checkpoint_folder(context)
+    path = f"{context.getCheckpointDir()}/{os.urandom(8).hex()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df, marked for broadcast if it has at most so many rows; it is counted, so it should be written or small."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def power_of_two(n: int, least: int = 1) -> int:
     """The least power of two that is at least n and least."""
     return 1 << max(0, max(n, least) - 1).bit_length()
