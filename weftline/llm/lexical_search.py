@@ -187,7 +187,7 @@ def _search(rows: DataFrame, asked: DataFrame, k: int, docs_each: int) -> DataFr
     strata = docs.groupBy("m").agg(F.count(F.lit(1)).alias("size"))
     parts = -(-n // docs_each) or 1
     large = strata.where(F.col("size") > docs_each).select(F.col("m").alias("large"), F.call_function("div", F.col("size"), F.lit(docs_each)).alias("splits"))
-    docs = docs.withColumn("row", F.monotonically_increasing_id()).join(large, F.col("m") == F.col("large"), "left")
+    docs = docs.withColumn("row", F.monotonically_increasing_id()).join(shared.small(shared.cut(large)), F.col("m") == F.col("large"), "left")
     split = F.when(F.col("splits").isNull(), 0).otherwise(F.pmod("row", F.col("splits") + 1))
     dealt = docs.select(F.pmod(F.xxhash64("m", split), F.lit(parts)).alias("part"), "doc", "m", "terms", "tfs")
     return dealt.groupBy("part").applyInArrow(rank, FOUND)
