@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.operators import util
+
 RATIOS = tuple(i / 10 for i in range(11))
 
 
@@ -50,18 +52,21 @@ def trace_decision(trace: DataFrame, window: int, share: float = 0.8, by: str =
     return rows.where(F.col("n") == window).select(by, "win", (F.col("p") > share * window).cast("int").alias("do_trace"), (F.col("t") > share * window).cast("int").alias("should_trace"))
 
 
-def trace_delay(trace: DataFrame, window: int, share: float = 0.8, by: str = "scenario") -> DataFrame:
-    """(by, win, delay): for each window where tracing switches on rightly, from the start of the novel run to its last request here."""
-    runs = Window.partitionBy(by).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    rows = trace.withColumns({"win": F.floor(F.col("pos") / window), "zero": F.coalesce(F.max(F.when(F.col("y_true") == 0, F.col("pos"))).over(runs), F.lit(-1))})
+def trace_delay(trace: DataFrame, window: int, share: float = 0.8, by: str = "scenario", slab: int = util.SLAB) -> DataFrame:
+    """(by, win, delay): for each window where tracing switches on rightly, from the start of the novel run to its last request here.
+
+    The last known request before a window, and the last traced one, are running maxima by slabs of places: a scenario isn't one task.
+    """
     novel = F.col("y_true") == 1
-    wins = rows.groupBy(by, "win").agg(F.min("pos").alias("i"), F.min(F.struct("pos", "y_true", "zero")).alias("head"), F.min(F.when(novel, F.col("pos"))).alias("first"), F.max(F.when(novel, F.struct("pos", "ts_ms"))).alias("last"))
+    rows = trace.select(by, "pos", "y_true", "ts_ms", F.when(~novel, F.col("pos")).alias("__zero"))
+    rows = util.running_max(rows, [by], "pos", "__zero", "zero", slab).withColumns({"win": F.floor(F.col("pos") / window), "zero": F.coalesce("zero", F.lit(-1))})
+    wins = rows.groupBy(by, "win").agg(
+        F.min("pos").alias("i"), F.min(F.struct("pos", "y_true", "zero")).alias("head"), F.min(F.when(novel, F.col("pos"))).alias("first"), F.max(F.when(novel, F.struct("pos", "ts_ms"))).alias("last"))
     wins = wins.join(trace_decision(trace, window, share, by), [by, "win"])
-    w = Window.partitionBy(by).orderBy("win")
-    traced = F.max(F.when(F.col("do_trace") == 1, F.col("i") + window - 1)).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    wins = wins.withColumns({"before": F.coalesce(F.lag("do_trace").over(w), F.lit(0)), "traced": F.coalesce(traced, F.lit(0))})
-    wins = wins.where((F.col("do_trace") == 1) & (F.col("should_trace") == 1) & (F.col("before") == 0))
-    start = F.when(F.col("head.y_true") == 1, F.least(F.col("i"), F.greatest(F.col("head.zero") + 1, F.col("traced") + 1))).otherwise(F.col("first"))
+    wins = util.running_max(wins.withColumn("__end", F.when(F.col("do_trace") == 1, F.col("i") + window - 1)), [by], "win", "__end", "traced", slab)
+    switched = ~(F.coalesce(F.col("traced"), F.lit(-2)) == F.col("i") - 1)  # the window before isn't traced
+    wins = wins.where((F.col("do_trace") == 1) & (F.col("should_trace") == 1) & switched)
+    start = F.when(F.col("head.y_true") == 1, F.least(F.col("i"), F.greatest(F.col("head.zero") + 1, F.coalesce("traced", F.lit(0)) + 1))).otherwise(F.col("first"))
     wins = wins.withColumn("start", start)
     at = trace.select(F.col(by).alias("__by"), F.col("pos").alias("__pos"), F.col("ts_ms").alias("__ts"))
     out = wins.join(at, (F.col(by) == F.col("__by")) & (F.col("start") == F.col("__pos")))

@@ -12,25 +12,22 @@ MASK, UNKNOWN, START, END, CUT = range(5)
 SPECIAL = 5
 
 
-def pair_latency(trace: DataFrame) -> DataFrame:
+def pair_latency(trace: DataFrame, slab: int = util.SLAB) -> DataFrame:
     """``latency``, ``err`` and ``paired`` of every event, per call, process and thread.
 
-    An exit closes the first entry since the exit before; all windows share one sort of the key.
+    An exit closes the first entry since the exit before; what is open comes from a scan of slabs (``util.open_before``), so one busy thread isn't one task.
     """
     name = F.col("name")
     rows = trace.withColumns({"is_entry": ev.is_entry(name), "is_exit": ev.is_exit(name), "sysname": ev.sysname(name)})
-    key = Window.partitionBy("sysname", "pid", "tid").orderBy("seq")
-    closed = F.sum(F.col("is_exit").cast("int")).over(key.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("__grp", F.coalesce(closed, F.lit(0)))
-    group = Window.partitionBy("sysname", "pid", "tid", "__grp")
-    rows = rows.withColumns({"__open": F.min(F.when(F.col("is_entry"), F.col("ts_ns"))).over(group), "__rn": F.row_number().over(group.orderBy("seq"))})
+    rows = rows.withColumn("__ts", F.when(F.col("is_entry"), F.col("ts_ns")))
+    rows = util.open_before(rows, ["sysname", "pid", "tid"], "seq", "__ts", "is_exit", "__open", slab=slab)
     is_open = F.col("__open").isNotNull()
     rows = rows.withColumns({
         "paired": F.col("is_exit") & is_open,
         "latency": F.when(F.col("is_exit"), F.coalesce(F.col("ts_ns") - F.col("__open"), F.lit(0))).when(F.col("is_entry"), F.lit(0)),
-        "err": F.when((F.col("is_entry") & (F.col("__rn") > 1)) | (F.col("is_exit") & ~is_open), 1).otherwise(0),
+        "err": F.when((F.col("is_entry") & is_open) | (F.col("is_exit") & ~is_open), 1).otherwise(0),
     })
-    return rows.drop("__grp", "__open", "__rn")
+    return rows.drop("__ts", "__open")
 
 
 def history_mean(paired: DataFrame, n: int = 10, slab: int = 1_000_000) -> DataFrame:
@@ -49,14 +46,12 @@ def history_mean(paired: DataFrame, n: int = 10, slab: int = 1_000_000) -> DataF
     return out.withColumn("f_mean", mean).drop("__seq", "__m")
 
 
-def request_intervals(trace: DataFrame, skip_states: tuple[int, ...] = (6, 7)) -> DataFrame:
-    """(request_id, tid, start_seq, end_seq); request_id is the seq of the completing event."""
-    rows = trace.where(ev.is_handler(F.col("name"))).select("seq", "tid", (F.col("name") == ev.ENTER).alias("enter"), "connection_state")
-    ends = F.sum((~F.col("enter")).cast("int")).over(Window.partitionBy("tid").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("grp", F.coalesce(ends, F.lit(0)))
-    start = F.max(F.when(F.col("enter") & ~F.coalesce(F.col("connection_state").isin(*skip_states), F.lit(False)), F.col("seq"))).over(Window.partitionBy("tid", "grp"))
-    rows = rows.withColumn("start_seq", start).where(~F.col("enter") & F.col("start_seq").isNotNull())
-    return rows.select(F.col("seq").alias("request_id"), F.col("tid").alias("request_tid"), "start_seq", F.col("seq").alias("end_seq"))
+def request_intervals(trace: DataFrame, skip_states: tuple[int, ...] = (6, 7), slab: int = util.SLAB) -> DataFrame:
+    """(request_id, tid, start_seq, end_seq); request_id is the seq of the completing event. The last start of a thread counts, by a scan of slabs."""
+    rows = trace.where(ev.is_handler(F.col("name"))).select("seq", "tid", (F.col("name") == ev.EXIT).alias("ends"), "connection_state")
+    starts = ~F.col("ends") & ~F.coalesce(F.col("connection_state").isin(*skip_states), F.lit(False))
+    rows = util.open_before(rows.withColumn("start", F.when(starts, F.col("seq"))), ["tid"], "seq", "start", "ends", "start_seq", "last", slab)
+    return rows.where("ends and start_seq is not null").select(F.col("seq").alias("request_id"), F.col("tid").alias("request_tid"), "start_seq", F.col("seq").alias("end_seq"))
 
 
 def assign_events(trace: DataFrame, requests: DataFrame, bucket: int = 64) -> DataFrame:

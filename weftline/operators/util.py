@@ -72,6 +72,55 @@ def running(df: DataFrame, by: list[str], order: list[str], value: str, name: st
     return out.withColumn(name, F.col("__before") + F.col("__here")).drop("__at", "__p", "__q", "__before", "__here", *[f"__b{i}" for i in range(len(by))])
 
 
+#: Sequence numbers of one slab of a scan, so the most rows of a key that one task orders.
+SLAB = 1 << 20
+
+
+def open_before(rows: DataFrame, by: list[str], at: str, value: str, closes: str, name: str, keep: str = "first", slab: int = SLAB) -> DataFrame:
+    """``name``: the value that is open just before each row, in the order of ``at`` within ``by``; null if none is.
+
+    A row with a value opens; of several the ``first`` stays or the ``last`` replaces it. A row that ``closes`` (and has no value) ends it.
+
+    A scan of composable states. What a run of rows does to what is open is a small function: does a row close, and what is open after
+    it. A key is cut in slabs of numbers (``at`` is unique, so a slab has no more rows than numbers); the functions of slabs, a row each, are composed in
+    order, and what a slab finds open is put before its rows as one more row. So a window holds the rows of one slab of a key; one sort serves it.
+    """
+    first = keep == "first"
+    pick = F.first if first else F.last
+
+    def local(df: DataFrame) -> DataFrame:
+        w = Window.partitionBy(*by, "__slab").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+        opens = F.col(value).isNotNull()
+        if first:  # only a row that finds nothing open
+            opens = opens & F.coalesce(F.last(F.when(F.col(closes), True).when(opens, False), True).over(w), F.lit(True))
+        df = df.withColumn("__opens", opens)
+        mark = F.when(F.col(closes), F.struct(F.lit(None).cast(rows.schema[value].dataType).alias("v"))).when(F.col("__opens"), F.struct(F.col(value).alias("v")))
+        return df.withColumn(name, F.last(mark, True).over(w)["v"])
+
+    rows = rows.withColumn("__slab", F.floor(F.col(at) / slab).cast("bigint"))
+    after = F.when(F.col(closes), F.lit(None)).when(F.col("__opens"), F.col(value)).otherwise(F.col(name))
+    sums = local(rows.select(*by, "__slab", at, value, closes)).groupBy(*by, "__slab").agg(F.max(closes).alias("__closed"), F.max_by(F.struct(after.alias("v")), at).alias("__o"))
+    order = Window.partitionBy(*by).orderBy("__slab")  # one row a slab
+    sums = sums.withColumn("__run", F.sum(F.col("__closed").cast("bigint")).over(order))
+    after = Window.partitionBy(*by, "__run").orderBy("__slab").rowsBetween(Window.unboundedPreceding, 0)
+    sums = sums.withColumn("__after", pick("__o.v", True).over(after)).withColumn(value, F.lag("__after").over(order)).where(F.col(value).isNotNull())
+    found = sums.select(*by, "__slab", (F.col("__slab") * slab - 1).alias(at), value, F.lit(False).alias(closes), F.lit(True).alias("__found"))
+    whole = local(rows.unionByName(found, allowMissingColumns=True))
+    return whole.where("__found is null").drop("__slab", "__opens", "__found")
+
+
+def running_max(rows: DataFrame, by: list[str], at: str, value: str, name: str, slab: int = SLAB) -> DataFrame:
+    """``name``: the greatest value of the rows before, in the order of ``at`` within ``by``; null if there is none. By slabs, as ``open_before``."""
+    rows = rows.withColumn("__slab", F.floor(F.col(at) / slab).cast("bigint"))
+    before = Window.partitionBy(*by).orderBy("__slab").rowsBetween(Window.unboundedPreceding, -1)  # one row a slab
+    sums = rows.groupBy(*by, "__slab").agg(F.max(value).alias("__m"))
+    sums = sums.withColumn(value, F.max("__m").over(before)).where(F.col(value).isNotNull())
+    found = sums.select(*by, "__slab", (F.col("__slab") * slab - 1).alias(at), value, F.lit(True).alias("__found"))
+    here = Window.partitionBy(*by, "__slab").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    whole = rows.unionByName(found, allowMissingColumns=True).withColumn(name, F.max(value).over(here))
+    return whole.where("__found is null").drop("__slab", "__found")
+
+
 def medians(df: DataFrame, by: str, column: str, name: str) -> DataFrame:
     """(by, name): the exact median (the mean of the middle two) of the values of each by; nulls don't count."""
     counted = df.where(F.col(column).isNotNull()).groupBy(by, F.col(column).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
