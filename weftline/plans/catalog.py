@@ -733,17 +733,19 @@ def _stream(spark: SparkSession, sf: str, columns: DataFrame) -> DataFrame:
     """The rows of a batch as a stream of files."""
     folder = util.shared_folder(spark)
     columns.write.parquet(folder)
+    if "name" in columns.columns:
+        state.closing(spark.read.parquet(folder)).write.mode("append").parquet(folder)
     return spark.readStream.schema(columns.schema).parquet(folder)
 
 
 @query(f"WITH {o.PAIRED} SELECT seq, sysname, pid, tid, latency, err FROM p WHERE is_entry OR is_exit")
 def I1_stream_pairing(spark: SparkSession, sf: str) -> DataFrame:
-    return state.run_once(state.stream_pairing(_stream(spark, sf, fx.trace(spark, sf))), util.shared_folder(spark))
+    return state.run_once(state.stream_pairing(_stream(spark, sf, fx.trace(spark, sf)), timeout="3650 days"), util.shared_folder(spark))
 
 
 @query(f"WITH {o.REQUESTS} SELECT * FROM r")
 def I2_stream_requests(spark: SparkSession, sf: str) -> DataFrame:
-    return state.run_once(state.stream_requests(_stream(spark, sf, fx.trace(spark, sf))), util.shared_folder(spark))
+    return state.run_once(state.stream_requests(_stream(spark, sf, fx.trace(spark, sf)), timeout="3650 days"), util.shared_folder(spark))
 
 
 @query(_W + """, q AS (SELECT scenario, time_bucket(INTERVAL 1 minute, ts) AS start, count(*) AS n, (sum(y_pred) > 0.8 * count(*))::int AS do_trace, (sum(y_true) > 0.8 * count(*))::int AS should_trace FROM w GROUP BY ALL)

@@ -1,89 +1,150 @@
-"""Streaming forms of pairing, request intervals and trace decisions."""
+"""Streaming forms of pairing, request intervals and trace decisions.
+
+Events may come late and in any order, within and across micro-batches. Each key keeps its events in state until the watermark has
+passed them; then no earlier one can come, and a timer releases them in the order of seq. So the rows equal those of the batch forms whatever the
+batches, as long as no event is later than ``lateness``. An event that is later is dropped (Spark counts it in numRowsDroppedByWatermark), and
+what is left is paired as if it weren't there. seq must not fall while event time rises. Rows without seq or event time are skipped.
+
+State is kept by RocksDB, which the timers need (``run_once`` sets the provider for its query; other writers set ``spark.sql.streaming.stateStore.providerClass``). The
+last events of a stream come out when the watermark passes them: end a finished stream with ``closing``.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from weftline.functions import events as ev
 
-
-def _ordered(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    return pd.concat(list(frames), ignore_index=True).sort_values("seq")
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Kinds of buffered events; a row that only moves the watermark is none.
+NONE, OPENS, CLOSES = range(3)
+MARK = ""
 
 
-def stream_pairing(stream: DataFrame, timeout: str = "1 hour", lateness: str = "10 minutes") -> DataFrame:
-    """pair_latency online: (seq, sysname, pid, tid, latency, err) for entries and exits.
+class InOrder(StatefulProcessor):
+    """Hands the events of a key to ``step`` in the order of seq, each once the watermark has passed it.
 
-    State is the timestamp of the open entry of a (call, process, thread). Reads ts, the event time; an entry that isn't
-    closed within the timeout is forgotten.
+    State: the buffered events, and the open value with its event time. What has been open for more than ``wait`` ms is forgotten: an
+    event after that finds nothing open, and the state of a silent key is removed.
     """
-    name = F.col("name")
-    rows = stream.select("seq", "ts", "ts_ns", "pid", "tid", ev.sysname(name).alias("sysname"), ev.is_entry(name).alias("is_entry"), ev.is_exit(name).alias("is_exit")).where("is_entry or is_exit").withWatermark("ts", lateness)
-    wait = int(pd.Timedelta(timeout).total_seconds() * 1000)
-
-    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        open_ts = state.get[0] if state.exists else None
+
+    def __init__(self, wait: int):
+        self.wait = wait
+
+    def step(self, key: tuple, seq: int, value: int, kind: int, found: int | None) -> tuple[Row | None, int | None]:
+        """What to return for an event that finds this open, and what is open after it."""
+        raise TypeError("InOrder has no step of its own")
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", "seq bigint, at bigint, value bigint, kind int")
+        self.opened = handle.getValueState("opened", "value bigint, at bigint")
+        self.due = handle.getValueState("due", "at bigint")  # the timer that counts
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        new = [(r.seq, r.at, r.value, r.kind) for r in rows if r.kind != NONE]
+        if new:
+            self.held.appendList(new)
+            self.wake(min(r[1] for r in new) + 1)
+        return iter(())
+
+    def wake(self, at: int) -> None:
+        """Set the timer to a time, unless it is set to an earlier one."""
+        if not self.due.exists() or at < self.due.get()[0]:
+            self.handle.registerTimer(at)
+            self.due.update((at,))
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        now = timerValues.getCurrentWatermarkInMs()
+        if not self.due.exists() or self.due.get()[0] != expiredTimerInfo.getExpiryTimeInMs():
+            return iter(())  # one that another timer has preceded
+        self.due.clear()
+        held = sorted(self.held.get()) if self.held.exists() else []
+        ready, rest = [r for r in held if r[1] < now], [r for r in held if r[1] >= now]
+        value, since = self.opened.get() if self.opened.exists() else (None, 0)
         out = []
-        group = _ordered(frames)
-        for seq, ts_ns, entry in zip(group["seq"], group["ts_ns"], group["is_entry"]):
-            if entry:
-                out.append((seq, 0, int(open_ts is not None)))
-                open_ts = int(ts_ns) if open_ts is None else open_ts
-            else:
-                out.append((seq, 0 if open_ts is None else int(ts_ns) - open_ts, int(open_ts is None)))
-                open_ts = None
-        if open_ts is None:
-            if state.exists:
-                state.remove()
+        for seq, at, own, kind in ready:
+            found = value if value is not None and at - since <= self.wait else None
+            row, left = self.step(key, seq, own, kind, found)
+            out += [row] if row is not None else []
+            since = at if found is None or left != found else since
+            value = left
+        if value is not None and not rest and now - since > self.wait:
+            value = None
+        if value is None:
+            self.opened.clear()
         else:
-            state.update((open_ts,))
-            state.setTimeoutTimestamp(max(int(group["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + wait)
-        frame = pd.DataFrame(out, columns=["seq", "latency", "err"])
-        yield frame.assign(sysname=key[0], pid=key[1], tid=key[2])[["seq", "sysname", "pid", "tid", "latency", "err"]]
+            self.opened.update((value, since))
+        if rest:
+            self.held.put(rest)
+            self.wake(min(r[1] for r in rest) + 1)
+        else:
+            self.held.clear()
+            if value is not None:
+                self.wake(since + self.wait + 2)
+        return iter(out)
+
+    def close(self) -> None:
+        pass
+
+
+class Pairing(InOrder):
+    def step(self, key, seq, value, kind, found):
+        if kind == OPENS:
+            return Row(seq=seq, sysname=key[0], pid=key[1], tid=key[2], latency=0, err=int(found is not None)), value if found is None else found
+        return Row(seq=seq, sysname=key[0], pid=key[1], tid=key[2], latency=0 if found is None else value - found, err=int(found is None)), None
+
+
+class Requests(InOrder):
+    def step(self, key, seq, value, kind, found):
+        if kind == OPENS:
+            return None, value
+        return None if found is None else Row(request_id=seq, request_tid=key[0], start_seq=found, end_seq=seq), None
 
-    return rows.groupBy("sysname", "pid", "tid").applyInPandasWithState(step, "seq bigint, sysname string, pid bigint, tid bigint, latency bigint, err int", "open_ts bigint", "append", GroupStateTimeout.EventTimeTimeout)
+
+def _ms(timeout: str) -> int:
+    return int(pd.Timedelta(timeout).total_seconds() * 1000)
+
+
+def _rows(stream: DataFrame, keys: list[Column], value: Column, kind: Column, lateness: str) -> DataFrame:
+    kind = F.when(F.col("name") == MARK, NONE).otherwise(kind)
+    # the row of closing must come as far as the watermark, so it is no row to filter
+    rows = stream.withWatermark("ts", lateness).select(F.coalesce("seq", F.when(F.col("name") == MARK, F.lit(-1))).alias("seq"), "ts", *keys, F.unix_millis("ts").alias("at"), value.cast("bigint").alias("value"), kind.cast("int").alias("kind"))
+    return rows.where("kind is not null and seq is not null and at is not null")
+
+
+def stream_pairing(stream: DataFrame, timeout: str = "1 hour", lateness: str = "10 minutes") -> DataFrame:
+    """pair_latency online: (seq, sysname, pid, tid, latency, err) for entries and exits, null processes and threads included.
+
+    Reads ts, the event time. An entry that isn't closed within the timeout is forgotten.
+    """
+    name = F.col("name")
+    kind = F.when(ev.is_entry(name), OPENS).when(ev.is_exit(name), CLOSES)
+    rows = _rows(stream, [ev.sysname(name).alias("sysname"), F.col("pid"), F.col("tid")], F.col("ts_ns"), kind, lateness)
+    return rows.groupBy("sysname", "pid", "tid").transformWithState(Pairing(_ms(timeout)), "seq bigint, sysname string, pid bigint, tid bigint, latency bigint, err int", "Append", "EventTime")
 
 
 def stream_requests(stream: DataFrame, skip_states: tuple[int, ...] = (6, 7), timeout: str = "1 hour", lateness: str = "10 minutes") -> DataFrame:
-    """request_intervals online: (request_id, request_tid, start_seq, end_seq) at each end. State is the start of a thread's request.
+    """request_intervals online: (request_id, request_tid, start_seq, end_seq) at each end; a start that has no end within the timeout is forgotten.
 
-    Events without a thread belong to no request; events are put in order within a micro-batch, so they must not be late by more.
+    Events without a thread are those of one thread, as in the batch form.
     """
     name = F.col("name")
-    rows = stream.where(ev.is_handler(name) & F.col("tid").isNotNull()).select("seq", "ts", "tid", (name == ev.ENTER).alias("enter"), F.coalesce(F.col("connection_state").isin(*skip_states), F.lit(False)).alias("skip")).withWatermark("ts", lateness)
-    wait = int(pd.Timedelta(timeout).total_seconds() * 1000)
-
-    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        start = state.get[0] if state.exists else None
-        out = []
-        group = _ordered(frames)
-        for seq, enter, skip in zip(group["seq"], group["enter"], group["skip"]):
-            if enter:
-                start = start if skip else int(seq)
-            else:
-                if start is not None:
-                    out.append((int(seq), key[0], start, int(seq)))
-                start = None
-        if start is None:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((start,))
-            state.setTimeoutTimestamp(max(int(group["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + wait)
-        yield pd.DataFrame(out, columns=["request_id", "request_tid", "start_seq", "end_seq"]).astype("int64")
+    starts = (name == ev.ENTER) & ~F.coalesce(F.col("connection_state").isin(*skip_states), F.lit(False))
+    rows = _rows(stream, [F.col("tid")], F.col("seq"), F.when(starts, OPENS).when(name == ev.EXIT, CLOSES), lateness)
+    return rows.groupBy("tid").transformWithState(Requests(_ms(timeout)), "request_id bigint, request_tid bigint, start_seq bigint, end_seq bigint", "Append", "EventTime")
+
 
-    return rows.groupBy("tid").applyInPandasWithState(step, "request_id bigint, request_tid bigint, start_seq bigint, end_seq bigint", "start_seq bigint", "append", GroupStateTimeout.EventTimeTimeout)
+def closing(trace: DataFrame, beyond: str = "1 day") -> DataFrame:
+    """One row with the columns of a trace that is no event and lies so far after its last event that the watermark passes all of them."""
+    end = trace.agg((F.max("ts") + F.expr(f"interval {beyond}")).alias("ts"))
+    own = {"ts": F.col("ts"), "name": F.lit(MARK)}
+    return end.select(*[own.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in trace.schema])
 
 
 def stream_trace_decision(stream: DataFrame, window: str = "1 minute", share: float = 0.8, lateness: str = "10 minutes") -> DataFrame:
@@ -94,6 +155,12 @@ def stream_trace_decision(stream: DataFrame, window: str = "1 minute", share: fl
 
 def run_once(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     """Process what is there, write it as Parquet below folder, and read it."""
-    query = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
+    conf, key = stream.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(key)
+    conf.set(key, PROVIDER)
+    try:
+        query = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode(mode).trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        conf.set(key, before)
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
