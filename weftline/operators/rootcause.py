@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.operators import util
+from weftline.operators import metric, util
 
 KINDS = ("event", "duration", "average")
-#: Most representatives that are sent to every task; vectors of one side of a block beyond that.
-FEW, BLOCK = 1_000, 2_000
+#: Most representatives that are sent to every vector.
+FEW = 1_000
 
 
 def error_vectors(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -64,84 +60,34 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
 
 
-def _blocks(rows: DataFrame, by: str | None, name: str, size: int) -> DataFrame:
-    """``name``: one of as many blocks of about size rows as the rows (of each by) fill, and ``n_<name>``, how many there are."""
-    n = F.ceil(F.count(F.lit(1)) / size).cast("int").alias(f"n_{name}")
-    sizes = rows.groupBy(F.col(by).alias("__of")).agg(n) if by else rows.agg(n).withColumn("__of", F.lit(0))
-    out = rows.join(util.bounded(sizes), (F.col(by) if by else F.lit(0)) == F.col("__of")).drop("__of")
-    return out.withColumn(name, F.pmod(F.xxhash64("id"), F.col(f"n_{name}")).cast("int"))
-
-
-def _least_distances(left: pa.Table, right: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For slices of left: the squared distance to the nearest of right and its place; an id is not near itself."""
-    y = np.array(right["x"].to_pylist(), dtype=float)
-    ids = right["id"].to_numpy()
-    for at in range(0, len(left), 256):
-        part = left.slice(at, 256)
-        x = np.array(part["x"].to_pylist(), dtype=float)
-        d = np.zeros((len(x), len(y)))
-        for c in range(y.shape[1]):
-            d += np.square(x[:, c, None] - y[None, :, c])
-        d[part["id"].to_numpy()[:, None] == ids[None, :]] = np.inf
-        best = d.argmin(axis=1)
-        yield d[np.arange(len(d)), best], best
-
-
-def class_exemplars(vectors: DataFrame, key: str = "vec_id", cls: str = "cls", components: str = "components", size: int = BLOCK) -> DataFrame:
+def class_exemplars(vectors: DataFrame, key: str = "vec_id", cls: str = "cls", components: str = "components", **how) -> DataFrame:
     """H5: the vectors of a class whose distance to their nearest neighbour in it is at most the median of these distances.
 
-    A class is split into blocks; each pair of blocks is a group that gives one row for each vector of the first block,
-    the distance to its nearest in the second. Keys are integers.
+    Neighbours are found by ``metric.neighbours`` (exact; how: its parameters). Keys are integers.
     """
-    rows = _blocks(vectors.select(F.col(cls).alias("c"), F.col(key).cast("bigint").alias("id"), F.col(components).alias("x")), "c", "b", size)
-    every = F.explode(F.sequence(F.lit(0), F.col("n_b") - 1))
-    columns = [F.col(c).alias(c) for c in ("c", "id", "x")]  # aliases, as both sides are the same rows
-    left = rows.select(*columns, F.col("b").alias("i"), every.alias("j"))
-    right = rows.select(*columns, F.col("b").alias("j"), every.alias("i"))
-
-    def near(a: pa.Table, b: pa.Table) -> pa.Table:
-        if not len(a) or not len(b):
-            return pa.table({"c": a["c"].slice(0, 0), "id": pa.array([], pa.int64()), "d": pa.array([], pa.float64())})
-        d = np.concatenate([d for d, _ in _least_distances(a, b)])
-        some = np.flatnonzero(np.isfinite(d))
-        return pa.table({"c": a["c"].take(pa.array(some)), "id": a["id"].take(pa.array(some)), "d": pa.array(d[some])})
-
-    found = left.groupBy("c", "i", "j").cogroup(right.groupBy("c", "i", "j")).applyInArrow(near, f"c {rows.schema['c'].dataType.simpleString()}, id bigint, d double")
-    least = util.cut(found.groupBy("c", "id").agg(F.sqrt(F.min("d")).alias("nearest")))
-    middle = util.medians(least, "c", "nearest", "median").withColumnRenamed("c", "m")
-    kept = least.join(util.bounded(middle), F.col("c") == F.col("m")).where("nearest <= median").select(F.col("id").alias(key), "nearest")
+    rows = vectors.select(F.col(cls).alias("g"), F.col(key).cast("bigint").alias("id"), F.col(components).cast("array<double>").alias("x"), F.lit(None).cast("int").alias("label"))
+    found = metric.neighbours(rows.drop("label"), rows, **how).select("id", F.sqrt("d").alias("nearest"))
+    least = util.cut(rows.select("g", "id").join(found, "id"))
+    middle = util.medians(least, "g", "nearest", "median").withColumnRenamed("g", "m")
+    kept = least.join(util.bounded(middle), F.col("g").eqNullSafe(F.col("m"))).where("nearest <= median").select(F.col("id").alias(key), "nearest")
     return vectors.join(kept, key)
 
 
-def nearest(vectors: DataFrame, representatives: DataFrame, key: str = "vec_id", cls: str = "cls", components: str = "components", few: int = FEW, size: int = BLOCK) -> DataFrame:
+def nearest(vectors: DataFrame, representatives: DataFrame, key: str = "vec_id", cls: str = "cls", components: str = "components", few: int = FEW, **how) -> DataFrame:
     """H6, H7: (key, predicted, distance): class of the nearest representative; ties: the least class.
 
-    Up to ``few`` representatives go to every vector as one array; more are split into blocks, and so are the vectors, and each
-    pair of blocks gives one row for each of its vectors. Keys are integers.
+    Up to ``few`` representatives go to every vector as one array; more are searched by ``metric.neighbours`` (exact; how: its parameters). Keys are integers.
     """
-    reps = util.cut(representatives.select(F.col(cls).alias("c"), F.col(components).alias("r")))
+    reps = util.cut(representatives.select(F.col(cls).alias("c"), F.col(components).cast("array<double>").alias("r")))
     if reps.limit(few + 1).count() <= few:
         all_ = reps.agg(F.collect_list(F.struct("c", "r")).alias("__all"))
         best = F.array_min(F.transform("__all", lambda s: F.struct(squared_distance(F.col(components), s["r"]).alias("d"), s["c"].alias("c"))))
         rows = vectors.crossJoin(F.broadcast(all_)).select(key, best.alias("b"))
         return rows.select(key, F.col("b.c").alias("predicted"), F.sqrt("b.d").alias("distance"))
-    left = _blocks(vectors.select(F.col(key).cast("bigint").alias("id"), F.col(components).alias("x")), None, "i", size)
-    right = _blocks(reps.select("c", F.col("r").alias("x"), F.xxhash64("c", "r").alias("id")), None, "j", size)
-    counts = [util.cut(df.select(f"n_{c}").limit(1)) for df, c in ((left, "i"), (right, "j"))]
-    left = left.crossJoin(F.broadcast(counts[1])).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n_j") - 1)))
-    right = right.crossJoin(F.broadcast(counts[0])).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n_i") - 1)))
-    kind = representatives.schema[cls].dataType.simpleString()
-
-    def near(a: pa.Table, b: pa.Table) -> pa.Table:
-        if not len(a) or not len(b):
-            return pa.table({"id": a["id"].slice(0, 0), "d": pa.array([], pa.float64()), "c": b["c"].slice(0, 0)})
-        b = b.sort_by("c").set_column(b.schema.get_field_index("id"), "id", pa.array([None] * len(b), pa.int64()))  # of equally near ones the first
-        parts = list(_least_distances(a, b))
-        return pa.table({"id": a["id"], "d": pa.array(np.concatenate([d for d, _ in parts])), "c": b["c"].take(pa.array(np.concatenate([at for _, at in parts])))})
-
-    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(near, f"id bigint, d double, c {kind}")
-    best = found.groupBy("id").agg(F.min(F.struct("d", "c")).alias("b"))  # one row a block
-    return best.select(F.col("id").alias(key), F.col("b.c").alias("predicted"), F.sqrt("b.d").alias("distance"))
+    asked = vectors.select(F.lit(0).alias("g"), F.col(key).cast("bigint").alias("id"), F.col(components).cast("array<double>").alias("x"))
+    reps = reps.select(F.lit(0).alias("g"), F.lit(None).cast("bigint").alias("id"), F.col("r").alias("x"), F.col("c").alias("label"))
+    found = metric.neighbours(asked, reps, **how)
+    return found.select(F.col("id").alias(key), F.col("label").alias("predicted"), F.sqrt("d").alias("distance"))
 
 
 def best_cosine(vectors: DataFrame, means: DataFrame, key: str = "vec_id", cls: str = "cls", components: str = "components") -> DataFrame:
