@@ -79,14 +79,15 @@ def apply_to_test(test: DataFrame, thresholds: DataFrame, links: DataFrame) -> D
 
 
 def mad_constants(balanced: DataFrame, columns: tuple[str, ...] = ("event_score", "duration_score")) -> DataFrame:
-    """Per set: median and median absolute deviation of each column."""
-    out = None
-    for c in columns:
-        median = util.cut(util.medians(balanced, "set", c, f"{c}_median"))
-        rows = balanced.join(util.bounded(median), "set").withColumn("__away", F.abs(F.col(c) - F.col(f"{c}_median")))
-        both = median.join(util.cut(util.medians(rows, "set", "__away", f"{c}_mad")), "set")
-        out = both if out is None else out.join(both, "set")
-    return out
+    """Per set: median and median absolute deviation of each column. All columns and sets go through one selection of ranks for the medians, and one for the deviations."""
+    long = balanced.select("set", F.inline(F.array(*[F.struct(F.lit(c).alias("__c"), F.col(c).alias("__v")) for c in columns]))).where("__v is not null")
+    counted = util.cut(long.groupBy("set", "__c", "__v").agg(F.count(F.lit(1)).alias("__n")))
+    median = util.cut(util.quantiles(counted, ["set", "__c"], "__v", "__n", [0.5], "__q").select(F.col("set").alias("__s"), F.col("__c").alias("__d"), F.col("__q")[0].alias("__m")))
+    away = counted.join(util.bounded(median), F.col("set").eqNullSafe(F.col("__s")) & (F.col("__c") == F.col("__d")))
+    away = away.groupBy("set", "__c", "__m", F.abs(F.col("__v") - F.col("__m")).alias("__a")).agg(F.sum("__n").alias("__n"))
+    both = util.quantiles(away, ["set", "__c", "__m"], "__a", "__n", [0.5], "__q")
+    of = lambda c, x, kind: F.max(F.when(F.col("__c") == c, x)).alias(f"{c}_{kind}")
+    return both.groupBy("set").agg(*[of(c, x, kind) for c in columns for x, kind in ((F.col("__m"), "median"), (F.col("__q")[0], "mad"))])
 
 
 def mad_combine(rows: DataFrame, constants: DataFrame, columns: tuple[str, ...] = ("event_score", "duration_score")) -> DataFrame:

@@ -16,10 +16,18 @@ def shares(n_categories: int) -> list[float]:
     return [sum(k - j + 1 for j in range(1, i + 1)) / (k * (k + 1) / 2) for i in range(1, k)]
 
 
-def duration_spans(paired: DataFrame, n_categories: int, by: tuple[str, ...] = ("sysname",)) -> DataFrame:
-    """C11: (sysname, boundaries, n): exact interpolated percentiles; equal latencies are counted first, so a common call is small."""
+def level_spans(paired: DataFrame, levels: tuple[int, ...] = LEVELS, by: tuple[str, ...] = ("sysname",)) -> DataFrame:
+    """C11: (n_categories, by, boundaries, n) of all levels in one pass: exact interpolated percentiles of the counted latencies, by selection of ranks (``util.quantiles``)."""
     counted = paired.where("paired").groupBy(*by, "latency").agg(F.count(F.lit(1)).alias("c"))
-    return counted.groupBy(*by).agg(F.percentile("latency", F.array(*map(F.lit, shares(n_categories))), F.col("c")).alias("boundaries"), F.sum("c").alias("n")).withColumn("n_categories", F.lit(n_categories))
+    both = util.quantiles(counted, list(by), "latency", "c", [s for level in levels for s in shares(level)], "b")
+    starts = [1 + sum(level - 2 for level in levels[:i]) for i in range(len(levels))]
+    parts = F.array(*[F.struct(F.lit(level).alias("n_categories"), F.slice("b", at, level - 2).alias("boundaries")) for level, at in zip(levels, starts)])
+    return both.select(*by, "n", F.inline(parts)).select(*by, "boundaries", "n", "n_categories")
+
+
+def duration_spans(paired: DataFrame, n_categories: int, by: tuple[str, ...] = ("sysname",)) -> DataFrame:
+    """C11 for one level."""
+    return level_spans(paired, (n_categories,), by)
 
 
 def chunk_pools(paired: DataFrame, numbered: DataFrame, chunk: int, carry: int = 20, bucket: int = 4096, first: int | None = None) -> DataFrame:
@@ -47,10 +55,10 @@ def chunk_pools(paired: DataFrame, numbered: DataFrame, chunk: int, carry: int =
 
 
 def spans_merge(chunk_spans: DataFrame) -> DataFrame:
-    """Boundaries of chunks 0 .. k averaged by their counts: (chunk, sysname, pos, boundary, n)."""
-    rows = chunk_spans.select("chunk", "sysname", "n", F.posexplode("boundaries").alias("pos", "b"))
-    w = Window.partitionBy("sysname", "pos").orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select("chunk", "sysname", "pos", (F.sum(F.col("b") * F.col("n")).over(w) / F.sum("n").over(w)).alias("boundary"), F.sum("n").over(w).alias("n"))
+    """Boundaries of chunks 0 .. k averaged by their counts: (chunk, n_categories, sysname, pos, boundary, n)."""
+    rows = chunk_spans.select("chunk", "n_categories", "sysname", "n", F.posexplode("boundaries").alias("pos", "b"))
+    w = Window.partitionBy("n_categories", "sysname", "pos").orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0)  # one row a chunk
+    return rows.select("chunk", "n_categories", "sysname", "pos", (F.sum(F.col("b") * F.col("n")).over(w) / F.sum("n").over(w)).alias("boundary"), F.sum("n").over(w).alias("n"))
 
 
 def tag(name: Column, value: Column, boundaries: Column) -> Column:
@@ -64,16 +72,14 @@ def categorize_latency(df: DataFrame, spans: DataFrame, value: str = "latency",
     return df.join(util.bounded(known), F.col("sysname") == F.col("__s"), "left").withColumn(into, tag(F.col("name"), F.coalesce(F.col(value), F.lit(0)), F.col("__b"))).drop("__s", "__b")
 
 
+def wide_spans(spans: DataFrame, levels: tuple[int, ...] = LEVELS) -> DataFrame:
+    """(sysname, n, b<level> for each level) from the rows of level_spans."""
+    return spans.groupBy("sysname", "n").agg(*[F.max(F.when(F.col("n_categories") == level, F.col("boundaries"))).alias(f"b{level}") for level in levels])
+
+
 def all_spans(paired: DataFrame, levels: tuple[int, ...] = LEVELS) -> DataFrame:
-    """(sysname, n, spans: map of level to boundaries) in one pass over the counted latencies."""
-    counted = paired.where("paired").groupBy("sysname", "latency").agg(F.count(F.lit(1)).alias("c"))
-    every = [s for level in levels for s in shares(level)]
-    both = counted.groupBy("sysname").agg(F.percentile("latency", F.array(*map(F.lit, every)), F.col("c")).alias("b"), F.sum("c").alias("n"))
-    at, parts = 1, {}
-    for level in levels:
-        parts[level] = F.slice("b", at, level - 2)
-        at += level - 2
-    return both.select("sysname", "n", *[parts[level].alias(f"b{level}") for level in levels])
+    """(sysname, n, b<level> for each level) in one pass over the counted latencies."""
+    return wide_spans(level_spans(paired, levels), levels)
 
 
 def multi_tags(df: DataFrame, spans: DataFrame, value: str = "latency", levels: tuple[int, ...] = LEVELS) -> DataFrame:

@@ -11,15 +11,11 @@ from weftline.sources import tables
 
 def merged_spans(paired: DataFrame, numbered: DataFrame, chunk: int, first: int, carry: int = 20, levels: tuple[int, ...] = durations.LEVELS) -> DataFrame:
     """(sysname, n, b<level> for each level): the spans of C12 after the last chunk, to a thousandth of a nanosecond."""
-    pools = util.cut(durations.chunk_pools(paired, numbered, chunk, carry, first=first))
-    out = None
-    for level in levels:
-        merged = durations.spans_merge(durations.duration_spans(pools, level, ("sysname", "chunk")))
-        last = merged.groupBy("sysname").agg(F.max("chunk").alias("__last"))
-        rows = merged.join(last, "sysname").where("chunk = __last").groupBy("sysname", "n").agg(F.sort_array(F.collect_list(F.struct("pos", F.round("boundary", 3).alias("b")))).alias("x"))
-        one = rows.select("sysname", "n", F.col("x.b").alias(f"b{level}"))
-        out = one if out is None else out.join(one.drop("n"), "sysname")
-    return out
+    pools = durations.chunk_pools(paired, numbered, chunk, carry, first=first)
+    merged = util.cut(durations.spans_merge(durations.level_spans(pools, levels, ("sysname", "chunk"))))
+    last = merged.groupBy("sysname").agg(F.max("chunk").alias("__last"))
+    rows = merged.join(last, "sysname").where("chunk = __last").groupBy("sysname", "n", "n_categories").agg(F.sort_array(F.collect_list(F.struct("pos", F.round("boundary", 3).alias("b")))).alias("x"))
+    return durations.wide_spans(rows.select("sysname", "n", "n_categories", F.col("x.b").alias("boundaries")), levels)
 
 
 def prepare(traces: dict[str, DataFrame], train: str, folder: str, chunk: int = 10_000, first: int = 50_000, skip: int = 0) -> None:

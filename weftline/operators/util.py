@@ -121,16 +121,30 @@ def running_max(rows: DataFrame, by: list[str], at: str, value: str, name: str,
     return whole.where("__found is null").drop("__slab", "__found")
 
 
+def quantiles(counted: DataFrame, by: list[str], column: str, count: str, shares: list[float], name: str) -> DataFrame:
+    """(by, n, name): n values, and their exact interpolated quantiles at all shares in one pass; counted: (by, column, count), a row for each value.
+
+    Values are dealt out by ranges and their counts summed (``running``), so a row knows which ranks it holds; of each key only the rows that hold a wanted
+    rank, two for each share at most, come together.
+    """
+    ranked = running(counted, by, [column], count, "__r")
+    sizes = cut(ranked.groupBy(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(by)]).agg(F.sum(count).alias("n")))
+    on = F.expr(" and ".join(f"{c} <=> __k{i}" for i, c in enumerate(by)) or "true")
+    at = [F.lit(s) * (F.col("n") - 1) for s in shares]
+    ranks = F.array(*[F.struct(F.lit(i).alias("i"), F.floor(x).alias("low"), F.ceil(x).alias("high"), x.alias("at")) for i, x in enumerate(at)])
+    holds = lambda rank: (F.col("__r") <= rank) & (rank < F.col("__r") + F.col(count))
+    rows = ranked.join(bounded(sizes), on).withColumn("__w", F.explode(F.filter(ranks, lambda w: holds(w["low"]) | holds(w["high"]))))
+    low, high, share = (F.col(f"__w.{c}") for c in ("low", "high", "at"))
+    ends = rows.groupBy(*by, "n", "__w").agg(F.max(F.when(holds(low), F.col(column))).alias("__a"), F.max(F.when(holds(high), F.col(column))).alias("__b"))
+    value = F.when(low == high, F.col("__a").cast("double")).otherwise((high - share) * F.col("__a") + (share - low) * F.col("__b"))
+    out = ends.groupBy(*by, "n").agg(F.sort_array(F.collect_list(F.struct(F.col("__w.i").alias("i"), value.alias("v")))).alias("__q"))  # a row for each share
+    return out.select(*by, "n", F.col("__q.v").alias(name))
+
+
 def medians(df: DataFrame, by: str, column: str, name: str) -> DataFrame:
     """(by, name): the exact median (the mean of the middle two) of the values of each by; nulls don't count."""
     counted = df.where(F.col(column).isNotNull()).groupBy(by, F.col(column).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
-    ranked = running(counted, [by], ["__v"], "__c", "__r")
-    sizes = ranked.groupBy(F.col(by).alias("__by")).agg(F.sum("__c").alias("__n"))
-    rows = ranked.join(bounded(sizes), F.col(by).eqNullSafe(F.col("__by")))
-    holds = lambda at: (F.col("__r") < at) & (F.col("__r") + F.col("__c") >= at)
-    low, high = F.call_function("div", F.col("__n") + 1, F.lit(2).cast("bigint")), F.call_function("div", F.col("__n"), F.lit(2).cast("bigint")) + 1
-    middle = rows.groupBy(by).agg(F.max(F.when(holds(low), F.col("__v"))).alias("__lo"), F.max(F.when(holds(high), F.col("__v"))).alias("__hi"))
-    return middle.select(by, ((F.col("__lo") + F.col("__hi")) / 2).alias(name))
+    return quantiles(counted, [by], "__v", "__c", [0.5], "__q").select(by, F.col("__q")[0].alias(name))
 
 
 def interval_join(points: DataFrame, intervals: DataFrame, at: str, start: str, end: str, bucket: int) -> DataFrame:

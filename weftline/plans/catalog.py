@@ -92,12 +92,8 @@ def _long_spans(spans: DataFrame) -> DataFrame:
 
 @query(f"WITH {o.PAIRED}{o.SPANS} {_LONG}")
 def A5_spans_save_load(spark: SparkSession, sf: str) -> DataFrame:
-    folder, paired = util.shared_folder(spark), util.cut(fx.paired(spark, sf))
-    spans = None
-    for level in durations.LEVELS:
-        one = durations.duration_spans(paired, level)
-        spans = one if spans is None else spans.unionByName(one)
-    tables.spans_save(spans, folder)
+    folder = util.shared_folder(spark)
+    tables.spans_save(durations.level_spans(fx.paired(spark, sf)), folder)
     return _long_spans(tables.spans_load(spark, folder))
 
 
@@ -281,12 +277,7 @@ def C10_build_sequences(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {o.PAIRED}{o.SPANS} {_LONG}")
 def C11_duration_spans(spark: SparkSession, sf: str) -> DataFrame:
-    paired = util.cut(fx.paired(spark, sf))
-    out = None
-    for level in durations.LEVELS:
-        one = _long_spans(durations.duration_spans(paired, level))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return _long_spans(durations.level_spans(fx.paired(spark, sf)))
 
 
 _CHUNKS = f"""WITH {o.ASSIGNED}, ce AS (SELECT (rn - 1) // 100 AS chunk, max(request_id) AS e FROM nr GROUP BY 1), lastc AS (SELECT max(chunk) AS lc FROM ce),
@@ -303,7 +294,7 @@ def C12_spans_merge(spark: SparkSession, sf: str) -> DataFrame:
     numbered = util.cut(requests.number_requests(requests.assign_events(p, requests.request_intervals(p))))
     pools = durations.chunk_pools(p, numbered, 100)
     merged = durations.spans_merge(durations.duration_spans(pools, 6, ("sysname", "chunk")))
-    return merged.withColumn("boundary", F.round(F.col("boundary") / 1e6 + 0.000123, 3))
+    return merged.drop("n_categories").withColumn("boundary", F.round(F.col("boundary") / 1e6 + 0.000123, 3))
 
 
 @query(f"WITH {o.PAIRED}{o.SPANS} SELECT seq, {o.tag('latency', 8)} AS tag, {o.tag('f_mean', 8)} AS mean_tag FROM p LEFT JOIN sp USING (sysname)")
