@@ -16,12 +16,12 @@ def _draw(seed: str, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
 
 
-def mixed_scenario(known: DataFrame, novel: DataFrame, ratios: tuple[float, ...] = RATIOS, repeats: int = 30, seed: str = "s", blocks: int = 400) -> DataFrame:
-    """G1: (set, ratio_pct, repeat, pos, y_true, ordinal): all known requests in order with bursts of a run of novel ones.
+def scenario_runs(known: DataFrame, novel: DataFrame, ratios: tuple[float, ...] = RATIOS, repeats: int = 30, seed: str = "s") -> DataFrame:
+    """G1 as runs: (set, ratio_pct, repeat, y_true, first, n, pos, zero): n requests with the ordinals from first on, at the places from pos on.
 
-    known: (ordinal from 1); novel: (set, ordinal from 1). Block sizes and the run's start come from a seeded hash; sums over the
-    blocks of a scenario give each block its place, and a block is joined to its requests by ordinal. What ``blocks`` blocks
-    don't use follows in a last one.
+    All known requests in order with bursts of a run of novel ones; zero is the last place of a known request before the run (-1: none). known: (ordinal from
+    1); novel: (set, ordinal from 1). Block sizes and the novel run's start come from a seeded hash; sums over the blocks of a scenario give each
+    block its place. Blocks are drawn until every scenario has used all of its requests, in some ten blocks as a rule: the number of runs doesn't grow with the requests.
     """
     nk = known.agg(F.count(F.lit(1)).alias("nk"))
     sets = novel.groupBy("set").agg(F.count(F.lit(1)).alias("nn")).crossJoin(F.broadcast(nk))
@@ -29,21 +29,70 @@ def mixed_scenario(known: DataFrame, novel: DataFrame, ratios: tuple[float, ...]
     grid = sets.crossJoin(F.broadcast(spark.range(repeats).withColumnRenamed("id", "repeat"))).withColumn("ratio_pct", F.explode(F.array(*[F.lit(round(100 * r)) for r in ratios])))
     size = F.least((F.col("ratio_pct") * F.col("nk") / 100).cast("bigint"), F.col("nn"))
     grid = grid.withColumn("size", size).withColumn("start", F.pmod(_draw(seed, F.col("set"), F.col("ratio_pct"), F.col("repeat"), F.lit("start")), F.col("nn") - F.col("size") + 1))
-    b = grid.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks))))
-    draw = lambda what: _draw(seed, F.col("set"), F.col("ratio_pct"), F.col("repeat"), F.col("block"), F.lit(what))
-    last = F.col("block") == blocks
-    calm = F.when(last, F.col("nk")).otherwise(1 + F.pmod(draw("known"), F.greatest(F.lit(1), (F.col("nk") / 10).cast("bigint"))))
-    burst = F.when(last, F.col("size")).otherwise(F.when(F.pmod(draw("coin"), F.lit(2)) == 0, 1 + F.pmod(draw("novel"), F.greatest(F.lit(1), (F.col("size") / 5).cast("bigint")))).otherwise(0))
-    w = Window.partitionBy("set", "ratio_pct", "repeat").orderBy("block")
-    b = b.withColumns({"__k": calm, "__n": burst})
-    b = b.withColumns({"k1": F.least(F.sum("__k").over(w), F.col("nk")), "n1": F.least(F.sum("__n").over(w), F.col("size"))})
-    b = b.withColumns({"k0": F.coalesce(F.lag("k1").over(w), F.lit(0)), "n0": F.coalesce(F.lag("n1").over(w), F.lit(0))})
+    grid = util.cut(grid)
     keys = ["set", "ratio_pct", "repeat"]
-    of_known = b.where("k1 > k0").select(*keys, F.lit(0).alias("y_true"), F.explode(F.sequence(F.col("k0") + 1, F.col("k1"))).alias("o"), F.col("n0").alias("other"))
-    of_known = of_known.select(*keys, "y_true", F.col("o").alias("ordinal"), (F.col("o") + F.col("other") - 1).alias("pos"))
-    of_novel = b.where("n1 > n0").select(*keys, F.lit(1).alias("y_true"), F.explode(F.sequence(F.col("n0") + 1, F.col("n1"))).alias("o"), F.col("k1").alias("other"), "start")
-    of_novel = of_novel.select(*keys, "y_true", (F.col("o") + F.col("start")).alias("ordinal"), (F.col("o") + F.col("other") - 1).alias("pos"))
-    return of_known.unionByName(of_novel)
+    w = Window.partitionBy(*keys).orderBy("block")  # the blocks of one scenario
+    draw = lambda what: _draw(seed, *map(F.col, keys), F.col("block"), F.lit(what))
+    calm = 1 + F.pmod(draw("known"), F.greatest(F.lit(1), (F.col("nk") / 10).cast("bigint")))
+    burst = F.when(F.pmod(draw("coin"), F.lit(2)) == 0, 1 + F.pmod(draw("novel"), F.greatest(F.lit(1), (F.col("size") / 5).cast("bigint")))).otherwise(0)
+    blocks, left = 64, True
+    while left:
+        b = grid.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumns({"__k": calm, "__n": burst})
+        b = b.withColumns({"k1": F.least(F.sum("__k").over(w), F.col("nk")), "n1": F.least(F.sum("__n").over(w), F.col("size"))})
+        b = util.cut(b.withColumns({"k0": F.coalesce(F.lag("k1").over(w), F.lit(0)), "n0": F.coalesce(F.lag("n1").over(w), F.lit(0))}).where((F.col("k1") > F.col("k0")) | (F.col("n1") > F.col("n0"))))
+        used = b.groupBy(*keys, "nk", "size").agg(F.max("k1").alias("k"), F.max("n1").alias("n"))
+        left = not used.where((F.col("k") < F.col("nk")) | (F.col("n") < F.col("size"))).isEmpty()
+        blocks *= 2
+    part = lambda y, first, n, pos: F.struct(F.lit(y).alias("y_true"), first.alias("first"), n.alias("n"), pos.alias("pos"))
+    calm = part(0, F.col("k0") + 1, F.col("k1") - F.col("k0"), F.col("k0") + F.col("n0"))
+    burst = part(1, F.col("start") + F.col("n0") + 1, F.col("n1") - F.col("n0"), F.col("k1") + F.col("n0"))
+    runs = b.select(*keys, F.inline(F.array(calm, burst))).where("n > 0")
+    before = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    return runs.withColumn("zero", F.coalesce(F.max(F.when(F.col("y_true") == 0, F.col("pos") + F.col("n") - 1)).over(before), F.lit(-1)))
+
+
+def mixed_scenario(known: DataFrame, novel: DataFrame, ratios: tuple[float, ...] = RATIOS, repeats: int = 30, seed: str = "s") -> DataFrame:
+    """G1: (set, ratio_pct, repeat, pos, y_true, ordinal): the runs of scenario_runs, request by request."""
+    runs = scenario_runs(known, novel, ratios, repeats, seed).withColumn("__j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
+    return runs.select("set", "ratio_pct", "repeat", (F.col("pos") + F.col("__j")).alias("pos"), "y_true", (F.col("first") + F.col("__j")).alias("ordinal"))
+
+
+def scenario_metrics(runs: DataFrame, requests: DataFrame, window: int, share: float = 0.8, slab: int = util.SLAB) -> DataFrame:
+    """G2-G4 of all scenarios from their runs: (set, ratio_pct, missed, reduction, delay), means over the repeats.
+
+    requests: (set, y_true, ordinal, y_pred, ts_ms), what the runs' ordinals stand for. Their predictions are summed once, in order; what a window holds of a
+    run is a difference of two sums. So a scenario costs a row for each window and run, not for each request, and no scenario is written out.
+    """
+    keys, scenario = ["set", "ratio_pct"], ["set", "ratio_pct", "repeat"]
+    sums = util.running(requests.withColumn("__hit", F.col("y_pred").cast("bigint")), ["set", "y_true"], ["ordinal"], "__hit", "before")
+    sums = util.cut(sums.select("set", "y_true", "ordinal", "before", (F.col("before") + F.col("__hit")).alias("upto"), "ts_ms"))
+    at = lambda c, *found: sums.select("set", "y_true", F.col("ordinal").alias(c), *found)
+
+    div = lambda x: F.call_function("div", x, F.lit(window).cast("bigint"))
+    full = runs.groupBy(*scenario).agg(div(F.max(F.col("pos") + F.col("n"))).alias("wins"))
+    pieces = runs.join(util.bounded(full), scenario).withColumn("win", F.explode(F.sequence(div(F.col("pos")), div(F.col("pos") + F.col("n") - 1)))).where("win < wins")
+    pieces = pieces.withColumns({"at": F.greatest(F.col("pos"), F.col("win") * window), "end": F.least(F.col("pos") + F.col("n"), (F.col("win") + 1) * window) - 1})
+    pieces = pieces.withColumns({"a": F.col("first") + F.col("at") - F.col("pos"), "b": F.col("first") + F.col("end") - F.col("pos")})
+    pieces = pieces.join(at("a", "before"), ["set", "y_true", "a"]).join(at("b", "upto", "ts_ms"), ["set", "y_true", "b"])
+
+    novel = F.col("y_true") == 1
+    wins = pieces.groupBy(*scenario, "win").agg(
+        F.sum(F.col("upto") - F.col("before")).alias("p"), F.sum(F.when(novel, F.col("end") - F.col("at") + 1).otherwise(0)).alias("t"),
+        F.min(F.struct("at", "y_true", "a", "zero")).alias("head"), F.min(F.when(novel, F.struct("at", "a"))).alias("first"), F.max(F.when(novel, F.struct("at", "ts_ms"))).alias("last"))
+    wins = util.cut(wins.withColumns({"i": F.col("win") * window, "do": F.col("p") > share * window, "should": F.col("t") > share * window}))
+    count = lambda c, x: F.sum(F.when(c, x).otherwise(0))
+    cells = wins.groupBy(*scenario).agg(count(F.col("do"), F.col("t")).alias("tp"), count(~F.col("do"), F.col("t")).alias("fn"), count(F.col("do"), window - F.col("t")).alias("fp"), (F.count(F.lit(1)) * window).alias("n"))
+
+    fired = util.running_max(wins.withColumn("__end", F.when(F.col("do"), F.col("i") + window - 1)), scenario, "win", "__end", "traced", slab)
+    fired = fired.where(F.col("do") & F.col("should") & (F.coalesce("traced", F.lit(-2)) != F.col("i") - 1))
+    start = F.least(F.col("i"), F.greatest(F.col("head.zero") + 1, F.coalesce("traced", F.lit(0)) + 1))
+    # between the last known request and the window all are novel, and their ordinals follow each other
+    begin = F.when(F.col("head.y_true") == 1, F.col("head.a") - (F.col("i") - start)).otherwise(F.col("first.a"))
+    fired = fired.select(*scenario, F.lit(1).alias("y_true"), begin.alias("a"), F.col("last.ts_ms").alias("end"))
+    delays = fired.join(at("a", "ts_ms"), ["set", "y_true", "a"]).groupBy(*scenario).agg(F.avg(F.col("end") - F.col("ts_ms")).alias("delay"))
+    each = cells.join(delays, scenario, "left").select(
+        *keys, F.coalesce(F.try_divide(F.col("fn").cast("double"), F.col("tp") + F.col("fn")), F.lit(0.0)).alias("missed"), (1 - (F.col("tp") + F.col("fp")) / F.col("n")).alias("reduction"), F.coalesce("delay", F.lit(0.0)).alias("delay"))
+    return each.groupBy(*keys).agg(*[F.avg(c).alias(c) for c in ("missed", "reduction", "delay")])
 
 
 def trace_decision(trace: DataFrame, window: int, share: float = 0.8, by: str = "scenario") -> DataFrame:

@@ -48,15 +48,12 @@ def adaptive_tracing(known: DataFrame, novel: DataFrame, thresholds: DataFrame,
 
     known: (ordinal, score, ts_ms); novel: (set, ordinal, score, ts_ms); thresholds: (set, threshold). Ordinals begin with 1.
     """
-    mixed = adaptive.mixed_scenario(known.select("ordinal"), novel.select("set", "ordinal"), repeats=repeats)
-    side = lambda df, label, *keys: df.select(*[F.col(k).alias(f"__{k}") for k in keys], F.lit(label).alias("__y"), F.col("ordinal").alias("__o"), "score", "ts_ms")
-    same = (F.col("ordinal") == F.col("__o")) & (F.col("y_true") == F.col("__y"))
-    rows = mixed.where("y_true = 0").join(side(known, 0), same).drop("__y", "__o")
-    rows = rows.unionByName(mixed.where("y_true = 1").join(side(novel, 1, "set"), same & (F.col("set") == F.col("__set"))).drop("__y", "__o", "__set"))
-    rows = rows.join(util.bounded(thresholds.select("set", "threshold")), "set").withColumn("y_pred", (F.col("score") > F.col("threshold")).cast("int"))
-    rows = util.cut(rows.select(F.struct("set", "ratio_pct", "repeat").alias("scenario"), F.struct("set", "ratio_pct").alias("ratio"), "pos", "y_true", "y_pred", "ts_ms"))
-    out = adaptive.trace_metrics(rows, window).where("ratio is not null")
-    return out.select("ratio.set", "ratio.ratio_pct", "missed", "reduction", "delay")
+    runs = util.cut(adaptive.scenario_runs(known.select("ordinal"), novel.select("set", "ordinal"), repeats=repeats))
+    bounds = util.bounded(thresholds.select("set", "threshold"))
+    rows = known.select("ordinal", "score", "ts_ms").join(bounds, how="cross").withColumn("y_true", F.lit(0))  # known requests once for each set
+    rows = rows.unionByName(novel.select("set", "ordinal", "score", "ts_ms").join(bounds, "set").withColumn("y_true", F.lit(1)))
+    rows = rows.withColumn("y_pred", (F.col("score") > F.col("threshold")).cast("int"))
+    return adaptive.scenario_metrics(runs.join(bounds.select("set"), "set", "left_semi"), rows, window)
 
 
 def root_cause(train: DataFrame, test: DataFrame, thresholds: DataFrame, n_components: int, kind: str = "average") -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -528,8 +528,11 @@ def G1_mixed_scenario(spark: SparkSession, sf: str) -> DataFrame:
     rows = fx.scores(spark, sf).where("role = 'test'")
     known = util.ordinal(rows.where("not novel").select("id"), [], ["id"], "ordinal").select("ordinal")
     novel = util.ordinal(rows.where("novel").select("set", "id"), ["set"], ["id"], "ordinal").select("set", "ordinal")
-    mixed = adaptive.mixed_scenario(known, novel)
-    return mixed.groupBy("set", "ratio_pct", "repeat", "y_true").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("pos") * F.col("ordinal")).alias("digest"), F.min("pos").alias("first"), F.max("pos").alias("last"), F.min("ordinal").alias("low"), F.max("ordinal").alias("high"))
+    runs = adaptive.scenario_runs(known, novel)
+    n, p, o1 = (F.col(c).cast("decimal(38,0)") for c in ("n", "pos", "first"))
+    # of a run: the sum of (pos + j) * (first + j) for j = 0 .. n - 1
+    digest = F.sum((n * p * o1 + (p + o1) * F.expr("n * (n - 1) div 2") + F.expr("n * (n - 1) * (2 * n - 1) div 6")).cast("decimal(38,0)")).cast("bigint")
+    return runs.groupBy("set", "ratio_pct", "repeat", "y_true").agg(F.sum("n").alias("n"), digest.alias("digest"), F.min("pos").alias("first"), F.max(F.col("pos") + F.col("n") - 1).alias("last"), F.min("first").alias("low"), F.max(F.col("first") + F.col("n") - 1).alias("high"))
 
 
 _W = """WITH v AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events), w AS (SELECT event_id // 500 AS scenario, (event_id // 500) % 11 AS ratio, event_id % 500 AS pos, ((event_id // 37) % 2)::int AS y_true, CASE WHEN k % 10 = 0 THEN 1 - (event_id // 37) % 2 ELSE (event_id // 37) % 2 END::int AS y_pred, epoch_us(ts) // 1000 AS ts_ms, ts FROM v),
