@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.operators import metric, util
@@ -29,27 +31,96 @@ def class_mean(vectors: DataFrame, cls: str = "cls", components: str = "componen
     return long.groupBy(cls).agg(F.sort_array(F.collect_list(F.struct("pos", "m"))).alias("x")).select(cls, F.col("x.m").alias("components"))  # one row per component
 
 
-def class_centroids(vectors: DataFrame, k: int = 3, seed: int = 1, cls: str = "cls", components: str = "components", most_rounds: int = 20, settled: float = 1e-12) -> DataFrame:
-    """H4: (cls, k, components): k-means centres of each class, all classes at once.
+def _near(x: Column, centres: Column) -> Column:
+    """Of an array of (k, m): the nearest and the second nearest as (d, k); ties: the least k."""
+    return F.slice(F.sort_array(F.transform(centres, lambda s: F.struct(squared_distance(x, s["m"]).alias("d"), s["k"].alias("k")))), 1, 2)
 
-    Lloyd's rounds from the k distinct vectors of a class with the least hash: a vector goes to the nearest centre of its class (ties: the
-    least k), a centre to the mean of its vectors, until no centre moves or ``most_rounds`` are over. The state is one row per
-    class and centre.
+
+def _centre_arrays(centres: DataFrame) -> DataFrame:
+    """One row a class: (c, all)."""
+    return util.bounded(centres.groupBy("c").agg(F.sort_array(F.collect_list(F.struct("k", "m"))).alias("all")))
+
+
+def centroid_seeds(rows: DataFrame, k: int, seed: int = 1, rounds: int = 5) -> DataFrame:
+    """(c, k, m): seeds of each class by oversampled distances (k-means||). rows: (c, x), x of one length.
+
+    From the vector with the least hash on, each round takes every vector by a seeded hash with a chance of 2k times its share of the class's squared
+    distances to those taken so far. Some ten k vectors a class come together; weighted by how many vectors are nearest to each they are
+    clustered by k-means++ in one small task a class, the best of ten starts. No window and no sort sees all vectors of a class.
+    """
+    chance = lambda r: F.pmod(F.xxhash64("x", F.lit(seed), F.lit(r)), F.lit(1 << 30)) / float(1 << 30)
+    taken = util.cut(rows.groupBy("c").agg(F.min(F.struct(F.xxhash64("x", F.lit(seed)).alias("h"), "x")).alias("f")).select("c", F.col("f.x").alias("m")))
+    numbered = lambda df: df.select("c", F.xxhash64("m").alias("k"), "m")
+    for r in range(rounds):
+        away = rows.join(_centre_arrays(numbered(taken)), "c").select("c", "x", _near(F.col("x"), F.col("all"))[0]["d"].alias("d"))
+        cost = util.bounded(util.cut(away.groupBy("c").agg(F.sum("d").alias("cost")).where("cost > 0")))
+        new = away.join(cost, "c").where(chance(r) < 2 * k * F.col("d") / F.col("cost")).select("c", F.col("x").alias("m")).distinct()
+        taken = util.cut(taken.unionByName(new))
+    weighed = rows.join(_centre_arrays(numbered(taken)), "c").select("c", _near(F.col("x"), F.col("all"))[0]["k"].alias("k")).groupBy("c", "k").agg(F.count(F.lit(1)).alias("w"))
+    some = numbered(taken).join(weighed, ["c", "k"]).select("c", "m", "w")
+
+    def choose(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("w", "descending")])
+        x, w = np.array(table["m"].to_pylist(), dtype=float), table["w"].to_numpy().astype(float)
+        x, at = np.unique(x, axis=0, return_inverse=True)
+        w = np.bincount(at.reshape(-1), w)
+        rng, best = np.random.default_rng(seed), (np.inf, x[:1])
+        for _ in range(10):
+            m = x[[rng.choice(len(x), p=w / w.sum())]]
+            while len(m) < min(k, len(x)):
+                d = np.square(x[:, None] - m[None]).sum(2).min(1) * w
+                m = np.concatenate([m, x[[rng.choice(len(x), p=d / d.sum())]]])
+            for _ in range(50):
+                d = np.square(x[:, None] - m[None]).sum(2)
+                own = d.argmin(1)
+                m = np.array([np.average(x[own == j], axis=0, weights=w[own == j]) if (own == j).any() else m[j] for j in range(len(m))])
+            cost = (np.square(x[:, None] - m[None]).sum(2).min(1) * w).sum()
+            best = min(best, (cost, m), key=lambda b: b[0])
+        m = best[1][np.lexsort(best[1].T[::-1])]
+        return pa.table({"c": table["c"].slice(0, 1).combine_chunks().take(pa.array(np.zeros(len(m), np.int32))), "k": pa.array(np.arange(len(m), dtype=np.int32)), "m": pa.array(m.tolist(), pa.list_(pa.float64()))})
+
+    kind = rows.schema["c"].dataType.simpleString()
+    return some.groupBy("c").applyInArrow(choose, f"c {kind}, k int, m array<double>")
+
+
+def class_centroids(vectors: DataFrame, k: int = 3, seed: int = 1, cls: str = "cls", components: str = "components", most_rounds: int = 200, settled: float = 1e-12) -> DataFrame:
+    """H4: (cls, k, components): k-means centres of each class, all classes at once, at a fixed point of Lloyd's rounds (an error if ``most_rounds`` don't reach it).
+
+    Seeds as in ``centroid_seeds``. A round puts each vector to the nearest centre of its class (ties: the least k) and each centre to the mean of its vectors. Vectors that
+    can't have changed are not read: how much nearer a vector is to its centre than to the next is written once, in order of that margin; while twice what the
+    centres of its class have moved since is less, it stays where it is. A round reads the others alone and corrects the sums; when
+    these are over a third of all, margins are written anew. A class with fewer distinct vectors than k has as many centres. The state is one row per class and centre.
     """
-    rows = vectors.select(F.col(cls).alias("c"), F.col(components).alias("x"))
-    first = rows.distinct().withColumn("k", F.row_number().over(Window.partitionBy("c").orderBy(F.xxhash64("x", F.lit(seed)), "x")) - 1)
-    centres = util.cut(first.where(F.col("k") < k).select("c", "k", F.col("x").alias("m")))
+    rows = util.cut(vectors.select(F.col(cls).alias("c"), F.col(components).cast("array<double>").alias("x")))
+    centres = util.cut(centroid_seeds(rows, k, seed))
+    total, base = rows.count(), None
     for _ in range(most_rounds):
-        old = centres.groupBy("c").agg(F.collect_list(F.struct("k", "m")).alias("all"))  # k centres a class
-        near = F.array_min(F.transform("all", lambda s: F.struct(squared_distance(F.col("x"), s["m"]).alias("d"), s["k"].alias("k"))))["k"]
-        placed = rows.join(util.bounded(old), "c").select("c", near.alias("k"), F.posexplode("x").alias("pos", "v"))
-        means = placed.groupBy("c", "k", "pos").agg(F.avg("v").alias("v")).groupBy("c", "k").agg(F.sort_array(F.collect_list(F.struct("pos", "v"))).alias("n"))
-        both = centres.join(means.select("c", "k", F.col("n.v").alias("n")), ["c", "k"], "left").withColumn("n", F.coalesce("n", "m"))
-        both = util.cut(both.withColumn("moved", squared_distance(F.col("m"), F.col("n"))))
+        if base is None:
+            near = rows.join(_centre_arrays(centres), "c").select("c", "x", _near(F.col("x"), F.col("all")).alias("n"))
+            margin = F.coalesce(F.sqrt(F.col("n")[1]["d"]) - F.sqrt(F.col("n")[0]["d"]), F.lit(float("inf")))
+            folder = util.shared_folder(rows.sparkSession)
+            near.select("c", "x", F.col("n")[0]["k"].alias("k"), margin.alias("margin")).sortWithinPartitions("margin").write.parquet(folder)
+            written, base = rows.sparkSession.read.parquet(folder), centres
+            sums = util.cut(written.select("c", "k", F.posexplode("x").alias("pos", "v")).groupBy("c", "k", "pos").agg(F.sum("v").alias("s"), F.count(F.lit(1)).alias("n")))
+            now = sums
+        else:
+            drift = centres.join(base.select("c", "k", F.col("m").alias("old")), ["c", "k"]).groupBy("c").agg((2 * F.sqrt(F.max(squared_distance(F.col("m"), F.col("old")))) + 1e-9).alias("drift"))
+            drift = util.cut(drift)
+            most = drift.agg(F.max("drift")).first()[0] or 0.0
+            moved = written.where(F.col("margin") <= most).join(util.bounded(drift), "c").where("margin <= drift").join(_centre_arrays(centres), "c")
+            moved = util.cut(moved.select("c", "x", F.col("k").alias("old"), _near(F.col("x"), F.col("all"))[0]["k"].alias("new")))
+            if 3 * moved.count() > total:
+                base = None
+                continue
+            changes = moved.where("old <> new").select("c", F.inline(F.array(F.struct(F.col("old").alias("k"), F.lit(-1).alias("sign")), F.struct(F.col("new").alias("k"), F.lit(1).alias("sign")))), "x")
+            changes = changes.select("c", "k", "sign", F.posexplode("x").alias("pos", "v")).select("c", "k", "pos", (F.col("sign") * F.col("v")).alias("s"), F.col("sign").cast("bigint").alias("n"))
+            now = sums.unionByName(changes).groupBy("c", "k", "pos").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+        means = now.where("n > 0").groupBy("c", "k").agg(F.sort_array(F.collect_list(F.struct("pos", (F.col("s") / F.col("n")).alias("v")))).alias("x")).select("c", "k", F.col("x.v").alias("n"))
+        both = util.cut(centres.join(means, ["c", "k"], "left").select("c", "k", "m", F.coalesce("n", "m").alias("n")))
         centres = both.select("c", "k", F.col("n").alias("m"))
-        if (both.agg(F.max("moved")).first()[0] or 0) <= settled:
-            break
-    return centres.select(F.col("c").alias(cls), "k", F.col("m").alias("components"))
+        if (both.agg(F.max(squared_distance(F.col("m"), F.col("n")))).first()[0] or 0) <= settled:
+            return centres.select(F.col("c").alias(cls), "k", F.col("m").alias("components"))
+    raise RuntimeError(f"centres still moved after {most_rounds} rounds")
 
 
 def squared_distance(a: Column, b: Column) -> Column:
