@@ -11,7 +11,7 @@ def test_quotes_link_and_order(spark):
     ]
     got = chat_quotes.link(spark.createDataFrame([(*r, 1) for r in rows], "conv_id bigint, turn bigint, role string, text string, level int")).collect()
     assert [(r.conv_id, r.turn, r.n_quotes, r.n_linked, r.reply_to, r.thread, r.text) for r in got] == [
-        (None, 3, 1, 0, None, 3, "> q"), (1, 0, 0, 0, None, 0, "Hello there\nSecond line\n\nA paragraph"), (1, 1, 1, 1, 0, 0, "Hi!"), (1, 2, 2, 2, 1, 0, "ok"), (1, 4, 1, 1, 0, 0, "late reply"), (1, 3, 0, 0, None, 3, "new topic"), (1, 6, 1, 1, 3, 3, "y > z"),
+        (None, 3, 1, 0, None, 3, "> q"), (1, 0, 0, 0, None, 0, "Hello there\nSecond line\n\nA paragraph"), (1, 1, 1, 1, 0, 0, "Hi!"), (1, 2, 2, 2, 1, 0, "ok"), (1, 4, 1, 1, 0, 0, "late reply"), (1, 3, 0, 0, None, 3, "new topic"), (1, 6, 1, 1, 3, 3, "> unknown\ny > z"),
         (1, 5, 1, 0, None, 5, "> never said\nx"), (2, 0, 1, 0, None, 0, "> Hi!\nother"), (2, 1, 0, 0, None, 1, ""), (2, 1, 0, 0, None, 1, ""),
     ]
 
@@ -44,18 +44,29 @@ def by_hand(rows):
         left, quotes, linked, to = [], 0, 0, []
         for n, bodies, raw in passages:
             said = [norm(b) for b in bodies if norm(b)]
+            gone = set()
             if n and said:
                 quotes += 1
                 at = first(c, turn, " ".join(said))
-                if at is None:
-                    votes = [u for s in said if (u := first(c, turn, s)) is not None]
+                if at is not None:
+                    gone = set(range(len(raw)))
+                else:
+                    found = {i: u for i, b in enumerate(bodies) if norm(b) and (u := first(c, turn, norm(b))) is not None}
+                    votes = [u for i, u in found.items() if " " in norm(bodies[i])]
                     best = max(votes, key=lambda u: (votes.count(u), u), default=None)
                     at = best if best is not None and 2 * votes.count(best) >= len(said) else None
+                    if at is not None:  # line by line: those that were written, with the empty ones before
+                        gone = {i for i, u in found.items() if " " in norm(bodies[i]) or u == at}
+                        for i in range(len(bodies) - 2, -1, -1):
+                            if not norm(bodies[i]) and i + 1 in gone:
+                                gone.add(i)
+                        for i in range(1, len(bodies)):
+                            if i - 1 in gone and not any(norm(b) for b in bodies[i:]):
+                                gone.add(i)
                 if at is not None:
                     linked += 1
                     to += [at] if n == 1 else []
-                    continue
-            left += raw
+            left += [line for i, line in enumerate(raw) if i not in gone]
         out[c, turn, text] = ("\n".join(left).strip("\n") if linked else text, quotes, linked, max(to, default=None))
         reply[c, turn] = max(to, default=None)
 
@@ -83,7 +94,7 @@ def test_equals_a_walk_by_hand(spark):
                 elif x < 0.6:
                     lines += [">>> print(1)", "1"]
                 elif x < 0.7:
-                    lines.append("> nobody said so")
+                    lines += rng.choice([["> nobody said so"], [">", "> nobody said so"], [">"]])
                 else:
                     lines.append(" ".join(rng.choice("ab cd ef gh ij kl".split()) for _ in range(rng.randint(1, 3))))
             rows.append((c, turn, "\n".join(lines)))
@@ -95,6 +106,18 @@ def test_equals_a_walk_by_hand(spark):
     assert left == {k[:2]: v for k, v in want.items()}
 
 
+def test_only_what_was_quoted_goes(spark):
+    rows = [
+        (1, 0, "Hello there\nok\nA third line\nand more of it"), (1, 1, "> Hello there\n> never said by anyone, important\nyes"), (1, 2, ">>> print(1)\n>>> ok\nruns"), (1, 3, "> ok\nfine"),
+        (1, 4, "> Hello there\n>\n> not this\n>\n> A third line\n> ok\n>\nend"),
+    ]
+    got = {r.turn: (r.text, r.n_linked, r.reply_to) for r in chat_quotes.link(spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id bigint, turn bigint, role string, text string")).collect()}
+    assert got[1] == ("> never said by anyone, important\nyes", 1, 0)
+    assert got[2] == (">>> print(1)\n>>> ok\nruns", 0, None)
+    assert got[3] == ("fine", 1, 0)
+    assert got[4] == (">\n> not this\nend", 1, 0)
+
+
 def test_what_is_no_quote_stays_and_long_texts(spark):
     code, long = "Run this:\n>>> print(1)\n1\nok", "word " * 300_000
     rows = [("a", "2020-01-01", "user", code), ("a", "2020-01-02", "user", f"{long}\n\nend"), ("a", "2020-01-03", "user", f"> {long}\nyes"), ("a", "2020-01-04", "user", "> Hi")]
