@@ -18,9 +18,13 @@ Formats (``KINDS``):
 * date, over the 146,097 days of a Gregorian cycle (1800-01-01 to 2199-12-31), taken as 209 x 699: year-month-day, day.month.year,
   month/day/year (with two digits each in the result), day month-name year, month-name day, year;
 * ssn: over the valid area-group and serial numbers;
-* card: 13 to 19 digits in one run or in groups of 4-4-4-4, 4-4-4-4-3 or 4-6-5, with a new check digit;
+* card: 13 to 19 digits in one run or in groups of 4-4-4-4, 4-4-4-4-3 or 4-6-5, with a new check digit; of a longer run of groups each
+  four that are a valid card;
 * hex: runs of 32 to 128 hexadecimal digits of one case with digits and letters.
 
+Values that stand side by side are told apart before they are validated: account numbers have the length of their country, a number in groups ends where a date, an address, a
+card or another number begins, and a hyphen may join two values.
+
 Every step is a projection: no shuffle, no UDF. Texts without a candidate pass unchanged. The key must be given and hold at least
 ``LEAST_KEY`` characters; who has it can take a pseudonym back (``inverse``).
 
@@ -38,24 +42,50 @@ from pyspark.sql import functions as F
 
 KINDS = ("email", "iban", "ipv6", "phone", "ip", "date", "ssn", "card", "hex")
 _MONTHS = "(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)"
-#: Pattern and the formats for reading and for writing.
+#: Core pattern, what may stand around it, and the formats for reading and for writing. A value may follow another one with a hyphen between.
+_AFTER = r"(?:(?<![0-9-])|(?<=\G-))"
+_END = rf"(?![0-9]|-[0-9]{{1,2}}(?![0-9A-Za-z./:@]| {_MONTHS}))"
+_YMD, _DMY, _MDY = r"[0-9]{4}-[0-9]{2}-[0-9]{2}", r"[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}", r"[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}"
+_LONG_DMY, _LONG_MDY = rf"[0-9]{{1,2}} {_MONTHS} [0-9]{{4}}", rf"{_MONTHS} [0-9]{{1,2}}, [0-9]{{4}}"
 DATES = {
-    "ymd": (r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])", "yyyy-MM-dd", "yyyy-MM-dd"),
-    "dmy": (r"(?<![0-9.])[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}(?![0-9])", "d.M.yyyy", "dd.MM.yyyy"),
-    "mdy": (r"(?<![0-9/])[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}(?![0-9/])", "M/d/yyyy", "MM/dd/yyyy"),
-    "long_dmy": (rf"(?<![0-9])[0-9]{{1,2}} {_MONTHS} [0-9]{{4}}(?![0-9])", "d MMM yyyy", "d MMMM yyyy"),
-    "long_mdy": (rf"(?<![A-Za-z]){_MONTHS} [0-9]{{1,2}}, [0-9]{{4}}(?![0-9])", "MMM d, yyyy", "MMMM d, yyyy"),
+    "ymd": (rf"{_AFTER}{_YMD}{_END}", "yyyy-MM-dd", "yyyy-MM-dd"),
+    "dmy": (rf"(?<![0-9.]){_DMY}(?![0-9])", "d.M.yyyy", "dd.MM.yyyy"),
+    "mdy": (rf"(?<![0-9/]){_MDY}(?![0-9/])", "M/d/yyyy", "MM/dd/yyyy"),
+    "long_dmy": (rf"(?<![0-9]){_LONG_DMY}(?![0-9])", "d MMM yyyy", "d MMMM yyyy"),
+    "long_mdy": (rf"(?<![A-Za-z]){_LONG_MDY}(?![0-9])", "MMM d, yyyy", "MMMM d, yyyy"),
 }
-NATIONAL = r"(?<![0-9+])(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9])"
+#: Characters of a bank account number, by country.
+ACCOUNT_SIZES = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_KNOWN_COUNTRIES = "|".join(c for group in ACCOUNT_SIZES.values() for c in group.split())
+
+
+def _account(size: int, countries: str) -> str:
+    fours, rest = divmod(size - 4, 4)
+    return f"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{fours}}}" + (f"(?: ?[A-Z0-9]{{{rest}}})" if rest else "")
+
+
+_TEN = r"(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9])"
+NATIONAL = rf"(?<![0-9+]){_TEN}"
+_SSN, _IP = r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])", r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![0-9])"
+#: What begins another value, so that a number in groups ends before it.
+_OTHER = rf"{_YMD}(?![0-9])|{_DMY}(?![0-9])|{_MDY}(?![0-9])|{_LONG_DMY}(?![0-9])|{_IP}|{_SSN}|[0-9]{{4}}[ -][0-9]{{6}}[ -][0-9]{{5}}(?![0-9])|[0-9]{{1,40}}[A-Za-z:]|[0-9A-Za-z._%+-]{{1,64}}@"
+_SPACED, _HYPHENED = (rf"[0-9]{{4}}(?:{sep}[0-9]{{4}}){{3}}(?:(?:{sep}[0-9]{{4}}){{4}})*(?![0-9]|{sep}[0-9]{{4}}(?![0-9]))" for sep in " -")
+_FOURS = rf"{_SPACED}|{_HYPHENED}|(?:[0-9]{{4}} [0-9]{{6}} [0-9]{{5}}|[0-9]{{4}}-[0-9]{{6}}-[0-9]{{5}}|[0-9]{{13,19}})(?![0-9])"
+_RUN = r"[0-9]{{4}}(?:{0}[0-9]{{4}}){{3}}(?:{0}(?!{1})[0-9]{{4}}(?![0-9])){{0,20}}(?:{0}(?!{1})[0-9]{{3}}(?![0-9]))?"
+#: Groups of four digits, of which some may be cards.
+GROUPS = rf"(?:{_RUN.format(' ', f'{_OTHER}|{_TEN}|{_HYPHENED}')}|{_RUN.format('-', f'{_OTHER}|{_TEN}|{_SPACED}')})"
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]{1,190}\.[A-Za-z]{2,24}",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "email": r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]{1,190}\.[A-Za-z]{2,24}(?![A-Za-z0-9._%+][A-Za-z0-9._%+-]{0,63}@|@)",
+    "iban": rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{'|'.join(_account(*x) for x in ACCOUNT_SIZES.items())}|(?!{_KNOWN_COUNTRIES})[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?)(?![A-Za-z0-9])",
     "ipv6": r"(?<![0-9A-Za-z:])(?:[0-9a-fA-F]{1,4}:){1,7}(?::|(?::?[0-9a-fA-F]{1,4})(?::[0-9a-fA-F]{1,4}){0,6})(?![0-9A-Za-z:])",
-    "phone": rf"\+[0-9]{{1,3}}(?:[ .-]?\([0-9]{{1,5}}\))?(?:[ .-]?[0-9]{{1,14}}){{1,6}}(?![0-9])|{NATIONAL}",
+    "phone": rf"\+[0-9](?:(?:(?<=\+[0-9]{{1,3}})[ .-]?\(|(?<=\([0-9]{{1,5}})\)[ .-]?|[ .-](?!{_OTHER})(?:(?<=\+[0-9]{{1,3}}[ .-])|(?!{_TEN}|{_FOURS})))?[0-9]){{7,14}}(?![0-9])|{NATIONAL}",
     "ip": r"(?<![0-9.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?!\.?[0-9])",
     "date": "|".join(p for p, _, _ in DATES.values()),
-    "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:(?: [0-9]{4}){3}(?: [0-9]{3})?|(?:-[0-9]{4}){3}(?:-[0-9]{3})?| [0-9]{6} [0-9]{5}|-[0-9]{6}-[0-9]{5}))(?![0-9])",
+    "ssn": rf"{_AFTER}[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}{_END}",
+    "card": rf"(?<![0-9])(?:[0-9]{{13,19}}|{GROUPS}|[0-9]{{4}} [0-9]{{6}} [0-9]{{5}}|[0-9]{{4}}-[0-9]{{6}}-[0-9]{{5}})(?![0-9])",
     "hex": r"(?<![0-9a-fA-F])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9a-fA-F])",
 }
 ANY = "|".join(PATTERNS[k] for k in KINDS)
@@ -266,6 +296,23 @@ def _has_kind(kind: str, x: Column) -> Column:
     return x["kind"] == kind
 
 
+def _pieces(value: Column) -> Column:
+    """What of a candidate is looked at: of a run of groups of four digits each four that are a card (or, at the end, five), and the groups between; else the candidate itself."""
+    groups = F.split(value, "[ -]")
+
+    def step(acc: Column, i: Column) -> Column:
+        left = F.size(groups) - i
+        digits = lambda n: F.array_join(F.slice(groups, i + 1, F.lit(n)), "")
+        card = lambda n, size: (left >= n) & (F.length(digits(n)) == size) & (F.pmod(_luhn(digits(n), 1), F.lit(10)) == 0)
+        taken = F.when(card(5, 19), 5).when(card(4, 16), 4).otherwise(1)
+        new = F.struct((i + taken).alias("next"), F.concat(acc["s"], F.array(F.call_function("array_join", F.slice(groups, i + 1, taken), F.substring(value, 5, 1)))).alias("s"))
+        return F.when(i < acc["next"], acc).otherwise(new)
+
+    start = F.struct(F.lit(0).alias("next"), F.array().cast("array<string>").alias("s"))
+    run = F.aggregate(F.sequence(F.lit(0), F.size(groups) - 1), start, step, lambda acc: acc["s"])
+    return F.when(value.rlike(f"^{GROUPS}$"), run).otherwise(F.array(value))
+
+
 def pseudonymise(docs: DataFrame, secret: str, key: str = "doc_id", text: str = "text", inverse: bool = False) -> DataFrame:
     """(key, text with pseudonyms, n_<kind> for each kind) for every row; inverse takes pseudonyms back."""
     if len(secret) < LEAST_KEY:
@@ -273,8 +320,10 @@ def pseudonymise(docs: DataFrame, secret: str, key: str = "doc_id", text: str =
     rows = docs.select(F.col(key), F.col(text).alias("text"))
     # all that can be valid has a digit, an @ or a colon pair; most texts have none
     rows = rows.withColumn("found", F.when(F.col("text").rlike("[0-9@]|::"), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))))
-    rows = rows.withColumn("new", F.when(F.size("found") > 0, F.transform("found", lambda v: _pseudonym(v, secret, inverse))))
+    rows = rows.withColumn("pieces", F.when(F.size("found") > 0, F.transform("found", _pieces)))
+    rows = rows.withColumn("new", F.transform("pieces", lambda v: F.transform(v, lambda piece: _pseudonym(piece, secret, inverse))))
     between = F.split("text", ANY, -1)
-    joined = F.array_join(F.zip_with(between, F.concat(F.col("new")["out"], F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
-    counts = [F.when(F.col("new").isNull(), F.lit(0)).otherwise(F.size(F.filter("new", functools.partial(_has_kind, k)))).alias(f"n_{k}") for k in KINDS]
+    written = F.zip_with("found", "new", lambda v, x: F.call_function("array_join", x["out"], F.substring(v, 5, 1)))  # only runs of groups have several pieces
+    joined = F.array_join(F.zip_with(between, F.concat(written, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+    counts = [F.when(F.col("new").isNull(), F.lit(0)).otherwise(F.size(F.filter(F.flatten("new"), functools.partial(_has_kind, k)))).alias(f"n_{k}") for k in KINDS]
     return rows.select(key, F.when(F.col("new").isNull(), F.col("text")).otherwise(joined).alias("text"), *counts)
