@@ -46,6 +46,8 @@ HOT = 8_192
 #: Lists of open lines that are sent to all tasks as a filter; if there are more, all entries travel.
 FILTER_LISTS = 500_000
 #: Keys or line numbers, of 16 bytes, that are counted before they are broadcast.
+#: Words of the texts for one file of a written table, at least: few files where there is little.
+WORDS_A_FILE = 500_000
 BROADCAST_ROWS = 1_000_000
 #: What an entry of a list carries; ``at`` is the place of the (first) shared word.
 ENTRY = {"list": np.uint32, "whole": np.uint64, "parity": np.uint64, "size": np.uint32, "at": np.uint16, "wide": np.uint64}
@@ -265,6 +267,7 @@ def dedup(
     rows = docs.select(F.col(key).cast("bigint").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), *carried)
     counts = shared.bin_counts(rows, "text", BITS, lambda c: (c.word_hash() >> np.uint64(64 - BITS)).astype(np.int64))
     buckets = shared.power_of_two(int(counts.sum()) // words_each + 1, 32)
+    files = int(counts.sum()) // WORDS_A_FILE + 8
     rarity = _rarity(counts)
     shift = np.uint64(64 - (buckets.bit_length() - 1))
     found_schema = packing.schema(*LINKS) + ", kind int"
@@ -419,8 +422,8 @@ def dedup(
 
     keyed = rows.select("key", "text").where("key is not null")
     placed = rows.withColumn("bucket", packing.home(F.coalesce("key", F.xxhash64("text")), buckets)).groupBy("bucket")
-    found = shared.cut(keyed.mapInArrow(index(), packing.schema(*ENTRY)).groupBy("bucket").applyInArrow(meet, found_schema))
-    open_lists = _open_lists(rows, found, num, den)
+    found = shared.cut(keyed.mapInArrow(index(), packing.schema(*ENTRY)).groupBy("bucket").applyInArrow(meet, found_schema), files)
+    open_lists = _open_lists(rows, found, num, den, files)
     if open_lists is not None:
         names = open_lists.select(F.expr("shiftleft(cast(bucket as bigint), 24) | list").alias("n")).distinct()
         lists = None
@@ -428,7 +431,7 @@ def dedup(
             lists = np.sort(names.toPandas()["n"].to_numpy(np.int64))
         asked = open_lists.mapInArrow(_packed_lists, open_schema).groupBy("bucket")
         again = keyed.mapInArrow(index(np.zeros(0, np.int64) if lists is None else lists), packing.schema(*ENTRY)).groupBy("bucket")
-        found = found.unionByName(shared.cut(again.cogroup(asked).applyInArrow(meet_open, found_schema)))
+        found = found.unionByName(shared.cut(again.cogroup(asked).applyInArrow(meet_open, found_schema), files))
     pairs = placed.cogroup(found.where("kind = 1").groupBy("bucket")).applyInArrow(fetch, sent_schema)
     nothing = [F.lit(None).cast(t).alias(n) for n, t in (("later", "array<bigint>"), ("line", "array<int>"), ("words", "string"), ("digest", "binary"))]
     marks = found.where("kind = 0").select("bucket", "ids", "counts", "gaps", *nothing)
@@ -489,10 +492,10 @@ def _bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _open_lists(rows: DataFrame, found: DataFrame, num: int, den: int) -> DataFrame | None:
+def _open_lists(rows: DataFrame, found: DataFrame, num: int, den: int, files: int) -> DataFrame | None:
     """(bucket, list, later, line) of lists with more lines than tries, of lines whose tries there all fail; None if there are none."""
     pairs = found.where("kind = 1").select("bucket", "ids", "counts", "gaps", *LINKS)
-    pairs = shared.cut(pairs.mapInArrow(_flagged, "k bigint, p bigint, later bigint, line bigint").distinct())
+    pairs = shared.cut(pairs.mapInArrow(_flagged, "k bigint, p bigint, later bigint, line bigint").distinct(), files)
     if pairs.isEmpty():
         return None
     both_ends = F.array(F.struct("k", "p"), F.struct(F.col("later").alias("k"), F.col("line").alias("p")))
@@ -500,14 +503,14 @@ def _open_lists(rows: DataFrame, found: DataFrame, num: int, den: int) -> DataFr
     lines = rows.join(_bounded(ends), F.col("key") == F.col("k")).select("k", "p", F.get(F.split("text", "\n"), F.col("p").cast("int")).alias("s"))
     # hashes of words decide who is open; what is removed is verified on the words themselves
     words = F.array_distinct(F.transform(F.filter(F.split("s", r"[\x20\x09-\x0D]+"), lambda w: w != ""), lambda w: F.xxhash64(w)))
-    lines = shared.cut(lines.where("s is not null").select("k", "p", words.alias("w")))
+    lines = shared.cut(lines.where("s is not null").select("k", "p", words.alias("w")), files)
     mine = lines.select(F.col("k").alias("later"), F.col("p").alias("line"), F.col("w").alias("v"))
     n = F.size(F.array_intersect("w", "v"))
     ok = den * n >= num * (F.size("w") + F.size("v") - n)
     tried = pairs.join(lines, ["k", "p"]).join(mine, ["later", "line"]).groupBy("later", "line").agg(F.max(ok.cast("int")).alias("ok"))
-    still = shared.cut(tried.where("ok = 0").select("later", "line"))
+    still = shared.cut(tried.where("ok = 0").select("later", "line"), files)
     if still.isEmpty():
         return None
     lists = found.where("kind = 2").select("bucket", "ids", "counts", "gaps", "later")
     lists = lists.mapInArrow(_unpacked_lists, "bucket int, list bigint, later bigint, line bigint")
-    return shared.cut(lists.join(_bounded(still), ["later", "line"], "left_semi").select("bucket", "list", "later", "line"))
+    return shared.cut(lists.join(_bounded(still), ["later", "line"], "left_semi").select("bucket", "list", "later", "line"), files)

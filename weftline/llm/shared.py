@@ -23,10 +23,10 @@ BROADCAST_ROWS = 200_000
 ROWS_A_FILE = 200_000
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` as a reliable checkpoint in the shared folder."""
+def cut(df: DataFrame, files: int | None = None) -> DataFrame:
+    """``df`` as a reliable checkpoint in the shared folder, of at most so many files; files should grow with what was counted."""
     checkpoint_folder(df.sparkSession.sparkContext)
-    return df.checkpoint(eager=True)
+    return (df if files is None else df.coalesce(max(1, files))).checkpoint(eager=True)
 
 
 def checkpoint_folder(context: SparkContext) -> None:
@@ -62,15 +62,15 @@ def bucket_count(df: DataFrame, rows_each: int, least: int = 12) -> int:
     return power_of_two(-(-df.count() // rows_each), least)
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 60, files: int | None = None) -> DataFrame:
     """Connected components by alternating large-star and small-star steps: (a, b) edges to (node, component = least node).
 
     Each step keeps, per node, only the least neighbour (a partial aggregate, so no neighbour list is gathered),
     and joins it back to the edges; hot hubs are split by adaptive skew joins. Ends when the edges no longer change.
-    Nodes without an edge are not in the result; null ends and loops are ignored.
+    Nodes without an edge are not in the result; null ends and loops are ignored. files: those of the first written edges, at most.
     """
     pairs = edges.select(F.col("a"), F.col("b")).where("a <> b")
-    pairs = cut(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    pairs = cut(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), files)
     # as many files as the counted edges fill; a step makes no more than twice the edges of the one before
     files, before = -(-pairs.count() // ROWS_A_FILE) + 1, None
     for _ in range(most_rounds):

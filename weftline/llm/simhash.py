@@ -337,6 +337,8 @@ NEAR = 85
 SPARE = 8
 NEAR_GROUP = 20_000
 BROADCAST_ROWS = 200_000
+#: Rows for one file of a written table, at least: few files where there are few rows.
+ROWS_A_FILE = 5_000
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -351,33 +353,34 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     """
     prints = fingerprints(docs.where(F.col(key).isNotNull()), key, text, shingle, PRINTS)
     prints = shared.cut(prints.select(F.col(key).alias("key"), "fps"))
-    least = shared.cut(prints.groupBy("fps").agg(F.min("key").alias("node")))
+    files = prints.count() // ROWS_A_FILE + 8
+    least = shared.cut(prints.groupBy("fps").agg(F.min("key").alias("node")), files)
     halves = [F.struct(F.lit(2 * i + j).alias("tab"), (F.col("fps")[i].bitwiseAND(F.lit(0xFFFFFFFF)) if j else F.shiftrightunsigned(F.col("fps")[i], 32)).alias("fp")) for i in range(PRINTS) for j in (0, 1)]
     labelled, true, tried, spare = least.withColumn("label", F.col("node")), None, None, 0
     while True:
         values = labelled.select("node", "label", "fps", F.explode(F.array(*halves)).alias("x")).select("node", "label", F.col("fps").alias("extra"), "x.tab", "x.fp")
         found = trie_join(values, TABLE_BUDGET, WIDTH, NEAR_GROUP, table="tab", extra="extra", near=NEAR, label="label", spare=spare)
-        found = shared.cut(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "tree", "more").distinct())
+        found = shared.cut(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "tree", "more").distinct(), files)
         edges = found.select("a", "b").distinct()
-        edges = shared.cut(edges if tried is None else edges.join(tried, ["a", "b"], "left_anti"))
-        new = _verified(docs, edges, key, text, shingle, percent)
-        true, tried = (new, edges) if true is None else (shared.cut(true.unionByName(new)), shared.cut(tried.unionByName(edges)))
-        closed = shared.components(true).withColumnRenamed("node", "c")
+        edges = shared.cut(edges if tried is None else edges.join(tried, ["a", "b"], "left_anti"), files)
+        new = _verified(docs, edges, key, text, shingle, percent, files)
+        true, tried = (new, edges) if true is None else (shared.cut(true.unionByName(new), files), shared.cut(tried.unionByName(edges), files))
+        closed = shared.components(true, files=files).withColumnRenamed("node", "c")
         all_labels = least.join(closed, F.col("node") == F.col("c"), "left").select("fps", "node", F.coalesce("component", "node").alias("label"))
         now = all_labels.select(F.col("node").alias("n"), F.col("label").alias("l"))
         waiting = found.where("more = 1").join(now.withColumnsRenamed({"n": "a", "l": "la"}), "a").join(now.withColumnsRenamed({"n": "b", "l": "lb"}), "b")
-        waiting = shared.cut(waiting.select("tree", "la", "lb"))
+        waiting = shared.cut(waiting.select("tree", "la", "lb"), files)
         failed = waiting.where("la <> lb").select("tree").distinct()
-        again = shared.cut(waiting.join(failed, "tree", "left_semi").select(F.explode(F.array("la", "lb")).alias("label")).distinct())
+        again = shared.cut(waiting.join(failed, "tree", "left_semi").select(F.explode(F.array("la", "lb")).alias("label")).distinct(), files)
         if again.isEmpty():
             break
-        labelled = shared.cut(all_labels.join(again, "label", "left_semi").select("fps", "node", "label"))
+        labelled = shared.cut(all_labels.join(again, "label", "left_semi").select("fps", "node", "label"), files)
         spare = max(1, spare) * SPARE
     out = prints.join(all_labels, "fps").select(F.col("key").alias("node"), F.col("label").alias("component"))
     return out.where("node <> component")
 
 
-def _verified(docs: DataFrame, edges: DataFrame, key: str, text: str, shingle: int, percent: int) -> DataFrame:
+def _verified(docs: DataFrame, edges: DataFrame, key: str, text: str, shingle: int, percent: int, files: int) -> DataFrame:
     """The edges (a, b) whose rows have shingle sets with a Jaccard similarity of percent or more."""
     nodes = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     nodes = F.broadcast(nodes) if edges.count() <= BROADCAST_ROWS else nodes
@@ -390,11 +393,11 @@ def _verified(docs: DataFrame, edges: DataFrame, key: str, text: str, shingle: i
 
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("t")).join(nodes, "id", "left_semi")
     shingles = rows.select(F.col("id").cast("bigint"), "t").mapInArrow(sets, "id bigint, set array<bigint>")
-    shingles = shared.cut(shingles.dropDuplicates(["id"]))
+    shingles = shared.cut(shingles.dropDuplicates(["id"]), files)
     both = edges.join(shingles.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(shingles.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     true = both.select("a", "b", common.alias("n"), (F.size("x") + F.size("y")).alias("m")).where(100 * F.col("n") >= percent * (F.col("m") - F.col("n"))).select("a", "b")
-    return shared.cut(true)
+    return shared.cut(true, files)
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
