@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-from weftline.llm import bpe, chat_quotes, decontaminate, html_extract, lexical_search, line_dedup, oracles, pii, quality, simhash, source_audit, substring_dedup, url_filters, vector_dedup
+from weftline.llm import bpe, chat_quotes, decontaminate, html_extract, lexical_search, line_dedup, oracles, pii, quality, simhash, source_audit, stages, substring_dedup, url_filters, vector_dedup
 from weftline.llm.shared import read
 
 
@@ -72,7 +71,7 @@ def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_pipeline.run(spark, sf_dir)
+    return stages.run(spark, sf_dir)
 
 
 def queries() -> dict:
