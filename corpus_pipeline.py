@@ -14,9 +14,9 @@ Null or repeated rows are treated as the operators' docstrings say; empty tables
 
 from __future__ import annotations
 
-from weftline.llm.stages import STAGES, run
+from weftline.llm.stages import COLUMNS, STAGES, run
 
 #: Hashes, a fitted model and merges have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
-__all__ = ["ORACLE_SQL", "STAGES", "run"]
+__all__ = ["COLUMNS", "ORACLE_SQL", "STAGES", "run"]
