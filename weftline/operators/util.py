@@ -151,16 +151,16 @@ def interval_join(points: DataFrame, intervals: DataFrame, at: str, start: str,
     """Pairs with start < at < end, by a join on buckets.
 
     An interval belongs to the level whose buckets (``bucket`` wide, each level ``WIDER`` times the one below) are the first that are no
-    shorter, so it touches two at most; a point goes to its bucket of each level that there is.
+    shorter, so it touches two at most; a point goes to its bucket of each level that there is. The intervals are written once; few of them are sent to the points.
     """
     length = F.greatest(F.col(end) - F.col(start), F.lit(1))
     level = F.greatest(F.lit(0), F.ceil(F.log(length / F.lit(float(bucket))) / F.log(F.lit(float(WIDER)))).cast("int"))
-    of = intervals.withColumn("__level", level)
+    of = cut(intervals.withColumn("__level", level))
     levels = sorted(r[0] for r in of.select("__level").distinct().collect() if r[0] is not None)  # some ten at most
     wide = lambda column: F.floor(column / (F.lit(bucket).cast("bigint") * F.pow(F.lit(WIDER), F.col("__level")).cast("bigint")))
     left = points.withColumn("__level", F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>"))).withColumn("__bucket", wide(F.col(at)))
     right = of.withColumn("__bucket", F.explode(F.sequence(wide(F.col(start)), wide(F.col(end)))))
-    return left.join(right, ["__level", "__bucket"]).where((F.col(at) > F.col(start)) & (F.col(at) < F.col(end))).drop("__bucket", "__level")
+    return left.join(bounded(right, BROADCAST_ROWS // 10), ["__level", "__bucket"]).where((F.col(at) > F.col(start)) & (F.col(at) < F.col(end))).drop("__bucket", "__level")
 
 
 def _later(heads: DataFrame, group: int = 4096, levels: int = 3) -> DataFrame:
