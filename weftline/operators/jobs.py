@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.operators import adaptive, durations, requests, rootcause, util
+from weftline.operators import adaptive, detect, durations, requests, rootcause, util
 from weftline.sources import tables
 
 
@@ -46,16 +46,38 @@ def prepare(traces: dict[str, DataFrame], train: str, folder: str, chunk: int =
 def adaptive_tracing(known: DataFrame, novel: DataFrame, thresholds: DataFrame, window: int, repeats: int = 30) -> DataFrame:
     """(set, ratio_pct, missed, reduction, delay): scenarios of known and novel requests, traced where a set's threshold says so.
 
-    known: (ordinal, score, ts_ms); novel: (set, ordinal, score, ts_ms); thresholds: (set, threshold). Ordinals begin with 1.
+    known: (ordinal, score, ts_ms), or with a set (the score of each set); novel: (set, ordinal, score, ts_ms); thresholds: (set, threshold). Ordinals begin with 1.
     """
-    runs = util.cut(adaptive.scenario_runs(known.select("ordinal"), novel.select("set", "ordinal"), repeats=repeats))
+    runs = util.cut(adaptive.scenario_runs(known.select("ordinal").distinct() if "set" in known.columns else known.select("ordinal"), novel.select("set", "ordinal"), repeats=repeats))
     bounds = util.bounded(thresholds.select("set", "threshold"))
-    rows = known.select("ordinal", "score", "ts_ms").join(bounds, how="cross").withColumn("y_true", F.lit(0))  # known requests once for each set
-    rows = rows.unionByName(novel.select("set", "ordinal", "score", "ts_ms").join(bounds, "set").withColumn("y_true", F.lit(1)))
+    if "set" in known.columns:
+        rows = known.select("set", "ordinal", "score", "ts_ms").join(bounds, "set")
+    else:
+        rows = known.select("ordinal", "score", "ts_ms").join(bounds, how="cross").select("set", "ordinal", "score", "ts_ms", "threshold")  # known requests once for each set
+    rows = rows.withColumn("y_true", F.lit(0)).unionByName(novel.select("set", "ordinal", "score", "ts_ms").join(bounds, "set").withColumn("y_true", F.lit(1)))
     rows = rows.withColumn("y_pred", (F.col("score") > F.col("threshold")).cast("int"))
     return adaptive.scenario_metrics(runs.join(bounds.select("set"), "set", "left_semi"), rows, window)
 
 
+def combined_tracing(valid: DataFrame, test: DataFrame, window: int, repeats: int = 30, steps: int = 200) -> DataFrame:
+    """(kind, set, ratio_pct, missed, reduction, delay): F14, F9 and F10, then G1-G4 on the test requests.
+
+    valid: balanced sets (set, label, event_score, duration_score); test: (set, novel, id, event_score, duration_score, ts_ms). Median and MAD of both scores come from
+    the validation rows of a set; known test requests are scored once for each set. kind: ``set`` with the threshold of each set, ``all`` with one for all sets.
+    """
+    valid = util.cut(valid)
+    constants = util.cut(detect.mad_constants(valid))
+    scored = util.cut(detect.mad_combine(valid, constants))
+    known = util.ordinal(test.where("not novel").drop("set", "novel"), [], ["id"], "ordinal")
+    novel = util.ordinal(test.where("novel").drop("novel"), ["set"], ["id"], "ordinal")
+    every = known.join(util.bounded(constants.select("set")), how="cross")
+    known, novel = (util.cut(detect.mad_combine(rows, constants).select("set", "ordinal", "score", "ts_ms")) for rows in (every, novel))
+    own = detect.best_threshold(detect.threshold_sweep(scored, steps)).select("set", "threshold")
+    shared = constants.select("set").join(F.broadcast(detect.shared_threshold(scored, steps).select("threshold")), how="cross")  # one row
+    parts = [adaptive_tracing(known, novel, util.cut(bounds), window, repeats).select(F.lit(kind).alias("kind"), "*") for kind, bounds in (("set", own), ("all", shared))]
+    return parts[0].unionByName(parts[1])
+
+
 def root_cause(train: DataFrame, test: DataFrame, thresholds: DataFrame, n_components: int, kind: str = "average") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(verdicts, accuracy by class, gated accuracy by class) of test batches by the mean error vectors of the train classes.
 

@@ -698,6 +698,28 @@ def J2_adaptive_tracing(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("set", "ratio_pct", F.round("missed", 3).alias("missed"), F.round("reduction", 3).alias("reduction"), F.round("delay", 0).alias("delay"))
 
 
+_SUM = "(event_score - em) / ea + (duration_score - dm1) / da"
+_COMBINED = _MIXED.rstrip().removesuffix(")") + f"""), md AS (SELECT "set", quantile_cont(event_score, 0.5) AS em, quantile_cont(duration_score, 0.5) AS dm1 FROM bal WHERE role = 'valid' GROUP BY "set"),
+ma AS (SELECT b."set", any_value(em) AS em, any_value(dm1) AS dm1, quantile_cont(abs(event_score - em), 0.5) AS ea, quantile_cont(abs(duration_score - dm1), 0.5) AS da FROM bal b JOIN md ON b."set" = md."set" WHERE role = 'valid' GROUP BY b."set"),
+bv AS (SELECT b."set", id, label, {_SUM} AS score FROM bal b JOIN ma ON b."set" = ma."set" WHERE role = 'valid'), ba AS (SELECT 'all' AS "set", label, score FROM bv), """ + o.sweep("bv", 200, "z") + ", " + o.sweep("ba", 200, "y") + f""",
+th AS (SELECT 'set' AS kind, "set", threshold FROM zbt UNION ALL SELECT 'all', ma."set", threshold FROM ybt, ma),
+nu AS (SELECT d.*, epoch_us(e.ts) // 1000 AS ts_ms, row_number() OVER (PARTITION BY CASE WHEN d.novel THEN d."set" END ORDER BY id) AS o FROM d JOIN e ON e.event_id = id WHERE role = 'test'),
+w AS (SELECT kind || '|' || mx."set" || '|' || ratio_pct || '|' || repeat AS scenario, kind || '|' || mx."set" || '|' || ratio_pct AS ratio, pos::bigint AS pos, y_true::int AS y_true, ({_SUM} > threshold)::int AS y_pred, ts_ms FROM mx JOIN th ON th."set" = mx."set" JOIN ma ON ma."set" = mx."set" JOIN nu ON nu.o = mx.ordinal AND nu.novel = (y_true = 1) AND (NOT nu.novel OR nu."set" = mx."set")),
+d2 AS (SELECT scenario, pos // 16 AS win, (sum(y_pred) > 0.8 * 16)::int AS do_trace, (sum(y_true) > 0.8 * 16)::int AS should_trace FROM w GROUP BY ALL HAVING count(*) = 16)"""
+
+
+@query(_COMBINED + _DELAY.replace("d.*", "d2.*").replace("d.scenario", "d2.scenario").replace("FROM d)", "FROM d2)") + """, ce AS (SELECT ratio, w.scenario, count(*) FILTER (y_true = 1 AND do_trace = 1) AS tp, count(*) FILTER (y_true = 1 AND do_trace = 0) AS fn, count(*) FILTER (y_true = 0 AND do_trace = 1) AS fp, count(*) AS n FROM w JOIN d2 ON d2.scenario = w.scenario AND pos // 16 = win GROUP BY ratio, w.scenario),
+da2 AS (SELECT scenario, avg(delay) AS delay FROM dl GROUP BY scenario),
+ea2 AS (SELECT ratio, coalesce(fn / nullif(tp + fn, 0), 0) AS missed, 1 - (tp + fp) / n AS reduction, coalesce(delay, 0) AS delay FROM ce LEFT JOIN da2 USING (scenario))
+SELECT string_split(ratio, '|')[1] AS kind, string_split(ratio, '|')[2] AS "set", string_split(ratio, '|')[3]::int AS ratio_pct, round(avg(missed), 3) AS missed, round(avg(reduction), 3) AS reduction, round(avg(delay), 0) AS delay FROM ea2 GROUP BY ratio""")
+def J4_combined_tracing(spark: SparkSession, sf: str) -> DataFrame:
+    """Both scores of each request combined by median and MAD of validation, the threshold of each set and one for all, and adaptive tracing on the test rows."""
+    times = fx.events(spark, sf).select(F.col("event_id").alias("id"), F.expr("unix_micros(cast(ts as timestamp)) div 1000").alias("ts_ms"))
+    rows = util.cut(fx.scores(spark, sf).where("role = 'test'").join(times, "id").select("set", "novel", "id", "event_score", "duration_score", "ts_ms"))
+    out = jobs.combined_tracing(fx.balanced(spark, sf, "valid"), rows, 16)
+    return out.select("kind", "set", "ratio_pct", F.round("missed", 3).alias("missed"), F.round("reduction", 3).alias("reduction"), F.round("delay", 0).alias("delay"))
+
+
 _ROOT = _Z + """, q AS (SELECT vec_id // 10 AS batch0, *, CASE WHEN target = 0 THEN 0 ELSE z - x[target + 1] END AS score FROM lz),
 b AS (SELECT (target * 1000 + batch0)::bigint AS batch, cls, pred, target, input, tag_pred, tag, score, vec_id % 2 = 0 AS train FROM q),
 u AS (SELECT batch, cls, train, target AS component, 0.5 AS v FROM b WHERE pred <> target AND target <> 0 UNION ALL SELECT batch, cls, train, input, 0.5 FROM b WHERE tag_pred <> tag AND tag <> 0),
