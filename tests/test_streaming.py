@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import events as ev
 from weftline.operators import requests, util
+from weftline.sources import tables
 from weftline.streaming import state
 
 SCHEMA = "seq bigint, ts_ns bigint, name string, tid bigint, pid bigint, connection_state int, ts timestamp"
@@ -64,3 +65,24 @@ def test_what_stays_open_too_long_is_forgotten(spark):
     _, live = stream(spark, [rows[:1], rows[1:3], rows[3:]])
     got = state.run_once(state.stream_pairing(live, timeout="1 hour", lateness="1 second"), util.shared_folder(spark))
     assert sorted((r.seq, r.latency, r.err) for r in got.collect()) == [(0, 0, 0), (1, 0, 1), (2, 0, 0), (3, 0, 0), (4, 10**9, 0)]
+
+
+def test_traces_are_read_with_pushed_filters_and_as_streams(spark, tmp_path):
+    rows = [(i, 1_700_000_000_000_000_000 + 10**9 * i, None if i == 5 else "syscall_entry_read" if i % 2 else "syscall_exit_read") for i in range(40)]
+    trace = spark.createDataFrame(rows, "seq bigint, ts_ns bigint, name string")
+    for c, t in (x.split() for x in tables.TRACE.split(", ")):
+        trace = trace if c in trace.columns else trace.withColumn(c, F.lit(None).cast(t))
+    trace.repartition(3).write.parquet(f"{tmp_path}/t")
+    read = tables.trace_read(spark, f"{tmp_path}/t").where("seq between 4 and 9 and ts_ns > 0")
+    assert sorted(r.seq for r in read.collect()) == [4, 6, 7, 8, 9]
+    assert "GreaterThanOrEqual(seq,4)" in read._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    live = tables.trace_stream(spark, f"{tmp_path}/t", files_a_batch=1)
+    assert sorted(r.seq for r in state.run_once(live, f"{tmp_path}/run").collect()) == [i for i in range(40) if i != 5]
+
+
+def test_bad_lines_are_counted(spark, tmp_path):
+    good = "2,5,3;0,1,0;0,0,0;2,5,3;0,7,0;0,7,0;0,0,0;1000;0-0-0-0,0-0-0-0,0-0-0-0;0.0015"
+    spark.createDataFrame([(good,), ("a;b",), ("",), (good + ";",)], "value string").write.text(f"{tmp_path}/s")
+    assert tuple(tables.seq_check(spark, f"{tmp_path}/s").first()) == (4, 3)
+    (row,) = tables.seq_read(spark, f"{tmp_path}/s").collect()
+    assert row.call == [2, 5, 3] and row.start_ts == 1000

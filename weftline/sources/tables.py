@@ -16,6 +16,15 @@ def trace_read(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     return reader.format(fmt).load(path).where(F.col("name").isNotNull())
 
 
+def trace_stream(spark: SparkSession, path: str, fmt: str = "parquet", files_a_batch: int | None = None) -> DataFrame:
+    """A1 as a stream of files with the event schema and ts, the event time; Spark keeps the offsets in the query's checkpoint."""
+    reader = spark.readStream.schema(TRACE).format(fmt)
+    reader = reader.option("header", True) if fmt == "csv" else reader
+    reader = reader.option("maxFilesPerTrigger", files_a_batch) if files_a_batch else reader
+    rows = reader.load(path).where(F.col("name").isNotNull())
+    return rows.withColumn("ts", F.timestamp_micros(F.call_function("div", F.col("ts_ns"), F.lit(1000).cast("bigint"))))
+
+
 def sequence_lines(seqs: DataFrame) -> DataFrame:
     """One line per request: ten fields joined by ``;``, items by ``,``."""
     items = lambda c: F.concat_ws(",", F.col(c).cast("array<string>"))
@@ -31,8 +40,14 @@ def seq_write(seqs: DataFrame, path: str, fmt: str = "text") -> None:
         seqs.write.partitionBy("dataset").format(fmt).save(path)
 
 
+def seq_check(spark: SparkSession, path: str) -> DataFrame:
+    """(lines, bad): how many lines a folder holds, and how many of them seq_read skips as they don't have ten fields."""
+    bad = (F.size(F.split("value", ";")) != 10).cast("bigint")
+    return spark.read.text(path).agg(F.count(F.lit(1)).alias("lines"), F.coalesce(F.sum(bad), F.lit(0)).alias("bad"))
+
+
 def seq_read(spark: SparkSession, path: str) -> DataFrame:
-    """A3: the typed columns of such lines; lines without ten fields are skipped."""
+    """A3: the typed columns of such lines; lines without ten fields are skipped (``seq_check`` counts them)."""
     parts = spark.read.text(path).select(F.split("value", ";").alias("f")).where(F.size("f") == 10)
     arrays = [F.transform(F.split(F.col("f")[i], ","), lambda x: x.cast("bigint")).alias(c) for i, c in enumerate(INTEGER_FIELDS)]
     return parts.select(*arrays, F.col("f")[7].cast("bigint").alias("start_ts"), F.split(F.col("f")[8], ",").alias("tags"), F.col("f")[9].cast("double").alias("duration_ms"))
