@@ -161,16 +161,21 @@ def nearest(vectors: DataFrame, representatives: DataFrame, key: str = "vec_id",
     return found.select(F.col("id").alias(key), F.col("label").alias("predicted"), F.sqrt("d").alias("distance"))
 
 
-def best_cosine(vectors: DataFrame, means: DataFrame, key: str = "vec_id", cls: str = "cls", components: str = "components") -> DataFrame:
-    """H8: (key, predicted, similarity): class of the mean vector with the highest cosine; ties: the least class."""
-    all_ = means.agg(F.collect_list(F.struct(F.col(cls).alias("c"), F.col(components).alias("r"))).alias("__all"))  # one mean a class
+def best_cosine(vectors: DataFrame, means: DataFrame, key: str = "vec_id", cls: str = "cls", components: str = "components", digits: int | None = None, norm: str | None = None) -> DataFrame:
+    """H8: (key, predicted, similarity): class of the mean vector with the highest cosine; ties: the least class.
+
+    digits: cosines that are equal to so many digits tie. norm: a column that stands for the length of a vector.
+    """
+    means_ = means.agg(F.collect_list(F.struct(F.col(cls).alias("c"), F.col(components).alias("r"))).alias("__all"))  # one mean a class
     x = F.col(components)
 
     def cosine(r: Column) -> Column:
-        return F.coalesce(F.try_divide(dot(x, r), F.sqrt(dot(x, x)) * F.sqrt(dot(r, r))), F.lit(0.0))
+        return F.coalesce(F.try_divide(dot(x, r), (F.sqrt(dot(x, x)) if norm is None else F.col(norm)) * F.sqrt(dot(r, r))), F.lit(0.0))
 
-    best = F.array_min(F.transform("__all", lambda s: F.struct((-cosine(s["r"])).alias("d"), s["c"].alias("c"))))
-    rows = vectors.crossJoin(F.broadcast(all_)).select(key, best.alias("b"))
+    level = lambda d: d if digits is None else F.round(d, digits)
+    all_ = F.transform("__all", lambda s: F.struct((-cosine(s["r"])).alias("d"), s["c"].alias("c")))
+    best = F.array_min(F.transform(all_, lambda s: F.struct(level(s["d"]).alias("l"), s["c"].alias("c"), s["d"].alias("d"))))
+    rows = vectors.crossJoin(F.broadcast(means_)).select(key, best.alias("b"))
     return rows.where("b.d < 1").select(key, F.col("b.c").alias("predicted"), (-F.col("b.d")).alias("similarity"))
 
 
