@@ -1,9 +1,12 @@
 """What only shows on tables larger or odder than the smallest ones."""
 
+import random
+
 import duckdb
 from pyspark.sql import functions as F
 
 from tests.test_catalog import SF, plain
+from weftline.operators import rootcause, util
 from weftline.plans import catalog
 
 
@@ -19,3 +22,19 @@ def test_batches_of_several_classes(spark, tmp_path):
     df = catalog.QUERIES["J3_root_cause"](spark, str(tmp_path))
     assert plain([tuple(r) for r in df.collect()], df.columns) == plain(found.fetchall(), columns)
     assert con.execute("SELECT count(*) > 0 FROM (SELECT label * 1000 + vec_id // 10 AS b FROM embeddings GROUP BY b HAVING count(DISTINCT label) > 1)").fetchone()[0]
+
+
+def test_a_round_of_k_means_is_one_small_job(spark):
+    """The driver keeps something of every job, so rounds must be few jobs; both ways of a round end at the same centres."""
+    rng = random.Random(31)
+    rows = [(rng.choice("xyz"), [rng.gauss(0, 1) for _ in range(5)]) for _ in range(900)] + [(None, [0.0] * 5), ("x", None), ("y", [1.0, None, 1.0, 1.0, 1.0])]
+    df = util.cut(spark.createDataFrame(rows, "cls string, components array<double>").repartition(3))
+    found, jobs = {}, {}
+    for most in (rootcause.SENT, 0):
+        spark.sparkContext.setJobGroup(f"most-{most}", "")
+        found[most] = {(r.cls, r.k): r.components for r in rootcause.class_centroids(df, most=most).collect()}
+        jobs[most] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"most-{most}"))
+    one, two = found.values()
+    assert one.keys() == two.keys() == {(c, k) for c in "xyz" for k in range(3)}
+    assert all(abs(a - b) < 1e-6 for key in one for a, b in zip(one[key], two[key]))
+    assert 2 * jobs[rootcause.SENT] < jobs[0]

@@ -26,8 +26,10 @@ RING, MOST_RINGS, MOST_PIVOTS, MOST_CELLS, QUERIES = 256, 100_000, 1_024, 100_00
 _ROOM = 1e-9
 
 
-def _matrix(column) -> np.ndarray:
-    return np.array(column.to_pylist(), dtype=float).reshape(len(column), -1)
+def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """The vectors of a column, all of one length and without nulls, as rows."""
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
 
 
 def squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -82,12 +84,12 @@ def neighbours(queries: DataFrame, points: DataFrame, ring: int = RING, most_piv
     wanted = max(1, min(most_pivots, MOST_CELLS // total.g, total.n // ring))
     hashed = F.pmod(F.xxhash64("x"), F.lit(1 << 30))
     some = points.where(hashed < max(1, wanted * (1 << 30) // total.n)).select("x").distinct().limit(2 * wanted).toArrow()  # about as many as wanted
-    pivots = np.unique(_matrix((some if len(some) else points.select("x").limit(1).toArrow())["x"]), axis=0)
+    pivots = np.unique(matrix((some if len(some) else points.select("x").limit(1).toArrow())["x"]), axis=0)
     near = spark.sparkContext.broadcast(pivots)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _rows(batches):
-            d = squared(_matrix(batch["x"]), near.value)
+            d = squared(matrix(batch["x"]), near.value)
             p = d.argmin(1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p.astype(np.int32)), pa.array(np.sqrt(d[np.arange(len(p)), p]))], [*batch.schema.names, "p", "r"])
 
@@ -102,7 +104,7 @@ def neighbours(queries: DataFrame, points: DataFrame, ring: int = RING, most_piv
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Rings(table.value, near.value)
         for batch in _rows(batches):
-            away = np.sqrt(squared(_matrix(batch["x"]), near.value))
+            away = np.sqrt(squared(matrix(batch["x"]), near.value))
             out = np.full(batch.num_rows, -1, np.int64)
             groups = batch["g"].to_pylist()
             for g in set(groups) & index.of.keys():
@@ -117,7 +119,7 @@ def neighbours(queries: DataFrame, points: DataFrame, ring: int = RING, most_piv
     def more(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Rings(table.value, near.value)
         for batch in _rows(batches):
-            away = np.sqrt(squared(_matrix(batch["x"]), near.value))
+            away = np.sqrt(squared(matrix(batch["x"]), near.value))
             best = np.array([np.inf if d is None else d for d in batch["d"].to_pylist()]) ** 0.5
             visits: list[list[int]] = []
             for k, (g, seen, own) in enumerate(zip(batch["g"].to_pylist(), batch["ring"].to_pylist(), batch["label"].to_pylist())):
@@ -132,10 +134,10 @@ def neighbours(queries: DataFrame, points: DataFrame, ring: int = RING, most_piv
         if not len(a) or not len(b):
             return found
         b = b.sort_by("label")
-        y, ids, parts = _matrix(b["x"]), b["id"].to_numpy(zero_copy_only=False), []
+        y, ids, parts = matrix(b["x"]), b["id"].to_numpy(zero_copy_only=False), []
         for at in range(0, len(a), 256):
             part = a.slice(at, 256)
-            d = squared(_matrix(part["x"]), y)
+            d = squared(matrix(part["x"]), y)
             own = part["id"].to_numpy()[:, None] == ids[None, :]
             d[own] = np.inf
             best = d.argmin(1)

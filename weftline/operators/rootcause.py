@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -12,6 +14,8 @@ from weftline.operators import metric, util
 KINDS = ("event", "duration", "average")
 #: Most representatives that are sent to every vector.
 FEW = 1_000
+#: Most numbers of centres, components counted, that k-means sends to every task and gets back from a round.
+SENT = 2_000_000
 
 
 def error_vectors(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -83,16 +87,69 @@ def centroid_seeds(rows: DataFrame, k: int, seed: int = 1, rounds: int = 5) -> D
     return some.groupBy("c").applyInArrow(choose, f"c {kind}, k int, m array<double>")
 
 
-def class_centroids(vectors: DataFrame, k: int = 3, seed: int = 1, cls: str = "cls", components: str = "components", most_rounds: int = 200, settled: float = 1e-12) -> DataFrame:
+def class_centroids(vectors: DataFrame, k: int = 3, seed: int = 1, cls: str = "cls", components: str = "components", most_rounds: int = 200, settled: float = 1e-12, most: int = SENT) -> DataFrame:
     """H4: (cls, k, components): k-means centres of each class, all classes at once, at a fixed point of Lloyd's rounds (an error if ``most_rounds`` don't reach it).
 
-    Seeds as in ``centroid_seeds``. A round puts each vector to the nearest centre of its class (ties: the least k) and each centre to the mean of its vectors. Vectors that
-    can't have changed are not read: how much nearer a vector is to its centre than to the next is written once, in order of that margin; while twice what the
-    centres of its class have moved since is less, it stays where it is. A round reads the others alone and corrects the sums; when
-    these are over a third of all, margins are written anew. A class with fewer distinct vectors than k has as many centres. The state is one row per class and centre.
+    Seeds as in ``centroid_seeds``. A round puts each vector to the nearest centre of its class (ties: the least k) and each centre to the mean of its vectors; vectors with null
+    components don't count. A class with fewer distinct vectors than k has as many centres. A round is one job: tasks get the centres, a row for each class and k, and add up
+    their vectors as matrices, so what the driver keeps doesn't grow with the rounds or the vectors. Beyond ``most`` numbers in all centres they stay in tables (``_rounds_by_joins``).
     """
-    rows = util.cut(vectors.select(F.col(cls).alias("c"), F.col(components).cast("array<double>").alias("x")))
+    rows = vectors.select(F.col(cls).alias("c"), F.col(components).cast("array<double>").alias("x"))
+    rows = util.cut(rows.where("c is not null and x is not null and not exists(x, v -> v is null)"))
     centres = util.cut(centroid_seeds(rows, k, seed))
+    wide = (centres.agg(F.sum(F.size("m"))).first()[0] or 0) > most
+    centres = (_rounds_by_joins if wide else _rounds)(rows, centres, most_rounds, settled)
+    return centres.select(F.col("c").alias(cls), "k", F.col("m").alias("components"))
+
+
+def _rounds(rows: DataFrame, centres: DataFrame, most_rounds: int, settled: float) -> DataFrame:
+    """Lloyd's rounds with few centres, which every task gets."""
+    spark, kind = rows.sparkSession, rows.schema["c"].dataType.simpleString()
+    now: dict = {}
+    for r in centres.orderBy("c", "k").toArrow().to_pylist():
+        now.setdefault(r["c"], []).append(r["m"])
+    now = {c: np.array(m, dtype=float) for c, m in now.items()}
+
+    for _ in range(most_rounds if now else 0):
+        sent = spark.sparkContext.broadcast(now)
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict = {}
+            for batch in (b for b in batches if b.num_rows):
+                classes = batch["c"].dictionary_encode()
+                x, of = metric.matrix(batch["x"]), classes.indices.to_numpy()
+                for i, c in enumerate(classes.dictionary.to_pylist()):
+                    m, own = sent.value[c], x[of == i]
+                    near = metric.squared(own, m).argmin(1)
+                    s, n = sums.setdefault(c, (np.zeros_like(m), np.zeros(len(m), np.int64)))
+                    s += np.stack([own[near == j].sum(0) for j in range(len(m))])
+                    n += np.bincount(near, minlength=len(m))
+            found = [(c, j, n[j], s[j].tolist()) for c, (s, n) in sums.items() for j in range(len(n)) if n[j]]
+            if found:
+                kinds = [batch.schema.field("c").type, pa.int32(), pa.int64(), pa.list_(pa.float64())]
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*found), kinds)], ["c", "k", "n", "s"])
+
+        sums = rows.mapInArrow(add, f"c {kind}, k int, n bigint, s array<double>").select("c", "k", "n", F.posexplode("s").alias("pos", "v"))
+        means = sums.groupBy("c", "k", "pos").agg((F.sum("v") / F.sum("n")).alias("v")).toArrow()  # as many as the centres have numbers
+        after = {c: m.copy() for c, m in now.items()}
+        for c, j, pos, v in zip(*(means[name].to_pylist() for name in ("c", "k", "pos", "v"))):
+            after[c][j, pos] = v
+        sent.destroy()
+        moved, now = max(np.square(after[c] - m).sum(1).max() for c, m in now.items()), after
+        if moved <= settled:
+            return spark.createDataFrame([(c, j, x.tolist()) for c, m in now.items() for j, x in enumerate(m)], f"c {kind}, k int, m array<double>")
+    if now:
+        raise RuntimeError(f"centres still moved after {most_rounds} rounds")
+    return centres
+
+
+def _rounds_by_joins(rows: DataFrame, centres: DataFrame, most_rounds: int, settled: float) -> DataFrame:
+    """Lloyd's rounds with many centres, which stay in tables.
+
+    Vectors that can't have changed are not read: how much nearer a vector is to its centre than to the next is written once, in order of that margin; while twice what the
+    centres of its class have moved since is less, it stays where it is. A round reads the others alone and corrects the sums; when
+    these are over a third of all, margins are written anew.
+    """
     total, base = rows.count(), None
     for _ in range(most_rounds):
         if base is None:
@@ -119,7 +176,7 @@ def class_centroids(vectors: DataFrame, k: int = 3, seed: int = 1, cls: str = "c
         both = util.cut(centres.join(means, ["c", "k"], "left").select("c", "k", "m", F.coalesce("n", "m").alias("n")))
         centres = both.select("c", "k", F.col("n").alias("m"))
         if (both.agg(F.max(squared_distance(F.col("m"), F.col("n")))).first()[0] or 0) <= settled:
-            return centres.select(F.col("c").alias(cls), "k", F.col("m").alias("components"))
+            return centres
     raise RuntimeError(f"centres still moved after {most_rounds} rounds")
 
 
