@@ -3,10 +3,11 @@
 import random
 
 import duckdb
+import numpy as np
 from pyspark.sql import functions as F
 
 from tests.test_catalog import SF, plain
-from weftline.operators import rootcause, util
+from weftline.operators import metric, rootcause, util
 from weftline.plans import catalog
 
 
@@ -38,3 +39,21 @@ def test_a_round_of_k_means_is_one_small_job(spark):
     assert one.keys() == two.keys() == {(c, k) for c in "xyz" for k in range(3)}
     assert all(abs(a - b) < 1e-6 for key in one for a, b in zip(one[key], two[key]))
     assert 2 * jobs[rootcause.SENT] < jobs[0]
+
+
+def test_noise_is_compared_by_blocks(spark):
+    """Where no bound excludes anything a query is sent to few blocks, not to every ring; distances stay those of exact sums."""
+    rng = random.Random(41)
+    rows = [(i, i % 2, [rng.gauss(0, 1) for _ in range(24)]) for i in range(1500)]
+    rows += [(3000 + i, 0, [x + 1e-9 * i for x in rows[0][2]]) for i in range(4)] + [(4000 + i, 1, rows[1][2]) for i in range(3)]
+    df = spark.createDataFrame(rows, "id bigint, g int, x array<double>").withColumn("label", F.col("id") % 7)
+    found = {r.id: r for r in metric.neighbours(df.drop("label"), df, ring=8, block=300).collect()}
+    x = np.array([v for *_, v in rows])
+    for k, (i, g, v) in enumerate(rows):
+        exact = np.zeros(len(x))
+        for c in range(24):
+            exact += np.square(v[c] - x[:, c])
+        others = [(exact[j], rows[j][0] % 7) for j in range(len(rows)) if j != k and rows[j][1] == g]
+        assert (found[i].d, found[i].label) == min(others)
+    # a ring holds 8 points at most; only blocks overlap with what was seen first, so more than all others are compared where they are used
+    assert sum(r.compared > 753 for r in found.values()) > 1000
