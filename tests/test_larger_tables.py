@@ -4,10 +4,11 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tests.test_catalog import SF, plain
-from weftline.operators import metric, rootcause, util
+from weftline.operators import metric, ngram, rootcause, util
 from weftline.plans import catalog
 
 
@@ -57,3 +58,21 @@ def test_noise_is_compared_by_blocks(spark):
         assert (found[i].d, found[i].label) == min(others)
     # a ring holds 8 points at most; only blocks overlap with what was seen first, so more than all others are compared where they are used
     assert sum(r.compared > 753 for r in found.values()) > 1000
+
+
+def test_ngrams_are_counted_in_small_batches(spark, monkeypatch):
+    rows = spark.range(0, 300, 1, 1).select(F.col("id").alias("rn"), F.array_repeat(F.lit(7), 50_000).alias("call"))  # 60 MB in one task
+    sizes = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches)
+    seen, own = [], util.cut
+
+    def cut(df):
+        seen.append(max(r.n for r in rows.mapInArrow(sizes, "n bigint").collect()))
+        return own(df)
+
+    monkeypatch.setattr(util, "cut", cut)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    counts = ngram.ngram_count(rows, 3)
+    assert sorted((tuple(r.context), r.word, r.c) for r in counts.collect()) == [((2, 7), 7, 300), ((7, 7), 7, 300 * 49_997)]
+    assert ngram.ngram_perplexity(rows, counts, 3, 0.01, ["rn"]).count() == 300
+    assert seen[0] < 9 << 20 and seen[-1] < 9 << 20 and len(seen) == 3 and spark.conf.get(key) == before

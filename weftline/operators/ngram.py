@@ -29,7 +29,7 @@ PACKED = 3
 #: Most n-grams that are sent to every task, at 16 bytes each.
 SENT = 2_000_000
 #: Tokens of sequences that a task looks up at once.
-_AT_ONCE = 2_000_000
+_AT_ONCE = 1 << 18
 
 
 def _pack(tokens: list[Column], n: int) -> Column:
@@ -104,7 +104,8 @@ def ngram_count(seqs: DataFrame, n: int, max_sample: int | None = None, with_fir
     kept = seqs if max_sample is None else seqs.where(F.col("rn") <= max_sample)
     keep = ["rn"] if with_first else []
     if not keep and (n <= PACKED if packed is None else packed):
-        counts = _counted(kept, n)
+        with util.small_batches(seqs.sparkSession):
+            counts = util.cut(_counted(kept, n))
     else:
         counts = _grams(kept, n, *keep).groupBy("context", "word").agg(F.count(F.lit(1)).alias("c"), *[F.min(_place()).alias("first") for _ in keep])
     total = F.sum("c").over(Window.partitionBy("context"))  # a context has a row for each word of the vocabulary at most
@@ -176,7 +177,8 @@ def request_nll(seqs: DataFrame, counts: DataFrame, n: int, epsilon: float, keys
 
     rows = _calls(seqs, *keys)
     kinds = StructType([*(rows.schema[k] for k in keys), StructField("nll", DoubleType()), StructField("m", LongType())])
-    return rows.mapInArrow(score, kinds).where("m > 0").groupBy(*keys).agg(F.sum("nll").alias("nll"), F.sum("m").alias("m"))
+    with util.small_batches(seqs.sparkSession):
+        return util.cut(rows.mapInArrow(score, kinds).where("m > 0").groupBy(*keys).agg(F.sum("nll").alias("nll"), F.sum("m").alias("m")))
 
 
 def ngram_perplexity(seqs: DataFrame, counts: DataFrame, n: int, epsilon: float, keys: list[str], most: int = SENT) -> DataFrame:
