@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tests.test_catalog import SF, plain
 from weftline.operators import metric, ngram, rootcause, util
 from weftline.plans import catalog
+from weftline.streaming import state
 
 
 def test_batches_of_several_classes(spark, tmp_path):
@@ -76,3 +77,68 @@ def test_ngrams_are_counted_in_small_batches(spark, monkeypatch):
     assert sorted((tuple(r.context), r.word, r.c) for r in counts.collect()) == [((2, 7), 7, 300), ((7, 7), 7, 300 * 49_997)]
     assert ngram.ngram_perplexity(rows, counts, 3, 0.01, ["rn"]).count() == 300
     assert seen[0] < 9 << 20 and seen[-1] < 9 << 20 and len(seen) == 3 and spark.conf.get(key) == before
+
+
+class Held(dict):
+    """A map or value state in memory."""
+
+    containsKey = dict.__contains__
+    getValue = dict.get
+    updateValue = dict.__setitem__
+    removeKey = dict.pop
+
+    def iterator(self):
+        return iter(list(self.items()))
+
+    def exists(self):
+        return () in self
+
+    def get(self):
+        return self[()]
+
+    def update(self, value):
+        self[()] = value
+
+
+class Handle:
+    def getMapState(self, *_):
+        return Held()
+
+    getValueState = getMapState
+
+    def registerTimer(self, at):
+        pass
+
+
+def test_a_key_with_many_buffered_events_is_released_in_pieces():
+    """What is held in memory at once doesn't grow with the events of a key; the order of seq stays."""
+    from types import SimpleNamespace
+
+    n = 3 * state.PIECE + 17
+    most = []
+
+    class Seen(state.InOrder):
+        def step(self, key, seq, value, kind, found):
+            return (seq, value, found), value
+
+        def take(self, piece, parts):
+            rows = super().take(piece, parts)
+            most.append(len(rows))
+            return rows
+
+    seen = Seen(10**9)
+    seen.init(Handle())
+    rows = [SimpleNamespace(seq=i, at=i // 2, value=None if i % 7 == 0 else 10 * i, kind=state.OPENS) for i in range(n)]
+    random.Random(3).shuffle(rows)
+    assert list(seen.handleInputRows((1,), iter(rows), None)) == []
+    assert max(len(v[0]) for v in seen.held.values()) <= 32 * state.AT_ONCE
+
+    def release(now):
+        due = seen.due.get()[0]
+        return list(seen.handleExpiredTimer((1,), SimpleNamespace(getCurrentWatermarkInMs=lambda: now), SimpleNamespace(getExpiryTimeInMs=lambda: due)))
+
+    half = release(n // 4)
+    got = half + release(n)
+    value = lambda i: None if i < 0 or i % 7 == 0 else 10 * i
+    assert got == [(i, value(i), value(i - 1)) for i in range(n)] and 0 < len(half) < n
+    assert max(most) <= state.PIECE and not seen.held and not seen.pieces

@@ -12,7 +12,9 @@ last events of a stream come out when the watermark passes them: end a finished
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
@@ -24,12 +26,17 @@ PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 #: Kinds of buffered events; a row that only moves the watermark is none.
 NONE, OPENS, CLOSES = range(3)
 MARK = ""
+#: Sequence numbers of one piece of the state, so the most events that are in memory when they are released; rows of a key that are taken in at once.
+PIECE, AT_ONCE = 1 << 15, 1 << 14
+#: Stands for a value that is null.
+_NULL = -(1 << 63)
 
 
 class InOrder(StatefulProcessor):
     """Hands the events of a key to ``step`` in the order of seq, each once the watermark has passed it.
 
-    State: the buffered events, and the open value with its event time. What has been open for more than ``wait`` ms is forgotten: an
+    State: the buffered events in pieces of ``PIECE`` sequence numbers, each in parts of packed rows, and the open value with its event time. However many events
+    of a key are buffered, or come in one batch, only a piece of them is in memory. What has been open for more than ``wait`` ms is forgotten: an
     event after that finds nothing open, and the state of a silent key is removed.
     """
 
@@ -42,17 +49,37 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getListState("held", "seq bigint, at bigint, value bigint, kind int")
+        self.held = handle.getMapState("held", "piece bigint, part bigint", "rows binary")
+        self.pieces = handle.getMapState("pieces", "piece bigint", "parts bigint, first bigint")  # the least event time of each
         self.opened = handle.getValueState("opened", "value bigint, at bigint")
         self.due = handle.getValueState("due", "at bigint")  # the timer that counts
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        new = [(r.seq, r.at, r.value, r.kind) for r in rows if r.kind != NONE]
-        if new:
-            self.held.appendList(new)
-            self.wake(min(r[1] for r in new) + 1)
+        new = ((r.seq, r.at, _NULL if r.value is None else r.value, r.kind) for r in rows if r.kind != NONE)
+        while part := list(islice(new, AT_ONCE)):
+            part = np.array(part, np.int64)
+            of = part[:, 0] // PIECE
+            for piece in np.unique(of).tolist():
+                self.hold(piece, part[of == piece])
+            self.wake(int(part[:, 1].min()) + 1)
         return iter(())
 
+    def hold(self, piece: int, rows: np.ndarray) -> None:
+        """Add rows (seq, at, value, kind) to a piece."""
+        parts, first = self.pieces.getValue((piece,)) if self.pieces.containsKey((piece,)) else (0, int(rows[0, 1]))
+        self.held.updateValue((piece, parts), (rows.tobytes(),))
+        self.pieces.updateValue((piece,), (parts + 1, min(first, int(rows[:, 1].min()))))
+
+    def take(self, piece: int, parts: int) -> np.ndarray:
+        """The rows of a piece in the order of seq, which are removed."""
+        rows = []
+        for part in range(parts):
+            rows.append(np.frombuffer(self.held.getValue((piece, part))[0], np.int64).reshape(-1, 4))
+            self.held.removeKey((piece, part))
+        self.pieces.removeKey((piece,))
+        rows = np.concatenate(rows)
+        return rows[np.lexsort(rows.T[::-1])]
+
     def wake(self, at: int) -> None:
         """Set the timer to a time, unless it is set to an earlier one."""
         if not self.due.exists() or at < self.due.get()[0]:
@@ -64,30 +91,38 @@ class InOrder(StatefulProcessor):
         if not self.due.exists() or self.due.get()[0] != expiredTimerInfo.getExpiryTimeInMs():
             return iter(())  # one that another timer has preceded
         self.due.clear()
-        held = sorted(self.held.get()) if self.held.exists() else []
-        ready, rest = [r for r in held if r[1] < now], [r for r in held if r[1] >= now]
+        return self.release(key, now)
+
+    def release(self, key: tuple, now: int) -> Iterator[Row]:
         value, since = self.opened.get() if self.opened.exists() else (None, 0)
-        out = []
-        for seq, at, own, kind in ready:
-            found = value if value is not None and at - since <= self.wait else None
-            row, left = self.step(key, seq, own, kind, found)
-            out += [row] if row is not None else []
-            since = at if found is None or left != found else since
-            value = left
-        if value is not None and not rest and now - since > self.wait:
+        pieces = sorted((piece, parts, first) for (piece,), (parts, first) in self.pieces.iterator())
+        waits = [first for *_, first in pieces if first >= now]
+        for piece, parts, first in pieces:
+            if first >= now:
+                continue
+            rows = self.take(piece, parts)
+            later = rows[rows[:, 1] >= now]
+            if len(later):
+                self.hold(piece, later)
+                waits.append(int(later[:, 1].min()))
+            for seq, at, own, kind in rows[rows[:, 1] < now].tolist():
+                own = None if own == _NULL else own
+                found = value if value is not None and at - since <= self.wait else None
+                row, left = self.step(key, seq, own, kind, found)
+                if row is not None:
+                    yield row
+                since = at if found is None or left != found else since
+                value = left
+        if value is not None and not waits and now - since > self.wait:
             value = None
         if value is None:
             self.opened.clear()
         else:
             self.opened.update((value, since))
-        if rest:
-            self.held.put(rest)
-            self.wake(min(r[1] for r in rest) + 1)
-        else:
-            self.held.clear()
-            if value is not None:
-                self.wake(since + self.wait + 2)
-        return iter(out)
+        if waits:
+            self.wake(min(waits) + 1)
+        elif value is not None:
+            self.wake(since + self.wait + 2)
 
     def close(self) -> None:
         pass
