@@ -142,3 +142,16 @@ def test_a_key_with_many_buffered_events_is_released_in_pieces():
     value = lambda i: None if i < 0 or i % 7 == 0 else 10 * i
     assert got == [(i, value(i), value(i - 1)) for i in range(n)] and 0 < len(half) < n
     assert max(most) <= state.PIECE and not seen.held and not seen.pieces
+
+
+def test_sequences_pair_the_events_once(spark, monkeypatch):
+    """Requests and spans come from one pairing that is written, and nothing else of the events' size is sorted twice."""
+    from weftline.operators import requests
+    from weftline.plans import fixtures as fx
+
+    paired, cuts, pair, own = [], [], requests.pair_latency, util.cut
+    monkeypatch.setattr(requests, "pair_latency", lambda *a, **k: paired.append(1) or pair(*a, **k))
+    monkeypatch.setattr(util, "cut", lambda df: cuts.append(df.columns) or own(df))
+    assert fx.sequences(spark, SF)[0].count() > 0
+    # durations are ordered where the sequences are grouped, not written before
+    assert len(paired) == 1 and not any("duration" in c for c in cuts)
