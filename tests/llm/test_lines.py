@@ -61,3 +61,23 @@ def test_very_long_lines_and_large_keys(spark):
     want = brute(docs)
     got = line_dedup.dedup(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
     assert {r.doc_id: list(r.removed) for r in got if r.removed} == want
+
+
+def test_entries_of_wanted_lists_are_those_of_all_filtered():
+    """What the second reading keeps is decided before parities and digests are made, and nothing changes by it."""
+    import numpy as np
+    import pyarrow as pa
+
+    from weftline.llm import line_dedup, textnp
+
+    texts = ["\n".join(" ".join(f"w{(i * j + k * k) % 41}" for k in range(1 + (i + j) % 90)) for j in range(9)) for i in range(30)]
+    batch = pa.RecordBatch.from_pydict({"key": list(range(30)), "text": texts})
+    (chunk,) = textnp.chunks(iter([batch]), "text")
+    lines = line_dedup.Lines(chunk, np.arange(30))
+    rest = (np.ones(len(lines.row), bool), np.full(1 << line_dedup.BITS, 40, np.uint8), 4, 5, 8)
+    line, values = line_dedup._entries(lines, *rest)
+    number_of = lambda name: (name >> np.uint64(8)).astype(np.int64)
+    for wanted in (np.unique(number_of(values["list"]))[::7], np.array([-5])):
+        ok = np.isin(number_of(values["list"]), wanted)
+        some, own = line_dedup._entries(lines, *rest, line_dedup._among(wanted, number_of))
+        assert (some == line[ok]).all() and all(np.array_equal(own[n], values[n][ok]) for n in values)

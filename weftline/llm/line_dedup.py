@@ -26,7 +26,7 @@ not read; an empty table gives an empty table. The key is an integer column.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
 import numpy as np
@@ -115,8 +115,11 @@ def _wide(mixed: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
     return out
 
 
-def _entries(lines: Lines, wanted: np.ndarray, rarity: np.ndarray, num: int, den: int, most: int) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    """Of the wanted lines: the line of each entry, and what it carries (``list`` with all 64 bits, ``wide`` with all columns)."""
+def _entries(lines: Lines, wanted: np.ndarray, rarity: np.ndarray, num: int, den: int, most: int, keep: Callable[[np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Of the wanted lines: the line of each entry, and what it carries (``list`` with all 64 bits, ``wide`` with all columns).
+
+    keep says which lists are wanted (default: all); what an entry carries is found for lines in those alone.
+    """
     chunk = lines.chunk.words()
     words = chunk.word_hash()
     by_place = np.argsort(lines.start, kind="stable")
@@ -124,12 +127,7 @@ def _entries(lines: Lines, wanted: np.ndarray, rarity: np.ndarray, num: int, den
     line = np.repeat(by_place, np.diff(first))
     ok = wanted[line]
     words, line = words[ok], line[ok]
-    # of each line a hash of its words in their order
-    at, size = textnp.runs(line)
-    sequence = np.zeros(len(lines.row), dtype=np.uint64)
-    if len(at):
-        order = np.arange(len(line)) - np.repeat(at, size)
-        sequence[line[at]] = np.add.reduceat(textnp.mix(words + order.astype(np.uint64) * _PAIR), at) & _LOW40
+    written = line, words
     rare = rarity[(words >> np.uint64(64 - BITS)).astype(np.int64)]
     rank = (line.astype(np.uint64) << np.uint64(43)) | (rare.astype(np.uint64) << np.uint64(35)) | (words >> np.uint64(29))
     order = np.argsort(rank)
@@ -142,11 +140,8 @@ def _entries(lines: Lines, wanted: np.ndarray, rarity: np.ndarray, num: int, den
     line, words, rare = line[new], words[new], rare[new]
     at, size = textnp.runs(line)
     if not len(at):
-        nothing = {n: np.zeros(0, np.uint64 if n == "list" else t) for n, t in ENTRY.items()}
-        return np.zeros(0, np.int64), nothing | {"wide": np.zeros((0, WIDE[-1]), np.uint64)}
-    parity = np.bitwise_xor.reduceat(np.uint64(1) << (words & np.uint64(63)), at)
+        return _no_entries()
     mixed = textnp.mix(words)
-    whole = sequence[line[at]]
     place = np.arange(len(line)) - np.repeat(at, size)
     each = np.repeat(size, size)
     prefix = each - -(-num * each // den) + 1
@@ -167,11 +162,37 @@ def _entries(lines: Lines, wanted: np.ndarray, rarity: np.ndarray, num: int, den
     if len(firsts) > 1:
         order = np.argsort(line[first], kind="stable")
         first, name = first[order], name[order]
+    if keep is not None:
+        some = keep(name)
+        first, name = first[some], name[some]
+        # lines without an entry left drop out
+        here = np.zeros(len(lines.row), dtype=bool)
+        here[line[first]] = True
+        written = tuple(x[here[written[0]]] for x in written)
+        some = here[line]
+        first = (np.cumsum(some) - 1)[first]
+        line, words, mixed, place = line[some], words[some], mixed[some], place[some]
+        at, size = textnp.runs(line)
+        if not len(at):
+            return _no_entries()
+    parity = np.bitwise_xor.reduceat(np.uint64(1) << (words & np.uint64(63)), at)
+    # of each line a hash of its words in their order
+    own, words = written
+    start, n = textnp.runs(own)
+    order = np.arange(len(own)) - np.repeat(start, n)
+    sequence = np.zeros(len(lines.row), dtype=np.uint64)
+    sequence[own[start]] = np.add.reduceat(textnp.mix(words + order.astype(np.uint64) * _PAIR), start) & _LOW40
+    whole = sequence[line[at]]
     dense = np.repeat(np.arange(len(at)), size)[first]
     values = {"list": name, "whole": whole[dense], "parity": parity[dense], "size": size[dense], "at": place[first]}
     return line[first], values | {"wide": _wide(mixed, at, size)[dense]}
 
 
+def _no_entries() -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    nothing = {n: np.zeros(0, np.uint64 if n == "list" else t) for n, t in ENTRY.items()}
+    return np.zeros(0, np.int64), nothing | {"wide": np.zeros((0, WIDE[-1]), np.uint64)}
+
+
 class Lists:
     """The lists of a bucket, equal lines collapsed to the earliest, each list in the order of sizes.
 
@@ -277,6 +298,7 @@ def dedup(
         """Entries, and marks of equal lines of a chunk; with lists (sorted) only their entries, of all lines."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            keep = _among(lists, number_of) if lists is not None and len(lists) else None
             for chunk in textnp.chunks(batches, "text"):
                 lines = Lines(chunk, chunk.batch.column(0).to_numpy(zero_copy_only=False))
                 wanted = np.ones(len(lines.row), dtype=bool)
@@ -284,10 +306,7 @@ def dedup(
                     wanted, twin = lines.heads()
                     marks = {n: np.zeros(twin.sum(), t) for n, t in ENTRY.items()} | {"wide": np.zeros((twin.sum(), 0), np.uint64)}
                     yield packing.pack(buckets + packing.home_of(lines.key[twin], buckets), lines.key[twin], lines.number[twin], **marks)
-                line, values = _entries(lines, wanted, rarity, num, den, hot)
-                if lists is not None and len(lists):
-                    ok = lists[np.minimum(np.searchsorted(lists, number_of(values["list"])), len(lists) - 1)] == number_of(values["list"])
-                    line, values = line[ok], {n: v[ok] for n, v in values.items()}
+                line, values = _entries(lines, wanted, rarity, num, den, hot, keep)
                 bucket = (values["list"] >> shift).astype(np.int64)
                 values["list"] = values["list"] & _LOW24
                 tier = _tier(values["size"])
@@ -440,6 +459,21 @@ def dedup(
     return placed.cogroup(pairs.unionByName(marks).groupBy("bucket")).applyInArrow(remove, schema).withColumnRenamed("key", key)
 
 
+def _among(lists: np.ndarray, number_of: Callable[[np.ndarray], np.ndarray]) -> Callable[[np.ndarray], np.ndarray]:
+    """Which names of lists have a number among the sorted ones; 22 bits of a number say that most have not."""
+    low = np.int64((1 << 22) - 1)
+    may = np.zeros(1 << 22, dtype=bool)
+    may[lists & low] = True
+
+    def keep(name: np.ndarray) -> np.ndarray:
+        number = number_of(name)
+        some = np.flatnonzero(may[number & low])
+        number = number[some]
+        return some[lists[np.minimum(np.searchsorted(lists, number), len(lists) - 1)] == number]
+
+    return keep
+
+
 def _digest(line: str) -> bytes:
     """Of the words in their order."""
     return blake2b(b" ".join(line.encode().split()), digest_size=16).digest()

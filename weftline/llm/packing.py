@@ -54,9 +54,13 @@ def pack(bucket: np.ndarray, key: np.ndarray, pos: np.ndarray, in_order: bool =
     heads = np.flatnonzero(new)
     sizes = np.diff(np.append(heads, len(key))).astype(np.uint32)
     out: list[list] = [[] for _ in names]
-    for a, n in zip(*textnp.runs(bucket)):
-        x, y = np.searchsorted(heads, [a, a + n])
-        row = [int(bucket[a]), textnp.planes(np.diff(key[heads[x:y]], prepend=np.int64(0))), textnp.planes(sizes[x:y]), textnp.planes(gaps[a : a + n]), *(textnp.planes(v[a : a + n]) for v in sorted_values.values())]
+    ids = key[heads]
+    starts, lengths = textnp.runs(bucket)
+    firsts = np.searchsorted(heads, starts)
+    steps = np.diff(ids, prepend=ids[:1])
+    steps[firsts] = ids[firsts]
+    for a, n, x, y in zip(starts.tolist(), lengths.tolist(), firsts.tolist(), [*firsts[1:].tolist(), len(heads)]):
+        row = [int(bucket[a]), textnp.planes(steps[x:y]), textnp.planes(sizes[x:y]), textnp.planes(gaps[a : a + n]), *(textnp.planes(v[a : a + n]) for v in sorted_values.values())]
         for column, cell in zip(out, row):
             column.append(cell)
     return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(out, types)], names=names)
