@@ -155,3 +155,28 @@ def test_sequences_pair_the_events_once(spark, monkeypatch):
     assert fx.sequences(spark, SF)[0].count() > 0
     # durations are ordered where the sequences are grouped, not written before
     assert len(paired) == 1 and not any("duration" in c for c in cuts)
+
+
+def test_adaptive_tracing_numbers_requests_once(spark, monkeypatch):
+    """One order numbers the requests of all sets and roles, no join brings the times to the scores, and of the requests only packed slabs are written."""
+    from weftline.operators import adaptive
+
+    ordered, placed, own, packed = [], util.ordinal, util.cut, []
+    monkeypatch.setattr(util, "ordinal", lambda *a, **k: ordered.append(1) or placed(*a, **k))
+    monkeypatch.setattr(util, "cut", lambda df: packed.append((df.columns, own(df).count())) or own(df))
+    assert catalog.QUERIES["J2_adaptive_tracing"](spark, SF).count() > 0
+    assert len(ordered) == 1
+    slabs = [n for columns, n in packed if columns == ["set", "y_true", "slab", *adaptive.SLAB_OF]]
+    assert slabs == [6]  # known and novel of each set, in one slab
+
+
+def test_ordinals_of_many_groups(spark):
+    """Groups that begin and end within ranges, null keys among them, are numbered from 1 each."""
+    rng = random.Random(51)
+    rows = [(rng.choice(["a", "b", None, *"cdefgh"]), k % 3, rng.randrange(10**9), [float(k)]) for k in range(700)] + [("z", 0, 1, None)]
+    got = util.ordinal(spark.createDataFrame(rows, "g string, h int, x bigint, v array<double>").repartition(7), ["g", "h"], ["x"], "o").collect()
+    seen, want = {}, []
+    for g, h, x, v in sorted(rows, key=lambda r: (r[0] or "", r[1], r[2])):
+        seen[g, h] = seen.get((g, h), 0) + 1
+        want.append((g, h, x, v, seen[g, h]))
+    assert sorted(map(repr, want)) == sorted(repr((r.g, r.h, r.x, r.v, r.o)) for r in got)
