@@ -1,8 +1,10 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from weftline.llm import line_dedup
+from weftline.llm import line_dedup, packing
 
 
 def brute(docs):
@@ -81,3 +83,28 @@ def test_entries_of_wanted_lists_are_those_of_all_filtered():
         ok = np.isin(number_of(values["list"]), wanted)
         some, own = line_dedup._entries(lines, *rest, line_dedup._among(wanted, number_of))
         assert (some == line[ok]).all() and all(np.array_equal(own[n], values[n][ok]) for n in values)
+
+
+def test_entries_of_chunks_are_packed_together(spark, monkeypatch):
+    """A row of packed entries costs much, so the chunks of a task share rows; a key whose rows are in two chunks keeps its lines apart."""
+    packs, own = [], packing.pack
+    monkeypatch.setattr(packing, "pack", lambda bucket, *a, **k: packs.append(len(bucket)) or own(bucket, *a, **k))
+    rng = np.random.default_rng(7)
+    sizes = rng.integers(1, 9, 40)
+    key, pos = np.repeat(np.arange(40) // 2 % 15, sizes), np.concatenate([np.sort(rng.choice(50, n, False)) for n in sizes])
+    bucket = rng.integers(0, 4, len(key))
+    got = packing.unpack(pa.Table.from_batches([packing.pack(bucket, key, pos, in_order=True, v=np.arange(len(key), dtype=np.uint32))]), v=np.uint32)
+    assert sorted(zip(*(x.tolist() for x in got))) == sorted(zip(key.tolist(), pos.tolist(), range(len(key))))
+    # the function that indexes, as Spark gets it
+    indexed, frame = [], type(spark.range(1))
+    mapped = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda df, f, schema, *a, **k: indexed.append(f) or mapped(df, f, schema, *a, **k))
+    texts = [" ".join(f"w{rng.integers(0, 60)}" for _ in range(9)) for _ in range(400)]
+    line_dedup.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).count()
+    index = next(f for f in indexed if f.__qualname__.endswith("index.<locals>.run"))
+    batch = pa.RecordBatch.from_pydict({"key": pa.array(range(400), pa.int64()), "text": texts})
+    monkeypatch.setattr("weftline.llm.textnp.CHUNK_BYTES", 500)
+    packs.clear()
+    few = pa.Table.from_batches(list(index(iter([batch]))))
+    assert len(packs) <= 2 and len(few) <= 32
+    assert len(packing.unpack(few, {"wide": 8}, **line_dedup.ENTRY)[0]) == sum(packs) > 400

@@ -41,6 +41,8 @@ NUM, DEN = 4, 5
 BITS = 20
 #: Words of the texts that meet in one bucket, about.
 WORDS_EACH = 1_500_000
+#: Entries of the chunks of a task that are packed together, about: the more, the fewer and longer rows.
+ENTRIES_EACH = 400_000
 #: Words that occur more often are indexed in pairs.
 HOT = 8_192
 #: Lists of open lines that are sent to all tasks as a filter; if there are more, all entries travel.
@@ -131,10 +133,12 @@ def _entries(lines: Lines, wanted: np.ndarray, rarity: np.ndarray, num: int, den
     rare = rarity[(words >> np.uint64(64 - BITS)).astype(np.int64)]
     rank = (line.astype(np.uint64) << np.uint64(43)) | (rare.astype(np.uint64) << np.uint64(35)) | (words >> np.uint64(29))
     order = np.argsort(rank)
-    tied = (rank[order][1:] == rank[order][:-1]) & (words[order][1:] != words[order][:-1])
-    if len(lines.row) >= 1 << 21 or tied.any():
+    rank, sorted_words = rank[order], words[order]
+    if len(lines.row) >= 1 << 21 or ((rank[1:] == rank[:-1]) & (sorted_words[1:] != sorted_words[:-1])).any():
         order = np.lexsort((words, rare, line))
-    line, words, rare = line[order], words[order], rare[order]
+        line, words, rare = line[order], words[order], rare[order]
+    else:  # a rank tells line and rarity
+        line, words, rare = (rank >> np.uint64(43)).astype(np.int64), sorted_words, (rank >> np.uint64(35)).astype(np.uint8)
     new = np.ones(len(line), dtype=bool)
     new[1:] = (line[1:] != line[:-1]) | (words[1:] != words[:-1])
     line, words, rare = line[new], words[new], rare[new]
@@ -299,25 +303,41 @@ def dedup(
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keep = _among(lists, number_of) if lists is not None and len(lists) else None
+            held: list[tuple] = []
             for chunk in textnp.chunks(batches, "text"):
                 lines = Lines(chunk, chunk.batch.column(0).to_numpy(zero_copy_only=False))
-                wanted = np.ones(len(lines.row), dtype=bool)
+                wanted, twin = np.ones(len(lines.row), dtype=bool), np.zeros(0, np.int64)
                 if lists is None:
-                    wanted, twin = lines.heads()
-                    marks = {n: np.zeros(twin.sum(), t) for n, t in ENTRY.items()} | {"wide": np.zeros((twin.sum(), 0), np.uint64)}
-                    yield packing.pack(buckets + packing.home_of(lines.key[twin], buckets), lines.key[twin], lines.number[twin], **marks)
+                    wanted, again = lines.heads()
+                    twin = np.flatnonzero(again)
                 line, values = _entries(lines, wanted, rarity, num, den, hot, keep)
                 bucket = (values["list"] >> shift).astype(np.int64)
                 values["list"] = values["list"] & _LOW24
-                tier = _tier(values["size"])
-                for t, n in enumerate(WIDE):
-                    some = np.flatnonzero(tier == t)
-                    if len(some):
-                        own = {name: v[some].astype(ENTRY[name]) for name, v in values.items()} | {"wide": values["wide"][some, :n]}
-                        yield packing.pack(bucket[some], lines.key[line[some]], lines.number[line[some]], in_order=True, **own)
+                values["wide"] = values["wide"][_tier(values["size"]) > 0]
+                held.append((lines.key[twin], lines.number[twin], bucket, lines.key[line], lines.number[line], {n: v.astype(ENTRY[n], copy=False) for n, v in values.items()}))
+                if sum(len(x[0]) + len(x[2]) for x in held) >= ENTRIES_EACH:
+                    yield from packed_entries(held)
+                    held = []
+            if held:
+                yield from packed_entries(held)
 
         return run
 
+    def packed_entries(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        """Marks and entries of some chunks, a row for each bucket and tier; ``wide`` has only the entries of lines that have a second parity."""
+        key, number, bucket, own, at = (np.concatenate(x) for x in list(zip(*held))[:5])
+        if len(key):
+            marks = {n: np.zeros(len(key), t) for n, t in ENTRY.items()} | {"wide": np.zeros((len(key), 0), np.uint64)}
+            yield packing.pack(buckets + packing.home_of(key, buckets), key, number, **marks)
+        values = {n: np.concatenate([x[5][n] for x in held]) for n in ENTRY}
+        wide, tier = values.pop("wide"), _tier(values["size"])
+        wider = tier[tier > 0]
+        for t, n in enumerate(WIDE):
+            some = np.flatnonzero(tier == t)
+            if len(some):
+                cells = {name: v[some] for name, v in values.items()} | {"wide": wide[wider == t, :n] if t else np.zeros((len(some), 0), np.uint64)}
+                yield packing.pack(bucket[some], own[some], at[some], in_order=True, **cells)
+
     def number_of(name: np.ndarray) -> np.ndarray:
         """Bucket and list within it."""
         return ((name >> shift) << np.uint64(24) | name & _LOW24).astype(np.int64)

@@ -38,7 +38,7 @@ def schema(*names: str) -> str:
 
 
 def pack(bucket: np.ndarray, key: np.ndarray, pos: np.ndarray, in_order: bool = False, **values: np.ndarray) -> pa.RecordBatch:
-    """One row per bucket. in_order: the entries are sorted by (key, pos) already."""
+    """One row per bucket. in_order: the entries are sorted by (key, pos) already, or are several such runs; a key of two runs is packed twice."""
     names = ["bucket", "ids", "counts", "gaps", *values]
     types = [pa.int32(), *[pa.binary()] * (len(names) - 1)]
     if not len(bucket):
@@ -46,7 +46,7 @@ def pack(bucket: np.ndarray, key: np.ndarray, pos: np.ndarray, in_order: bool =
     small = bucket.astype(np.uint16) if bucket.max() < 1 << 16 else bucket
     order = np.argsort(small, kind="stable") if in_order else np.lexsort((pos, key, small))
     key, pos, bucket = key[order].astype(np.int64), pos[order].astype(np.int64), bucket[order]
-    new = np.concatenate([[True], (key[1:] != key[:-1]) | (bucket[1:] != bucket[:-1])])
+    new = np.concatenate([[True], (key[1:] != key[:-1]) | (bucket[1:] != bucket[:-1]) | (pos[1:] < pos[:-1])])
     gaps = pos.copy()
     gaps[1:] -= np.where(new[1:], 0, pos[:-1])
     gaps = gaps.astype(np.uint32)

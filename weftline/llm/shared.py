@@ -104,8 +104,14 @@ def bin_counts(docs: DataFrame, text: str, bits: int, bins: Callable[[textnp.Chu
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << bits, dtype=np.int64)
+        held: list[np.ndarray] = []
         for chunk in textnp.chunks(batches, text):
-            total += np.bincount(bins(chunk.words()), minlength=1 << bits)
+            held.append(bins(chunk.words()).astype(np.int32))  # a sum reads all bins, so entries of some chunks are held for it
+            if sum(map(len, held)) >= min(total.size, 1 << 20):
+                total += np.bincount(np.concatenate(held), minlength=1 << bits)
+                held = []
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=1 << bits)
         if total.any():
             parts = total.reshape(-1, width)
             salt = np.full(len(parts), TaskContext.get().partitionId() % salts if salts > MANY else 0, dtype=np.int32)
