@@ -180,3 +180,65 @@ def test_ordinals_of_many_groups(spark):
         seen[g, h] = seen.get((g, h), 0) + 1
         want.append((g, h, x, v, seen[g, h]))
     assert sorted(map(repr, want)) == sorted(repr((r.g, r.h, r.x, r.v, r.o)) for r in got)
+
+
+def test_sequences_write_no_row_for_each_event_of_a_request(spark, monkeypatch):
+    """Requests are cut from slabs of the trace: what is written between steps is the trace, once, and rows of requests."""
+    from weftline.plans import fixtures as fx
+
+    cuts, scans, own, stored = [], [], util.cut, util.stored
+    monkeypatch.setattr(util, "cut", lambda df: cuts.append(own(df)) or cuts[-1])
+    monkeypatch.setattr(util, "stored", lambda df: scans.append(stored(df)) or scans[-1])
+    seqs = fx.sequences(spark, SF)[0]
+    n, events = seqs.count(), seqs.agg(F.sum(F.size("call") - 2)).first()[0]
+    whole = [df for df in scans if df.count() == 1000]  # the paired trace
+    assert len(whole) == 1 and events > 1000 > n
+    assert all(df.count() <= max(n, 200) for df in cuts) and all(df.count() < 1000 for df in scans if df is not whole[0])
+
+
+def test_requests_of_several_slabs(spark):
+    """Pieces of a long request come together in order, with the time between them; several requests are open at once, and some hold no events."""
+    from weftline.functions import events as ev
+    from weftline.operators import requests
+
+    rng = random.Random(61)
+    seqs = sorted(rng.sample(range(-20, 900), 420))
+    names = [rng.choice([ev.ENTER, ev.EXIT, *["syscall_entry_read", "syscall_exit_read", "syscall_exit_poll"] * 4]) for _ in seqs]
+    trace = [(s, None if s % 31 == 0 else s * s, n, rng.choice([0, 1, 2]), rng.choice([0, None]), rng.choice(["a", "b", None, f"p{s}"]), rng.choice([-1, 3, None]), 1) for s, n in zip(seqs, names)]
+    trace = [(-30, 0, ev.ENTER, 7, 0, "a", 0, 1), (-25, 5, ev.ENTER, 8, 0, "a", 0, 1), (-24, 6, ev.EXIT, 8, 0, "a", 0, 1), *trace, (901, 9, ev.EXIT, 7, 0, "a", 0, 1)]
+    df = spark.createDataFrame(trace, "seq bigint, ts_ns bigint, name string, tid bigint, pid bigint, procname string, ret bigint, connection_state int").repartition(5)
+    want, started = {}, {}
+    for s, _, n, tid, *_ in trace:
+        if n == ev.ENTER:
+            started[tid] = s
+        elif n == ev.EXIT and tid in started:
+            start = started.pop(tid)
+            inside = [r for r in trace if start < r[0] < s and r[2] not in (ev.ENTER, ev.EXIT)]
+            if inside:
+                want[s] = (start, inside)
+    rn = {s: i + 1 for i, s in enumerate(sorted(want))}
+    first = {}
+    for s in sorted(want, key=rn.get):
+        for r in want[s][1]:
+            if r[5] is not None:
+                first.setdefault(r[5], (rn[s], r[0]))
+    got = {}
+    for slab in (7, 1 << 16):
+        numbered = requests.requests_with_events(df, requests.request_intervals(df, slab=slab), slab)
+        assert {r.request_id: (r.start_seq, r.end_seq, r.rn) for r in numbered.collect()} == {s: (want[s][0], s, rn[s]) for s in want}
+        p = util.cut(requests.pair_latency(df, slab=slab))
+        procs = requests.vocab_build(requests.first_words(p, numbered, slab), "procname")
+        assert [r.word for r in procs.orderBy("idx").collect()] == sorted(first, key=lambda w: (first[w], w))
+        encoded = p.withColumns({"call": F.length("sysname"), "proc": F.length("procname"), "tag": F.concat(F.lit("t"), F.col("seq"))})
+        rows = requests.build_sequences(encoded, numbered.withColumn("dataset", F.lit("d")), slab).collect()
+        got[slab] = {r.request_id: r for r in rows}
+        assert len(rows) == len(want)
+    assert got[7] == got[1 << 16]
+    for s, (start, inside) in want.items():
+        r = got[7][s]
+        ts = [e[1] for e in inside]
+        deltas = [0] + [0 if a is None or b is None else b - a for a, b in zip(ts, ts[1:])]
+        assert (r.rn, r.start_ts, r.duration, r.duration_ms) == (rn[s], ts[0], [0, *deltas, 0], sum(deltas) / 1e6)
+        assert r.tags == ["0-0-0-0", *[f"t{e[0]}" for e in inside], "0-0-0-0"] and r.pid == [0, *[e[4] for e in inside], 0] and r.tid == [0, *[e[3] for e in inside], 0]
+        assert r.ret == [0, *[0 if "entry" in e[2] else 2 if (e[6] or 0) < 0 else 1 for e in inside], 0] and r.entry == [0, *[1 if "entry" in e[2] else 2 for e in inside], 0]
+        assert r.call == [2, *[4] * len(inside), 3] and r.proc == [2, *[e[5] and len(e[5]) for e in inside], 3]

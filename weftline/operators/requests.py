@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import events as ev
@@ -94,18 +97,78 @@ def vocab_encode(df: DataFrame, vocab: DataFrame, col: str, into: str) -> DataFr
     return df.join(util.bounded(vocab.select(F.col("idx").alias("__idx"), F.col("word").alias("__word"))), F.col(col) == F.col("__word"), "left").withColumn(into, F.coalesce("__idx", F.lit(UNKNOWN))).drop("__idx", "__word")
 
 
-def build_sequences(encoded: DataFrame) -> DataFrame:
-    """One row per request with the parallel arrays, between START and END.
+def _ids(points: pa.Table, asked: pa.Table, index: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
+    return asked.select(["request_id", "start_seq", "end_seq"]).to_batches()[0]
 
-    Reads call, proc, name, duration, pid, tid, ret and tag of the request's events.
+
+def requests_with_events(trace: DataFrame, requests: DataFrame, slab: int = util.SLICED) -> DataFrame:
+    """(request_id, start_seq, end_seq, rn): as ``number_requests``, but from the intervals, without their events."""
+    others = trace.where(~ev.is_handler(F.col("name"))).select("seq")
+    found = util.slices(others, requests.select("request_id", "start_seq", "end_seq"), "seq", "start_seq", "end_seq", _ids, "request_id bigint, start_seq bigint, end_seq bigint", slab)
+    return util.ordinal(found.distinct(), [], ["request_id"])
+
+
+WORDS = ("sysname", "procname")
+
+
+def _first_words(points: pa.Table, asked: pa.Table, index: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
+    first = []
+    for c in WORDS:  # requests stand by their ends, so by rn, and events by seq
+        codes = points[c].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        first.append(np.unique(codes[index], return_index=True)[1])
+    at = np.unique(np.concatenate(first))
+    rn = asked["rn"].to_numpy()[np.searchsorted(offsets, at, "right") - 1]
+    rows = points.select(["seq", *WORDS]).take(index[at])
+    return pa.table({"rn": rn, **{c: rows[c] for c in rows.column_names}}).combine_chunks().to_batches()[0]
+
+
+def first_words(trace: DataFrame, numbered: DataFrame, slab: int = util.SLICED) -> DataFrame:
+    """(rn, seq, sysname, procname): of the events of the requests (``requests_with_events``) those in which a slab's requests first show a word; enough for ``vocab_build``."""
+    others = trace.where(~ev.is_handler(F.col("name"))).select("seq", *WORDS)
+    return util.slices(others, numbered.select("rn", "start_seq", "end_seq"), "seq", "start_seq", "end_seq", _first_words, "rn bigint, seq bigint, sysname string, procname string", slab)
+
+
+#: The parallel arrays of a request that are taken from its events as they are.
+ITEMS = {"call": "int", "proc": "int", "entry": "int", "pid": "bigint", "tid": "bigint", "ret": "int", "tag": "string"}
+
+
+def _sequences(points: pa.Table, asked: pa.Table, index: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
+    rows = points.take(index).combine_chunks()
+    ts = rows["ts_ns"].combine_chunks()
+    deltas = np.concatenate([[0], pc.subtract(ts.slice(1), ts.slice(0, len(ts) - 1)).fill_null(0).to_numpy(zero_copy_only=False)]).astype(np.int64)
+    deltas[offsets[:-1]] = 0
+    at = pa.array(offsets, pa.int32())
+    packed = {c: pa.ListArray.from_arrays(at, rows[c].combine_chunks()) for c in ITEMS} | {"duration": pa.ListArray.from_arrays(at, pa.array(deltas))}
+    ends = {"first_ts": ts.take(pa.array(offsets[:-1])), "last_ts": ts.take(pa.array(offsets[1:] - 1))}
+    own = {c: asked[c] for c in ("dataset", "request_id", "rn", "slab", "whole")}
+    return pa.table(own | packed | ends).combine_chunks().to_batches()[0]
+
+
+def build_sequences(encoded: DataFrame, numbered: DataFrame, slab: int = util.SLICED) -> DataFrame:
+    """One row per request with the parallel arrays, between START and END; ``duration`` as in C7.
+
+    Reads seq, ts_ns, call, proc, name, pid, tid, ret and tag of the events, and the requests (``requests_with_events``) with their data set. The events of a request are a
+    run of the trace without handlers, so slabs of it are sorted and cut; only requests that meet several slabs are put together from their pieces, one a slab.
     """
     name = F.col("name")
-    item = F.struct("seq", "call", "proc", ev.direction(name).alias("entry"), "duration", "pid", "tid", ev.ret_code(name, F.col("ret")).alias("ret"), "tag", "ts_ns")
-    rows = encoded.groupBy("dataset", "request_id", "rn").agg(F.sort_array(F.collect_list(item)).alias("x"))
-    wrap = lambda c, a, b: F.concat(F.array(a), F.col("x")[c], F.array(b)).alias(c)
+    others = encoded.where(~ev.is_handler(name)).select("seq", "ts_ns", "call", "proc", ev.direction(name).alias("entry"), "pid", "tid", ev.ret_code(name, F.col("ret")).cast("int").alias("ret"), "tag")
+    others = others.withColumns({c: F.col(c).cast(t) for c, t in ITEMS.items()})
+    arrays = ", ".join(f"{c} array<{t}>" for c, t in ITEMS.items())
+    schema = f"dataset string, request_id bigint, rn bigint, slab bigint, whole boolean, {arrays}, duration array<bigint>, first_ts bigint, last_ts bigint"
+    pieces = util.stored(util.slices(others, numbered.select("dataset", "request_id", "rn", "start_seq", "end_seq"), "seq", "start_seq", "end_seq", _sequences, schema, slab))
+    whole = pieces.where("whole").select("dataset", "request_id", "rn", *ITEMS, "duration", F.col("first_ts").alias("start_ts"))
+    x = F.col("x")
+    parts = pieces.where("not whole").groupBy("dataset", "request_id", "rn").agg(F.sort_array(F.collect_list(F.struct("slab", *ITEMS, "duration", "first_ts", "last_ts"))).alias("x"))
+
+    def since(piece: Column, i: Column) -> Column:  # the first duration of a later piece is the time since the piece before
+        gap = F.coalesce(piece["first_ts"] - F.get(x, i - 1)["last_ts"], F.lit(0))
+        return F.when(i == 0, piece["duration"]).otherwise(F.concat(F.array(gap), F.slice(piece["duration"], F.lit(2), F.size(piece["duration"]) - 1)))
+
+    parts = parts.select("dataset", "request_id", "rn", *[F.flatten(x[c]).alias(c) for c in ITEMS], F.flatten(F.transform(x, since)).alias("duration"), x[0]["first_ts"].alias("start_ts"))
+    wrap = lambda c, a, b: F.concat(F.array(a), F.col(c), F.array(b))
     zero, nil, none = F.lit(0), F.lit(0).cast("bigint"), F.lit("0-0-0-0")
-    total = F.aggregate(F.col("x")["duration"], F.lit(0).cast("bigint"), lambda a, b: a + b)
-    return rows.select(
-        "dataset", "request_id", "rn", wrap("call", F.lit(START), F.lit(END)), wrap("proc", F.lit(START), F.lit(END)), wrap("entry", zero, zero), wrap("duration", nil, nil), wrap("pid", nil, nil), wrap("tid", nil, nil), wrap("ret", zero, zero),
-        F.col("x")[0]["ts_ns"].alias("start_ts"), F.concat(F.array(none), F.col("x")["tag"], F.array(none)).alias("tags"), (total / F.lit(1e6)).alias("duration_ms"),
+    total = F.aggregate("duration", nil, lambda a, b: a + b)
+    return whole.unionByName(parts).select(
+        "dataset", "request_id", "rn", *[wrap(c, F.lit(START), F.lit(END)).alias(c) for c in ("call", "proc")], wrap("entry", zero, zero).alias("entry"), *[wrap(c, nil, nil).alias(c) for c in ("duration", "pid", "tid")], wrap("ret", zero, zero).alias("ret"),
+        "start_ts", wrap("tag", none, none).alias("tags"), (total / F.lit(1e6)).alias("duration_ms"),
     )
