@@ -43,6 +43,26 @@ def test_a_round_of_k_means_is_one_small_job(spark):
     assert 2 * jobs[rootcause.SENT] < jobs[0]
 
 
+def test_k_means_takes_the_rounds_it_needs(spark):
+    """Points on a ring of almost even density turn their centres for more than 200 rounds, to the fixed point of plain rounds; few of the rounds read all vectors. What is not finite doesn't count."""
+    even = np.arange(30_000) * 2 * np.pi / 30_000
+    angle = even
+    for _ in range(50):
+        angle = even - 0.005 * np.sin(3 * angle)
+    x = np.round(np.stack([np.cos(angle), np.sin(angle)], 1), 6)
+    rows = util.cut(spark.createDataFrame([("r", v) for v in x.tolist()], "c string, x array<double>").repartition(4))
+    m, last, rounds = np.array([r.m for r in rootcause.centroid_seeds(rows, 3).orderBy("k").collect()]), None, 0
+    while last is None or np.square(m - last).sum(1).max() > 1e-12:
+        near = np.square(x[:, None] - m[None]).sum(2).argmin(1)
+        m, last, rounds = np.array([x[near == j].mean(0) for j in range(3)]), m, rounds + 1
+    odd = spark.createDataFrame([("r", [float("nan"), 1.0]), ("r", [1.0, float("-inf")]), ("odd", [float("inf"), 0.0])], rows.schema)
+    spark.sparkContext.setJobGroup("ring", "")
+    found = rootcause.class_centroids(rows.unionByName(odd), cls="c", components="x").orderBy("k").collect()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("ring"))
+    assert [(r.c, r.k) for r in found] == [("r", 0), ("r", 1), ("r", 2)] and np.allclose([r.components for r in found], m, atol=1e-9)
+    assert jobs < rounds and rounds > 200
+
+
 def test_noise_is_compared_by_blocks(spark):
     """Where no bound excludes anything a query is sent to few blocks, not to every ring; distances stay those of exact sums."""
     rng = random.Random(41)

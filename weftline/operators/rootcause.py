@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -87,63 +89,126 @@ def centroid_seeds(rows: DataFrame, k: int, seed: int = 1, rounds: int = 5) -> D
     return some.groupBy("c").applyInArrow(choose, f"c {kind}, k int, m array<double>")
 
 
-def class_centroids(vectors: DataFrame, k: int = 3, seed: int = 1, cls: str = "cls", components: str = "components", most_rounds: int = 200, settled: float = 1e-12, most: int = SENT) -> DataFrame:
-    """H4: (cls, k, components): k-means centres of each class, all classes at once, at a fixed point of Lloyd's rounds (an error if ``most_rounds`` don't reach it).
+def class_centroids(vectors: DataFrame, k: int = 3, seed: int = 1, cls: str = "cls", components: str = "components", most_rounds: int | None = None, settled: float = 1e-12, most: int = SENT) -> DataFrame:
+    """H4: (cls, k, components): k-means centres of each class, all classes at once, at a fixed point of Lloyd's rounds.
 
-    Seeds as in ``centroid_seeds``. A round puts each vector to the nearest centre of its class (ties: the least k) and each centre to the mean of its vectors; vectors with null
-    components don't count. A class with fewer distinct vectors than k has as many centres. A round is one job: tasks get the centres, a row for each class and k, and add up
-    their vectors as matrices, so what the driver keeps doesn't grow with the rounds or the vectors. Beyond ``most`` numbers in all centres they stay in tables (``_rounds_by_joins``).
+    Seeds as in ``centroid_seeds``. A round puts each vector to the nearest centre of its class (ties: the least k) and each centre to the mean of its vectors; vectors with null,
+    NaN or infinite components don't count. Rounds go on to the fixed point however many it takes (each lowers the cost, so they end); with ``most_rounds`` an error is raised if so many don't
+    reach it. A class with fewer distinct vectors than k has as many centres. Tasks get the centres, a row for each class and k, and add up their vectors as matrices; beyond ``most``
+    numbers in what all tasks give back the centres stay in tables (``_rounds_by_joins``).
     """
     rows = vectors.select(F.col(cls).alias("c"), F.col(components).cast("array<double>").alias("x"))
-    rows = util.cut(rows.where("c is not null and x is not null and not exists(x, v -> v is null)"))
+    rows = util.cut(rows.where("c is not null and x is not null and not exists(x, v -> v is null or isnan(v) or abs(v) = double('infinity'))"))
     centres = util.cut(centroid_seeds(rows, k, seed))
-    wide = (centres.agg(F.sum(F.size("m"))).first()[0] or 0) > most
-    centres = (_rounds_by_joins if wide else _rounds)(rows, centres, most_rounds, settled)
+    numbers = centres.agg(F.sum(F.size("m"))).first()[0] or 0
+    wide = numbers * min(rows.rdd.getNumPartitions(), rows.sparkSession.sparkContext.defaultParallelism) > most
+    centres = _rounds_by_joins(rows, centres, most_rounds, settled) if wide else _rounds(rows, centres, most_rounds, settled, most)
     return centres.select(F.col("c").alias(cls), "k", F.col("m").alias("components"))
 
 
-def _rounds(rows: DataFrame, centres: DataFrame, most_rounds: int, settled: float) -> DataFrame:
-    """Lloyd's rounds with few centres, which every task gets."""
+class _Border:
+    """What a task gives back of a class: sums by centre, and apart from them the vectors of the least margins (how much farther the second nearest centre is), a quarter of all at most."""
+
+    def __init__(self, centres: np.ndarray, most: int):
+        self.centres, self.most, self.seen, self.least = centres, most, 0, np.inf
+        self.sums, self.counts = np.zeros_like(centres), np.zeros(len(centres), np.int64)
+        self.x, self.near, self.margin = np.empty((0, centres.shape[1])), np.empty(0, np.int64), np.empty(0)
+
+    def add(self, x: np.ndarray) -> None:
+        d = metric.squared(x, self.centres)
+        two = np.sqrt(np.sort(d, 1)[:, :2])
+        margin = two[:, 1] - two[:, 0] if len(self.centres) > 1 else np.full(len(x), np.inf)
+        self.x, self.near, self.margin = np.concatenate([self.x, x]), np.concatenate([self.near, d.argmin(1)]), np.concatenate([self.margin, margin])
+        self.seen += len(x)
+        self.trim(self.most)
+
+    def trim(self, most: int) -> None:
+        """All but so many vectors go into the sums; ``least`` is the least margin of those."""
+        order = self.margin.argsort()
+        kept, gone = order[:most], order[most:]
+        if len(gone):
+            self.least = np.minimum(self.least, self.margin[gone].min())
+            self.sums, self.counts = _added(self.sums, self.counts, self.x[gone], self.near[gone])
+            self.x, self.near, self.margin = self.x[kept], self.near[kept], self.margin[kept]
+
+
+def _added(sums: np.ndarray, counts: np.ndarray, x: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return sums + np.stack([x[near == j].sum(0) for j in range(len(sums))]), counts + np.bincount(near, minlength=len(sums))
+
+
+def _still(step: float, size: float, settled: float) -> bool:
+    """Whether centres (squared length: size) moved no farther (squared: step) than rounding moves them, or ``settled``."""
+    if not math.isfinite(step):
+        raise ArithmeticError("squared distances are beyond the range of doubles")
+    return step <= max(settled, 1e-24 * size)
+
+
+def _rounds(rows: DataFrame, centres: DataFrame, most_rounds: int | None, settled: float, most: int) -> DataFrame:
+    """Lloyd's rounds with few centres, which every task gets.
+
+    A job puts all vectors to their centres. It gives back the sums and the vectors near a border between centres (``_Border``), together at most about ``most`` numbers. While the two centres of a
+    class that moved most have not moved as far as the least margin of the summed vectors, these stay where they are, and a round needs the others alone: the same
+    rounds as over all vectors, several for one job. Classes go on by themselves, and those that are settled are not read again.
+    """
     spark, kind = rows.sparkSession, rows.schema["c"].dataType.simpleString()
     now: dict = {}
     for r in centres.orderBy("c", "k").toArrow().to_pylist():
         now.setdefault(r["c"], []).append(r["m"])
     now = {c: np.array(m, dtype=float) for c, m in now.items()}
+    if not now:
+        return centres
+    numbers = sum(m.size for m in now.values())
+    tasks = min(rows.rdd.getNumPartitions(), most // numbers)
+    rows, moving, rounds = rows.coalesce(tasks), set(now), dict.fromkeys(now, 0)
 
-    for _ in range(most_rounds if now else 0):
-        sent = spark.sparkContext.broadcast(now)
+    while moving:
+        sent = spark.sparkContext.broadcast({c: now[c] for c in moving})
+        room = max(0, most - tasks * numbers) // (tasks * sum(now[c].shape[1] for c in moving))
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums: dict = {}
+            found: dict = {}
             for batch in (b for b in batches if b.num_rows):
                 classes = batch["c"].dictionary_encode()
                 x, of = metric.matrix(batch["x"]), classes.indices.to_numpy()
                 for i, c in enumerate(classes.dictionary.to_pylist()):
-                    m, own = sent.value[c], x[of == i]
-                    near = metric.squared(own, m).argmin(1)
-                    s, n = sums.setdefault(c, (np.zeros_like(m), np.zeros(len(m), np.int64)))
-                    s += np.stack([own[near == j].sum(0) for j in range(len(m))])
-                    n += np.bincount(near, minlength=len(m))
-            found = [(c, j, n[j], s[j].tolist()) for c, (s, n) in sums.items() for j in range(len(n)) if n[j]]
-            if found:
-                kinds = [batch.schema.field("c").type, pa.int32(), pa.int64(), pa.list_(pa.float64())]
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*found), kinds)], ["c", "k", "n", "s"])
-
-        sums = rows.mapInArrow(add, f"c {kind}, k int, n bigint, s array<double>").select("c", "k", "n", F.posexplode("s").alias("pos", "v"))
-        means = sums.groupBy("c", "k", "pos").agg((F.sum("v") / F.sum("n")).alias("v")).toArrow()  # as many as the centres have numbers
-        after = {c: m.copy() for c, m in now.items()}
-        for c, j, pos, v in zip(*(means[name].to_pylist() for name in ("c", "k", "pos", "v"))):
-            after[c][j, pos] = v
+                    found.setdefault(c, _Border(sent.value[c], room)).add(x[of == i])
+            for c, b in found.items():
+                b.trim(b.seen // 4)
+                own = np.flatnonzero(b.counts)
+                n = pa.array([*b.counts[own].tolist(), *[None] * len(b.x)], pa.int64())
+                x = np.concatenate([b.sums[own], b.x])
+                flat = pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), x.reshape(-1))
+                columns = [pa.array([c] * len(x), batch.schema.field("c").type), pa.array(np.concatenate([own, b.near]), pa.int32()), n, flat, pa.array(np.full(len(x), b.least))]
+                yield pa.RecordBatch.from_arrays(columns, ["c", "k", "n", "x", "least"])
+
+        some = rows if len(moving) == len(now) else rows.where(F.col("c").isin(list(moving)))
+        got = some.mapInArrow(add, f"c {kind}, k int, n bigint, x array<double>, least double").toArrow().combine_chunks()  # about ``most`` numbers
         sent.destroy()
-        moved, now = max(np.square(after[c] - m).sum(1).max() for c, m in now.items()), after
-        if moved <= settled:
-            return spark.createDataFrame([(c, j, x.tolist()) for c, m in now.items() for j, x in enumerate(m)], f"c {kind}, k int, m array<double>")
-    if now:
-        raise RuntimeError(f"centres still moved after {most_rounds} rounds")
-    return centres
-
-
-def _rounds_by_joins(rows: DataFrame, centres: DataFrame, most_rounds: int, settled: float) -> DataFrame:
+        classes = got["c"].combine_chunks().dictionary_encode()
+        for i, c in enumerate(classes.dictionary.to_pylist()):
+            own = got.filter(pa.array(classes.indices.to_numpy() == i))
+            x, at, n, least = metric.matrix(own["x"]), own["k"].to_numpy(), own["n"].fill_null(0).to_numpy(), own["least"].to_numpy().min()
+            sums, counts, apart = np.zeros_like(now[c]), np.zeros(len(now[c]), np.int64), x[n == 0]
+            np.add.at(sums, at[n > 0], x[n > 0])
+            np.add.at(counts, at, n)
+            base, last = now[c], None
+            while last is None or np.sort(np.sqrt(np.square(now[c] - base).sum(1)))[-2:].sum() + 1e-9 < least:
+                near = metric.squared(apart, now[c]).argmin(1)
+                if last is not None and (near == last).all():
+                    moving.remove(c)
+                    break
+                s, n = _added(sums, counts, apart, near)
+                before, last, rounds[c] = now[c], near, rounds[c] + 1
+                now[c] = np.where(n[:, None] > 0, s / np.maximum(n, 1)[:, None], before)
+                if _still(np.square(now[c] - before).sum(1).max(), np.square(now[c]).sum(1).max(), settled):
+                    moving.remove(c)
+                    break
+                if most_rounds is not None and rounds[c] >= most_rounds:
+                    raise RuntimeError(f"centres still moved after {most_rounds} rounds")
+    return spark.createDataFrame([(c, j, x.tolist()) for c, m in now.items() for j, x in enumerate(m)], f"c {kind}, k int, m array<double>")
+
+
+def _rounds_by_joins(rows: DataFrame, centres: DataFrame, most_rounds: int | None, settled: float) -> DataFrame:
     """Lloyd's rounds with many centres, which stay in tables.
 
     Vectors that can't have changed are not read: how much nearer a vector is to its centre than to the next is written once, in order of that margin; while twice what the
@@ -151,7 +216,7 @@ def _rounds_by_joins(rows: DataFrame, centres: DataFrame, most_rounds: int, sett
     these are over a third of all, margins are written anew.
     """
     total, base = rows.count(), None
-    for _ in range(most_rounds):
+    for _ in itertools.count() if most_rounds is None else range(most_rounds):
         if base is None:
             near = rows.join(_centre_arrays(centres), "c").select("c", "x", _near(F.col("x"), F.col("all")).alias("n"))
             margin = F.coalesce(F.sqrt(F.col("n")[1]["d"]) - F.sqrt(F.col("n")[0]["d"]), F.lit(float("inf")))
@@ -175,7 +240,8 @@ def _rounds_by_joins(rows: DataFrame, centres: DataFrame, most_rounds: int, sett
         means = now.where("n > 0").groupBy("c", "k").agg(F.sort_array(F.collect_list(F.struct("pos", (F.col("s") / F.col("n")).alias("v")))).alias("x")).select("c", "k", F.col("x.v").alias("n"))
         both = util.cut(centres.join(means, ["c", "k"], "left").select("c", "k", "m", F.coalesce("n", "m").alias("n")))
         centres = both.select("c", "k", F.col("n").alias("m"))
-        if (both.agg(F.max(squared_distance(F.col("m"), F.col("n")))).first()[0] or 0) <= settled:
+        step, size = both.agg(F.max(squared_distance(F.col("m"), F.col("n"))), F.max(dot(F.col("n"), F.col("n")))).first()
+        if _still(step or 0.0, size or 0.0, settled):
             return centres
     raise RuntimeError(f"centres still moved after {most_rounds} rounds")
 
